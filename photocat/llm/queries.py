@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, mixing, sharding
+from . import bpe, chat, chosenpath, graphann, lines, mixing, pivots, sharding, toxicity, weaklabel
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
 #: The sources are mixed so that none is passed over more often than this.
@@ -22,6 +22,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(units, mixing.rates(units, budget=1.0, max_repeats=MOST_REPEATS))
 
 
+def op2_pivot_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
@@ -37,17 +41,35 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "lines_removed")
 
 
+def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weaklabel.judge(table(spark, sf_dir, "documents")).select("doc_id", "score", "keep")
+
+
+def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op7_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
-    return bpe.decode(ids, path, pattern).select("doc_id", *bpe.digests(ids))
+    decoded = bpe.decode(ids, path, pattern)
+    return decoded.select("doc_id", *bpe.digests(decoded))
 
 
 def op10_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_chat_format, op4_line_dedup, op9_byte_bpe, op10_label_shards)}
+QUERIES = {f.__name__: f for f in (
+    op1_mix_sources, op2_pivot_neardup, op3_chat_format, op4_line_dedup, op5_weak_quality, op6_chosen_path_join, op7_graph_ann, op8_toxicity, op9_byte_bpe, op10_label_shards)}
 
 ORACLE_SQL = {
     "op1_mix_sources": f"""
