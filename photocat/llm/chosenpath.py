@@ -9,12 +9,13 @@ Search. In each run every set starts in one bucket, which is split on sampled
 tokens: a bucket's path draws one position, or two in a quarter of the cases
 (1/0.8 on average), and sets with the same value there go on together. Buckets
 with one set end. Small ones are compared by brute force. In a large one, all
-sets are compared with its first: those that are very similar to it leave with
-a candidate link to it, which loses no group, since Jaccard distance is a metric
-(what is within 0.2 of one that leaves is within 0.3 of the first, and linked
+sets are compared with its first: those that are similar to it leave with a
+candidate link to it, which loses no group, since Jaccard distance is a metric
+(what is within 0.2 of one that leaves is within 0.4 of the first, and linked
 to it too); the rest is split again. Buckets that are still large at the last
-depth are compared in pairs of blocks. Runs repeat until a later run's links
-are known from the earlier ones to the target recall.
+depth are compared in pairs of blocks. Some runs are probes: the share of their
+links that the other runs' groups know is the recall, and searches repeat with
+new runs until it meets the target.
 
 Check. Candidate links join classes to groups; within a group, all pairs are
 compared by exact Jaccard similarity of their shingle sets, in pairs of blocks
@@ -43,8 +44,10 @@ WORDS, SIMILARITY = 5, 0.8
 #: Tokens of a signature, and the share of equal ones from which a pair is a
 #: candidate: 2.8 standard errors below the similarity.
 POSITIONS, CANDIDATE = 64, 0.66
-#: The share from which a set leaves with the first of a large bucket.
-SAME = 0.9
+#: The share from which a set leaves with the first of a large bucket, and the
+#: one from which it is linked to it: what is within 0.2 of a set that leaves is
+#: within 0.4 of the first, and an estimate of 0.6 is above 0.45 but for 1 in 100.
+SAME, NEAR = 0.8, 0.45
 #: Sets of a bucket that is compared by brute force, and depth of splitting.
 SMALL, DEPTH = 64, 12
 #: Runs of the first search, runs that probe its recall, the target and the
@@ -109,7 +112,7 @@ def _split(rows: DataFrame) -> DataFrame:
     value = lambda p: F.xxhash64("path", p, F.substring(F.col("signature"), p * 4 + 1, F.lit(4)))
     one, two = _place("path", 1), _place("path", 2)
     paths = F.when((F.pmod(F.xxhash64("path", F.lit(3)), F.lit(4)) == 0) & (one != two), F.array(value(one), value(two))).otherwise(F.array(value(one)))
-    return rows.select(F.explode(paths).alias("path"), "cls")
+    return rows.select(F.explode(paths).alias("path"), "probe", "cls")
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -120,60 +123,58 @@ def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             like = _alike(S.fixed_bytes(batch.column("signature"), np.uint32, POSITIONS), S.fixed_bytes(batch.column("first_signature"), np.uint32, POSITIONS))
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("cls"), batch.column("first"), pa.array(like)], names=["path", "cls", "first", "alike"])
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("probe"), batch.column("cls"), batch.column("first"), pa.array(like)], names=["path", "probe", "cls", "first", "alike"])
 
 
 def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate links of buckets: each set to the least that it reaches."""
     for table, bounds in S.whole_groups(batches, ["path"]):
         cls, sig = table.column("cls").to_numpy(), S.fixed_bytes(table.column("signature"), np.uint32, POSITIONS)
-        a, b = [], []
+        probe = table.column("probe").to_numpy(zero_copy_only=False)
         sizes = np.diff(bounds)
         two = bounds[:-1][sizes == 2]
         hit = two[_alike(sig[two], sig[two + 1]) >= CANDIDATE]
-        a.append(cls[hit])
-        b.append(cls[hit + 1])
+        a, b = [hit], [hit + 1]
         for lo, hi in zip(bounds[:-1][sizes > 2], bounds[1:][sizes > 2], strict=True):
-            own, s = cls[lo:hi], sig[lo:hi]
-            linked = np.stack([_alike(s, x) >= CANDIDATE for x in s])
-            root = S.local_roots(linked)
+            root = S.local_roots(np.stack([_alike(sig[lo:hi], x) >= CANDIDATE for x in sig[lo:hi]]))
             away = np.flatnonzero(root != np.arange(len(root)))
-            a.append(own[away])
-            b.append(own[root[away]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            a.append(lo + away)
+            b.append(lo + root[away])
+        a, b = np.concatenate(a), np.concatenate(b)
+        yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b]), pa.array(probe[a])], names=["a", "b", "probe"])
+
+
+def _compared(buckets: DataFrame) -> DataFrame:
+    """Links (a, b, probe) of the sets in each bucket."""
+    return buckets.repartition("path").sortWithinPartitions("path").mapInArrow(_brute, "a long, b long, probe boolean")
 
 
-def candidate_links(classes: DataFrame, runs: range) -> DataFrame:
-    """(a, b) of classes, from the runs with these numbers."""
-    spark = classes.sparkSession
-    start = classes.select(F.explode(F.array(*[F.lit(i) for i in runs])).alias("run"), "cls", "signature").select(F.xxhash64("run", F.lit("root")).alias("path"), "cls", "signature")
-    rows = _split(start)
+def candidate_links(classes: DataFrame, first_run: int = 0) -> DataFrame:
+    """(a, b, probe) of classes, written; from RUNS runs, and PROBES with probe set."""
+    runs = F.explode(F.array(*[F.lit(first_run + i) for i in range(RUNS + PROBES)])).alias("run")
+    rows = classes.select(runs, "cls", "signature").select(F.xxhash64("run", F.lit("root")).alias("path"), (F.col("run") >= first_run + RUNS).alias("probe"), "cls", "signature")
     found = []
     for depth in range(DEPTH + 1):
-        rows = cut(rows)
+        rows = _split(rows)
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("first")).where("n > 1")
         sized = cut(rows.join(sizes, "path"))
-        few = sized.where(F.col("n") <= SMALL).select("path", "cls").join(classes, "cls")
-        found.append(cut(few.repartition("path").sortWithinPartitions("path").mapInArrow(_brute, "a long, b long").distinct()))
+        found.append(_compared(sized.where(F.col("n") <= SMALL).select("path", "probe", "cls").join(classes, "cls")))
         large = sized.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
         first = classes.select(F.col("cls").alias("first"), F.col("signature").alias("first_signature"))
-        heads = large.select("path", "first").distinct().join(first, "first")
-        compared = large.select("path", "cls").join(classes, "cls").join(heads, "path").mapInArrow(_with_first, "path long, cls long, first long, alike double")
-        compared = cut(compared)
-        found.append(compared.where((F.col("alike") >= CANDIDATE) & (F.col("cls") != F.col("first"))).select(F.col("cls").alias("a"), F.col("first").alias("b")))
-        rest = compared.where((F.col("alike") < SAME) & (F.col("cls") != F.col("first"))).select("path", "cls").join(classes, "cls")
+        signed_rows = large.select("path", "probe", "cls", "first").join(classes, "cls").join(first, "first")
+        compared = cut(signed_rows.mapInArrow(_with_first, "path long, probe boolean, cls long, first long, alike double").where("cls <> first"))
+        found.append(compared.where(F.col("alike") >= NEAR).select(F.col("cls").alias("a"), F.col("first").alias("b"), "probe"))
+        rows = compared.where(F.col("alike") < SAME).select("path", "probe", "cls").join(classes, "cls")
         if depth == DEPTH:
-            n = rest.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-            blocks = _block_pairs(rest.join(n, "path"), "path", "cls")
-            blocks = blocks.select(F.xxhash64("path", "lo", "hi").alias("path"), "cls", "signature")
-            found.append(cut(blocks.repartition("path").sortWithinPartitions("path").mapInArrow(_brute, "a long, b long").distinct()))
-        rows = _split(rest)
-    out = spark.createDataFrame([], "a long, b long")
-    for x in found:
+            n = rows.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+            blocks = _block_pairs(rows.join(n, "path"), "path", "cls")
+            found.append(_compared(blocks.select(F.xxhash64("path", "lo", "hi").alias("path"), "probe", "cls", "signature")))
+    out = found[0]
+    for x in found[1:]:
         out = out.union(x)
-    return out
+    return cut(out.distinct())
 
 
 def _block_pairs(rows: DataFrame, group: str, key: str) -> DataFrame:
@@ -185,23 +186,22 @@ def _block_pairs(rows: DataFrame, group: str, key: str) -> DataFrame:
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
     """(id, root): classes with a candidate link, by groups of them."""
-    links = candidate_links(classes, range(RUNS))
-    groups = components(links)
-    for again in range(AGAIN):
-        first = RUNS + again * (RUNS + PROBES)
-        probe = cut(candidate_links(classes, range(first, first + PROBES)).distinct())
+    links = candidate_links(classes)
+    groups = components(links.where("not probe").select("a", "b"))
+    for again in range(1, AGAIN + 1):
         one, two = groups.select(F.col("id").alias("a"), F.col("root").alias("ra")), groups.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-        state = cut(probe.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)).alias("known")))
+        state = cut(links.where("probe").join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)).alias("known")))
         known, total = state.agg(F.count_if("known"), F.count(F.lit(1))).first()
         if known == total:
-            return groups
+            break
         grown = groups.select(F.col("id").alias("a"), F.col("root").alias("b")).union(state.where("not known").select("a", "b"))
-        good = known >= RECALL * total
+        good = known >= RECALL * total or again == AGAIN
         if not good:
-            grown = grown.union(candidate_links(classes, range(first + PROBES, first + PROBES + RUNS)))
+            links = candidate_links(classes, again * (RUNS + PROBES))
+            grown = grown.union(links.where("not probe").select("a", "b"))
         groups = components(grown)
         if good:
-            return groups
+            break
     return groups
 
 
