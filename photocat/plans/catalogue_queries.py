@@ -1,2 +1,569 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Every operator of the catalogue as a query over the given tables, with its SQL."""
+
+from __future__ import annotations
+
+import hashlib
+import uuid
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schema
+from ..functions import scalars
+from ..lineage import cut, shared_dir
+from ..operators import catalog, duplicates, inference, quality, ranking, rotation, stats, taste, vectors
+from ..sources import files as sources
+from ..streaming import ingest
+from . import fixtures as fx
+from .fixtures import with_sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Searches --------------------------------------------------------------------
+
+#: (vec_id of the query vector, parameters)
+SEARCHES = [
+    (0, {}), (1, {"limit": 20, "quality_weight": 1.0}), (2, {"date_from": "2001-01-03", "date_to": "2001-01-20", "limit": 15}), (3, {"folder_pattern": "SRC_/", "limit": 12, "dedupe": False}),
+    (4, {"sources": ["pro", "archive"], "limit": 10}), (5, {"tags": ["toxic", "quality"], "min_quality": 4.0}), (6, {"min_long_edge": 2000, "archive": "exclude", "taste_weight": 2.0}),
+    (7, {"query_text": "an expedition of 1953", "limit": 30}), (8, {"archive": "only", "limit": 5, "query_text": "people"})]
+COLUMNS = ("query_text", "limit", "date_from", "date_to", "folder_pattern", "tags", "min_quality", "min_long_edge", "quality_weight", "dedupe", "sources", "archive", "taste_weight")
+
+
+def _asked(spark: SparkSession, sf_dir: str, searches: list) -> DataFrame:
+    types = dict(x.strip().rsplit(" ", 1) for x in ranking.QUERY_SCHEMA.split(","))
+    rows = spark.createDataFrame([(i, *[p.get(c) for c in COLUMNS]) for i, p in searches], "query_id long, " + ", ".join(f"{c} {types[c]}" for c in COLUMNS))
+    vectors_of = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return rows.join(vectors_of, "query_id")
+
+
+def _text(x) -> str:
+    if x is None:
+        return "NULL"
+    if isinstance(x, list):
+        return "[" + ", ".join(f"'{y}'" for y in x) + "]"
+    return f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
+
+
+def _search_sql(searches: list) -> str:
+    kinds = {"tags": "VARCHAR[]", "sources": "VARCHAR[]", "limit": "INT", "min_long_edge": "INT", "min_quality": "DOUBLE", "quality_weight": "DOUBLE", "taste_weight": "DOUBLE", "dedupe": "BOOLEAN"}
+    rows = " UNION ALL ".join("SELECT " + ", ".join([f"{i} AS query_id", *[f'{_text(p.get(c))}::{kinds.get(c, "VARCHAR")} AS "{c}"' for c in COLUMNS]]) for i, p in searches)
+    historical = scalars.HISTORICAL.replace("'", "''")
+    parts = f"""
+asked AS ({rows}),
+q AS (
+  SELECT a.* EXCLUDE ("limit", quality_weight, taste_weight, archive, dedupe), least(coalesce("limit", 10), 100) AS n, coalesce(quality_weight, 0) AS qw, coalesce(taste_weight, 1) AS tw, coalesce(dedupe, true) AS dedupe,
+         coalesce(archive, 'auto') AS archive,
+         CASE WHEN archive IN ('include', 'exclude', 'only') THEN archive WHEN regexp_matches(coalesce(query_text, ''), '{historical}') THEN 'include' ELSE 'capped' END AS mode, e.embedding::DOUBLE[] AS v
+  FROM asked a JOIN embeddings e ON e.vec_id = a.query_id),
+scored AS (SELECT q.*, i.*, list_inner_product(i.embedding::DOUBLE[], q.v) AS similarity FROM q, img i WHERE i.embedding IS NOT NULL),
+cand AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, image_id) <= n * CASE WHEN min_quality IS NOT NULL OR min_long_edge IS NOT NULL OR qw > 0 OR sources IS NOT NULL OR archive IN ('only', 'exclude') THEN 50 ELSE 10 END),
+fit AS (
+  SELECT * FROM cand c WHERE similarity >= 0
+    AND (date_from IS NULL OR strftime(date_taken, '%Y-%m-%dT%H:%M:%S') >= date_from) AND (date_to IS NULL OR strftime(date_taken, '%Y-%m-%dT%H:%M:%S') <= date_to)
+    AND (folder_pattern IS NULL OR folder ILIKE '%' || folder_pattern || '%')
+    AND CASE WHEN mode = 'only' THEN source_class = 'archive' WHEN mode = 'exclude' THEN source_class <> 'archive' AND (sources IS NULL OR list_contains(sources, source_class)) ELSE sources IS NULL OR list_contains(sources, source_class) END
+    AND (min_quality IS NULL OR aesthetic_score >= min_quality) AND (min_long_edge IS NULL OR long_edge_px >= min_long_edge)
+    AND (tags IS NULL OR EXISTS (SELECT 1 FROM image_tag t WHERE t.image_id = c.image_id AND list_contains(tags, t.tag_name)))),
+ranked AS (
+  SELECT *, CASE WHEN qw <= 0 OR aesthetic_score IS NULL THEN similarity ELSE similarity + qw * 0.02::DOUBLE * (aesthetic_score - 5) END
+    + CASE WHEN sources IS NOT NULL OR (source_class = 'archive' AND mode IN ('include', 'only')) THEN 0 WHEN source_class IN ('unknown', 'archive') THEN -0.01::DOUBLE WHEN source_class = 'amateur' THEN -0.03::DOUBLE ELSE 0 END
+    + coalesce(0.005::DOUBLE * tw * taste_score, 0) AS rank_score FROM fit),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, image_id) AS p FROM ranked),
+twin AS (SELECT a.query_id, a.image_id AS better, b.image_id AS worse FROM placed a JOIN placed b ON a.query_id = b.query_id AND a.p < b.p AND list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.97 WHERE a.dedupe),
+kept AS (SELECT * FROM placed x WHERE NOT EXISTS (SELECT 1 FROM twin t WHERE t.query_id = x.query_id AND t.worse = x.image_id)),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_class ORDER BY p) AS of_class FROM kept) WHERE NOT (mode = 'capped' AND sources IS NULL AND source_class = 'archive' AND of_class > 2))
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY p))::INT AS place, image_id, filepath, round(similarity, 6) AS similarity, folder, camera_model, long_edge_px, source_class,
+       round(aesthetic_score, 2) AS aesthetic_score, round(taste_score, 2) AS taste_score, rotation_fix, round(rank_score, 6) AS rank_score,
+       coalesce((SELECT string_agg(worse, ',' ORDER BY worse) FROM twin t WHERE t.query_id = capped.query_id AND t.better = capped.image_id), '') AS duplicates
+FROM capped QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) <= n"""
+    return with_sql("", fx.LABELS_SQL, parts)
+
+
+def _searched(spark: SparkSession, sf_dir: str, searches: list) -> DataFrame:
+    images, embeddings = fx.catalogue(spark, sf_dir)
+    tags, image_tags, _ = fx.labels(spark, sf_dir)
+    rows = ranking.search_batch(images, embeddings, _asked(spark, sf_dir, searches), image_tags, tags)
+    return rows.select(
+        "query_id", "place", "image_id", "filepath", F.round("similarity", 6).alias("similarity"), "folder", "camera_model", "long_edge_px", "source_class", "aesthetic_score", "taste_score", "rotation_fix",
+        F.round("rank_score", 6).alias("rank_score"), F.array_join(F.array_sort("duplicate_ids"), ",").alias("duplicates"))
+
+
+@query(_search_sql(SEARCHES[:1]))
+def search(spark, sf_dir):
+    return _searched(spark, sf_dir, SEARCHES[:1])
+
+
+@query(_search_sql(SEARCHES))
+def search_batch(spark, sf_dir):
+    return _searched(spark, sf_dir, SEARCHES)
+
+
+KNN_SQL = with_sql("""SELECT query_id, rank::INT AS rank, image_id, round(similarity, 6) AS similarity FROM (
+  SELECT q.vec_id AS query_id, i.image_id, list_inner_product(i.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(i.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, i.image_id) AS rank
+  FROM embeddings q, img i WHERE i.embedding IS NOT NULL AND {which}) WHERE rank <= {k}""")
+
+
+@query(KNN_SQL.format(which="q.vec_id % 20 = 0", k=10))
+def knn_batch(spark, sf_dir):
+    """Every twentieth vector asks."""
+    _, e = fx.catalogue(spark, sf_dir)
+    asks = fx.table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return vectors.knn_batch(e, asks, 10).select("query_id", "rank", "image_id", F.round("similarity", 6).alias("similarity"))
+
+
+def _one_vector(spark, sf_dir) -> list[float]:
+    return fx.table(spark, sf_dir, "embeddings").where("vec_id = 3").first()["embedding"]
+
+
+@query("SELECT image_id, similarity FROM (" + KNN_SQL.format(which="q.vec_id = 3", k=25) + ")")
+def knn(spark, sf_dir):
+    return vectors.knn(fx.catalogue(spark, sf_dir)[1], _one_vector(spark, sf_dir), 25).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("SELECT image_id, similarity FROM (" + KNN_SQL.format(which="q.vec_id = 3", k=25) + ")")
+def knn_all_cells(spark, sf_dir):
+    """All cells probed: as exact search."""
+    dealt, centres = vectors.build_cells(fx.catalogue(spark, sf_dir)[1], 5)
+    return vectors.knn_cells(dealt, centres, _one_vector(spark, sf_dir), 25, 5).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def knn_some_cells(spark, sf_dir):
+    dealt, centres = vectors.build_cells(fx.catalogue(spark, sf_dir)[1], 5)
+    return vectors.knn_cells(dealt, centres, _one_vector(spark, sf_dir), 25, 2)
+
+
+@query("SELECT l AS \"limit\", d AS deeper, least(least(l, 100) * CASE WHEN d THEN 50 ELSE 10 END, (SELECT count(*) FROM embeddings))::INT AS depth FROM (SELECT DISTINCT (vec_id % 150)::INT AS l, vec_id % 2 = 0 AS d FROM embeddings)")
+def candidate_depth(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "embeddings")
+    rows = e.select((F.col("vec_id") % 150).cast("int").alias("limit"), (F.col("vec_id") % 2 == 0).alias("deeper")).distinct()
+    return rows.withColumn("depth", vectors.candidate_depth(F.col("limit"), F.col("deeper"), e.count()).cast("int"))
+
+
+@query("SELECT vec_id, round(list_inner_product(v, w), 6) AS cosine, round(1 - list_inner_product(list_transform(list_zip(v, w), lambda p: p[1] - p[2]), list_transform(list_zip(v, w), lambda p: p[1] - p[2])) / 2, 6) AS from_l2, round(sqrt(list_inner_product(u, u)), 5) AS length FROM (SELECT a.vec_id, a.embedding::DOUBLE[] AS v, b.embedding::DOUBLE[] AS w, list_transform(a.embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))) AS u FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)")
+def vector_functions(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "embeddings")
+    rows = e.select("vec_id", F.col("embedding").alias("v")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("w")), "vec_id")
+    gap = F.zip_with("v", "w", lambda x, y: x.cast("double") - y.cast("double"))
+    unit = scalars.normalize(F.col("v"))
+    return rows.select("vec_id", F.round(scalars.dot(F.col("v"), F.col("w")), 6).alias("cosine"), F.round(scalars.cosine_from_l2(scalars.dot(gap, gap)), 6).alias("from_l2"), F.round(F.sqrt(scalars.dot(unit, unit)), 5).alias("length"))
+
+
+@query("SELECT vec_id, len(embedding)::INT AS dimension, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[len(embedding)]::DOUBLE, 6) AS last FROM embeddings")
+def vector_codec(spark, sf_dir):
+    e = sources.encode_vectors(fx.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", "blob")
+    back = sources.decode_vectors(e.select("vec_id", "blob"), "blob", "v")
+    return back.select("vec_id", sources.blob_dimension(F.col("blob")).alias("dimension"), F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("first"), F.round(F.element_at("v", -1).cast("double"), 6).alias("last"))
+
+
+# Row functions ---------------------------------------------------------------
+
+
+@query(with_sql("SELECT image_id, filename, folder, coalesce(long_edge_px, 0) AS long_edge_px, source_class, coalesce(orientation, 1) NOT IN (0, 1) AS upright, strftime(date_taken, '%Y-%m-%d %H:%M:%S') AS taken FROM img"))
+def image_columns(spark, sf_dir):
+    images, _ = fx.catalogue(spark, sf_dir)
+    return images.select("image_id", "filename", "folder", F.coalesce("long_edge_px", F.lit(0)).alias("long_edge_px"), "source_class", scalars.needs_upright(F.col("orientation")).alias("upright"), F.date_format("date_taken", "yyyy-MM-dd HH:mm:ss").alias("taken"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS taken, round(CASE WHEN event_id % 7 <> 0 THEN floor(value * 100) / (event_id % 7) ELSE try_cast(event_id::VARCHAR AS DOUBLE) END, 6) AS ratio,
+  round(CASE WHEN event_id % 5 <> 0 THEN (event_id % 90 + (event_id % 60) / 60::DOUBLE + (event_id % 3600) / (event_id % 5) / 3600::DOUBLE) * CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END END, 6) AS latitude FROM events""")
+def exif_functions(spark, sf_dir):
+    """Tags made from events: times as text, values as ratios, some of den 0."""
+    n = F.col("event_id")
+    pair = lambda a, b: F.struct(a.cast("long").alias("num"), b.cast("long").alias("den"))
+    e = fx.table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy:MM:dd HH:mm:ss").alias("text"), F.array(pair(F.floor(F.col("value") * 100), n % 7)).alias("nums"),
+        F.array(pair(n % 90, F.lit(1)), pair(n % 60, F.lit(1)), pair(n % 3600, n % 5)).alias("dms"))
+    gps = scalars.gps_decimal(F.col("dms"), F.when(n % 2 == 0, "S").otherwise("N"), F.col("dms"), F.lit(None).cast("string"))
+    taken = scalars.date_taken(F.when(n % 3 == 0, F.lit("0000:00:00 00:00:00")).otherwise(F.col("text")), F.col("text"))
+    return e.select("event_id", F.date_format(taken, "yyyy-MM-dd HH:mm:ss").alias("taken"), F.round(scalars.exif_rational(F.col("nums"), n.cast("string")), 6).alias("ratio"), F.round(gps["latitude"], 6).alias("latitude"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN source || ' trip' END AS event_name, CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 100)::INT END AS day, CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 13)::INT END AS month,
+  CASE WHEN doc_id % 4 <> 0 THEN (2000 + doc_id % 30)::INT END AS year, CASE WHEN doc_id % 4 <> 0 THEN doc_id END AS sequence, round(iso, 0)::INT AS iso FROM (SELECT *, CASE WHEN doc_id % 3 <> 0 THEN doc_id END AS iso FROM documents)""")
+def filename_functions(spark, sf_dir):
+    n = F.col("doc_id")
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.when(n % 4 == 0, F.concat("source", F.lit(".jpg"))).otherwise(
+        F.concat("source", F.lit(" trip "), F.format_string("(%02d.%02d.%02d)", n % 100, n % 13, n % 30), F.when(n % 2 == 0, " ").otherwise(""), F.lit("-"), n.cast("string"), F.lit(".jpg"))).alias("name"))
+    iso = scalars.iso_speed(F.when(n % 3 == 0, "high").otherwise(F.concat(F.lit(" "), n.cast("string"))))
+    return d.withColumn("p", scalars.parse_filename(F.col("name"))).select("doc_id", "p.event_name", "p.day", "p.month", "p.year", "p.sequence", iso.alias("iso"))
+
+
+@query("SELECT doc_id, CASE WHEN a IN ('include', 'exclude', 'only') THEN a WHEN regexp_matches(t, '" + scalars.HISTORICAL.replace("'", "''") + """') THEN 'include' ELSE 'capped' END AS mode FROM (
+  SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'include' WHEN 1 THEN 'only' ELSE 'auto' END AS a, CASE doc_id % 7 WHEN 0 THEN 'in 1953' WHEN 1 THEN '1953s' WHEN 2 THEN 'the 1980s' WHEN 3 THEN '1985' WHEN 4 THEN 'prehistory' WHEN 5 THEN left(text, 40) ELSE 'Old Photo' END AS t FROM documents)""")
+def archive_modes(spark, sf_dir):
+    n = F.col("doc_id")
+    text = F.substring("text", 1, 40)
+    for i, t in enumerate(("in 1953", "1953s", "the 1980s", "1985", "prehistory")):
+        text = F.when(n % 7 == i, t).otherwise(text)
+    text = F.when(n % 7 == 6, "Old Photo").otherwise(text)
+    asked = F.when(n % 5 == 0, "include").when(n % 5 == 1, "only").otherwise("auto")
+    return fx.table(spark, sf_dir, "documents").select("doc_id", scalars.archive_mode(asked, text).alias("mode"))
+
+
+@query("""SELECT doc_id, CASE WHEN b < 1024 THEN format('{:.1f} B', b) WHEN b < 1048576 THEN format('{:.1f} KB', b / 1024) WHEN b < 1073741824 THEN format('{:.1f} MB', b / 1048576) ELSE format('{:.1f} GB', b / 1073741824) END AS size,
+  CASE WHEN s < 60 THEN format('{:.1f}s', s) WHEN s < 3600 THEN format('{}m {}s', floor(s / 60)::INT, (s % 60)::INT) ELSE format('{}h {}m', floor(s / 3600)::INT, floor(s % 3600 / 60)::INT) END AS duration
+  FROM (SELECT doc_id, n_chars::DOUBLE * power(2, doc_id % 5 * 6) AS b, (doc_id * 7)::DOUBLE AS s FROM documents)""")
+def human_units(spark, sf_dir):
+    n = F.col("doc_id")
+    return fx.table(spark, sf_dir, "documents").select("doc_id", scalars.human_size(F.col("n_chars") * F.pow(F.lit(2.0), n % 5 * 6)).alias("size"), scalars.human_duration((n * 7).cast("double")).alias("duration"))
+
+
+# Catalogue maintenance -------------------------------------------------------
+
+
+@query(with_sql("SELECT path, file_size, strftime(file_modified, '%Y-%m-%d %H:%M:%S') AS modified FROM later l WHERE NOT EXISTS (SELECT 1 FROM img WHERE filepath = path AND img.file_size IS NOT DISTINCT FROM l.file_size AND img.file_modified IS NOT DISTINCT FROM l.file_modified)", fx.LISTING_SQL))
+def detect_changes(spark, sf_dir):
+    found = catalog.detect_changes(fx.listing(spark, sf_dir), fx.catalogue(spark, sf_dir)[0])
+    return found.select("path", "file_size", F.date_format("file_modified", "yyyy-MM-dd HH:mm:ss").alias("modified"))
+
+
+@query(with_sql("""SELECT coalesce(n.image_id, i.image_id) AS image_id, coalesce(n.path, i.filepath) AS filepath, CASE WHEN n.image_id IS NULL THEN i.file_size ELSE n.file_size END AS file_size, CASE WHEN n.image_id IS NULL THEN i.taste_score END AS taste_score
+  FROM img i FULL JOIN (SELECT substr(sha256(path), 1, 16) AS image_id, * FROM later WHERE file_size % 2 = 0) n ON n.image_id = i.image_id""", fx.LISTING_SQL))
+def upsert(spark, sf_dir):
+    images, _ = fx.catalogue(spark, sf_dir)
+    new = ingest.catalogue_rows(fx.listing(spark, sf_dir).where("file_size % 2 = 0"))
+    return catalog.upsert(images, new, "image_id", "file_modified").select("image_id", "filepath", "file_size", "taste_score")
+
+
+@query(with_sql("SELECT image_id, CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 1.5::DOUBLE ELSE taste_score END AS taste_score, file_size FROM img"))
+def patch(spark, sf_dir):
+    images, _ = fx.catalogue(spark, sf_dir)
+    changes = images.where("doc_id % 3 = 0").select("image_id", F.when(F.col("doc_id") % 6 != 0, 1.5).alias("taste_score"))
+    return catalog.patch(images, changes, "image_id", ["taste_score"]).select("image_id", "taste_score", "file_size")
+
+
+@query(with_sql("SELECT image_id, filepath FROM img WHERE filepath IN (SELECT path FROM later)", fx.LISTING_SQL))
+def prune_orphans(spark, sf_dir):
+    images, _ = fx.catalogue(spark, sf_dir)
+    _, image_tags, _ = fx.labels(spark, sf_dir)
+    return catalog.prune_orphans(images, image_tags, fx.listing(spark, sf_dir))[0].select("image_id", "filepath")
+
+
+@query(with_sql("SELECT count(*) FILTER (NOT listed) AS pruned, count(*) FILTER (listed) AS remaining FROM (SELECT filepath IN (SELECT path FROM later) AS listed FROM img)", fx.LISTING_SQL))
+def prune_counts(spark, sf_dir):
+    images, _ = fx.catalogue(spark, sf_dir)
+    return catalog.prune_orphans(images, fx.labels(spark, sf_dir)[1], fx.listing(spark, sf_dir))[2]
+
+
+@query(with_sql("SELECT t.image_id, CASE tag_name WHEN 'quality' THEN 1 ELSE 2 END::BIGINT AS tag_id FROM image_tag t JOIN img USING (image_id) WHERE filepath IN (SELECT path FROM later)", fx.LISTING_SQL, fx.LABELS_SQL))
+def prune_tags(spark, sf_dir):
+    images, _ = fx.catalogue(spark, sf_dir)
+    return catalog.prune_orphans(images, fx.labels(spark, sf_dir)[1], fx.listing(spark, sf_dir))[1].select("image_id", "tag_id")
+
+
+@query(with_sql("SELECT '/thumbs/' || image_id || '.jpg' AS path, image_id FROM img WHERE doc_id % 2 = 0 AND filepath NOT IN (SELECT path FROM later)", fx.LISTING_SQL))
+def orphan_thumbnails(spark, sf_dir):
+    images, _ = fx.catalogue(spark, sf_dir)
+    return catalog.orphan_thumbnails(images, fx.listing(spark, sf_dir), _thumbnails(images).select("path")).select("path", "image_id")
+
+
+def _thumbnails(images: DataFrame) -> DataFrame:
+    return images.where("doc_id % 2 = 0").select("image_id", F.concat(F.lit("/thumbs/"), F.col("image_id"), F.lit(".jpg")).alias("path"))
+
+
+@query(with_sql("""SELECT line_no::INT AS line_no, folder, coalesce(bytes, 0)::BIGINT AS bytes, coalesce(files, 0) AS files, files IS NULL AS missing, coalesce(bytes, 0) > 100000 AS over_budget FROM (
+  SELECT * FROM (SELECT unnest([0, 1, 2, 3, 4]) AS line_no, unnest(['/lib/src1', '/lib/src1/en', '/lib/src2', '/lib/nowhere', '/lib/src3/de']) AS folder) l
+  LEFT JOIN (SELECT f.folder AS own, sum(file_size) AS bytes, count(*) AS files FROM img JOIN (SELECT unnest(['/lib/src1', '/lib/src1/en', '/lib/src2', '/lib/nowhere', '/lib/src3/de']) AS folder) f ON starts_with(filepath, f.folder || '/') GROUP BY f.folder) s ON own = folder)"""))
+def folder_sizes(spark, sf_dir):
+    files = fx.catalogue(spark, sf_dir)[0].select(F.col("filepath").alias("path"), "file_size")
+    allow = spark.createDataFrame(list(enumerate(["/lib/src1", "/lib/src1/en", "/lib/src2", "/lib/nowhere", "/lib/src3/de"])), "line_no int, folder string")
+    return catalog.folder_sizes(files, allow, 100_000)
+
+
+@query("SELECT (row_number() OVER (ORDER BY source) - 1)::INT AS line_no, source AS folder FROM (SELECT DISTINCT source FROM documents)")
+def top_level_folders(spark, sf_dir):
+    files = fx.table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/x.jpg")).alias("path"))
+    return catalog.top_level_folders(files)
+
+
+def _mixed(spark, sf_dir) -> DataFrame:
+    """Embeddings some of which have another dimension."""
+    return fx.catalogue(spark, sf_dir)[1].withColumn("embedding", F.when(F.col("doc_id") % 12 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
+
+
+MIXED_SQL = "mixed AS (SELECT image_id, doc_id, CASE WHEN doc_id % 12 = 0 THEN embedding[1:32] ELSE embedding END AS e FROM img)"
+
+
+@query(with_sql("SELECT image_id FROM mixed WHERE e IS NULL OR len(e) <> 64", MIXED_SQL))
+def stale_embeddings(spark, sf_dir):
+    return catalog.select_stale_embeddings(_mixed(spark, sf_dir), 64).select("image_id")
+
+
+@query(with_sql("SELECT count(*) AS total, count(*) FILTER (len(e) = 64) AS current, count(*) FILTER (e IS NULL OR len(e) <> 64) AS todo, count(*) FILTER (len(e) <> 64) AS stale FROM mixed", MIXED_SQL))
+def run_counters(spark, sf_dir):
+    return catalog.run_counters(_mixed(spark, sf_dir), 64)
+
+
+@query(with_sql("SELECT image_id, coalesce(CASE WHEN len(e) = 64 THEN 64 END, 0)::INT AS dimension FROM mixed", MIXED_SQL))
+def clear_stale_embeddings(spark, sf_dir):
+    return catalog.clear_stale_embeddings(_mixed(spark, sf_dir), 64)[0].select("image_id", F.coalesce(F.size("embedding"), F.lit(0)).alias("dimension"))
+
+
+@query(with_sql("SELECT image_id FROM img ORDER BY sha256('7:' || image_id), image_id LIMIT 50"))
+def pilot_sample(spark, sf_dir):
+    return catalog.pilot_sample(fx.catalogue(spark, sf_dir)[0].select("image_id"), 50, 7)
+
+
+@query(with_sql("SELECT image_id, CASE WHEN doc_id % 2 = 0 THEN 'thumbnail' ELSE 'original' END AS source, CASE WHEN doc_id % 2 = 0 THEN '/thumbs/' || image_id || '.jpg' ELSE filepath END AS source_path, coalesce(orientation, 1) NOT IN (0, 1) AS rotate FROM img"))
+def embedding_sources(spark, sf_dir):
+    images, _ = fx.catalogue(spark, sf_dir)
+    return catalog.embedding_source(images, _thumbnails(images))
+
+
+@query(with_sql("SELECT count(*) FILTER (doc_id % 2 = 0) AS from_thumbnail, 0::BIGINT AS from_original, count(*) FILTER (doc_id % 2 <> 0) AS skipped, count(*) FILTER (doc_id % 2 = 0 AND coalesce(orientation, 1) NOT IN (0, 1)) AS rotated FROM img"))
+def embedding_source_counts(spark, sf_dir):
+    images, _ = fx.catalogue(spark, sf_dir)
+    return catalog.source_counts(catalog.embedding_source(images, _thumbnails(images), thumbnails_only=True))
+
+
+@query(with_sql("""SELECT (SELECT count(*) FROM later) AS found, count(*) AS changed, (SELECT count(*) FROM later) - count(*) AS skipped, count(*) FILTER (file_size % 3 <> 0) AS indexed, count(*) FILTER (file_size % 3 = 0) AS errors,
+  (SELECT string_agg(e, ',' ORDER BY e) FROM (SELECT DISTINCT 'size ' || file_size % 97 AS e FROM ch WHERE file_size % 3 = 0 ORDER BY e LIMIT 10)) AS first_errors FROM ch""", fx.LISTING_SQL,
+  "ch AS (SELECT * FROM later l WHERE NOT EXISTS (SELECT 1 FROM img WHERE filepath = path AND img.file_size = l.file_size))"))
+def index_run_stats(spark, sf_dir):
+    files, (images, _) = fx.listing(spark, sf_dir), fx.catalogue(spark, sf_dir)
+    changed = catalog.detect_changes(files, images)
+    done = changed.withColumn("error", F.when(F.col("file_size") % 3 == 0, F.concat(F.lit("size "), (F.col("file_size") % 97).cast("string"))))
+    return catalog.index_run_stats(files, changed, done).withColumn("first_errors", F.array_join("first_errors", ","))
+
+
+@query(with_sql("SELECT DISTINCT image_id FROM img"))
+def existing_ids(spark, sf_dir):
+    return catalog.existing_ids(fx.catalogue(spark, sf_dir)[0])
+
+
+@query(with_sql("SELECT image_id, NULL::DOUBLE AS taste_score, NULL::INT AS rotation_fix, source_class FROM img"))
+def evolve_schema(spark, sf_dir):
+    old = fx.catalogue(spark, sf_dir)[0].drop("taste_score", "rotation_fix")
+    return schema.evolve_schema(old).select("image_id", "taste_score", "rotation_fix", "source_class")
+
+
+@query("SELECT key, value FROM (SELECT source AS key, CASE WHEN source IN ('src1', 'src2') THEN 'new' ELSE count(*)::VARCHAR END AS value FROM documents GROUP BY source)")
+def run_metadata(spark, sf_dir):
+    old = fx.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("key")).agg(F.count(F.lit(1)).cast("string").alias("value"))
+    return sources.put_run_metadata(old, old.where("key in ('src1', 'src2')").select("key", F.lit("new").alias("value")))
+
+
+# Statistics ------------------------------------------------------------------
+
+
+@query(with_sql("SELECT count(*) AS total_images, strftime(min(date_taken), '%Y-%m-%d %H:%M:%S') AS oldest, strftime(max(date_taken), '%Y-%m-%d %H:%M:%S') AS newest, round(coalesce(sum(file_size), 0) / 1073741824::DOUBLE, 2) AS total_size_gb FROM img"))
+def archive_stats(spark, sf_dir):
+    day = "yyyy-MM-dd HH:mm:ss"
+    return stats.archive_stats(fx.catalogue(spark, sf_dir)[0]).withColumns({"oldest": F.date_format("oldest", day), "newest": F.date_format("newest", day)})
+
+
+@query(with_sql("SELECT camera_model, count(*) AS images FROM img WHERE camera_model IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"))
+def top_cameras(spark, sf_dir):
+    return stats.top_cameras(fx.catalogue(spark, sf_dir)[0])
+
+
+@query(with_sql("SELECT folder, count(*) AS images FROM img GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 10"))
+def top_folders(spark, sf_dir):
+    return stats.top_folders(fx.catalogue(spark, sf_dir)[0])
+
+
+@query(with_sql("SELECT image_id, filepath, found, coalesce((SELECT string_agg(tag_name, ',' ORDER BY tag_name) FROM image_tag t WHERE t.image_id = x.image_id), '') AS tags FROM (SELECT image_id, filepath, true AS found FROM img WHERE doc_id % 3 = 0 UNION ALL SELECT 'unknown', NULL, false) x", fx.LABELS_SQL))
+def image_info(spark, sf_dir):
+    images, _ = fx.catalogue(spark, sf_dir)
+    tags, image_tags, _ = fx.labels(spark, sf_dir)
+    ids = images.where("doc_id % 3 = 0").select("image_id").union(spark.sql("select 'unknown' as image_id"))
+    return stats.image_info(images, ids, image_tags, tags).select("image_id", "filepath", "found", F.array_join("tags", ",").alias("tags"))
+
+
+@query(with_sql("""SELECT round(corr(rx, ry), 6) AS rho FROM (SELECT rank() OVER (ORDER BY aesthetic_score) + (count(*) OVER (PARTITION BY aesthetic_score) - 1) / 2::DOUBLE AS rx, rank() OVER (ORDER BY taste_score) + (count(*) OVER (PARTITION BY taste_score) - 1) / 2::DOUBLE AS ry
+  FROM img WHERE aesthetic_score IS NOT NULL AND taste_score IS NOT NULL)"""))
+def spearman(spark, sf_dir):
+    return stats.spearman(fx.catalogue(spark, sf_dir)[0], "aesthetic_score", "taste_score").withColumn("rho", F.round("rho", 6))
+
+
+@query(with_sql("SELECT image_id, round((aesthetic_score - (SELECT avg(aesthetic_score) FROM img)) / (SELECT stddev_pop(aesthetic_score) FROM img), 6) AS z FROM img"))
+def zscore(spark, sf_dir):
+    return stats.zscore(fx.catalogue(spark, sf_dir)[0], "aesthetic_score", "z").select("image_id", F.round("z", 6).alias("z"))
+
+
+# Taste, quality and rotation -------------------------------------------------
+
+WEIGHTS = [(i % 7 - 3) / 10 for i in range(64)]
+WEIGHTS_SQL = "[" + ", ".join(f"{w}::DOUBLE" for w in WEIGHTS) + "]"
+
+
+@query(with_sql("SELECT count(*) FILTER (choice = 'a') AS a, count(*) FILTER (choice = 'b') AS b, count(*) FILTER (choice = 'tie') AS tie, count(*) FILTER (choice = 'both_bad') AS both_bad FROM vote", fx.VOTES_SQL))
+def vote_counts(spark, sf_dir):
+    return taste.vote_counts(fx.votes(spark, sf_dir))
+
+
+@query(with_sql("SELECT vote_id, 'pair' AS kind, CASE choice WHEN 'a' THEN a ELSE b END AS x, CASE choice WHEN 'a' THEN b ELSE a END AS y FROM vote WHERE choice IN ('a', 'b') UNION ALL SELECT vote_id, 'bad', unnest([a, b]), NULL FROM vote WHERE choice = 'both_bad'", fx.VOTES_SQL))
+def vote_pairs(spark, sf_dir):
+    pairs, bads = taste.vote_pairs(fx.votes(spark, sf_dir))
+    return pairs.select("vote_id", F.lit("pair").alias("kind"), F.col("winner").alias("x"), F.col("loser").alias("y")).union(bads.select("vote_id", F.lit("bad"), "image_id", F.lit(None).cast("string")))
+
+
+@query(with_sql("SELECT image_id FROM (SELECT unnest([a, b]) AS image_id FROM vote UNION SELECT image_id FROM tier)", fx.LABELS_SQL, fx.VOTES_SQL))
+def needed_ids(spark, sf_dir):
+    return taste.needed_ids(fx.votes(spark, sf_dir), fx.labels(spark, sf_dir)[2])
+
+
+SCORED_SQL = f"scored AS (SELECT image_id, list_inner_product(embedding::DOUBLE[], {WEIGHTS_SQL}) AS raw FROM img WHERE embedding IS NOT NULL)"
+
+
+@query(with_sql("""SELECT fold, round(avg(CASE WHEN w.raw > l.raw THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS accuracy FROM (
+  SELECT CASE choice WHEN 'a' THEN a ELSE b END AS winner, CASE choice WHEN 'a' THEN b ELSE a END AS loser, (('0x' || substr(sha256('0:' || vote_id), 1, 8))::BIGINT % 5)::INT AS fold FROM vote WHERE choice IN ('a', 'b')) p
+  JOIN scored w ON w.image_id = winner JOIN scored l ON l.image_id = loser GROUP BY fold""", fx.VOTES_SQL, SCORED_SQL))
+def pairwise_accuracy(spark, sf_dir):
+    pairs, _ = taste.vote_pairs(fx.votes(spark, sf_dir))
+    raw = taste.raw_taste(fx.catalogue(spark, sf_dir)[1], np.array(WEIGHTS))
+    scored = taste.folds(pairs).join(raw.select(F.col("image_id").alias("winner"), F.col("raw").alias("s_winner")), "winner").join(raw.select(F.col("image_id").alias("loser"), F.col("raw").alias("s_loser")), "loser")
+    return taste.pairwise_accuracy(scored).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(with_sql("SELECT image_id, round((raw - (SELECT avg(raw) FROM scored)) / (SELECT stddev_pop(raw) FROM scored), 6) AS taste_score FROM scored", SCORED_SQL))
+def score_taste(spark, sf_dir):
+    return taste.score_taste(fx.catalogue(spark, sf_dir)[1], np.array(WEIGHTS)).withColumn("taste_score", F.round("taste_score", 6))
+
+
+@query(with_sql("SELECT image_id, round((raw - 0.1::DOUBLE) / 2, 6) AS taste_score FROM scored", SCORED_SQL))
+def taste_for_new(spark, sf_dir):
+    return taste.taste_for_new(fx.catalogue(spark, sf_dir)[1], np.array(WEIGHTS), 0.1, 2.0).withColumn("taste_score", F.round("taste_score", 6))
+
+
+@query(with_sql("SELECT tier, round(avg(taste_score), 6) AS mean_score, count(taste_score) AS n FROM tier JOIN img USING (image_id) GROUP BY tier", fx.LABELS_SQL))
+def tier_means(spark, sf_dir):
+    return taste.tier_means(fx.catalogue(spark, sf_dir)[0].select("image_id", "taste_score"), fx.labels(spark, sf_dir)[2]).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query()
+def fit_taste(spark, sf_dir):
+    """The chosen penalty, its accuracy, and the weights."""
+    pairs, bads = taste.vote_pairs(fx.votes(spark, sf_dir))
+    rows = cut(taste.difference_vectors(pairs, fx.catalogue(spark, sf_dir)[1])[0])
+    n_bad = bads.count()
+    l2, accuracy = taste.choose_l2(rows, n_bad, (1e-2, 1e-1))
+    w = taste.fit_taste(rows, l2, n_bad)
+    return spark.createDataFrame([(l2, accuracy, [float(x) for x in w] if w is not None else [])], "l2 double, accuracy double, weights array<double>")
+
+
+@query()
+def taste_report(spark, sf_dir):
+    votes = fx.votes(spark, sf_dir)
+    scores = taste.score_taste(fx.catalogue(spark, sf_dir)[1], np.array(WEIGHTS))
+    return taste.taste_report(votes, scores, fx.labels(spark, sf_dir)[2], taste.vote_pairs(votes)[1], 0.01, 0.5)
+
+
+@query(with_sql(f"SELECT image_id, round(list_inner_product(embedding::DOUBLE[], {WEIGHTS_SQL}) * 2 + 5.5, 6) AS aesthetic_score FROM img WHERE embedding IS NOT NULL"))
+def aesthetic_score(spark, sf_dir):
+    """Three layers that amount to twice the weights, plus 5.5."""
+    layers = [(np.array([WEIGHTS, [1.0] * 64]), np.array([0.25, 0.0])), (np.array([[1.0, 0.0]]), np.array([0.5])), (np.array([[2.0]]), np.array([4.0]))]
+    e = fx.catalogue(spark, sf_dir)[1].where("embedding is not null")
+    return quality.aesthetic_score(e, layers).select("image_id", F.round("aesthetic_score", 6).alias("aesthetic_score"))
+
+
+DIRECTION_SQL = f"""turn AS (
+  SELECT image_id, max(s) FILTER (rotation = 0) AS s0, max(s) FILTER (rotation = 90) AS s90, max(s) FILTER (rotation = 180) AS s180, max(s) FILTER (rotation = 270) AS s270
+  FROM (SELECT image_id, rotation, list_inner_product(embedding::DOUBLE[], {WEIGHTS_SQL}) / 20 AS s FROM (SELECT * FROM turned UNION ALL SELECT image_id, 0, embedding FROM img WHERE embedding IS NOT NULL)) GROUP BY image_id HAVING count(*) = 4),
+best AS (SELECT *, greatest(s0, s90, s180, s270) AS top, CASE greatest(s0, s90, s180, s270) WHEN s0 THEN 0 WHEN s90 THEN 90 WHEN s180 THEN 180 ELSE 270 END AS rotation FROM turn),
+done AS (SELECT *, top - s0 AS gain, CASE WHEN rotation <> 0 AND top - s0 >= 0.03::DOUBLE THEN 'apply' WHEN rotation <> 0 AND top - s0 >= 0.01::DOUBLE THEN 'review' ELSE 'none' END AS action FROM best)"""
+
+
+def _triaged(spark, sf_dir) -> DataFrame:
+    scores = rotation.rotation_scores(fx.catalogue(spark, sf_dir)[1], fx.rotated(spark, sf_dir), [w / 20 for w in WEIGHTS])
+    return rotation.triage_rotation(scores)
+
+
+@query(with_sql("SELECT image_id, round(s0, 6) AS s0, round(s90, 6) AS s90, round(s180, 6) AS s180, round(s270, 6) AS s270, rotation::INT AS rotation, action, CASE WHEN rotation <> 0 AND gain >= 0.02::DOUBLE THEN rotation ELSE 0 END::INT AS verdict FROM done", fx.ROTATED_SQL, DIRECTION_SQL))
+def rotation_triage(spark, sf_dir):
+    rows = _triaged(spark, sf_dir).withColumn("verdict", rotation.rotation_verdict(0.02))
+    return rows.select("image_id", *[F.round(c, 6).alias(c) for c in ("s0", "s90", "s180", "s270")], "rotation", "action", "verdict")
+
+
+@query(with_sql("SELECT image_id, rotation::INT AS suggested_rotation_ccw, format('{:.4f}', gain) AS margin, filepath FROM done JOIN img USING (image_id) WHERE action = 'review'", fx.ROTATED_SQL, DIRECTION_SQL))
+def review_list(spark, sf_dir):
+    return sources.review_rows(_triaged(spark, sf_dir), fx.catalogue(spark, sf_dir)[0])
+
+
+@query(with_sql("SELECT image_id FROM img WHERE embedding IS NOT NULL AND rotation_fix IS NULL AND doc_id % 2 = 0 AND doc_id % 3 <> 0"))
+def rotation_work(spark, sf_dir):
+    images, e = fx.catalogue(spark, sf_dir)
+    return rotation.rotation_work(images, e, images.where("doc_id % 3 = 0").select("image_id"), _thumbnails(images))
+
+
+@query(with_sql("SELECT image_id, CASE WHEN action = 'apply' THEN done.rotation ELSE rotation_fix END::INT AS rotation_fix, CASE WHEN action = 'apply' THEN round(top, 6) ELSE taste_score END AS taste_score, action IS NOT NULL AND action <> 'apply' AS still_scanned FROM img LEFT JOIN done USING (image_id)", fx.ROTATED_SQL, DIRECTION_SQL))
+def apply_rotation(spark, sf_dir):
+    images, e = fx.catalogue(spark, sf_dir)
+    triaged = cut(_triaged(spark, sf_dir))
+    turned = fx.rotated(spark, sf_dir)
+    fixes = triaged.where("action = 'apply'").join(turned, ["image_id", "rotation"]).select("image_id", "embedding", F.lit(None).cast("double").alias("aesthetic_score"), F.round(F.greatest("s0", "s90", "s180", "s270"), 6).alias("taste_score"), F.col("rotation").alias("rotation_fix"))
+    images, _, scanned = rotation.apply_rotation(images, e, triaged, fixes)
+    left = scanned.select(F.col("image_id").alias("_id"))
+    return images.join(left, images["image_id"] == left["_id"], "left").select("image_id", "rotation_fix", "taste_score", F.col("_id").isNotNull().alias("still_scanned"))
+
+
+@query("SELECT round(list_inner_product(x, x), 6) AS squared FROM (SELECT list_transform(list_zip(a, b), lambda p: p[1] / sqrt(list_inner_product(a, a)) - p[2] / sqrt(list_inner_product(b, b))) AS x FROM (SELECT (SELECT list(m ORDER BY i) FROM (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) WHERE vec_id % 2 = 0 GROUP BY i)) AS a, (SELECT list(m ORDER BY i) FROM (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) WHERE vec_id % 2 = 1 GROUP BY i)) AS b))")
+def upright_direction(spark, sf_dir):
+    prompts = fx.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 2 == 0).alias("upright"), F.col("embedding").cast("array<double>").alias("v"))
+    return rotation.upright_direction(prompts).select(F.round(scalars.dot(F.col("direction"), F.col("direction")), 6).alias("squared"))
+
+
+# Duplicates, inference, streaming --------------------------------------------
+
+PAIRS_SQL = "pair AS (SELECT least(a.image_id, b.image_id) AS a, greatest(a.image_id, b.image_id) AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM img a JOIN img b ON b.doc_id = a.doc_id + 1000000 WHERE a.embedding IS NOT NULL)"
+
+
+@query(with_sql("SELECT a, b, round(cosine, 6) AS cosine FROM pair", PAIRS_SQL))
+def near_duplicate_pairs(spark, sf_dir):
+    return duplicates.near_duplicate_pairs(fx.catalogue(spark, sf_dir)[1]).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(with_sql("""SELECT image_id, better IS NULL AS kept, better AS twin FROM img LEFT JOIN (
+  SELECT CASE WHEN x.r > y.r OR (x.r = y.r AND a < b) THEN b ELSE a END AS worse, CASE WHEN x.r > y.r OR (x.r = y.r AND a < b) THEN a ELSE b END AS better
+  FROM pair JOIN (SELECT image_id, coalesce(aesthetic_score, 5) AS r FROM img) x ON x.image_id = a JOIN (SELECT image_id, coalesce(aesthetic_score, 5) AS r FROM img) y ON y.image_id = b) ON worse = image_id""", PAIRS_SQL))
+def best_copies(spark, sf_dir):
+    images, e = fx.catalogue(spark, sf_dir)
+    ranked = images.select("image_id", F.coalesce("aesthetic_score", F.lit(5.0)).alias("rank_key"))
+    return duplicates.keep_best_copies(ranked, cut(duplicates.near_duplicate_pairs(e)))
+
+
+def hashing_encoder():
+    """A stand-in for a model: 16 numbers from a text's hash; blank texts fail."""
+
+    def encode(texts: list) -> np.ndarray:
+        if any(not t for t in texts):
+            raise ValueError("nothing to encode")
+        return np.array([[b - 127.5 for b in hashlib.sha256(t.encode()).digest()[:16]] for t in texts])
+
+    return encode
+
+
+@query("SELECT doc_id::VARCHAR AS image_id, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE 16 END::INT AS dimension, CASE WHEN doc_id % 9 = 0 THEN 'ValueError: nothing to encode' END AS error FROM documents")
+def embed_batches(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("image_id"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).otherwise("").alias("content"))
+    return inference.embed_batches(d, hashing_encoder, 16).select("image_id", F.coalesce(F.size("embedding"), F.lit(0)).alias("dimension"), "error")
+
+
+@query(with_sql("SELECT substr(sha256(coalesce(path, filepath)), 1, 16) AS image_id, coalesce(path, filepath) AS filepath, coalesce(l.file_size, i.file_size) AS file_size FROM img i FULL JOIN later l ON path = filepath", fx.LISTING_SQL))
+def ingest_stream(spark, sf_dir):
+    """Two listings arrive, one after the other, and then nothing new."""
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    first = fx.catalogue(spark, sf_dir)[0].select(F.col("filepath").alias("path"), "file_size", "file_modified")
+    for rows in (first, fx.listing(spark, sf_dir).withColumn("file_modified", F.col("file_modified") + F.expr("interval 1 day")), None):
+        if rows is not None:
+            rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.FILES]).write.mode("append").parquet(f"{base}/incoming")
+        at = ingest.ingest_stream(spark, f"{base}/incoming", f"{base}/catalogue", f"{base}/checkpoint")
+    return sources.read_catalog(spark, at).select("image_id", "filepath", "file_size")
