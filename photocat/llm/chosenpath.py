@@ -11,7 +11,7 @@ tokens: a bucket's path draws one position, or two in a quarter of the cases
 with one set end. Small ones are compared by brute force. In a large one, all
 sets are compared with its first: those that are similar to it leave with a
 candidate link to it, which loses no group, since Jaccard distance is a metric
-(what is within 0.2 of one that leaves is within 0.4 of the first, and linked
+(what is within 0.2 of one that leaves is within 0.5 of the first, and linked
 to it too); the rest is split again. Buckets that are still large at the last
 depth are compared in pairs of blocks. Some runs are probes: the share of their
 links that the other runs' groups know is the recall, and searches repeat with
@@ -46,10 +46,11 @@ WORDS, SIMILARITY = 5, 0.8
 POSITIONS, CANDIDATE = 64, 0.66
 #: The share from which a set leaves with the first of a large bucket, and the
 #: one from which it is linked to it: what is within 0.2 of a set that leaves is
-#: within 0.4 of the first, and an estimate of 0.6 is above 0.45 but for 1 in 100.
-SAME, NEAR = 0.8, 0.45
-#: Sets of a bucket that is compared by brute force, and depth of splitting.
-SMALL, DEPTH = 64, 12
+#: within 0.5 of the first, and an estimate of 0.5 is above 0.38 but for 1 in 40.
+SAME, NEAR = 0.7, 0.38
+#: Sets of a bucket that is compared by brute force, sets from which a bucket is
+#: split twice at once, and the most steps of splitting.
+SMALL, HUGE, DEPTH = 64, 512, 12
 #: Runs of the first search, runs that probe its recall, the target and the
 #: number of further searches at most.
 RUNS, PROBES, RECALL, AGAIN = 8, 2, 0.995, 4
@@ -108,11 +109,11 @@ def _place(path: str, i: int) -> F.Column:
 
 
 def _split(rows: DataFrame) -> DataFrame:
-    """(path, cls) of the next depth from (path, cls, signature)."""
+    """(path, probe, cls, signature) of the next depth."""
     value = lambda p: F.xxhash64("path", p, F.substring(F.col("signature"), p * 4 + 1, F.lit(4)))
     one, two = _place("path", 1), _place("path", 2)
     paths = F.when((F.pmod(F.xxhash64("path", F.lit(3)), F.lit(4)) == 0) & (one != two), F.array(value(one), value(two))).otherwise(F.array(value(one)))
-    return rows.select(F.explode(paths).alias("path"), "probe", "cls")
+    return rows.select(F.explode(paths).alias("path"), "probe", "cls", "signature")
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,7 +124,7 @@ def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             like = _alike(S.fixed_bytes(batch.column("signature"), np.uint32, POSITIONS), S.fixed_bytes(batch.column("first_signature"), np.uint32, POSITIONS))
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("probe"), batch.column("cls"), batch.column("first"), pa.array(like)], names=["path", "probe", "cls", "first", "alike"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "probe", "cls", "signature", "n", "first")), pa.array(like)], names=["path", "probe", "cls", "signature", "n", "first", "alike"])
 
 
 def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,24 +154,25 @@ def candidate_links(classes: DataFrame, first_run: int = 0) -> DataFrame:
     """(a, b, probe) of classes, written; from RUNS runs, and PROBES with probe set."""
     runs = F.explode(F.array(*[F.lit(first_run + i) for i in range(RUNS + PROBES)])).alias("run")
     rows = classes.select(runs, "cls", "signature").select(F.xxhash64("run", F.lit("root")).alias("path"), (F.col("run") >= first_run + RUNS).alias("probe"), "cls", "signature")
-    found = []
+    found, rows = [], _split(rows)
     for depth in range(DEPTH + 1):
-        rows = _split(rows)
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("first")).where("n > 1")
-        sized = cut(rows.join(sizes, "path"))
+        placed = rows.select("path", "probe", "cls")
+        sizes = placed.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("first")).where("n > 1")
+        sized = cut(placed.join(sizes, "path"))
         found.append(_compared(sized.where(F.col("n") <= SMALL).select("path", "probe", "cls").join(classes, "cls")))
         large = sized.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
         first = classes.select(F.col("cls").alias("first"), F.col("signature").alias("first_signature"))
-        signed_rows = large.select("path", "probe", "cls", "first").join(classes, "cls").join(first, "first")
-        compared = cut(signed_rows.mapInArrow(_with_first, "path long, probe boolean, cls long, first long, alike double").where("cls <> first"))
-        found.append(compared.where(F.col("alike") >= NEAR).select(F.col("cls").alias("a"), F.col("first").alias("b"), "probe"))
-        rows = compared.where(F.col("alike") < SAME).select("path", "probe", "cls").join(classes, "cls")
+        large = large.join(classes, "cls").join(first, "first").mapInArrow(_with_first, "path long, probe boolean, cls long, signature binary, n long, first long, alike double")
+        large = cut(large.where("cls <> first"))
+        found.append(large.where(F.col("alike") >= NEAR).select(F.col("cls").alias("a"), F.col("first").alias("b"), "probe"))
+        rest = large.where(F.col("alike") < SAME)
         if depth == DEPTH:
-            n = rows.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-            blocks = _block_pairs(rows.join(n, "path"), "path", "cls")
+            n = rest.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+            blocks = _block_pairs(rest.join(n, "path"), "path", "cls")
             found.append(_compared(blocks.select(F.xxhash64("path", "lo", "hi").alias("path"), "probe", "cls", "signature")))
+        rows = _split(rest.where(F.col("n") <= HUGE)).union(_split(_split(rest.where(F.col("n") > HUGE))))
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
