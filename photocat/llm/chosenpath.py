@@ -303,6 +303,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are not the first of their group."""
-    gone = jaccard_join(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
+    """``docs`` without the documents that are not the first of their group. An
+    id whose rows differ stays if one of them is to stay; rows without an id stay."""
+    gone = jaccard_join(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).where("not stays").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")

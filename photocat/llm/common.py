@@ -1,34 +1,17 @@
-"""Helpers shared by the operators: cutting lineage, ranking without one task
-per key, connected components and reading Arrow strings as bytes."""
+"""Helpers shared by the operators: ranking without one task per key, and
+connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one task ranks at a time in ``spread_rank``.
-RANK_ROWS = 10_000
-
+from ..lineage import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary
-    one, which serves local mode only."""
-    key = "spark.checkpoint.dir"
-    if not (found := spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)):
-        spark.conf.set(key, found := tempfile.mkdtemp(prefix="spark-"))
-    return found
+__all__ = ["components", "cut", "shared_dir", "spread_rank", "unit"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later jobs start
-    from the table, so a lost executor costs no recomputation of what led to it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows that one task ranks at a time in ``spread_rank``.
+RANK_ROWS = 10_000
 
 
 def unit(hash64: Column) -> Column:
