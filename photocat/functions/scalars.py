@@ -120,10 +120,11 @@ def archive_mode(archive: Column, query: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Steps of 1,024 with one decimal, B to PB."""
-    out = F.format_string("%.1f PB", n / F.lit(1024.0**5))
+    """Steps of 1,024 with one decimal (ties to even), B to PB."""
+    shown = lambda power, sign: F.format_string(f"%.1f {sign}", F.bround(n / F.lit(1024.0**power), 1))
+    out = shown(5, "PB")
     for power, sign in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        out = F.when(n / F.lit(1024.0**power) < 1024.0, F.format_string(f"%.1f {sign}", n / F.lit(1024.0**power))).otherwise(out)
+        out = F.when(n / F.lit(1024.0**power) < 1024.0, shown(power, sign)).otherwise(out)
     return out
 
 
