@@ -8,9 +8,9 @@ Jaccard similarity.
 Search. In each run every set starts in one bucket, which is split on sampled
 tokens: a bucket's path draws one position, or two in a quarter of the cases
 (1/0.8 on average), and sets with the same value there go on together. Buckets
-with one set end. Small ones are compared by brute force. In a large one, all
-sets are compared with its first: those that are similar to it leave with a
-candidate link to it, which loses no group, since Jaccard distance is a metric
+with one set end. Small ones are compared by brute force, in one task. In a
+large one, all sets are compared with its first: those that are similar to it
+leave with a candidate link to it, which loses no group, since Jaccard distance is a metric
 (what is within 0.2 of one that leaves is within 0.5 of the first, and linked
 to it too); the rest is split again. Buckets that are still large at the last
 depth are compared in pairs of blocks. Some runs are probes: the share of their
@@ -48,9 +48,9 @@ POSITIONS, CANDIDATE = 64, 0.66
 #: one from which it is linked to it: what is within 0.2 of a set that leaves is
 #: within 0.5 of the first, and an estimate of 0.5 is above 0.38 but for 1 in 40.
 SAME, NEAR = 0.7, 0.38
-#: Sets of a bucket that is compared by brute force, sets from which a bucket is
-#: split twice at once, and the most steps of splitting.
-SMALL, HUGE, DEPTH = 64, 512, 12
+#: Sets of a bucket whose pairs are compared at once, of one that a task handles
+#: alone, and of one that is split twice in a step; the most steps of splitting.
+PAIRS, SMALL, HUGE, DEPTH = 64, 2048, 32_768, 12
 #: Runs of the first search, runs that probe its recall, the target and the
 #: number of further searches at most.
 RUNS, PROBES, RECALL, AGAIN = 8, 2, 0.995, 4
@@ -127,6 +127,20 @@ def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "probe", "cls", "signature", "n", "first")), pa.array(like)], names=["path", "probe", "cls", "signature", "n", "first", "alike"])
 
 
+def _swept(sig: np.ndarray) -> np.ndarray:
+    """For each set of a bucket the least that it reaches: as in a large bucket,
+    the first is compared with all and those similar to it leave, until none is left."""
+    root, alive = np.arange(len(sig)), np.arange(len(sig))
+    while len(alive) > 1:
+        first, rest = alive[0], alive[1:]
+        like = _alike(sig[rest], sig[first])
+        joined = np.unique(root[np.append(rest[like >= NEAR], first)])
+        if len(joined) > 1:
+            root[np.isin(root, joined)] = joined[0]
+        alive = rest[like < SAME]
+    return root
+
+
 def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate links of buckets: each set to the least that it reaches."""
     for table, bounds in S.whole_groups(batches, ["path"]):
@@ -137,7 +151,8 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = two[_alike(sig[two], sig[two + 1]) >= CANDIDATE]
         a, b = [hit], [hit + 1]
         for lo, hi in zip(bounds[:-1][sizes > 2], bounds[1:][sizes > 2], strict=True):
-            root = S.local_roots(np.stack([_alike(sig[lo:hi], x) >= CANDIDATE for x in sig[lo:hi]]))
+            own = sig[lo:hi]
+            root = _swept(own) if len(own) > PAIRS else S.local_roots(np.stack([_alike(own, x) >= CANDIDATE for x in own]))
             away = np.flatnonzero(root != np.arange(len(root)))
             a.append(lo + away)
             b.append(lo + root[away])
