@@ -43,7 +43,9 @@ LEAF = 24
 #: Characters of a text whose matches are encoded in one go.
 TEXT_LEAF = 1 << 16
 #: Matches whose encoding a worker remembers, in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Rows whose ids or bytes are held at once.
+ROWS = 500
 #: The rank of a pair that is no token.
 NONE = 1 << 60
 
@@ -174,11 +176,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            lists = [np.array(own.encode(t or ""), dtype=np.int32) for t in batch.column(text).to_pylist()]
-            ends = np.zeros(len(lists) + 1, dtype=np.int32)
-            np.cumsum([len(x) for x in lists], out=ends[1:])
-            flat = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int32)
-            yield _added(batch, "ids", pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                lists = [np.array(own.encode(t or ""), dtype=np.int32) for t in part.column(text).to_pylist()]
+                ends = np.zeros(len(lists) + 1, dtype=np.int32)
+                np.cumsum([len(x) for x in lists], out=ends[1:])
+                yield _added(part, "ids", pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists))))
 
     df = df.drop("ids")
     return df.mapInArrow(run, _schema(df, "ids", T.ArrayType(T.IntegerType())))
@@ -190,11 +193,13 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            column = batch.column(ids)
-            flat, sizes = column.flatten().to_numpy(), column.value_lengths().fill_null(0).to_numpy()
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            parts = [own.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield _added(batch, "decoded", pa.array(parts, type=pa.binary()))
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                column = part.column(ids)
+                flat, sizes = column.flatten().to_numpy(), column.value_lengths().fill_null(0).to_numpy()
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                found = [own.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield _added(part, "decoded", pa.array(found, type=pa.binary()))
 
     df = df.drop("decoded")
     return df.mapInArrow(run, _schema(df, "decoded", T.BinaryType()))
