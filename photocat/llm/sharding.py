@@ -4,11 +4,15 @@ Documents with equal texts are linked: each to the smallest document of its
 group, or, in a group that is larger than a quarter of a shard, to the smallest
 of its part of the group, whose heads are linked in turn. Shards start from an
 even deal. In each round, joins of links with shards count every document's
-neighbours in each shard; those with more neighbours elsewhere ask to move. The
-matrix of askers (shards x shards, read by the driver) sets quotas: as many
+neighbours in each shard; those with more neighbours elsewhere want to move.
+The links of a group are a tree, so its documents have two sides and every link
+joins one of each; in a round only one side of a group, drawn by hash, asks, so
+the two ends of a link never pass each other and every move cuts fewer links.
+The matrix of askers (shards x shards, read by the driver) sets quotas: as many
 rows move from a to b as from b to a, where unlinked documents fill what the
 askers leave, so counts stay at most one apart after every round. Rounds end
-when no fewer links are cut.
+when no document wants to move, or when in several rounds, with both sides of
+every group drawn again, none can.
 
 Edge cases. Null text: size 1, crc of the empty text, linked with nothing.
 Empty texts are equal texts. Null ids and repeated rows: each row is placed by
@@ -23,6 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, spread_rank
 
+#: Rounds without a move after which propagation ends; two rounds give each side of a group a turn.
+IDLE = 6
+
 
 def sized(docs: DataFrame) -> DataFrame:
     """(row, doc_id, size, text_crc32, g1, g2): a written table, so that row
@@ -34,15 +41,17 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def equal_text_links(rows: DataFrame, shards: int) -> DataFrame:
-    """Links (a, b), one for each row of a group but one."""
+    """Links (a, b, top, side), one for each row of a group but one. top: the
+    group's smallest row; side: that of a, 0 or 1, while b is on the other."""
     part_rows = max(1, rows.count() // (4 * shards))
     groups = rows.where("g1 is not null").groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / part_rows).cast("int")
     member = cut(rows.select("row", "g1", "g2").join(groups, ["g1", "g2"]).select("row", "g1", "g2", F.pmod(F.xxhash64("row"), parts).cast("int").alias("part")))
     heads = cut(member.groupBy("g1", "g2", "part").agg(F.min("row").alias("head")))
     tops = heads.groupBy("g1", "g2").agg(F.min("head").alias("top"))
-    inner = member.join(heads, ["g1", "g2", "part"]).where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b"))
-    outer = heads.join(tops, ["g1", "g2"]).where("head <> top").select(F.col("head").alias("a"), F.col("top").alias("b"))
+    led = cut(heads.join(tops, ["g1", "g2"]))
+    inner = member.join(led, ["g1", "g2", "part"]).where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b"), "top", (F.col("head") == F.col("top")).cast("int").alias("side"))
+    outer = led.where("head <> top").select(F.col("head").alias("a"), F.col("top").alias("b"), "top", F.lit(1).alias("side"))
     return cut(inner.union(outer))
 
 
@@ -60,44 +69,52 @@ def quotas(asked: dict[tuple[int, int], int], free: dict[int, int]) -> tuple[dic
     return askers, fillers
 
 
-def propagate(rows: DataFrame, links: DataFrame, shards: int, seed: int = 0, rounds: int = 4) -> DataFrame:
+def propagate(rows: DataFrame, links: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """(row, shard) with counts at most one apart. ``rows``: a written table
-    with ``row``; ``links``: (a, b) of rows, one direction."""
-    both = links.select("a", "b").union(links.select("b", "a"))
+    with ``row``; ``links``: (a, b, top, side) of rows, one direction."""
+    both = links.select("a", "b", "top", "side").union(links.select("b", "a", "top", 1 - F.col("side")))
     linked = both.select(F.col("a").alias("row")).distinct()
     base = rows.select("row", F.xxhash64(F.lit(seed), "row").alias("h"))
     now = cut(spread_rank(base, [], "h", ["row"]).select("row", (F.col("rank") % shards).cast("int").alias("shard")))
     unlinked = cut(rows.select("row").join(linked, "row", "left_anti"))
-    best = None
-    for turn in range(rounds):
-        at = now.select(F.col("row").alias("b"), F.col("shard").alias("there"))
-        seen = cut(both.join(at, "b").groupBy("a", "there").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("a", "row").join(now, "row"))
-        cut_links = seen.where("there <> shard").agg(F.sum("n")).first()[0] or 0
-        if best is not None and cut_links >= best[0]:
-            return best[1]
-        best = (cut_links, now)
-        if not cut_links:
-            return now
-        top = seen.groupBy("row", "shard").agg(F.max_by("there", F.struct("n", -F.col("there"))).alias("to"), F.max("n").alias("most"), F.coalesce(F.max(F.when(F.col("there") == F.col("shard"), F.col("n"))), F.lit(0)).alias("own"))
+    spark = rows.sparkSession
+    turn = idle = 0
+    wants = None
+    while idle < IDLE:
+        if wants is None:
+            at = now.select(F.col("row").alias("b"), F.col("shard").alias("there"))
+            seen = both.join(at, "b").groupBy("a", "there").agg(F.count(F.lit(1)).alias("n"), F.first("top").alias("top"), F.first("side").alias("side")).withColumnRenamed("a", "row").join(now, "row")
+            most = seen.groupBy("row", "shard", "top", "side").agg(F.max_by("there", F.struct("n", -F.col("there"))).alias("to"), F.max("n").alias("most"), F.coalesce(F.max(F.when(F.col("there") == F.col("shard"), F.col("n"))), F.lit(0)).alias("own"))
+            wants = cut(most.where("most > own and to <> shard").select("row", "shard", "to", "top", "side"))
         key = F.xxhash64(F.lit(seed), F.lit(turn), "row").alias("h")
-        askers = cut(top.where("most > own and to <> shard").select("row", "shard", "to", key))
-        fill = cut(unlinked.join(now, "row").select("row", "shard", key))
-        n_asked = {(r[0], r[1]): r[2] for r in askers.groupBy("shard", "to").count().collect()}  # shards x shards
-        n_free = {r[0]: r[1] for r in fill.groupBy("shard").count().collect()}
+        drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn // 2), "top") + turn, F.lit(2)) if turn else F.lit(1)  # at first the leaves go to their heads
+        n_asked, n_all = {}, 0
+        for r in wants.groupBy("shard", "to").agg(F.count_if(F.col("side") == drawn).alias("n"), F.count(F.lit(1)).alias("all")).collect():  # shards x shards
+            n_all += r["all"]
+            if r["n"]:
+                n_asked[r["shard"], r["to"]] = r["n"]
+        if not n_all:
+            break
+        fill = unlinked.join(now, "row").select("row", "shard", key)
+        n_free = {r[0]: r[1] for r in fill.groupBy("shard").count().collect()} if n_asked else {}
         most, filled = quotas(n_asked, n_free)
-        spark = rows.sparkSession
-        limit = spark.createDataFrame([(a, b, n) for (a, b), n in most.items() if n] or [(-1, -1, 0)], "shard int, to int, quota long")
+        if not any(most.values()):
+            turn, idle = turn + 1, idle + 1
+            continue
+        limit = spark.createDataFrame([(a, b, n) for (a, b), n in most.items() if n], "shard int, to int, quota long")
+        askers = cut(wants.where(F.col("side") == drawn).select("row", "shard", "to", key))
         moved = spread_rank(askers, ["shard", "to"], "h", ["row"]).join(F.broadcast(limit), ["shard", "to"]).where("rank < quota").select("row", "to")
         ranges, start = [], {}
         for (b, a), n in filled.items():
             ranges.append((b, a, start.get(b, 0), start.get(b, 0) + n))
             start[b] = start.get(b, 0) + n
-        spans = spark.createDataFrame(ranges or [(-1, -1, 0, 0)], "shard int, to int, lo long, hi long")
-        filler = spread_rank(fill, ["shard"], "h", ["row"]).join(F.broadcast(spans), "shard").where("rank >= lo and rank < hi").select("row", "to")
-        now = cut(now.join(moved.union(filler), "row", "left").select("row", F.coalesce("to", "shard").alias("shard")))
-    at = now.select(F.col("row").alias("a"), F.col("shard").alias("sa")), now.select(F.col("row").alias("b"), F.col("shard").alias("sb"))
-    left = 2 * both.where("a > b").join(at[0], "a").join(at[1], "b").where("sa <> sb").count()
-    return now if left < best[0] else best[1]
+        if ranges:
+            spans = spark.createDataFrame(ranges, "shard int, to int, lo long, hi long")
+            filler = spread_rank(cut(fill), ["shard"], "h", ["row"]).join(F.broadcast(spans), "shard").where("rank >= lo and rank < hi").select("row", "to")
+            moved = moved.union(filler)
+        now = cut(now.join(moved, "row", "left").select("row", F.coalesce("to", "shard").alias("shard")))
+        turn, idle, wants = turn + 1, 0, None
+    return now
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:

@@ -173,3 +173,25 @@ def test_shards_are_even_and_groups_together(spark):
     assert len({r["shard"] for r in got if r["doc_id"] and r["doc_id"] >= 5000}) < 14
     assert sharding.shard_documents(docs(spark, rows).limit(0)).count() == 0
     assert len(sharding.shard_documents(docs(spark, rows[:3])).collect()) == 3
+
+
+@pytest.mark.parametrize("size", [2, 3, 8])
+def test_small_groups_share_a_shard(spark, size):
+    rows = [(i, f"text {i}", "a") for i in range(3000)] + [(10_000 + 10 * g + k, f"group {g}", "a") for g in range(100) for k in range(size)]
+    got = sharding.shard_documents(docs(spark, rows)).collect()
+    counts = Counter(r["shard"] for r in got)
+    assert len(got) == len(rows) and len(counts) == 16 and max(counts.values()) - min(counts.values()) <= 1
+    shards = {}
+    for r in got:
+        if r["doc_id"] >= 10_000:
+            shards.setdefault(r["doc_id"] // 10, set()).add(r["shard"])
+    assert sum(len(s) == 1 for s in shards.values()) >= 98
+
+
+def test_pairs_meet_without_unlinked_rows(spark):
+    rows = [(2 * g + k, f"pair {g}", "a") for g in range(1500) for k in range(2)]
+    got = sharding.shard_documents(docs(spark, rows)).collect()
+    counts, shards = Counter(r["shard"] for r in got), {}
+    for r in got:
+        shards.setdefault(r["doc_id"] // 2, set()).add(r["shard"])
+    assert max(counts.values()) - min(counts.values()) <= 1 and sum(len(s) == 1 for s in shards.values()) >= 1350
