@@ -7,7 +7,11 @@ nearer to it than to the vector (by the factor ``ALPHA``), and goes on with the
 next, so kept edges point in diverse directions. Edges also run back, and nodes
 that get too many are pruned again. The index is a table of nodes with their
 vectors and edges. A search runs the beam over every shard, in blocks of
-queries, and merges the shards' nearest by their cosine in double precision.
+queries, scores all that the beam holds by cosine in double precision, and
+merges the shards' nearest. The beam's own distances are single precision: where
+two of the best scores or the best one left out are closer than its error, it
+cannot tell near copies apart, and that query is compared with every vector of
+the shard.
 
 Equal vectors are one node with all its ids; of these only the few smallest can
 be among the nearest, since ties go to the smaller id.
@@ -143,44 +147,67 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 
 def build_index(classes: DataFrame, shards: int) -> DataFrame:
-    """(shard, node, cls, v, edges, start): the graphs of all shards, written."""
+    """(shard, node, cls, least, v, edges, start): the graphs of all shards, written;
+    nodes are in the order of their least id."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("cls", ignore_index=True)
+        rows = rows.sort_values(["least", "cls"], ignore_index=True)
         x = _stack(rows["v"])
         edges, start = build_graph((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))
-        return pd.DataFrame({"shard": rows["shard"], "node": np.arange(len(rows)), "cls": rows["cls"], "v": rows["v"], "edges": list(edges), "start": np.arange(len(rows)) == start})
-
-    dealt = classes.select("cls", "v", F.pmod(F.xxhash64("cls"), F.lit(shards)).cast("int").alias("shard"))
-    return cut(dealt.groupBy("shard").applyInPandas(run, "shard int, node long, cls long, v array<double>, edges array<int>, start boolean"))
+        return pd.DataFrame({"shard": rows["shard"], "node": np.arange(len(rows)), "cls": rows["cls"], "least": rows["least"], "v": rows["v"], "edges": list(edges), "start": np.arange(len(rows)) == start})
+
+    dealt = classes.select("cls", "least", "v", F.pmod(F.xxhash64("cls"), F.lit(shards)).cast("int").alias("shard"))
+    return cut(dealt.groupBy("shard").applyInPandas(run, "shard int, node long, cls long, least long, v array<double>, edges array<int>, start boolean"))
+
+
+def beam_best(x: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, scores) of the best k for each query, of all that the beam found
+    or, where its distances are too coarse, of all nodes; -1 and -inf where there
+    is none. x and q are unit vectors in double precision; ties to the lower node."""
+    small, width = x.astype(np.float32), min(k, len(x))
+    slack = 4 * (x.shape[1] + 4) * 2.0**-24  # twice the error of a difference of two distances
+    all_nodes, all_scores = np.full((len(q), width), -1), np.full((len(q), width), -np.inf)
+    for a in range(0, len(q), BATCH):
+        own = q[a : a + BATCH]
+        nodes = beam_search(small, edges, start, own.astype(np.float32), BEAM)[0]
+        score = np.where(nodes >= 0, np.einsum("ijk,ik->ij", x[nodes], own), -np.inf)
+        best = np.lexsort((nodes, -score), axis=1)
+        nodes, score = np.take_along_axis(nodes, best, 1), np.take_along_axis(score, best, 1)
+        top = np.where(np.isfinite(score), score, -3.0)[:, : k + 1]  # two that were not found tie as well
+        coarse = (-np.diff(top, axis=1) <= slack).any(axis=1) if k < nodes.shape[1] else np.ones(len(own), bool)
+        fine = np.flatnonzero(~coarse)
+        all_nodes[a + fine], all_scores[a + fine] = nodes[fine, :width], score[fine, :width]
+        for i in np.flatnonzero(coarse):
+            full = np.einsum("ijk,ik->ij", x[None], own[i : i + 1])[0]
+            at = np.argsort(-full, kind="stable")[:width]
+            all_nodes[a + i], all_scores[a + i] = at, full[at]
+    return all_nodes, all_scores
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, shards: int) -> DataFrame:
-    """(query, cls, score): the k nearest nodes in each shard for each (query, v)."""
+    """(query, cls, least, score): the k nearest nodes in each shard for each (query, v)."""
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     asked = queries.select("query", "v", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     graphs = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def run(graph: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(graph) or not len(ask):
-            return pd.DataFrame({"query": [], "cls": [], "score": []}).astype({"query": "int64", "cls": "int64", "score": "float64"})
+            return pd.DataFrame({"query": [], "cls": [], "least": [], "score": []}).astype({"query": "int64", "cls": "int64", "least": "int64", "score": "float64"})
         graph = graph.sort_values("node", ignore_index=True)
         x, q = _stack(graph["v"]), _stack(ask["v"])
         x, q = x / np.linalg.norm(x, axis=1, keepdims=True), q / np.linalg.norm(q, axis=1, keepdims=True)
         if len(x) <= BEAM:
             nodes = np.tile(np.arange(len(x)), (len(q), 1))
+            score = np.einsum("ijk,ik->ij", x[nodes], q)
         else:
             edges, start = np.stack(graph["edges"].to_numpy()), int(np.argmax(graph["start"]))
-            small = x.astype(np.float32)
-            nodes = np.concatenate([beam_search(small, edges, start, q[a : a + BATCH].astype(np.float32), BEAM)[0][:, : 2 * k] for a in range(0, len(q), BATCH)])
-        score = np.where(nodes >= 0, np.einsum("ijk,ik->ij", x[nodes], q), -np.inf)
-        cls = graph["cls"].to_numpy()[nodes]
-        best = np.lexsort((cls, -score), axis=1)[:, :k]
-        row = np.repeat(np.arange(len(q)), best.shape[1])
-        out = pd.DataFrame({"query": ask["query"].to_numpy()[row], "cls": np.take_along_axis(cls, best, 1).ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+            nodes, score = beam_best(x, edges, start, q, k)
+        best = np.lexsort((nodes, -score), axis=1)[:, :k]
+        row, node = np.repeat(np.arange(len(q)), best.shape[1]), np.take_along_axis(nodes, best, 1).ravel()
+        out = pd.DataFrame({"query": ask["query"].to_numpy()[row], "cls": graph["cls"].to_numpy()[node], "least": graph["least"].to_numpy()[node], "score": np.take_along_axis(score, best, 1).ravel()})
         return out[np.isfinite(out["score"])]
 
-    return graphs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(run, "query long, cls long, score double")
+    return graphs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(run, "query long, cls long, least long, score double")
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -188,7 +215,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
     ``is_query``, an expression over ``id``; ties to the smaller id."""
     rows = numbered(df, key, vector)
     used = rows.where("dim is not null")
-    named = used.groupBy("v").agg(F.min("row").alias("cls"), F.first("dim").alias("dim"))
+    named = used.groupBy("v").agg(F.min("row").alias("cls"), F.min("id").alias("least"), F.first("dim").alias("dim"))
     classes = cut(named)
     owner = cut(used.select("row", "id", "v").join(classes.select("v", "cls"), "v").select("row", "id", "cls"))
     few = Window.partitionBy("cls").orderBy("id", "row")
@@ -202,9 +229,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
         found = search_index(build_index(own, shards), queries, k + 1, shards)
         out = found if out is None else out.union(found)
     if out is None:
-        out = df.sparkSession.createDataFrame([], "query long, cls long, score double")
+        out = df.sparkSession.createDataFrame([], "query long, cls long, least long, score double")
     # of each class k + 1 rows at most can be among the nearest, so k + 1 classes hold all
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "cls")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "least", "cls")
     top = cut(out.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"))
     pairs = asking.select(F.col("cls").alias("query"), F.col("id").alias("asked"), F.col("row").alias("asked_row")).join(top, "query").join(members, "cls").where("asked_row <> found_row")
     rank = F.row_number().over(Window.partitionBy("asked_row").orderBy(F.desc("score"), "found", "found_row"))

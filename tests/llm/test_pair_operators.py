@@ -160,6 +160,33 @@ def test_graph_search(spark):
     assert len([r for r in few if r["query_id"] == 0]) == 3 and graphann.nearest(table(spark, x).limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("noise", [1e-3, 1e-4])
+def test_graph_search_tells_near_copies_apart(spark, noise):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2500, 64))
+    x[500:2000] = x[500] + noise * rng.normal(size=(1500, 64))
+    x = x.astype(np.float32)
+    rows = [(i, [float(y) for y in v]) for i, v in enumerate(x)]
+    found = graphann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 50 == 0).collect()
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hit = 0
+    for q in range(500, 2000, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hit += len(set(np.lexsort((np.arange(len(s)), -s))[:5]) & {r["vec_id"] for r in found if r["query_id"] == q})
+    assert hit >= 0.99 * 150
+
+
+def test_graph_search_ties_go_to_smaller_ids(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1000, 16))
+    x[300:340] = x[300] * 2.0 ** np.arange(40)[:, None]
+    rows = [(999 - i, [float(y) for y in v]) for i, v in enumerate(x)]  # ids fall as rows go on
+    found = graphann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 690).collect()
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"])] == [660, 661, 662, 663, 664]
+
+
 def test_toxicity_learns_subwords(spark):
     rng = random.Random(5)
     bad = [a + b for a in ("grumbl", "snarkov", "vexiat") for b in ("e", "er", "ing", "ous", "ik", "ata")]
