@@ -455,7 +455,7 @@ def fit_taste(spark, sf_dir):
     pairs, bads = taste.vote_pairs(fx.votes(spark, sf_dir))
     rows = cut(taste.difference_vectors(pairs, fx.catalogue(spark, sf_dir)[1])[0])
     n_bad = bads.count()
-    l2, accuracy = taste.choose_l2(rows, n_bad, (1e-2, 1e-1))
+    l2, accuracy = taste.choose_l2(rows, n_bad)
     w = taste.fit_taste(rows, l2, n_bad)
     return spark.createDataFrame([(l2, accuracy, [float(x) for x in w] if w is not None else [])], "l2 double, accuracy double, weights array<double>")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from photocat.functions import scalars
 from photocat.operators import catalog, duplicates, inference, quality, ranking, rotation, stats, taste, vectors
-from photocat.plans.catalogue_queries import hashing_encoder
+from photocat.plans.catalogue_queries import QUERIES, hashing_encoder
 from photocat.schema import IMAGES
 from photocat.sources import files as sources
 from photocat.streaming import ingest
@@ -189,6 +189,18 @@ def test_taste_fit_is_the_optimum(spark):
     assert l2 in (1e-3, 1e-1) and 0.5 < accuracy <= 1
 
 
+def test_taste_query_tries_the_whole_grid(spark, sf_dir, monkeypatch):
+    tried = []
+
+    def choose(rows, n_bad=0, grid=taste.GRID, seed=0):
+        tried.extend(grid)
+        return grid[0], 0.5
+
+    monkeypatch.setattr(taste, "choose_l2", choose)
+    QUERIES["fit_taste"](spark, sf_dir)
+    assert tried == [1e-3, 3e-3, 1e-2, 3e-2, 1e-1]
+
+
 def test_linear_layers_fold(spark):
     rng = np.random.default_rng(2)
     layers = [(rng.normal(size=(b, a)), rng.normal(size=b)) for a, b in ((6, 8), (8, 3), (3, 1))]
