@@ -12,8 +12,9 @@ vector to the least that it reaches.
 Equal vectors form a class first, so copies are not compared. Pivots are drawn
 by hash from the classes, about the square root of a third of their number, so
 lists keep their length as the table grows; of pivots that are near copies of
-each other one is kept. Recall is measured in the tests: 0.99 at a cosine of
-0.9, higher above.
+each other one is kept. The prefix grows with the number of pivots, so recall
+keeps its level as the table grows: in simulations of random vectors 0.99 at a
+cosine of 0.9 for 64 to 3,162 pivots (30 million classes), higher above.
 
 Edge cases. Vectors that are null, zero or hold null or non-finite components
 link with nothing; vectors of different lengths are not compared. Null id:
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,9 @@ def pivot_count(n: int) -> int:
 
 
 def prefix_length(pivots: int) -> int:
-    return 6 if pivots <= 192 else 8
+    """Grows with the pivots, so that two vectors of cosine 0.9 still share two
+    of them in 99 cases of 100 or more."""
+    return 6 + max(0, ceil(0.75 * log2(max(pivots, 1) / 64)))
 
 
 def choose_pivots(classes: DataFrame, n: int) -> np.ndarray:
@@ -60,20 +64,25 @@ def choose_pivots(classes: DataFrame, n: int) -> np.ndarray:
     return np.array(kept)
 
 
-def prefixes(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(cls, copies, v, prefix): v is a unit vector, prefix its nearest pivots in order."""
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def prefixes(classes: DataFrame, pivots: np.ndarray, kind: str) -> DataFrame:
+    """(cls, copies, v, prefix): prefix holds the nearest pivots of v in order;
+    ``kind``: float where v was made of floats, which are half as long."""
     length = min(prefix_length(len(pivots)), len(pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, ends = S.list_values(batch.column("v"))
             x = flat.reshape(len(ends) - 1, -1) if len(ends) > 1 else np.zeros((0, pivots.shape[1]))
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :length].astype(np.int32)
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(a.ravel()), a.shape[1] or 1).cast(pa.list_(pa.from_numpy_dtype(a.dtype))) for a in (x, order)]
+            order = np.argsort(-(unit(x) @ pivots.T), axis=1, kind="stable")[:, :length].astype(np.int32)
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(a.ravel()), a.shape[1] or 1).cast(pa.list_(pa.from_numpy_dtype(a.dtype))) for a in (x.astype(np.float32 if kind == "float" else np.float64), order)]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("copies"), *lists], names=["cls", "copies", "v", "prefix"])
 
-    return classes.select("cls", "copies", "v").mapInArrow(run, "cls long, copies long, v array<double>, prefix array<int>")
+    return classes.select("cls", "copies", "v").mapInArrow(run, f"cls long, copies long, v array<{kind}>, prefix array<int>")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +90,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, bounds in S.whole_groups(batches, ["list", "lo", "hi"]):
         cls, copies, block, key, lo, hi = (table.column(c).to_numpy() for c in ("cls", "copies", "block", "list", "lo", "hi"))
         flat, ends = S.list_values(table.column("v"))
-        x = flat.reshape(len(ends) - 1, -1)
+        x = unit(flat.reshape(len(ends) - 1, -1))
         flat, ends = S.list_values(table.column("prefix"))
         prefix = np.sort(flat.reshape(len(ends) - 1, -1), axis=1)
         out: list[list] = [[], [], []]
@@ -114,11 +123,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["cls", "linked", "least"])
 
 
-def linked_classes(classes: DataFrame) -> DataFrame:
+def linked_classes(classes: DataFrame, kind: str = "double") -> DataFrame:
     """(cls, linked, least) of one dimension's classes; a class may have several rows."""
     n = classes.count()
     pivots = choose_pivots(classes, n)
-    described = cut(prefixes(classes, pivots))
+    described = cut(prefixes(classes, pivots, kind))
     length = min(prefix_length(len(pivots)), len(pivots))
     if length < 2:  # all vectors are near copies of one: a single list
         keys = F.array(F.lit(0).cast("long"))
@@ -140,9 +149,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     cosine 0.9 or more, components are named by their smallest id."""
     rows = numbered(df, key, vector)
     classes = cut(rows.where("dim is not null").groupBy("v").agg(F.min("row").alias("cls"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("dim").alias("dim")))
+    kind = "float" if df.schema[vector].dataType.simpleString() == "array<float>" else "double"
     links = None
     for dim in dimensions(rows):
-        found = linked_classes(classes.where(F.col("dim") == dim))
+        found = linked_classes(classes.where(F.col("dim") == dim), kind)
         links = found if links is None else links.union(found)
     if links is None:
         links = df.sparkSession.createDataFrame([], "cls long, linked long, least long")

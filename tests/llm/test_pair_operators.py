@@ -140,6 +140,16 @@ def test_near_duplicate_vectors(spark):
     assert pivots.near_duplicates(table(spark, x).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("classes", [10_000, 100_000, 1_000_000, 10_000_000, 30_000_000])
+def test_pivot_prefix_keeps_recall_as_tables_grow(classes):
+    rng = np.random.default_rng(0)
+    p, x, u = (pivots.unit(rng.normal(size=(n, 64))) for n in (pivots.pivot_count(classes), 2000, 2000))
+    u = pivots.unit(u - (u * x).sum(axis=1, keepdims=True) * x)
+    length = pivots.prefix_length(len(p))
+    a, b = (np.argsort(-(v @ p.T), axis=1)[:, :length] for v in (x, 0.9 * x + 0.19**0.5 * u))
+    assert ((a[:, :, None] == b[:, None, :]).any(axis=2).sum(axis=1) >= 2).mean() >= 0.985
+
+
 def test_graph_search(spark):
     x = vectors(1500, seed=2)
     found = graphann.nearest(table(spark, x), F.col("id") % 50 == 0).collect()
