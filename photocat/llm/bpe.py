@@ -29,8 +29,9 @@ rows. Clashing columns ("ids", "decoded") are replaced.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ from pyspark.sql import types as T
 LEAF = 24
 #: Characters of a text whose matches are encoded in one go.
 TEXT_LEAF = 1 << 16
-#: Matches whose encoding a worker remembers, in each of two generations.
-REMEMBERED = 100_000
+#: Matches whose encoding a worker remembers, in each of two generations, and pairs.
+REMEMBERED, PAIRS = 50_000, 1 << 15
 #: Rows whose ids or bytes are held at once.
 ROWS = 500
 #: The rank of a pair that is no token.
@@ -69,15 +70,18 @@ class Codec:
             self.tokens[rank] = token
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.stable = lru_cache(1 << 18)(self._stable)
+        self.stable = lru_cache(PAIRS)(self._stable)
+        if unmerged := sum(len(token) > 1 and len(self.pairs(token)) > 1 for token in ranks):
+            raise ValueError(f"merges do not reach {unmerged} tokens of the vocabulary")
 
     def merged(self, data: bytes) -> list[int]:
+        """The ids of a span. A token's own is itself, as merges reach every token."""
+        whole = self.ranks.get(data)
+        return [whole] if whole is not None else self.pairs(data)
+
+    def pairs(self, data: bytes) -> list[int]:
         """The pair with the least rank is merged, the leftmost first, until none is left."""
-        ranks = self.ranks
-        whole = ranks.get(data)
-        if whole is not None:
-            return [whole]
-        rank = ranks.get
+        ranks, rank = self.ranks, self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
         pair = [rank(data[i : i + 2], NONE) for i in range(len(data) - 1)]
         while pair and (best := min(pair)) != NONE:
@@ -128,10 +132,10 @@ class Codec:
         return ids
 
     def leaf(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for match in self.find(text):
-            ids.extend(self.known.get(match) or self.match(match))
-        return ids
+        """Each distinct match is encoded, or looked up, once."""
+        matches = self.find(text)
+        ids = {m: self.known.get(m) or self.match(m) for m in set(matches)}
+        return list(chain.from_iterable(map(ids.__getitem__, matches)))
 
     def encode(self, text: str) -> list[int]:
         """Halves at white space as near the middle as there is any."""
@@ -165,44 +169,51 @@ def _added(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    own = [f for f in df.schema if f.name != name]
-    return T.StructType([*own, T.StructField(name, kind)])
+def _ids(own: Codec, texts: pa.Array) -> pa.Array:
+    lists = [np.array(own.encode(t or ""), dtype=np.int32) for t in texts.to_pylist()]
+    ends = np.zeros(len(lists) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in lists], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``df`` with ``ids``: array<int>."""
+def _bytes(own: Codec, ids: pa.Array) -> pa.Array:
+    flat, sizes = ids.flatten().to_numpy(), ids.value_lengths().fill_null(0).to_numpy()
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.array([own.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], type=pa.binary())
+
+
+def _applied(df: DataFrame, path: str, pattern: str, steps: list[tuple[str, str, T.DataType, Callable[[Codec, pa.Array], pa.Array]]]) -> DataFrame:
+    """``df`` with a column for each step (read, written, type, function), by one worker a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
-                lists = [np.array(own.encode(t or ""), dtype=np.int32) for t in part.column(text).to_pylist()]
-                ends = np.zeros(len(lists) + 1, dtype=np.int32)
-                np.cumsum([len(x) for x in lists], out=ends[1:])
-                yield _added(part, "ids", pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists))))
+                for source, name, _, function in steps:
+                    part = _added(part, name, function(own, part.column(source)))
+                yield part
+
+    df = df.drop(*[name for _, name, _, _ in steps])
+    return df.mapInArrow(run, T.StructType([*df.schema, *[T.StructField(name, kind) for _, name, kind, _ in steps]]))
+
+
+IDS, BYTES = T.ArrayType(T.IntegerType()), T.BinaryType()
 
-    df = df.drop("ids")
-    return df.mapInArrow(run, _schema(df, "ids", T.ArrayType(T.IntegerType())))
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``df`` with ``ids``: array<int>."""
+    return _applied(df, path, pattern, [(text, "ids", IDS, _ids)])
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """``df`` with ``decoded``: binary, the bytes of the ids."""
+    return _applied(df, path, pattern, [(ids, "decoded", BYTES, _bytes)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
-                column = part.column(ids)
-                flat, sizes = column.flatten().to_numpy(), column.value_lengths().fill_null(0).to_numpy()
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                found = [own.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield _added(part, "decoded", pa.array(found, type=pa.binary()))
-
-    df = df.drop("decoded")
-    return df.mapInArrow(run, _schema(df, "decoded", T.BinaryType()))
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``df`` with ``ids`` and, made of them, ``decoded``; both by one worker a task."""
+    return _applied(df, path, pattern, [(text, "ids", IDS, _ids), ("ids", "decoded", BYTES, _bytes)])
 
 
 def digests(df: DataFrame) -> list:

@@ -10,22 +10,26 @@ tokens: a bucket's path draws one position, or two in a quarter of the cases
 (1/0.8 on average), and sets with the same value there go on together. Buckets
 with one set end. Small ones are compared by brute force, in one task. In a
 large one, all sets are compared with its first: those that are similar to it
-leave with a candidate link to it, which loses no group, since Jaccard distance is a metric
-(what is within 0.2 of one that leaves is within 0.5 of the first, and linked
-to it too); the rest is split again. Buckets that are still large at the last
-depth are compared in pairs of blocks. Some runs are probes: the share of their
-links that the other runs' groups know is the recall, and searches repeat with
-new runs until it meets the target.
+leave with a candidate link to it, which loses no group, since Jaccard distance
+is a metric (what is within 0.2 of one that leaves is within 0.6 of the first,
+and linked to it too, in this run or another); the rest is split again. Buckets
+that are still large at the last depth are compared in pairs of blocks. Below
+the first split, and in all comparisons, a token is its lowest byte, so a row of
+a bucket is 64 bytes. Some runs are probes: the share of their links that the
+other runs' groups know is the recall, and searches repeat with new runs until
+it meets the target; if it does not after many, the join fails and says so.
 
 Check. Candidate links join classes to groups; within a group, all pairs are
 compared by exact Jaccard similarity of their shingle sets, in pairs of blocks
-of bounded size where the group is large. No pair is emitted: each block gives
-sums of links and one link per class to the least class it reaches there.
+of bounded rows and words where the group is large. No pair is emitted: each
+block gives sums of links and one link per class to the least class it reaches
+there. Tables of a search are deleted when they are read.
 
 Edge cases. Null or wordless text: a class of its own without links. Fewer
 words than a shingle has: one shingle of all. Null doc_id: takes part under the
 least id and is shown as null. Repeated rows: copies of one class. Ties: the
-smallest doc_id represents. Empty table: no rows. Other columns: ignored.
+smallest doc_id represents. Very long texts: hashed in pieces; a block holds few
+of them. Empty table: no rows. Other columns, whatever their names: ignored.
 """
 
 from __future__ import annotations
@@ -38,24 +42,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import components, cut
+from .common import components, cut, discard, join_split
 
 WORDS, SIMILARITY = 5, 0.8
 #: Tokens of a signature, and the share of equal ones from which a pair is a
-#: candidate: 2.8 standard errors below the similarity.
-POSITIONS, CANDIDATE = 64, 0.66
+#: candidate: 5 standard errors below the similarity.
+POSITIONS, CANDIDATE = 64, 0.55
 #: The share from which a set leaves with the first of a large bucket, and the
-#: one from which it is linked to it: what is within 0.2 of a set that leaves is
-#: within 0.5 of the first, and an estimate of 0.5 is above 0.38 but for 1 in 40.
-SAME, NEAR = 0.7, 0.38
-#: Sets of a bucket whose pairs are compared at once, of one that a task handles
-#: alone, and of one that is split twice in a step; the most steps of splitting.
-PAIRS, SMALL, HUGE, DEPTH = 64, 2048, 32_768, 12
-#: Runs of the first search, runs that probe its recall, the target and the
-#: number of further searches at most.
-RUNS, PROBES, RECALL, AGAIN = 8, 2, 0.995, 4
-#: Classes of a block of exact comparison.
-BLOCK = 256
+#: one from which it is linked to it: 2 standard errors below the similarity of
+#: 0.4 that a neighbour of a set that leaves has to the first.
+SAME, NEAR = 0.7, 0.28
+#: Sets of a bucket that is compared by brute force, of one that is split twice
+#: in a step, and the most steps of splitting.
+SMALL, HUGE, DEPTH = 2048, 32_768, 12
+#: Runs of a search, runs that probe its recall, the target and the searches
+#: after which it must be met.
+RUNS, PROBES, RECALL, SEARCHES = 8, 2, 0.995, 8
+#: Classes and words of a block of exact comparison; a longer text is a block.
+BLOCK, BLOCK_WORDS = 512, 500_000
 NULL_ID = -(2**63)
 
 _MULTIPLY = S.mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -85,6 +89,13 @@ def _sequence_keys(hashed: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     return keys[0], keys[1]
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    data = np.ascontiguousarray(rows)
+    ends = np.arange(len(data) + 1, dtype=np.int32) * (data.shape[1] * data.itemsize)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
@@ -94,26 +105,23 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, n = S.shingles(hashed, counts, WORDS)
             signature = _signatures(values, n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(k1), pa.array(k2), pa.array(counts), pa.array([x.tobytes() for x in signature], pa.binary())],
-                names=["row", "doc_id", "k1", "k2", "n_words", "signature"])
+                [batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(k1), pa.array(k2), pa.array(counts), _binary(signature), _binary(signature.astype(np.uint8))],
+                names=["row", "doc_id", "k1", "k2", "n_words", "signature", "sketch"])
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, k1, k2, n_words, signature), written."""
+    """(row, doc_id, k1, k2, n_words, signature, sketch), written; sketch: the lowest bytes of the signature."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    return cut(rows.mapInArrow(_signed, "row long, doc_id long, k1 long, k2 long, n_words long, signature binary"))
-
-
-def _place(path: str, i: int) -> F.Column:
-    return F.pmod(F.xxhash64(path, F.lit(i)), F.lit(POSITIONS)).cast("int")
+    return cut(rows.mapInArrow(_signed, "row long, doc_id long, k1 long, k2 long, n_words long, signature binary, sketch binary"))
 
 
-def _split(rows: DataFrame) -> DataFrame:
-    """(path, probe, cls, signature) of the next depth."""
-    value = lambda p: F.xxhash64("path", p, F.substring(F.col("signature"), p * 4 + 1, F.lit(4)))
-    one, two = _place("path", 1), _place("path", 2)
+def _split(rows: DataFrame, column: str, width: int) -> DataFrame:
+    """(path, probe, cls, sketch) of the next depth, by values of ``width`` bytes in ``column``."""
+    place = lambda i: F.pmod(F.xxhash64("path", F.lit(i)), F.lit(POSITIONS)).cast("int")
+    value = lambda p: F.xxhash64("path", p, F.substring(F.col(column), p * width + 1, F.lit(width)))
+    one, two = place(1), place(2)
     paths = F.when((F.pmod(F.xxhash64("path", F.lit(3)), F.lit(4)) == 0) & (one != two), F.array(value(one), value(two))).otherwise(F.array(value(one)))
-    return rows.select(F.explode(paths).alias("path"), "probe", "cls", "signature")
+    return rows.select(F.explode(paths).alias("path"), "probe", "cls", *(["sketch"] if "sketch" in rows.columns else []))
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,36 +131,26 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            like = _alike(S.fixed_bytes(batch.column("signature"), np.uint32, POSITIONS), S.fixed_bytes(batch.column("first_signature"), np.uint32, POSITIONS))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "probe", "cls", "signature", "n", "first")), pa.array(like)], names=["path", "probe", "cls", "signature", "n", "first", "alike"])
+            like = _alike(*(S.fixed_bytes(batch.column(c), np.uint8, POSITIONS) for c in ("sketch", "first_sketch")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "probe", "cls", "sketch", "n", "first")), pa.array(like)], names=["path", "probe", "cls", "sketch", "n", "first", "alike"])
 
 
-def _swept(sig: np.ndarray) -> np.ndarray:
-    """For each set of a bucket the least that it reaches: as in a large bucket,
-    the first is compared with all and those similar to it leave, until none is left."""
-    root, alive = np.arange(len(sig)), np.arange(len(sig))
-    while len(alive) > 1:
-        first, rest = alive[0], alive[1:]
-        like = _alike(sig[rest], sig[first])
-        joined = np.unique(root[np.append(rest[like >= NEAR], first)])
-        if len(joined) > 1:
-            root[np.isin(root, joined)] = joined[0]
-        alive = rest[like < SAME]
-    return root
+def _candidates(sketch: np.ndarray) -> np.ndarray:
+    """The matrix of candidate pairs of a bucket."""
+    return np.stack([_alike(sketch, x) >= CANDIDATE for x in sketch])
 
 
 def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate links of buckets: each set to the least that it reaches."""
     for table, bounds in S.whole_groups(batches, ["path"]):
-        cls, sig = table.column("cls").to_numpy(), S.fixed_bytes(table.column("signature"), np.uint32, POSITIONS)
+        cls, sketch = table.column("cls").to_numpy(), S.fixed_bytes(table.column("sketch"), np.uint8, POSITIONS)
         probe = table.column("probe").to_numpy(zero_copy_only=False)
         sizes = np.diff(bounds)
         two = bounds[:-1][sizes == 2]
-        hit = two[_alike(sig[two], sig[two + 1]) >= CANDIDATE]
+        hit = two[_alike(sketch[two], sketch[two + 1]) >= CANDIDATE]
         a, b = [hit], [hit + 1]
         for lo, hi in zip(bounds[:-1][sizes > 2], bounds[1:][sizes > 2], strict=True):
-            own = sig[lo:hi]
-            root = _swept(own) if len(own) > PAIRS else S.local_roots(np.stack([_alike(own, x) >= CANDIDATE for x in own]))
+            root = S.local_roots(_candidates(sketch[lo:hi]))
             away = np.flatnonzero(root != np.arange(len(root)))
             a.append(lo + away)
             b.append(lo + root[away])
@@ -162,39 +160,46 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compared(buckets: DataFrame) -> DataFrame:
     """Links (a, b, probe) of the sets in each bucket."""
-    return buckets.repartition("path").sortWithinPartitions("path").mapInArrow(_brute, "a long, b long, probe boolean")
+    return buckets.select("path", "probe", "cls", "sketch").repartition("path").sortWithinPartitions("path").mapInArrow(_brute, "a long, b long, probe boolean")
 
 
 def candidate_links(classes: DataFrame, first_run: int = 0) -> DataFrame:
     """(a, b, probe) of classes, written; from RUNS runs, and PROBES with probe set."""
     runs = F.explode(F.array(*[F.lit(first_run + i) for i in range(RUNS + PROBES)])).alias("run")
     rows = classes.select(runs, "cls", "signature").select(F.xxhash64("run", F.lit("root")).alias("path"), (F.col("run") >= first_run + RUNS).alias("probe"), "cls", "signature")
-    found, rows = [], _split(rows)
+    found, used, rows = [], [], _split(rows, "signature", 4)
+    sketches = classes.select("cls", "sketch")
     for depth in range(DEPTH + 1):
-        placed = rows.select("path", "probe", "cls")
-        sizes = placed.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("first")).where("n > 1")
-        sized = cut(placed.join(sizes, "path"))
-        found.append(_compared(sized.where(F.col("n") <= SMALL).select("path", "probe", "cls").join(classes, "cls")))
+        sizes = cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("first")).where("n > 1"))
+        sized = join_split(rows, sizes, ["path"], ["cls"])
+        sized = cut(sized.join(sketches, "cls") if depth == 0 else sized)
+        used += [sizes, sized]
+        found.append(_compared(sized.where(F.col("n") <= SMALL)))
         large = sized.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
-        first = classes.select(F.col("cls").alias("first"), F.col("signature").alias("first_signature"))
-        large = large.join(classes, "cls").join(first, "first").mapInArrow(_with_first, "path long, probe boolean, cls long, signature binary, n long, first long, alike double")
+        firsts = cut(large.where("cls = first").select("path", F.col("sketch").alias("first_sketch"), "n").dropDuplicates(["path"]))
+        large = join_split(large.drop("n"), firsts, ["path"], ["cls"]).mapInArrow(_with_first, "path long, probe boolean, cls long, sketch binary, n long, first long, alike double")
         large = cut(large.where("cls <> first"))
+        used += [firsts, large]
         found.append(large.where(F.col("alike") >= NEAR).select(F.col("cls").alias("a"), F.col("first").alias("b"), "probe"))
         rest = large.where(F.col("alike") < SAME)
         if depth == DEPTH:
-            n = rest.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-            blocks = _block_pairs(rest.join(n, "path"), "path", "cls")
-            found.append(_compared(blocks.select(F.xxhash64("path", "lo", "hi").alias("path"), "probe", "cls", "signature")))
-        rows = _split(rest.where(F.col("n") <= HUGE)).union(_split(_split(rest.where(F.col("n") > HUGE))))
+            n = cut(rest.groupBy("path").agg(F.count(F.lit(1)).alias("n")))
+            used.append(n)
+            blocks = _block_pairs(join_split(rest.drop("n"), n, ["path"], ["cls"]).withColumn("blocks", F.ceil(F.col("n") / (SMALL // 2)).cast("int")), "cls")
+            found.append(_compared(blocks.select(F.xxhash64("path", "lo", "hi").alias("path"), "probe", "cls", "sketch")))
+        split = lambda x: _split(x, "sketch", 1)
+        rows = split(rest.where(F.col("n") <= HUGE)).union(split(split(rest.where(F.col("n") > HUGE))))
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
-    return cut(out.distinct())
+    out = cut(out.distinct())
+    discard(*used)
+    return out
 
 
-def _block_pairs(rows: DataFrame, group: str, key: str) -> DataFrame:
+def _block_pairs(rows: DataFrame, key: str) -> DataFrame:
     """Each row once for every pair of blocks (lo <= hi) that its block is in; ``blocks`` is the group's number of them."""
     own = rows.withColumn("block", F.pmod(F.xxhash64(key, F.lit("block")), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -202,23 +207,28 @@ def _block_pairs(rows: DataFrame, group: str, key: str) -> DataFrame:
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
-    """(id, root): classes with a candidate link, by groups of them."""
+    """(id, root), written: classes with a candidate link, by groups of them."""
     links = candidate_links(classes)
     groups = components(links.where("not probe").select("a", "b"))
-    for again in range(1, AGAIN + 1):
+    for search in range(1, SEARCHES + 1):
         one, two = groups.select(F.col("id").alias("a"), F.col("root").alias("ra")), groups.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         state = cut(links.where("probe").join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)).alias("known")))
+        discard(links)
         known, total = state.agg(F.count_if("known"), F.count(F.lit(1))).first()
         if known == total:
-            break
+            discard(state)
+            return groups
+        good = known >= RECALL * total
+        if not good and search == SEARCHES:
+            raise RuntimeError(f"after {SEARCHES} searches the recall is {known / total:.4f}, and {RECALL} is asked for")
         grown = groups.select(F.col("id").alias("a"), F.col("root").alias("b")).union(state.where("not known").select("a", "b"))
-        good = known >= RECALL * total or again == AGAIN
         if not good:
-            links = candidate_links(classes, again * (RUNS + PROBES))
+            links = candidate_links(classes, search * (RUNS + PROBES))
             grown = grown.union(links.where("not probe").select("a", "b"))
-        groups = components(grown)
+        before, groups = groups, components(grown)
+        discard(before, state)
         if good:
-            break
+            return groups
     return groups
 
 
@@ -247,10 +257,10 @@ def overlaps(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     renumbered = np.cumsum(often) - 1
     keep = often[column]
     owner, column = owner[keep], renumbered[column[keep]]
-    out = np.zeros((n, n), np.float64)
-    for lo in range(0, int(often.sum()), 8192):  # a shared shingle is one column
-        a, b = np.searchsorted(column, [lo, lo + 8192])
-        has = np.zeros((n, 8192), np.float32)
+    out = np.zeros((n, n), np.float32)  # whole numbers below 2**24 are exact, and larger ones near enough to any share
+    for lo in range(0, int(often.sum()), 4096):  # a shared shingle is one column
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        has = np.zeros((n, 4096), np.float32)
         has[owner[a:b], column[a:b] - lo] = 1
         out += has @ has.T
     return out
@@ -259,7 +269,7 @@ def overlaps(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each class of a pair of blocks that has links there: the copies it is
     linked to, and the least class that it reaches."""
-    for table, bounds in S.whole_groups(batches, ["root", "lo", "hi"], 1000):
+    for table, bounds in S.whole_groups(batches, ["root", "lo", "hi"]):
         cls, copies, block, lo, hi = (table.column(c).to_numpy() for c in ("cls", "copies", "block", "lo", "hi"))
         flat, ends = S.list_values(table.column("shingles"))
         size = np.diff(ends)
@@ -290,25 +300,31 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     the document is that one.
     """
     rows = signed(docs)
-    all_classes = cut(rows.where("n_words > 0").groupBy("k1", "k2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")))
-    classes = cut(rows.select(F.col("row").alias("cls"), "signature").join(all_classes.select("cls"), "cls"))
+    named = rows.where("n_words > 0").groupBy("k1", "k2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("words"))
+    all_classes = cut(named)
+    classes = cut(rows.select(F.col("row").alias("cls"), "signature", "sketch").join(all_classes.select("cls"), "cls"))
     groups = candidate_groups(classes)
-    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = cut(groups.join(sizes, "root").join(all_classes, F.col("id") == F.col("cls")).select("root", "blocks", "cls", "class_id", "copies", "k1", "k2"))
+    discard(classes)
+    grouped = groups.join(all_classes, F.col("id") == F.col("cls")).select("root", "cls", "class_id", "copies", "words", "k1", "k2")
+    sizes = cut(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words_of_all")))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words_of_all") / BLOCK_WORDS)).cast("int").alias("blocks")
+    members = cut(join_split(grouped, sizes, ["root"], ["cls"]).select("root", blocks, "cls", "class_id", "copies", "k1", "k2"))
     wanted = members.select(F.col("class_id").alias("_id")).distinct()
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), "text").join(wanted, "_id", "left_semi")
     sets = own.select("text").mapInArrow(_sets, "k1 long, k2 long, shingles array<long>")
-    blocks = _block_pairs(sets.join(members, ["k1", "k2"]).select("root", "blocks", "cls", "copies", "shingles"), "root", "cls")
-    blocks = blocks.select("root", "lo", "hi", "block", "cls", "copies", "shingles").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
-    links = cut(blocks.mapInArrow(_exact, "cls long, linked long, least long"))
+    pairs = _block_pairs(sets.join(members, ["k1", "k2"]).select("root", "blocks", "cls", "copies", "shingles"), "cls")
+    pairs = pairs.select("root", "lo", "hi", "block", "cls", "copies", "shingles").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    links = cut(pairs.mapInArrow(_exact, "cls long, linked long, least long"))
+    discard(groups, sizes, members)
     sums = links.groupBy("cls").agg(F.sum("linked").alias("linked"))
     exact = components(links.select(F.col("cls").alias("a"), F.col("least").alias("b")))
-    ids = all_classes.select("cls", "class_id")
-    named = exact.join(ids, F.col("id") == F.col("cls")).select("cls", "root", "class_id")
-    least = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    result = all_classes.join(sums, "cls", "left").join(named.join(least, "root").select("cls", "group_id"), "cls", "left")
-    result = result.select("k1", "k2", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    out = rows.select("doc_id", "k1", "k2", "n_words").join(result.withColumn("n_words", F.lit(True)).withColumnRenamed("n_words", "_has"), ["k1", "k2"], "left")
+    reached = cut(exact.join(all_classes.select("cls", "class_id"), F.col("id") == F.col("cls")).select("cls", "root", "class_id"))
+    least = cut(reached.groupBy("root").agg(F.min("class_id").alias("group_id"), F.count(F.lit(1)).alias("n")))
+    placed = join_split(reached.select("cls", "root"), least, ["root"], ["cls"]).select("cls", "group_id")
+    result = all_classes.join(sums, "cls", "left").join(placed, "cls", "left")
+    result = cut(result.select("k1", "k2", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.col("copies").alias("n")))
+    discard(all_classes, links, exact, reached, least)
+    out = join_split(rows.select("row", "doc_id", "k1", "k2", "n_words"), result, ["k1", "k2"], ["row"], how="left")
     some = F.col("n_words") > 0
     class_id, group_id = F.when(some, F.col("class_id")).otherwise(F.col("doc_id")), F.when(some, F.col("group_id")).otherwise(F.col("doc_id"))
     shown = lambda c: F.nullif(c, F.lit(NULL_ID))

@@ -1,17 +1,20 @@
-"""Helpers shared by the operators: ranking without one task per key, and
-connected components."""
+"""Helpers shared by the operators: ranking without one task per key, joins that
+split frequent keys, and connected components."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut, shared_dir
+from ..lineage import cut, discard, shared_dir
 
-__all__ = ["components", "cut", "shared_dir", "spread_rank", "unit"]
+__all__ = ["components", "cut", "discard", "join_split", "shared_dir", "spread_rank", "unit"]
 
 #: Rows that one task ranks at a time in ``spread_rank``.
 RANK_ROWS = 10_000
+#: A key is frequent if it has more rows than this, and more than its share of
+#: all rows if HOT_KEYS keys shared them, so there are never more than HOT_KEYS.
+HOT_ROWS, HOT_KEYS = 2_000, 2_000
 
 
 def unit(hash64: Column) -> Column:
@@ -19,23 +22,35 @@ def unit(hash64: Column) -> Column:
     return F.least(hash64.cast("double") / F.lit(2.0**64) + 0.5, F.lit(1 - 2.0**-52))
 
 
-def spread_rank(df: DataFrame, keys: list[str], order: str, ties: list[str], weight: str | None = None) -> DataFrame:
+def spread_rank(df: DataFrame, keys: list[str], order: str, ties: list[str], weight: str | None = None, parts: int | None = None) -> DataFrame:
     """Add ``rank`` (from 0) and, for a ``weight``, ``before``: the sum of the
     weights ranked earlier. Both are exact and hold within ``keys``, by the
     64-bit hash column ``order``, then ``ties``.
 
-    A key's rows are split into ranges of the hash, so a key that holds a third
-    of all rows is ranked by many tasks: ranges are summed first, the sums are
-    accumulated (one row for each key and range), and rows are ranked within
-    their range. ``df`` is read twice and should be a written table.
+    A key's rows are split into ``parts`` ranges of the hash, so a key that
+    holds a third of all rows is ranked by many tasks: ranges are summed first,
+    the sums are accumulated (a row for each key and group of a thousand ranges,
+    then within each group), and rows are ranked within their range. ``df`` is
+    read twice and should be a written table.
     """
-    parts = max(64, df.count() // RANK_ROWS)
+    parts = parts or max(64, df.count() // RANK_ROWS)
     rows = df.withColumn("_range", F.floor(unit(F.col(order)) * parts).cast("long"))
     total = [F.count(F.lit(1)).alias("_n"), F.sum(F.col(weight) if weight else F.lit(0)).alias("_w")]
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(*keys, "_range").agg(*total).select(
-        *[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_r"),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_w0"))
+    ranges = rows.groupBy(*keys, "_range").agg(*total).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_r"), F.floor(F.col("_range") / 1000).alias("_g"), "_n", "_w")
+    own = [f"_{k}" for k in keys]
+    if parts > 1000:  # the sums of groups first, so that no task accumulates all ranges
+        ranges = cut(ranges)
+        groups = ranges.groupBy(*own, "_g").agg(F.sum("_n").alias("_gn"), F.sum("_w").alias("_gw"))
+        earlier = Window.partitionBy(*own).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+        groups = groups.select(*[F.col(k).alias(f"_{k}") for k in own], F.col("_g").alias("__g"), F.coalesce(F.sum("_gn").over(earlier), F.lit(0)).alias("_gn0"), F.coalesce(F.sum("_gw").over(earlier), F.lit(0)).alias("_gw0"))
+        same = ranges["_g"] == groups["__g"]
+        for k in own:
+            same = same & ranges[k].eqNullSafe(groups[f"_{k}"])
+        ranges = ranges.join(groups, same)
+    else:
+        ranges = ranges.withColumns({"_gn0": F.lit(0), "_gw0": F.lit(0)})
+    earlier = Window.partitionBy(*own, "_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(*own, "_r", (F.col("_gn0") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_n0"), (F.col("_gw0") + F.coalesce(F.sum("_w").over(earlier), F.lit(0))).alias("_w0"))
     same = rows["_range"] == starts["_r"]
     for k in keys:
         same = same & rows[k].eqNullSafe(starts[f"_{k}"])
@@ -44,31 +59,54 @@ def spread_rank(df: DataFrame, keys: list[str], order: str, ties: list[str], wei
     if weight:
         before = F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, -1))
         out = out.withColumn("before", F.col("_w0") + F.coalesce(before, F.lit(0)))
-    return out.drop("_range", "_r", "_n0", "_w0", *[f"_{k}" for k in keys])
+    return out.drop("_range", "_r", "_n0", "_w0", *own)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Connected components of ``edges`` (a, b): rows (id, root), root being the
-    smallest id that links reach. Nodes without an edge are not listed.
+def join_split(rows: DataFrame, by_key: DataFrame, keys: list[str], spread: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``by_key``, a written table with one row for each key
+    and ``n``, the number of its rows in ``rows``, which the result keeps.
 
-    Alternating large-star and small-star steps: every step is an aggregation
-    of each node's smallest neighbour and a join back, so no node's neighbours
-    meet in one task, and the number of edges never grows. Each round is cut.
+    The rows of a frequent key are dealt over parts by a hash of ``spread``, and
+    the key's row is repeated for each part. Rows learn that their key is
+    frequent from a broadcast of these keys, of which there are HOT_KEYS at most.
+    """
+    total, most = by_key.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    if most <= limit:
+        return rows.join(by_key, keys, how)
+    parts = F.ceil(F.col(n) / limit).cast("int")
+    hot = by_key.where(F.col(n) > limit).select(*keys, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    single = by_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > limit, parts - 1).otherwise(0))))
+    return dealt.join(single, [*keys, "_part"], how).drop("_part")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``edges`` (a, b): rows (id, root), written, root
+    being the smallest id that links reach. Nodes without an edge are not listed.
+
+    Alternating large-star and small-star steps until each component is a star
+    around its smallest id: every step is an aggregation of each node's smallest
+    neighbour and a join back, in which the neighbours of a frequent node are
+    split, and the number of edges never grows. Each round is cut, and the
+    tables of the one before are deleted.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    while True:
         # done when each node has one link and no end of a link starts another
         ends = now.groupBy("a").count().agg(F.coalesce(F.sum("count") == F.count(F.lit(1)), F.lit(True))).first()[0]
         if ends and now.select("b").join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
         # large star: neighbours above a node move to the least of its neighbourhood
-        large = cut(both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"))
+        large = cut(join_split(both, least, ["a"], ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"))
         # small star: a node and its lower neighbours move to the lowest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        small = large.join(low, F.col("a") == F.col("k"))
-        moved = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = cut(moved.where("a <> b").distinct())
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        moved = join_split(large, low, ["a"], ["b"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        before, now = now, cut(moved.where("a <> b").distinct())
+        discard(before, least, large, low)
     nodes = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return nodes.union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    out = cut(nodes.union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()))
+    discard(now)
+    return out

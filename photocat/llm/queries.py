@@ -58,9 +58,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
-    decoded = bpe.decode(ids, path, pattern)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = bpe.round_trip(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
     return decoded.select("doc_id", *bpe.digests(decoded))
 
 

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are hashed at once; a longer text is taken alone.
-CHUNK = 2 << 20
+#: Bytes of text that are hashed at once, which takes some 60 times as much
+#: memory for a moment; a longer text is taken alone, and cut between words.
+CHUNK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD = np.array([chr(i).isalnum() or i >= 128 for i in range(256)])
@@ -62,8 +63,23 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * _powers(_INVERSE, len(data))[starts])
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A long text in pieces of about CHUNK characters that end at white space."""
+    start = 0
+    while len(text) - start > CHUNK:
+        stop = start + CHUNK
+        while stop < len(text) and not text[stop] in " \n\t":
+            stop += 1
+        yield text[start:stop]
+        start = stop
+    yield text[start:]
+
+
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words of each text)."""
+    if len(texts) == 1 and len(text := texts[0].as_py() or "") > CHUNK:
+        found = [hash_spans(*word_spans(pa.array([x]))[:3]) for x in pieces(text)]
+        return np.concatenate(found), np.array([sum(map(len, found))])
     data, starts, ends, counts = word_spans(texts)
     return hash_spans(data, starts, ends), counts
 
@@ -99,9 +115,9 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 5000) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """From batches sorted by ``keys`` (longs), tables of whole groups and the
-    groups' bounds in them."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], size: int = 4 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From batches sorted by ``keys`` (longs), tables of whole groups, of about
+    ``size`` bytes at most unless one group is larger, and the groups' bounds in them."""
 
     def bounds(table: pa.Table) -> np.ndarray:
         change = np.zeros(table.num_rows, bool)
@@ -112,18 +128,27 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
         return np.flatnonzero(change)
 
     held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.num_rows for b in held) < rows:
+    weight = 0
+
+    def parts() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, int(size / max(1, batch.nbytes) * batch.num_rows))
+            for lo in range(0, batch.num_rows, step):
+                yield batch.slice(lo, step)
+
+    for part in parts():
+        held.append(part)
+        weight += part.nbytes
+        if weight < size:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         starts = bounds(table)
         if len(starts) > 1:
             yield table.slice(0, starts[-1]), starts
             held = table.slice(starts[-1]).to_batches()
+            weight = sum(b.nbytes for b in held)
         else:
-            held = table.to_batches()
+            held, weight = table.to_batches(), 0  # one group so far: look again when as much has come
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
         yield table, np.concatenate([bounds(table), [table.num_rows]])
@@ -153,5 +178,9 @@ def list_values(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndar
 def fixed_bytes(column: pa.ChunkedArray | pa.Array, dtype: type, width: int) -> np.ndarray:
     """A binary column of equal lengths as a matrix."""
     parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    out = [np.frombuffer(b"".join(p.to_pylist()), dtype=dtype).reshape(-1, width) for p in parts]
+    out, item = [], width * np.dtype(dtype).itemsize
+    for p in parts:
+        if len(p):  # values of equal lengths lie one after the other
+            start = int(np.frombuffer(p.buffers()[1], np.int32)[p.offset])
+            out.append(np.frombuffer(p.buffers()[2], np.uint8)[start : start + len(p) * item].view(dtype).reshape(-1, width))
     return np.concatenate(out) if out else np.zeros((0, width), dtype)

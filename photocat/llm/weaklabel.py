@@ -20,8 +20,6 @@ clashing "score" and "keep" are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -162,17 +160,17 @@ def fit_scorer(texts: pa.Array, good: np.ndarray) -> tuple[np.ndarray, float]:
 def vote_table(docs: DataFrame) -> DataFrame:
     """(order, pattern) of each text that has tokens; order is a hash of the
     text, pattern the votes as a number to the base of 3."""
+    powers = 3 ** np.arange(len(LABELLERS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = 3 ** np.arange(len(LABELLERS))
-        for batch in batches:
-            texts = batch.column("text")
-            for a, b in S.chunks(texts):
-                votes, _, _, counts = inspect(texts.slice(a, b - a))
-                some = pa.array(counts > 0)
-                yield pa.RecordBatch.from_arrays([batch.column("order").slice(a, b - a).filter(some), pa.array((votes + 1) @ powers, pa.int64()).filter(some)], names=["order", "pattern"])
+    @F.arrow_udf("long")
+    def pattern(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0, np.int64)]
+        for a, b in S.chunks(texts):
+            votes, _, _, counts = inspect(texts.slice(a, b - a))
+            out.append(np.where(counts > 0, (votes + 1) @ powers, -1))
+        return pa.array(np.concatenate(out), pa.int64())
 
-    return cut(docs.select(F.xxhash64("text").alias("order"), "text").mapInArrow(run, "order long, pattern long"))
+    return cut(docs.select(F.xxhash64("text").alias("order"), pattern("text").alias("pattern")).where("pattern >= 0"))
 
 
 def train(docs: DataFrame) -> tuple[np.ndarray, float] | None:
