@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from photocat.llm import bpe, chosenpath, lines, mixing, weaklabel
 from photocat.llm.common import shared_dir
@@ -27,8 +28,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten sources or more share stay in one document."""
-    return lines.dedup_lines(docs, site="source").select(*docs.columns)
+    """Lines that ten sources or more share stay in one document; n_chars follows the text."""
+    kept = lines.dedup_lines(docs, site="source")
+    chars = F.when(F.col("lines_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", chars).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +47,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document's text, and digests of the ids and of what they decode to."""
-    path, pattern = public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN
-    ids = bpe.encode(docs.select("doc_id", "source", "text"), path, pattern).drop("text")
-    decoded = bpe.decode(ids, path, pattern)
+    decoded = bpe.round_trip(docs.select("doc_id", "source", "text"), public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
     return decoded.select("doc_id", "source", *bpe.digests(decoded))
 
 

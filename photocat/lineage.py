@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary
-    one, which serves local mode only."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, local mode gets
+    a temporary one; on a cluster that is an error, as machines share no such folder."""
     key = "spark.checkpoint.dir"
     if not (found := spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)):
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{key} must name a folder that all executors share")
         spark.conf.set(key, found := tempfile.mkdtemp(prefix="spark-"))
     return found
 
@@ -23,4 +25,13 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written, once nothing reads them any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
