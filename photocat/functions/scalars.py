@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -136,6 +137,12 @@ def human_duration(seconds: Column) -> Column:
         F.format_string("%dh %dm", hours, F.pmod(minutes, F.lit(60))))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once; within a lambda function an
+    expression is computed again for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     """In double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -143,8 +150,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """v by its length; null for a zero vector."""
-    length = F.sqrt(dot(v, v))
-    return F.when(length > 0, F.transform(v, lambda x: (x / length).cast("float")))
+    return let(F.sqrt(dot(v, v)), lambda length: F.when(length > 0, F.transform(v, lambda x: (x / length).cast("float"))))
 
 
 def cosine_from_l2(squared: Column) -> Column:

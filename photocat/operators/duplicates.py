@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from collections.abc import Iterator
+from math import acos, ceil, log, log2, pi
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,18 +14,55 @@ from ..functions.scalars import dot
 from ..lineage import cut
 from .ranking import DUPLICATE_COSINE
 
+#: The share of pairs at the very threshold that no band may bring together.
+MISSED = 1e-4
+
+
+def band_plan(n: int, threshold: float) -> tuple[int, int]:
+    """(bits of a band, bands). A band has as many bits as it takes to number
+    the vectors, so two that have nothing to do with each other meet about once
+    per vector and band at any size; there are enough bands for a pair at the
+    threshold to meet in one but for MISSED."""
+    bits = min(60, max(8, ceil(log2(max(n, 2)))))
+    meet = (1 - acos(threshold) / pi) ** bits
+    return bits, ceil(log(MISSED) / log(1 - meet))
+
+
+def banded(vectors: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
+    """(image_id, band, key): signs of projections on ``bits`` random directions a band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        powers = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            sizes = batch.column("embedding").value_lengths().to_numpy()
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+            for size in np.unique(sizes):
+                if size not in planes:
+                    planes[size] = np.random.default_rng((seed, int(size))).normal(size=(size, bits * bands)).astype(np.float32)
+                own = np.flatnonzero(sizes == size)
+                signs = flat[first[own][:, None] + np.arange(size)] @ planes[size] > 0
+                keys = signs.reshape(len(own), bands, bits) @ powers
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("image_id").take(pa.array(np.repeat(own, bands))), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(own))), pa.array(keys.ravel())], names=["image_id", "band", "key"])
+
+    return vectors.select("image_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, "image_id string, band int, key long")
+
 
-def near_duplicate_pairs(embeddings: DataFrame, threshold: float = DUPLICATE_COSINE, tables: int = 4, bucket: float = 1.0, seed: int = 0) -> DataFrame:
+def near_duplicate_pairs(embeddings: DataFrame, threshold: float = DUPLICATE_COSINE, seed: int = 0) -> DataFrame:
     """(a, b, cosine) of unit vectors, a < b. Identical vectors are joined to the
-    first of them; only different ones go through the hashed join, whose pairs
-    are verified. A copy's pairs are those of its first."""
+    first of them; only different ones are hashed to bands, and ids that meet in
+    a band are verified in double precision. A copy's pairs are those of its first."""
     rows = embeddings.where("embedding is not null").select("image_id", "embedding")
     firsts = cut(rows.groupBy("embedding").agg(F.min("image_id").alias("first")))
     same = rows.join(firsts, "embedding").where("image_id <> first").select(F.col("first").alias("a"), F.col("image_id").alias("b"), dot(F.col("embedding"), F.col("embedding")).alias("cosine"))
-    vectors = firsts.select(F.col("first").alias("image_id"), "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(vectors)
-    near = model.approxSimilarityJoin(vectors, vectors, (2 * (1 - threshold)) ** 0.5 + 1e-3, distCol="distance").where("datasetA.image_id < datasetB.image_id")
-    pairs = near.select(F.col("datasetA.image_id").alias("a"), F.col("datasetB.image_id").alias("b"), dot(F.col("datasetA.embedding"), F.col("datasetB.embedding")).alias("cosine"))
+    vectors = firsts.select(F.col("first").alias("image_id"), "embedding")
+    keys = cut(banded(vectors, *band_plan(vectors.count(), threshold), seed))
+    one, two = keys.withColumnRenamed("image_id", "a"), keys.withColumnRenamed("image_id", "b")
+    met = one.join(two, ["band", "key"]).where("a < b").select("a", "b").distinct()
+    pairs = met.join(vectors.toDF("a", "va"), "a").join(vectors.toDF("b", "vb"), "b").where(F.size("va") == F.size("vb"))
+    pairs = pairs.select("a", "b", dot(F.col("va"), F.col("vb")).alias("cosine"))
     return pairs.where(F.col("cosine") >= threshold).union(same)
 
 

@@ -10,14 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.scalars import archive_mode
-from .vectors import candidate_depth, knn_batch
+from ..functions.scalars import archive_mode, dot
+from ..lineage import cut
+from .vectors import Cells, candidate_depth, knn_batch
 
 # Fixed values of ranking.
 QUALITY_CENTRE, QUALITY_SCALE, TASTE_SCALE = 5.0, 0.02, 0.005
 SOURCE_PRIOR = {"pro": 0.0, "unknown": -0.01, "archive": -0.01, "amateur": -0.03}
 DUPLICATE_COSINE, ARCHIVE_CAP, MAX_LIMIT = 0.97, 2, 100
 
+#: Matches of a query that are collapsed at once, and queries whose parameters
+#: go to the tasks at once where all images are filtered first.
+BLOCK, QUERIES = MAX_LIMIT * 50, 100
+
 QUERY_SCHEMA = (
     "query_id long, query_text string, query_vec array<float>, limit int, date_from string, date_to string, folder_pattern string, tags array<string>, min_quality double,"
     " min_long_edge int, quality_weight double, dedupe boolean, sources array<string>, archive string, taste_weight double")
@@ -78,8 +83,6 @@ def normalized(queries: DataFrame) -> DataFrame:
     return out.withColumn("archive_mode", archive_mode(F.col("archive"), F.col("query_text")))
 
 
-
-
 def passes(options: SearchOptions) -> Column:
     """The predicates of a search over columns of an image and of its query; a
     predicate that is not asked for passes, a null value fails one that is."""
@@ -131,43 +134,82 @@ def with_tags(rows: DataFrame, image_tags: DataFrame | None, tags: DataFrame | N
     return plain.unionByName(rows.where("tags is not null").join(hit, ["query_id", "image_id"], "left_semi").select(*rows.columns))
 
 
-def collapse_duplicates(ranked: DataFrame, threshold: float = DUPLICATE_COSINE) -> DataFrame:
-    """Within each query, in order of rank (query_id, place, image_id, embedding,
-    dedupe): a row as similar as ``threshold`` to a kept one goes, and its id is
-    noted on the most similar of those. Adds duplicate_ids. A group is one
-    query's candidates, 5,000 at most."""
+def collapse_duplicates(ranked: DataFrame, kept: DataFrame | None = None, threshold: float = DUPLICATE_COSINE) -> DataFrame:
+    """(query_id, image_id, place, owner). Within each query, in order of rank
+    (query_id, image_id, place, embedding, dedupe): a row as similar as
+    ``threshold`` to a kept one belongs to the most similar of those, any other
+    is kept and its own owner. ``kept``: rows of the same columns that stand
+    before all of ``ranked``; they are not in the result. A group is one query's
+    block, BLOCK at most, and what was kept before it."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place", ignore_index=True)
-        kept, twins, held = [], {}, np.zeros((0, 0))
+        frame = frame.sort_values(["new", "place"], ignore_index=True)
+        ids, owner = frame["image_id"].to_numpy(), frame["image_id"].to_numpy().copy()
         if bool(frame["dedupe"].iloc[0]):
-            vectors: list[np.ndarray] = []
-            owners: list[int] = []
-            for i, v in enumerate(frame["embedding"]):
-                if v is not None:
-                    v = np.asarray(v, np.float64)
-                    if vectors:
-                        held = np.array(vectors)
-                        like = held @ v
-                        j = int(like.argmax())
-                        if like[j] >= threshold:
-                            twins.setdefault(owners[j], []).append(frame["image_id"].iloc[i])
-                            continue
-                    vectors.append(v)
-                    owners.append(i)
-                kept.append(i)
-        else:
-            kept = list(range(len(frame)))
-        out = frame.iloc[kept][["query_id", "image_id"]].copy()
-        out["duplicate_ids"] = [twins.get(i, []) for i in kept]
-        return out
-
-    return ranked.select("query_id", "place", "image_id", "embedding", "dedupe").groupBy("query_id").applyInPandas(run, "query_id long, image_id string, duplicate_ids array<string>")
+            held: np.ndarray | None = None
+            places: list[int] = []
+            for i, (v, new) in enumerate(zip(frame["embedding"], frame["new"], strict=True)):
+                if v is None:
+                    continue
+                v = np.asarray(v, np.float64)
+                if held is None:
+                    held = np.empty((len(frame), len(v)))
+                if new and places:
+                    like = held[: len(places)] @ v
+                    j = int(like.argmax())
+                    if like[j] >= threshold:
+                        owner[i] = ids[places[j]]
+                        continue
+                held[len(places)] = v
+                places.append(i)
+        out = frame[["query_id", "image_id", "place"]].copy()
+        out["owner"] = owner
+        return out[frame["new"]]
+
+    own = ("query_id", "image_id", "place", "embedding", "dedupe")
+    rows = ranked.select(*own, F.lit(True).alias("new"))
+    if kept is not None:
+        rows = rows.union(kept.select(*own, F.lit(False).alias("new")))
+    return rows.groupBy("query_id").applyInPandas(run, "query_id long, image_id string, place long, owner string")
+
+
+def _capped() -> Column:
+    """Whether only ARCHIVE_CAP pictures of the archive may stay."""
+    return F.coalesce((F.col("archive_mode") == "capped") & F.col("sources").isNull() & (F.col("source_class") == "archive"), F.lit(False))
+
+
+def _under_cap(kept: DataFrame) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id", "source_class").orderBy("place"))
+    return kept.withColumn("_n", rank).where(~_capped() | (F.col("_n") <= ARCHIVE_CAP)).drop("_n")
+
+
+def _best_blocks(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, image_id, place, owner) of the best matches of each query: blocks
+    of BLOCK matches, best first, are collapsed against what was kept before
+    them, until a query has as many results as it asks for or no match is left."""
+    rows = cut(rows)
+    order = Window.partitionBy("query_id").orderBy(F.desc("rank_score"), "image_id")
+    left, kept, found, at = rows, None, None, 0
+    while True:
+        block = cut(left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= BLOCK).withColumn("place", (F.col("place") + at).cast("long")).join(vectors, "image_id"))
+        placed = cut(collapse_duplicates(block, kept))
+        found = placed if found is None else found.union(placed)
+        stay = block.join(placed.where("owner = image_id").select("query_id", "image_id"), ["query_id", "image_id"])
+        kept = cut(stay if kept is None else kept.unionByName(stay))
+        at += BLOCK
+        results = _under_cap(kept).groupBy("query_id").agg(F.count(F.lit(1)).alias("results"))
+        ends = block.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("rank_score", "image_id"), "place").alias("last"), F.first("limit").alias("asks"))
+        going = cut(ends.join(results, "query_id", "left").where((F.col("n") == BLOCK) & (F.coalesce("results", F.lit(0)) < F.col("asks"))).select("query_id", "last"))
+        if going.isEmpty():
+            return found
+        after = (F.col("rank_score") < F.col("last.rank_score")) | ((F.col("rank_score") == F.col("last.rank_score")) & (F.col("image_id") > F.col("last.image_id")))
+        left = rows.join(going, "query_id").where(after).drop("last")
 
 
 def search_batch(images: DataFrame, embeddings: DataFrame, queries: DataFrame, image_tags: DataFrame | None = None, tags: DataFrame | None = None,
-                 options: SearchOptions = SearchOptions(), thumbnails: DataFrame | None = None) -> DataFrame:
-    """Results of all ``queries`` (QUERY_SCHEMA): query_id, place and RESULT."""
+                 options: SearchOptions = SearchOptions(), thumbnails: DataFrame | None = None, cells: Cells | None = None) -> DataFrame:
+    """Results of all ``queries`` (QUERY_SCHEMA): query_id, place and RESULT.
+    ``cells``: an approximate index that candidates are taken from."""
     images = schema.evolve_schema(images)
     asked = normalized(queries).withColumn("limit", F.least("limit", F.lit(options.max_limit)))
     vectors = embeddings.where("embedding is not null").select("image_id", "embedding")
@@ -176,22 +218,22 @@ def search_batch(images: DataFrame, embeddings: DataFrame, queries: DataFrame, i
     if options.mode == "candidates":
         deeper = (F.col("min_quality").isNotNull() | F.col("min_long_edge").isNotNull() | (F.col("quality_weight") > 0) | F.col("sources").isNotNull() | F.col("archive").isin("only", "exclude"))
         depth = candidate_depth(F.col("limit"), deeper, F.lit(1 << 30), options.max_limit)
-        nearest = knn_batch(vectors, asked.withColumn("k", depth), F.col("k")).drop("rank")
+        asks = asked.withColumn("k", depth)
+        nearest = (knn_batch(vectors, asks, F.col("k")) if cells is None else cells.nearest(asks, F.col("k"))).drop("rank")
         rows = nearest.join(wide, "image_id").join(params, "query_id")
         rows = with_tags(rows.where(passes(options)), image_tags, tags)
     else:
-        fitting = with_tags(wide.crossJoin(F.broadcast(params)).where(passes(options)), image_tags, tags)  # a few queries
-        rows = _scored(fitting, vectors, asked)
+        rows = _matching(wide, vectors, asked, image_tags, tags, options)
     rows = rows.where(F.col("similarity") >= options.similarity_threshold).withColumn("rank_score", rank_score())
-    order = Window.partitionBy("query_id").orderBy(F.desc("rank_score"), "image_id")
-    rows = rows.withColumn("place", F.row_number().over(order))
-    if options.mode != "candidates":
-        rows = rows.where(F.col("place") <= MAX_LIMIT * 50)
-    kept = collapse_duplicates(rows.join(vectors, "image_id"))
-    rows = rows.join(kept, ["query_id", "image_id"])
-    of_class = Window.partitionBy("query_id", "source_class").orderBy("place")
-    capped = (F.col("archive_mode") == "capped") & F.col("sources").isNull() & (F.col("source_class") == "archive")
-    rows = rows.withColumn("_n", F.row_number().over(of_class)).where(~F.coalesce(capped, F.lit(False)) | (F.col("_n") <= ARCHIVE_CAP))
+    if options.mode == "candidates":  # at most BLOCK for each query
+        order = Window.partitionBy("query_id").orderBy(F.desc("rank_score"), "image_id")
+        placed = collapse_duplicates(rows.withColumn("place", F.row_number().over(order).cast("long")).join(vectors, "image_id"))
+    else:
+        rows = cut(rows)
+        placed = _best_blocks(rows, vectors)
+    twins = F.collect_list(F.when(F.col("owner") != F.col("image_id"), F.struct("place", "image_id")))
+    kept = placed.groupBy("query_id", F.col("owner").alias("image_id")).agg(F.min("place").alias("place"), F.transform(F.array_sort(twins), lambda x: x["image_id"]).alias("duplicate_ids"))
+    rows = _under_cap(rows.join(kept, ["query_id", "image_id"]))
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).where(F.col("place") <= F.col("limit"))
     rows = rows.withColumns({"aesthetic_score": F.round("aesthetic_score", 2), "taste_score": F.round("taste_score", 2)})
     columns = ["query_id", "place", *options.columns]
@@ -201,11 +243,20 @@ def search_batch(images: DataFrame, embeddings: DataFrame, queries: DataFrame, i
     return rows.select(*columns)
 
 
-def _scored(rows: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
-    from ..functions.scalars import dot
-
-    q = asked.select("query_id", "query_vec")
-    return rows.join(vectors, "image_id").join(F.broadcast(q), "query_id").withColumn("similarity", dot(F.col("embedding"), F.col("query_vec"))).where(~F.isnan("similarity")).drop("embedding", "query_vec")
+def _matching(wide: DataFrame, vectors: DataFrame, asked: DataFrame, image_tags: DataFrame | None, tags: DataFrame | None, options: SearchOptions) -> DataFrame:
+    """All images that match each query, with their similarity. The queries go
+    over the images in blocks of QUERIES, so what is sent with a block is bounded."""
+    asked = cut(asked)
+    blocks = max(1, -(-asked.count() // QUERIES))
+    out = None
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
+        params = [F.struct(*[F.lit(x).cast(t).alias(c) for (c, t), x in zip(own.dtypes, row, strict=True)]) for row in own.collect()]  # QUERIES or so
+        rows = wide.join(vectors, "image_id").withColumn("_q", F.explode(F.array(*params))).select(*wide.columns, "embedding", "_q.*")
+        rows = rows.where(passes(options)).withColumn("similarity", dot(F.col("embedding"), F.col("query_vec"))).where(~F.isnan("similarity")).drop("embedding", "query_vec")
+        rows = with_tags(rows, image_tags, tags)
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def search(images: DataFrame, embeddings: DataFrame, params: SearchParams, image_tags: DataFrame | None = None, tags: DataFrame | None = None, options: SearchOptions = SearchOptions()) -> DataFrame:

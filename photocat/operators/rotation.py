@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dot
+from ..functions.scalars import dot, let
 from .catalog import patch
 
 APPLY_MARGIN, REVIEW_MARGIN = 0.03, 0.01
@@ -17,7 +17,7 @@ def upright_direction(prompts: DataFrame) -> DataFrame:
     rotated ones. prompts: (upright boolean, v array)."""
     parts = prompts.select("upright", F.posexplode("v").alias("i", "x")).groupBy("upright", "i").agg(F.avg("x").alias("x"))
     means = parts.groupBy("upright").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))  # a vector's components
-    one = means.withColumn("u", F.transform("m", lambda x: x / F.sqrt(dot(F.col("m"), F.col("m")))))
+    one = means.withColumn("u", let(F.sqrt(dot(F.col("m"), F.col("m"))), lambda length: F.transform("m", lambda x: x / length)))
     return one.agg(F.max(F.when(F.col("upright"), F.col("u"))).alias("a"), F.max(F.when(~F.col("upright"), F.col("u"))).alias("b")).select(F.zip_with("a", "b", lambda x, y: x - y).alias("direction"))
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -13,10 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
 
-#: Bytes of query vectors that go to the tasks at once; more are searched in blocks.
-QUERY_BYTES = 32 << 20
-#: Vectors from which cells are worth their while, and the cap of their number.
-APPROXIMATE_FROM, MAX_CELLS, FIT_ROWS = 200_000, 100, 100_000
+#: Queries of a block at most, results that a task holds for a block of them,
+#: bytes of a block's vectors, and rows that are multiplied with a block at once.
+QUERIES, HELD, QUERY_BYTES, ROWS = 1024, 1 << 20, 8 << 20, 2048
+#: Vectors from which cells are worth their while, the rows that their centres
+#: are fitted on at most, and the most cells unless their number is given.
+APPROXIMATE_FROM, FIT_ROWS, MAX_CELLS = 200_000, 100_000, 100
 
 
 def knn(embeddings: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -36,21 +40,48 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def knn_batch(embeddings: DataFrame, queries: DataFrame, k: Column | int = 10) -> DataFrame:
-    """(query_id, image_id, similarity): the k best of each query (query_id, query_vec).
+    """(query_id, image_id, similarity, rank): the k best of each query (query_id, query_vec).
 
-    Every partition multiplies its Arrow batches with a block of queries and
-    keeps each query's best; only those are shuffled. Query vectors are sent
-    with the task up to QUERY_BYTES; beyond it, they go in several blocks.
+    Every partition multiplies its rows with a block of queries and keeps each
+    query's best; only those are shuffled. Blocks are bounded by the number of
+    queries, the bytes of their vectors and the results that a task holds; more
+    queries are searched in several blocks.
     """
     asked = queries.select("query_id", F.transform("query_vec", lambda x: x.cast("double")).alias("q"), (F.lit(k) if isinstance(k, int) else k).cast("int").alias("k"))
-    size = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
-    blocks = max(1, -(-size[0] * size[1] * 8 // QUERY_BYTES))
+    n, size, deepest = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(1)), F.coalesce(F.max("k"), F.lit(1))).first()
+    blocks = max(1, -(-n // max(1, min(QUERIES, HELD // max(deepest, 1), QUERY_BYTES // (8 * size)))))
     out = None
     for b in range(blocks):
-        found = _search_block(embeddings, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas())
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
+        found = _search_block(embeddings, own.toPandas())
         out = found if out is None else out.union(found)
+    return _ranked(out)
+
+
+def _ranked(found: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "image_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).drop("k")
+    return found.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).drop("k")
+
+
+class Best:
+    """Each query's best so far, of rows that come in blocks; ties to the smaller id."""
+
+    def __init__(self, depth: np.ndarray):
+        self.depth = depth
+        self.worst = np.full(len(depth), -np.inf)  # the k-th score, once there are k
+        self.scores: list[np.ndarray] = [np.zeros(0)] * len(depth)
+        self.ids: list[np.ndarray] = [np.zeros(0, object)] * len(depth)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: (queries, rows). Only queries that a row gets among the best of are touched."""
+        hit = scores >= self.worst[:, None]  # false for nan
+        for j in np.flatnonzero(hit.any(axis=1)):
+            new = np.flatnonzero(hit[j])
+            s, n = np.concatenate([self.scores[j], scores[j, new]]), np.concatenate([self.ids[j], ids[new]])
+            at = _top(s, n, int(self.depth[j]))
+            self.scores[j], self.ids[j] = s[at], n[at]
+            if len(at) and len(at) == self.depth[j]:
+                self.worst[j] = self.scores[j][-1]
 
 
 def _search_block(embeddings: DataFrame, asked: pd.DataFrame) -> DataFrame:
@@ -59,25 +90,19 @@ def _search_block(embeddings: DataFrame, asked: pd.DataFrame) -> DataFrame:
         return embeddings.sparkSession.createDataFrame([], shape)
     matrix, ids, depth = np.stack(asked["q"].to_numpy()), asked["query_id"].to_numpy(), asked["k"].to_numpy()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object)) for _ in ids]
-        for frame in batches:
-            if not len(frame):
-                continue
-            scores = np.stack(frame["embedding"].to_numpy()).astype(np.float64) @ matrix.T
-            names = frame["image_id"].to_numpy()
-            for j in range(len(ids)):
-                own = scores[:, j]
-                fine = np.flatnonzero(~np.isnan(own))
-                s, n = np.concatenate([best[j][0], own[fine]]), np.concatenate([best[j][1], names[fine]])
-                at = _top(s, n, int(depth[j]))
-                best[j] = s[at], n[at]
-        for j, (s, n) in enumerate(best):
-            yield pd.DataFrame({"query_id": ids[j], "image_id": n, "similarity": s, "k": depth[j]})
-
-    dimension = matrix.shape[1]
-    rows = embeddings.where(F.size("embedding") == dimension).select("image_id", "embedding")
-    return rows.mapInPandas(run, shape)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(depth)
+        for batch in batches:
+            names, flat = batch.column("image_id"), batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            x = flat.reshape(batch.num_rows, -1)
+            for lo in range(0, batch.num_rows, ROWS):
+                best.add(matrix @ x[lo : lo + ROWS].astype(np.float64).T, names.slice(lo, ROWS).to_numpy(zero_copy_only=False))
+        for j, (s, n) in enumerate(zip(best.scores, best.ids, strict=True)):
+            if len(s):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ids[j])), pa.array(n, pa.string()), pa.array(s), pa.array(np.full(len(s), depth[j]), pa.int32())], names=["query_id", "image_id", "similarity", "k"])
+
+    rows = embeddings.where(F.size("embedding") == matrix.shape[1]).select("image_id", "embedding")
+    return rows.mapInArrow(run, shape)
 
 
 def cell_count(n: int) -> int:
@@ -99,10 +124,63 @@ def write_cells(dealt: DataFrame, path: str) -> None:
     dealt.repartition("cell").write.partitionBy("cell").parquet(path, mode="overwrite")
 
 
+@dataclass(frozen=True)
+class Cells:
+    """An approximate index: written cells, their centres, and how many of them a query probes."""
+
+    dealt: DataFrame
+    centres: list[np.ndarray]
+    probes: int
+
+    def nearest(self, queries: DataFrame, k: Column | int = 10) -> DataFrame:
+        return knn_cells_batch(self.dealt, self.centres, queries, k, self.probes)
+
+
+def build_index(embeddings: DataFrame, path: str, cells: int | None = None, probes: int | None = None, approximate_from: int = APPROXIMATE_FROM) -> Cells | None:
+    """Cells in ``path``; None below ``approximate_from`` vectors, where exact search serves. Probes: by
+    default a fifth of the cells."""
+    n = embeddings.where("embedding is not null").count()
+    if n < approximate_from:
+        return None
+    dealt, centres = build_cells(embeddings, cells or cell_count(n))
+    write_cells(dealt, path)
+    return Cells(embeddings.sparkSession.read.parquet(path), centres, probes or max(1, len(centres) // 5))
+
+
+def _probed(centres: list[np.ndarray], query: np.ndarray, probes: int) -> np.ndarray:
+    return np.argsort(((np.asarray(centres) - query) ** 2).sum(axis=1), kind="stable")[:probes]
+
+
 def knn_cells(dealt: DataFrame, centres: list[np.ndarray], query: list[float], k: int, probes: int) -> DataFrame:
     """As ``knn``, within the ``probes`` cells nearest to the query; all cells make it exact."""
-    near = np.argsort([np.sum((np.asarray(c) - np.asarray(query)) ** 2) for c in centres], kind="stable")[:probes]
-    return knn(dealt.where(F.col("cell").isin([int(c) for c in near])), query, k)
+    return knn(dealt.where(F.col("cell").isin([int(c) for c in _probed(centres, np.asarray(query), probes)])), query, k)
+
+
+def knn_cells_batch(dealt: DataFrame, centres: list[np.ndarray], queries: DataFrame, k: Column | int, probes: int) -> DataFrame:
+    """As ``knn_batch``, each query within its ``probes`` nearest cells. Queries
+    are sent to their cells, in blocks where many meet in one; the rows of a cell
+    are dealt over the tasks that the scan gives it."""
+    near = F.udf(lambda v: [int(c) for c in _probed(centres, np.asarray(v), probes)], "array<int>")
+    asked = queries.select("query_id", F.transform("query_vec", lambda x: x.cast("double")).alias("q"), (F.lit(k) if isinstance(k, int) else k).cast("int").alias("k")).withColumn("cell", F.explode(near("q")))
+    shape = "query_id long, image_id string, similarity double, k int"
+
+    def run(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"query_id": np.zeros(0, np.int64), "image_id": np.zeros(0, object), "similarity": np.zeros(0), "k": np.zeros(0, np.int32)})
+        if not len(rows) or not len(asks):
+            return out
+        x, names, found = np.stack(rows["embedding"].to_numpy()).astype(np.float64), rows["image_id"].to_numpy(), []
+        for lo in range(0, len(asks), QUERIES):
+            own = asks.iloc[lo : lo + QUERIES]
+            best = Best(own["k"].to_numpy())
+            for a in range(0, len(x), ROWS):
+                best.add(np.stack(own["q"].to_numpy()) @ x[a : a + ROWS].T, names[a : a + ROWS])
+            found += [pd.DataFrame({"query_id": i, "image_id": n, "similarity": s, "k": d}) for i, d, s, n in zip(own["query_id"], own["k"], best.scores, best.ids, strict=True) if len(s)]
+        return pd.concat([out, *found])
+
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(8)).cast("int").alias("part")  # noqa: E731  a large cell is searched by eight tasks
+    rows = dealt.select("cell", part("image_id"), "image_id", "embedding")
+    asks = asked.select("cell", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("part"), "query_id", "q", "k")
+    return _ranked(rows.groupBy("cell", "part").cogroup(asks.groupBy("cell", "part")).applyInPandas(run, shape))
 
 
 def candidate_depth(limit: Column, deeper: Column, available: Column | int, max_limit: int = 100) -> Column:

@@ -526,7 +526,9 @@ def upright_direction(spark, sf_dir):
 PAIRS_SQL = "pair AS (SELECT least(a.image_id, b.image_id) AS a, greatest(a.image_id, b.image_id) AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM img a JOIN img b ON b.doc_id = a.doc_id + 1000000 WHERE a.embedding IS NOT NULL)"
 
 
-@query(with_sql("SELECT a, b, round(cosine, 6) AS cosine FROM pair", PAIRS_SQL))
+@query(with_sql("""SELECT a.first AS a, b.first AS b, round(list_inner_product(a.v, b.v), 6) AS cosine FROM own_first a JOIN own_first b ON a.first < b.first AND list_inner_product(a.v, b.v) >= 0.97::DOUBLE
+  UNION ALL SELECT first, image_id, round(list_inner_product(v, v), 6) FROM own_first JOIN img ON img.embedding = own_first.embedding WHERE image_id <> first""",
+  "own_first AS (SELECT embedding, embedding::DOUBLE[] AS v, min(image_id) AS first FROM img WHERE embedding IS NOT NULL GROUP BY embedding)"))
 def near_duplicate_pairs(spark, sf_dir):
     return duplicates.near_duplicate_pairs(fx.catalogue(spark, sf_dir)[1]).withColumn("cosine", F.round("cosine", 6))
 

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _twin(v: F.Column) -> F.Column:
     moved = F.transform(v, lambda x, i: x.cast("double") * (1 + 0.01 * ((i % 3) - 1)))
-    return F.transform(moved, lambda x: (x / F.sqrt(scalars.dot(moved, moved))).cast("float"))
+    return scalars.let(moved, lambda m: scalars.let(F.sqrt(scalars.dot(m, m)), lambda length: F.transform(m, lambda x: (x / length).cast("float"))))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
