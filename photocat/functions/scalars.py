@@ -95,6 +95,15 @@ def iso_speed(text: Column) -> Column:
     return F.btrim(text).try_cast("int")
 
 
+def camera_texts(tags: Column) -> Column:
+    """struct of the camera's texts in a map of tags, each as it stands, and of
+    the speed as a number; a tag that is absent is null."""
+    tag = lambda name: F.try_element_at(tags, F.lit(name))
+    return F.struct(
+        tag("Image Make").alias("camera_make"), tag("Image Model").alias("camera_model"), tag("EXIF LensModel").alias("lens_model"),
+        tag("EXIF ExposureTime").alias("shutter_speed"), iso_speed(tag("EXIF ISOSpeedRatings")).alias("iso"))
+
+
 def long_edge(width: Column, height: Column) -> Column:
     edge = F.greatest(F.coalesce(width, F.lit(0)), F.coalesce(height, F.lit(0)))
     return F.nullif(edge, F.lit(0))

@@ -45,6 +45,11 @@ SEARCHES = [
 COLUMNS = ("query_text", "limit", "date_from", "date_to", "folder_pattern", "tags", "min_quality", "min_long_edge", "quality_weight", "dedupe", "sources", "archive", "taste_weight")
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    """A folder of its own among the shared ones."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _asked(spark: SparkSession, sf_dir: str, searches: list) -> DataFrame:
     types = dict(x.strip().rsplit(" ", 1) for x in ranking.QUERY_SCHEMA.split(","))
     rows = spark.createDataFrame([(i, *[p.get(c) for c in COLUMNS]) for i, p in searches], "query_id long, " + ", ".join(f"{c} {types[c]}" for c in COLUMNS))
@@ -60,10 +65,11 @@ def _text(x) -> str:
     return f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
 
 
-def _search_sql(searches: list) -> str:
+def _search_sql(searches: list, prefilter: bool = False, threshold: float = 0.0) -> str:
     kinds = {"tags": "VARCHAR[]", "sources": "VARCHAR[]", "limit": "INT", "min_long_edge": "INT", "min_quality": "DOUBLE", "quality_weight": "DOUBLE", "taste_weight": "DOUBLE", "dedupe": "BOOLEAN"}
     rows = " UNION ALL ".join("SELECT " + ", ".join([f"{i} AS query_id", *[f'{_text(p.get(c))}::{kinds.get(c, "VARCHAR")} AS "{c}"' for c in COLUMNS]]) for i, p in searches)
     historical = scalars.HISTORICAL.replace("'", "''")
+    cand = "SELECT * FROM scored" if prefilter else """SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, image_id) <= n * CASE WHEN min_quality IS NOT NULL OR min_long_edge IS NOT NULL OR qw > 0 OR sources IS NOT NULL OR archive IN ('only', 'exclude') THEN 50 ELSE 10 END"""
     parts = f"""
 asked AS ({rows}),
 q AS (
@@ -73,9 +79,9 @@ q AS (
   FROM asked a JOIN embeddings e ON e.vec_id = a.query_id),
 scored AS (SELECT q.*, i.*, list_inner_product(i.embedding::DOUBLE[], q.v) AS similarity FROM q, img i WHERE i.embedding IS NOT NULL),
 cand AS (
-  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, image_id) <= n * CASE WHEN min_quality IS NOT NULL OR min_long_edge IS NOT NULL OR qw > 0 OR sources IS NOT NULL OR archive IN ('only', 'exclude') THEN 50 ELSE 10 END),
+  {cand}),
 fit AS (
-  SELECT * FROM cand c WHERE similarity >= 0
+  SELECT * FROM cand c WHERE similarity >= {threshold}
     AND (date_from IS NULL OR strftime(date_taken, '%Y-%m-%dT%H:%M:%S') >= date_from) AND (date_to IS NULL OR strftime(date_taken, '%Y-%m-%dT%H:%M:%S') <= date_to)
     AND (folder_pattern IS NULL OR folder ILIKE '%' || folder_pattern || '%')
     AND CASE WHEN mode = 'only' THEN source_class = 'archive' WHEN mode = 'exclude' THEN source_class <> 'archive' AND (sources IS NULL OR list_contains(sources, source_class)) ELSE sources IS NULL OR list_contains(sources, source_class) END
@@ -96,10 +102,11 @@ FROM capped QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) <= n"""
     return with_sql("", fx.LABELS_SQL, parts)
 
 
-def _searched(spark: SparkSession, sf_dir: str, searches: list) -> DataFrame:
+def _searched(spark: SparkSession, sf_dir: str, searches: list, options: ranking.SearchOptions = ranking.SearchOptions(), cells: bool = False) -> DataFrame:
     images, embeddings = fx.catalogue(spark, sf_dir)
     tags, image_tags, _ = fx.labels(spark, sf_dir)
-    rows = ranking.search_batch(images, embeddings, _asked(spark, sf_dir, searches), image_tags, tags)
+    index = vectors.build_index(embeddings, _fresh(spark, "cells"), cells=8, probes=8, approximate_from=1) if cells else None
+    rows = ranking.search_batch(images, embeddings, _asked(spark, sf_dir, searches), image_tags, tags, options, cells=index)
     return rows.select(
         "query_id", "place", "image_id", "filepath", F.round("similarity", 6).alias("similarity"), "folder", "camera_model", "long_edge_px", "source_class", "aesthetic_score", "taste_score", "rotation_fix",
         F.round("rank_score", 6).alias("rank_score"), F.array_join(F.array_sort("duplicate_ids"), ",").alias("duplicates"))
@@ -115,6 +122,18 @@ def search_batch(spark, sf_dir):
     return _searched(spark, sf_dir, SEARCHES)
 
 
+@query(_search_sql(SEARCHES, prefilter=True, threshold=0.05))
+def search_prefiltered(spark, sf_dir):
+    """All images that match are ranked, those of a similarity of 0.05 or more."""
+    return _searched(spark, sf_dir, SEARCHES, ranking.SearchOptions(mode="prefilter", similarity_threshold=0.05))
+
+
+@query(_search_sql(SEARCHES))
+def search_cells(spark, sf_dir):
+    """Candidates from an approximate index of which every cell is probed."""
+    return _searched(spark, sf_dir, SEARCHES, cells=True)
+
+
 KNN_SQL = with_sql("""SELECT query_id, rank::INT AS rank, image_id, round(similarity, 6) AS similarity FROM (
   SELECT q.vec_id AS query_id, i.image_id, list_inner_product(i.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(i.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, i.image_id) AS rank
@@ -145,6 +164,15 @@ def knn_all_cells(spark, sf_dir):
     return vectors.knn_cells(dealt, centres, _one_vector(spark, sf_dir), 25, 5).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(KNN_SQL.format(which="q.vec_id % 20 = 0", k=10))
+def knn_cells_batch(spark, sf_dir):
+    """Every twentieth vector asks all cells: as exact search."""
+    _, e = fx.catalogue(spark, sf_dir)
+    asks = fx.table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    index = vectors.build_index(e, _fresh(spark, "cells"), cells=5, probes=5, approximate_from=1)
+    return index.nearest(asks, 10).select("query_id", "rank", "image_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query()
 def knn_some_cells(spark, sf_dir):
     dealt, centres = vectors.build_cells(fx.catalogue(spark, sf_dir)[1], 5)
@@ -167,11 +195,12 @@ def vector_functions(spark, sf_dir):
     return rows.select("vec_id", F.round(scalars.dot(F.col("v"), F.col("w")), 6).alias("cosine"), F.round(scalars.cosine_from_l2(scalars.dot(gap, gap)), 6).alias("from_l2"), F.round(F.sqrt(scalars.dot(unit, unit)), 5).alias("length"))
 
 
-@query("SELECT vec_id, len(embedding)::INT AS dimension, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[len(embedding)]::DOUBLE, 6) AS last FROM embeddings")
+@query("SELECT vec_id, len(embedding)::INT AS dimension, round(list_inner_product(embedding::DOUBLE[], range(1, len(embedding) + 1)::DOUBLE[]), 5) AS weighted, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS squared FROM embeddings")
 def vector_codec(spark, sf_dir):
+    """Every component counts, once by its place and once by itself."""
     e = sources.encode_vectors(fx.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", "blob")
     back = sources.decode_vectors(e.select("vec_id", "blob"), "blob", "v")
-    return back.select("vec_id", sources.blob_dimension(F.col("blob")).alias("dimension"), F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("first"), F.round(F.element_at("v", -1).cast("double"), 6).alias("last"))
+    return back.select("vec_id", sources.blob_dimension(F.col("blob")).alias("dimension"), F.round(scalars.dot(F.col("v"), F.sequence(F.lit(1), F.size("v"))), 5).alias("weighted"), F.round(scalars.dot(F.col("v"), F.col("v")), 5).alias("squared"))
 
 
 # Row functions ---------------------------------------------------------------
@@ -184,16 +213,17 @@ def image_columns(spark, sf_dir):
 
 
 @query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS taken, round(CASE WHEN event_id % 7 <> 0 THEN floor(value * 100) / (event_id % 7) ELSE try_cast(event_id::VARCHAR AS DOUBLE) END, 6) AS ratio,
-  round(CASE WHEN event_id % 5 <> 0 THEN (event_id % 90 + (event_id % 60) / 60::DOUBLE + (event_id % 3600) / (event_id % 5) / 3600::DOUBLE) * CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END END, 6) AS latitude FROM events""")
+  round(CASE WHEN event_id % 5 <> 0 THEN (event_id % 90 + (event_id % 60) / 60::DOUBLE + (event_id % 3600) / (event_id % 5) / 3600::DOUBLE) * CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END END, 6) AS latitude,
+  round(CASE WHEN event_id % 5 <> 0 THEN (event_id % 90 + (event_id % 60) / 60::DOUBLE + (event_id % 3600) / (event_id % 5) / 3600::DOUBLE) * CASE WHEN event_id % 4 = 1 THEN -1 ELSE 1 END END, 6) AS longitude FROM events""")
 def exif_functions(spark, sf_dir):
     """Tags made from events: times as text, values as ratios, some of den 0."""
     n = F.col("event_id")
     pair = lambda a, b: F.struct(a.cast("long").alias("num"), b.cast("long").alias("den"))
     e = fx.table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy:MM:dd HH:mm:ss").alias("text"), F.array(pair(F.floor(F.col("value") * 100), n % 7)).alias("nums"),
         F.array(pair(n % 90, F.lit(1)), pair(n % 60, F.lit(1)), pair(n % 3600, n % 5)).alias("dms"))
-    gps = scalars.gps_decimal(F.col("dms"), F.when(n % 2 == 0, "S").otherwise("N"), F.col("dms"), F.lit(None).cast("string"))
+    gps = scalars.gps_decimal(F.col("dms"), F.when(n % 2 == 0, "S").otherwise("N"), F.col("dms"), F.when(n % 4 == 1, "W").when(n % 4 == 2, "E"))
     taken = scalars.date_taken(F.when(n % 3 == 0, F.lit("0000:00:00 00:00:00")).otherwise(F.col("text")), F.col("text"))
-    return e.select("event_id", F.date_format(taken, "yyyy-MM-dd HH:mm:ss").alias("taken"), F.round(scalars.exif_rational(F.col("nums"), n.cast("string")), 6).alias("ratio"), F.round(gps["latitude"], 6).alias("latitude"))
+    return e.select("event_id", F.date_format(taken, "yyyy-MM-dd HH:mm:ss").alias("taken"), F.round(scalars.exif_rational(F.col("nums"), n.cast("string")), 6).alias("ratio"), F.round(gps["latitude"], 6).alias("latitude"), F.round(gps["longitude"], 6).alias("longitude"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN source || ' trip' END AS event_name, CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 100)::INT END AS day, CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 13)::INT END AS month,
@@ -207,10 +237,10 @@ def filename_functions(spark, sf_dir):
 
 
 @query("SELECT doc_id, CASE WHEN a IN ('include', 'exclude', 'only') THEN a WHEN regexp_matches(t, '" + scalars.HISTORICAL.replace("'", "''") + """') THEN 'include' ELSE 'capped' END AS mode FROM (
-  SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'include' WHEN 1 THEN 'only' ELSE 'auto' END AS a, CASE doc_id % 7 WHEN 0 THEN 'in 1953' WHEN 1 THEN '1953s' WHEN 2 THEN 'the 1980s' WHEN 3 THEN '1985' WHEN 4 THEN 'prehistory' WHEN 5 THEN left(text, 40) ELSE 'Old Photo' END AS t FROM documents)""")
+  SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'include' WHEN 1 THEN 'only' ELSE 'auto' END AS a, CASE doc_id % 7 WHEN 0 THEN 'in 1953' WHEN 1 THEN '1953s' WHEN 2 THEN 'the 1980s' WHEN 3 THEN '1985' WHEN 4 THEN 'prehistory' WHEN 5 THEN text ELSE 'Old Photo' END AS t FROM documents)""")
 def archive_modes(spark, sf_dir):
     n = F.col("doc_id")
-    text = F.substring("text", 1, 40)
+    text = F.col("text")
     for i, t in enumerate(("in 1953", "1953s", "the 1980s", "1985", "prehistory")):
         text = F.when(n % 7 == i, t).otherwise(text)
     text = F.when(n % 7 == 6, "Old Photo").otherwise(text)
@@ -226,6 +256,76 @@ def human_units(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", scalars.human_size(F.col("n_chars") * F.pow(F.lit(2.0), n % 5 * 6)).alias("size"), scalars.human_duration((n * 7).cast("double")).alias("duration"))
 
 
+@query("SELECT doc_id, sha256(CASE WHEN octet_length(encode(long)) > 8192 THEN array_to_string(list_transform(range(0, 8192), lambda i: long[i + 1]), '') ELSE long END) AS hash FROM (SELECT doc_id, regexp_replace(repeat(coalesce(text, ''), 2), '[^ -~]', '?', 'g') AS long FROM documents)")
+def file_hashes(spark, sf_dir):
+    """Texts twice over, in ASCII, so that many are longer than what is hashed."""
+    long = F.regexp_replace(F.repeat(F.coalesce("text", F.lit("")), F.lit(2)), "[^ -~]", "?")
+    return fx.table(spark, sf_dir, "documents").select("doc_id", scalars.file_hash(long.cast("binary")).alias("hash"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 'Make ' || user_id END AS camera_make, CASE WHEN event_id % 4 <> 0 THEN event_type || ' ' END AS camera_model, CASE WHEN event_id % 5 = 0 THEN '24-70mm f/2.8' END AS lens_model,
+  CASE WHEN event_id % 2 = 0 THEN '1/' || (event_id % 1000) END AS shutter_speed, CASE WHEN event_id % 7 <> 0 THEN (event_id % 6400)::INT END AS iso FROM events""")
+def camera_tags(spark, sf_dir):
+    """Tags of which some are absent and some speeds are no numbers."""
+    n = F.col("event_id")
+    text = {"Image Make": F.when(n % 3 != 0, F.concat(F.lit("Make "), F.col("user_id").cast("string"))), "Image Model": F.when(n % 4 != 0, F.concat("event_type", F.lit(" "))), "EXIF LensModel": F.when(n % 5 == 0, "24-70mm f/2.8"),
+            "EXIF ExposureTime": F.when(n % 2 == 0, F.concat(F.lit("1/"), (n % 1000).cast("string"))), "EXIF ISOSpeedRatings": F.when(n % 7 == 0, "auto").otherwise(F.concat(F.lit(" "), (n % 6400).cast("string")))}
+    tags = F.map_filter(F.create_map(*[x for k, v in text.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    return fx.table(spark, sf_dir, "events").select("event_id", scalars.camera_texts(tags).alias("t")).select("event_id", "t.*")
+
+
+# Sources -----------------------------------------------------------------------
+
+
+@query("SELECT source || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' ELSE '.webp' END AS path, strlen(coalesce(text, ''))::BIGINT AS file_size FROM documents WHERE doc_id % 4 <> 3 AND source IS NOT NULL")
+def listed_files(spark, sf_dir):
+    """A file for each document, some with suffixes that are passed over."""
+    n, root = F.col("doc_id"), _fresh(spark, "library")
+    suffix = F.when(n % 4 == 0, ".jpg").when(n % 4 == 1, ".PNG").when(n % 4 == 2, ".webp").otherwise(F.when(n % 8 == 3, ".Jpg").otherwise(".txt"))
+    fx.write_files(fx.table(spark, sf_dir, "documents").where("source is not null").select(F.concat("source", F.lit("/"), n.cast("string"), suffix).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")), root)
+    found = sources.list_files(spark, root)
+    return found.select(F.substring_index("path", "/", -2).alias("path"), "file_size")
+
+
+@query(with_sql("SELECT path, strftime(file_modified, '%Y-%m-%d %H:%M:%S') AS modified FROM later ORDER BY file_modified DESC, path LIMIT 40", fx.LISTING_SQL))
+def newest_files(spark, sf_dir):
+    """The first of a listing, newest first."""
+    return sources.newest_first(fx.listing(spark, sf_dir)).limit(40).select("path", F.date_format("file_modified", "yyyy-MM-dd HH:mm:ss").alias("modified"))
+
+
+@query("SELECT line_no::INT AS line_no, folder FROM (SELECT 3 * (row_number() OVER (ORDER BY source) - 1) + 1 AS line_no, source AS folder FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))")
+def allowlist(spark, sf_dir):
+    """A list of the sources' folders, each behind a comment and before a blank line."""
+    path = _fresh(spark, "allow")
+    names = fx.table(spark, sf_dir, "documents").where("source is not null").select("source").distinct().agg(F.array_sort(F.collect_set("source")).alias("s"))  # a list of folders is one file
+    names.select(F.array_join(F.transform("s", lambda x: F.concat(F.lit("# next\n  "), x, F.lit(" \n"))), "\n").alias("value")).write.text(path)
+    return sources.read_allowlist(spark, path).select("line_no", "folder")
+
+
+@query("SELECT (row_number() OVER (PARTITION BY s_suppkey // 100 ORDER BY s_suppkey) - 1)::BIGINT AS vote_id, CASE s_suppkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'tie' ELSE 'both_bad' END AS choice, s_name AS a, 'nation ' || s_nationkey AS b FROM supplier")
+def vote_files(spark, sf_dir):
+    """Lists of a hundred votes at most."""
+    path, n = _fresh(spark, "votes"), F.col("s_suppkey")
+    choice = F.when(n % 4 == 0, "a").when(n % 4 == 1, "b").when(n % 4 == 2, "tie").otherwise("both_bad")
+    votes = fx.table(spark, sf_dir, "supplier").select(F.floor(n / 100).cast("string").alias("list"), F.struct(n.alias("at"), choice.alias("choice"), F.col("s_name").alias("a"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("b")).alias("v"))
+    lists = votes.groupBy("list").agg(F.to_json(F.transform(F.array_sort(F.collect_list("v")), lambda v: F.struct(v["choice"].alias("choice"), v["a"].alias("a"), v["b"].alias("b")))).alias("json"))
+    fx.write_files(lists.select(F.concat("list", F.lit(".json")).alias("path"), F.col("json").cast("binary").alias("content")), path)
+    return sources.read_votes(spark, path)
+
+
+@query("SELECT doc_id::INT AS n, CASE WHEN quality = 1 THEN 'hero' WHEN toxic = 1 THEN 'reject' ELSE 'secondary' END AS tier, 'img-' || doc_id AS image_id FROM labels WHERE doc_id % 10 <> 0")
+def tier_label_files(spark, sf_dir):
+    """Maps of photo numbers to tiers and lists of their pictures, a file for each thousand; some pictures are not in a list."""
+    labels_path, key_path, n = _fresh(spark, "labels"), _fresh(spark, "keys"), F.col("doc_id")
+    tier = F.when(F.col("quality") == 1, "hero").when(F.col("toxic") == 1, "reject").otherwise("secondary")
+    rows = fx.table(spark, sf_dir, "labels").select("doc_id", tier.alias("tier"), F.floor(n / 1000).cast("string").alias("list"))
+    maps = rows.groupBy("list").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(n.cast("string"), "tier")))).alias("json"))
+    keys = rows.where("doc_id % 10 <> 0").groupBy("list").agg(F.to_json(F.collect_list(F.struct(n.cast("int").alias("n"), F.concat(F.lit("img-"), n.cast("string")).alias("image_id")))).alias("json"))
+    for part, path in ((maps, labels_path), (keys, key_path)):
+        fx.write_files(part.select(F.concat("list", F.lit(".json")).alias("path"), F.col("json").cast("binary").alias("content")), path)
+    return sources.read_tier_labels(spark, labels_path, key_path)
+
+
 # Catalogue maintenance -------------------------------------------------------
 
 
@@ -449,22 +549,54 @@ def tier_means(spark, sf_dir):
     return taste.tier_means(fx.catalogue(spark, sf_dir)[0].select("image_id", "taste_score"), fx.labels(spark, sf_dir)[2]).withColumn("mean_score", F.round("mean_score", 6))
 
 
-@query()
+def _fits_sql(steps: int) -> str:
+    """Gradient descent, for every penalty of the grid and each fold left out (5: none)."""
+    slopes = ", ".join(f"sum(s * d[{i}])" for i in range(1, 65))
+    grid = ", ".join(f"{x}::DOUBLE" for x in taste.GRID)
+    return f"""
+bad AS (SELECT 2 * count(*) AS n FROM vote WHERE choice = 'both_bad'),
+pair AS (SELECT vote_id, ('0x' || substr(sha256('0:' || vote_id), 1, 8))::BIGINT % 5 AS fold, list_transform(list_zip(x.v, y.v), lambda p: p[1] - p[2]) AS d
+  FROM vote JOIN vec x ON x.image_id = CASE choice WHEN 'a' THEN a ELSE b END JOIN vec y ON y.image_id = CASE choice WHEN 'a' THEN b ELSE a END WHERE choice IN ('a', 'b')),
+job AS (SELECT l2, f AS fold, (SELECT count(*) FROM pair WHERE fold <> f) + bad.n AS n FROM bad, (SELECT unnest([{grid}]) AS l2), range(0, 6) t(f)),
+fit(i, l2, fold, w) AS (
+  SELECT 0, l2, fold, list_transform(range(0, 64), lambda x: 0::DOUBLE) FROM job
+  UNION ALL
+  SELECT i + 1, l2, fold, list_transform(list_zip(w, g), lambda p: p[1] + (p[2] / n - 2 * l2 * p[1]) / (0.05 + 2 * l2))
+  FROM (SELECT i, l2, fold, w, n, [{slopes}] AS g FROM (SELECT i, fit.l2, fit.fold, w, n, d, 1 / (1 + exp(list_inner_product(w, d))) AS s FROM fit JOIN job USING (l2, fold) JOIN pair ON pair.fold <> fit.fold WHERE i < {steps}) GROUP BY i, l2, fold, w, n)),
+done AS (SELECT * FROM fit WHERE i = {steps}),
+score AS (SELECT l2, avg(accuracy) AS accuracy FROM (SELECT l2, done.fold, avg(CASE WHEN list_inner_product(w, d) > 0 THEN 1.0::DOUBLE ELSE 0 END) AS accuracy FROM done JOIN pair USING (fold) GROUP BY ALL) GROUP BY l2),
+best AS (SELECT l2, accuracy FROM score ORDER BY accuracy DESC, l2 LIMIT 1)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_recursive(with_sql("""SELECT l2, round(accuracy, 6) AS accuracy, round(loss, 6) AS loss FROM best JOIN (
+  SELECT done.l2, sum(ln(1 + exp(-list_inner_product(w, d)))) / (count(*) + any_value(bad.n)) + done.l2 * any_value(list_inner_product(w, w)) AS loss FROM done, pair, bad WHERE done.fold = 5 GROUP BY done.l2) USING (l2)""", fx.VOTES_SQL, _fits_sql(300))))
 def fit_taste(spark, sf_dir):
-    """The chosen penalty, its accuracy, and the weights."""
+    """The chosen penalty, its accuracy, and what the weights attain: as there is
+    one least loss, and it is a strictly convex one, this tells the weights."""
     pairs, bads = taste.vote_pairs(fx.votes(spark, sf_dir))
     rows = cut(taste.difference_vectors(pairs, fx.catalogue(spark, sf_dir)[1])[0])
     n_bad = bads.count()
     l2, accuracy = taste.choose_l2(rows, n_bad)
-    w = taste.fit_taste(rows, l2, n_bad)
-    return spark.createDataFrame([(l2, accuracy, [float(x) for x in w] if w is not None else [])], "l2 double, accuracy double, weights array<double>")
+    w = F.array(*[F.lit(float(x)) for x in taste.fit_taste(rows, l2, n_bad)])
+    loss = F.sum(F.log1p(F.exp(-scalars.dot(F.col("d"), w)))) / (F.count(F.lit(1)) + n_bad) + l2 * scalars.dot(w, w)
+    return rows.agg(loss.alias("loss")).select(F.lit(l2).alias("l2"), F.round(F.lit(accuracy), 6).alias("accuracy"), F.round("loss", 6).alias("loss"))
 
 
-@query()
+@query(with_sql(f"""SELECT (SELECT count(*) FROM vote) AS votes, 0.01::DOUBLE AS l2, 0.5::DOUBLE AS cv_acc, round(corr(rx, ry), 6) AS heldout_rho,
+  (SELECT round(quantile_cont(z, 0.95), 6) FROM vote JOIN z ON image_id = a OR image_id = b WHERE choice = 'both_bad') AS floor_z
+FROM (SELECT avg(i) OVER (PARTITION BY z) AS rx, avg(j) OVER (PARTITION BY level) AS ry FROM (
+  SELECT z, level, row_number() OVER (ORDER BY z) AS i, row_number() OVER (ORDER BY level) AS j FROM (SELECT z, CASE tier WHEN 'reject' THEN 0 WHEN 'secondary' THEN 1 ELSE 2 END AS level FROM tier JOIN z USING (image_id))))""",
+  fx.LABELS_SQL, fx.VOTES_SQL, SCORED_SQL, "z AS (SELECT image_id, (raw - (SELECT avg(raw) FROM scored)) / (SELECT stddev_pop(raw) FROM scored) AS z FROM scored)"))
 def taste_report(spark, sf_dir):
     votes = fx.votes(spark, sf_dir)
     scores = taste.score_taste(fx.catalogue(spark, sf_dir)[1], np.array(WEIGHTS))
-    return taste.taste_report(votes, scores, fx.labels(spark, sf_dir)[2], taste.vote_pairs(votes)[1], 0.01, 0.5)
+    report = taste.taste_report(votes, scores, fx.labels(spark, sf_dir)[2], taste.vote_pairs(votes)[1], 0.01, 0.5)
+    row = F.from_json("value", "votes long, l2 double, cv_acc double, heldout_rho double, floor_z double").alias("v")
+    return report.select(row).select("v.votes", "v.l2", "v.cv_acc", F.round("v.heldout_rho", 6).alias("heldout_rho"), F.round("v.floor_z", 6).alias("floor_z"))
 
 
 @query(with_sql(f"SELECT image_id, round(list_inner_product(embedding::DOUBLE[], {WEIGHTS_SQL}) * 2 + 5.5, 6) AS aesthetic_score FROM img WHERE embedding IS NOT NULL"))
@@ -515,10 +647,11 @@ def apply_rotation(spark, sf_dir):
     return images.join(left, images["image_id"] == left["_id"], "left").select("image_id", "rotation_fix", "taste_score", F.col("_id").isNotNull().alias("still_scanned"))
 
 
-@query("SELECT round(list_inner_product(x, x), 6) AS squared FROM (SELECT list_transform(list_zip(a, b), lambda p: p[1] / sqrt(list_inner_product(a, a)) - p[2] / sqrt(list_inner_product(b, b))) AS x FROM (SELECT (SELECT list(m ORDER BY i) FROM (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) WHERE vec_id % 2 = 0 GROUP BY i)) AS a, (SELECT list(m ORDER BY i) FROM (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) WHERE vec_id % 2 = 1 GROUP BY i)) AS b))")
+@query("""WITH m AS (SELECT i - 1 AS i, avg(embedding[i]::DOUBLE) FILTER (vec_id % 2 = 0) AS a, avg(embedding[i]::DOUBLE) FILTER (vec_id % 2 = 1) AS b FROM embeddings, range(1, 65) t(i) GROUP BY i)
+SELECT i::INT AS i, round(a / sqrt((SELECT sum(a * a) FROM m)) - b / sqrt((SELECT sum(b * b) FROM m)), 6) AS x FROM m""")
 def upright_direction(spark, sf_dir):
     prompts = fx.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 2 == 0).alias("upright"), F.col("embedding").cast("array<double>").alias("v"))
-    return rotation.upright_direction(prompts).select(F.round(scalars.dot(F.col("direction"), F.col("direction")), 6).alias("squared"))
+    return rotation.upright_direction(prompts).select(F.posexplode("direction").alias("i", "x")).select("i", F.round("x", 6).alias("x"))
 
 
 # Duplicates, inference, streaming --------------------------------------------

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +97,21 @@ def rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(e, "vec_id").select("image_id", "rotation", "embedding")
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """A file for each row (path, content), below ``folder``, which all executors share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fs, base = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                fs.create_dir(f"{base}/{path}".rsplit("/", 1)[0])
+                with fs.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    rows.select("path", "content").mapInArrow(run, "n long").agg({"n": "sum"}).collect()
+
+
 CAMERA_SQL = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN " + ("NULL" if c is None else f"'{c}'") for i, c in enumerate(CAMERAS)) + " END"
 PRO_SQL = scalars.PRO_BODY.replace("'", "''")
 
