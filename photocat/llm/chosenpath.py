@@ -89,13 +89,6 @@ def _sequence_keys(hashed: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     return keys[0], keys[1]
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    """The rows of a matrix as binary values."""
-    data = np.ascontiguousarray(rows)
-    ends = np.arange(len(data) + 1, dtype=np.int32) * (data.shape[1] * data.itemsize)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-
-
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
@@ -105,7 +98,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, n = S.shingles(hashed, counts, WORDS)
             signature = _signatures(values, n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(k1), pa.array(k2), pa.array(counts), _binary(signature), _binary(signature.astype(np.uint8))],
+                [batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(k1), pa.array(k2), pa.array(counts), S.binary_rows(signature), S.binary_rows(signature.astype(np.uint8))],
                 names=["row", "doc_id", "k1", "k2", "n_words", "signature", "sketch"])
 
 

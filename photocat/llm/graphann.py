@@ -8,7 +8,8 @@ next, so kept edges point in diverse directions. Edges also run back, and nodes
 that get too many are pruned again. The index is a table of nodes with their
 vectors and edges. A search runs the beam over every shard, in blocks of
 queries, scores all that the beam holds by cosine in double precision, and
-merges the shards' nearest. The beam's own distances are single precision: where
+merges the shards' nearest; its work grows with queries times shards, so shards
+are as large as a task can well build. The beam's own distances are single precision: where
 two of the best scores or the best one left out are closer than its error, it
 cannot tell near copies apart, and that query is compared with every vector of
 the shard.
@@ -34,66 +35,74 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
-from .vectors import dimensions, numbered, shown
+from .common import cut, join_split
+from .vectors import classes_of, dimensions, numbered, shown
 
-#: Vectors of a shard, edges of a node, beam of building and searching, nodes
-#: that a step expands, slack of pruning, vectors inserted at once.
-SHARD, DEGREE, BUILD_BEAM, BEAM, EXPAND, ALPHA, BATCH = 4000, 32, 64, 128, 4, 1.2, 256
+#: Vectors of a shard, edges of a node after pruning and at most, beam of
+#: building and searching, nodes that a step expands, slack of pruning, vectors
+#: inserted at once.
+SHARD, DEGREE, MOST, BUILD_BEAM, BEAM, EXPAND, ALPHA, BATCH = 16_384, 32, 48, 40, 128, 8, 1.2, 256
 #: Queries of a block of a search.
-QUERY_BLOCK = 5000
+QUERY_BLOCK = 50_000
+
+
+def distinct(ids: np.ndarray) -> np.ndarray:
+    """Rows sorted, with -1 for what repeats."""
+    ids = np.sort(ids, axis=1)
+    ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
+    return ids
 
 
 def beam_search(x: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, distances) of the beam for each query, nearest first; -1 fills.
+    """(nodes, distances) of the beam for each query, in no order; -1 fills.
     x and queries are unit vectors, a distance is the squared one, halved.
-    edges: (nodes, degree), -1 for none."""
+    edges: (nodes, MOST), -1 for none."""
     n, q = len(x), len(queries)
     width = min(beam, n)
     ids = np.full((q, width), -1, np.int32)
     dist = np.full((q, width), np.inf, np.float32)
-    done = np.ones((q, width), bool)
-    ids[:, 0], dist[:, 0], done[:, 0] = start, 1 - queries @ x[start], False
+    open_dist = np.full((q, width), np.inf, np.float32)  # inf once a node is expanded
+    ids[:, 0], dist[:, 0] = start, 1 - queries @ x[start]
+    open_dist[:, 0] = dist[:, 0]
     seen = np.zeros((q, n + 1), bool)
     seen[:, start] = True
     seen[:, n] = True  # the place of "none"
     live = np.arange(q)
-    while len(live):
-        open_dist = np.where(done[live], np.inf, dist[live])
-        step = min(EXPAND, width)
-        at = np.argpartition(open_dist, step - 1, axis=1)[:, :step]
-        chosen = np.where(np.isfinite(np.take_along_axis(open_dist, at, 1)), np.take_along_axis(ids[live], at, 1), -1)
-        going = (chosen >= 0).any(axis=1)
-        live, at, chosen = live[going], at[going], chosen[going]
+    step = min(EXPAND, width)
+    while True:
+        own = open_dist[live]
+        at = np.argpartition(own, step - 1, axis=1)[:, :step]
+        some = np.isfinite(np.take_along_axis(own, at, 1))
+        going = some.any(axis=1)
+        live, at, some = live[going], at[going], some[going]
         if not len(live):
             break
-        flags = done[live]
-        np.put_along_axis(flags, at, True, 1)
-        done[live] = flags
-        near = np.where(chosen[:, :, None] >= 0, edges[chosen], -1).reshape(len(live), -1)
-        near.sort(axis=1)
-        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        near = np.where(seen[live[:, None], near], -1, near)  # -1 is the last place of seen
+        chosen = np.take_along_axis(ids[live], at, 1)
+        open_dist[live[:, None], at] = np.inf
+        near = distinct(np.where(some[:, :, None], edges[chosen], -1).reshape(len(live), -1))
+        new = ~seen[live[:, None], near]  # -1 is the last place of seen
+        places = max(1, int(new.sum(axis=1).max()))
+        near = np.where(new, near, -1)
+        if places < near.shape[1]:
+            near = -np.partition(-near, places - 1, axis=1)[:, :places]
         seen[live[:, None], near] = True
-        row, col = np.nonzero(near >= 0)
-        d = np.full(near.shape, np.inf, np.float32)
-        d[row, col] = 1 - np.einsum("ij,ij->i", queries[live[row]], x[near[row, col]])
+        d = 1 - np.matmul(x[near], queries[live][:, :, None])[:, :, 0]
+        d[near < 0] = np.inf
         all_ids, all_dist = np.concatenate([ids[live], near], 1), np.concatenate([dist[live], d], 1)
-        all_done = np.concatenate([done[live], d == np.inf], 1)
-        best = np.argsort(all_dist, axis=1, kind="stable")[:, :width]
-        ids[live], dist[live], done[live] = (np.take_along_axis(a, best, 1) for a in (all_ids, all_dist, all_done))
+        best = np.argpartition(all_dist, width - 1, axis=1)[:, :width] if all_dist.shape[1] > width else np.broadcast_to(np.arange(width), (len(live), width))
+        ids[live], dist[live] = np.take_along_axis(all_ids, best, 1), np.take_along_axis(all_dist, best, 1)
+        open_dist[live] = np.take_along_axis(np.concatenate([open_dist[live], d], 1), best, 1)
     return np.where(np.isfinite(dist), ids, -1), dist
 
 
 def robust_prune(x: np.ndarray, nodes: np.ndarray, proposals: np.ndarray, alpha: float) -> np.ndarray:
-    """The edges of each node from its proposals (-1 for none)."""
-    proposals = np.sort(proposals, axis=1)
-    proposals[:, 1:][proposals[:, 1:] == proposals[:, :-1]] = -1
+    """The edges of each node from its proposals (-1 for none), DEGREE at most."""
+    proposals = distinct(proposals)
     proposals[proposals == nodes[:, None]] = -1
     v = x[proposals]
-    d = np.where(proposals >= 0, 1 - np.einsum("ijk,ik->ij", v, x[nodes]), np.inf)
+    d = np.where(proposals >= 0, 1 - np.matmul(v, x[nodes][:, :, None])[:, :, 0], np.inf)
     between = 1 - v @ v.transpose(0, 2, 1)
-    out = np.full((len(nodes), DEGREE), -1, np.int32)
+    out = np.full((len(nodes), MOST), -1, np.int32)
     at = np.arange(len(nodes))
     for k in range(DEGREE):
         best = d.argmin(axis=1)
@@ -101,44 +110,41 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, proposals: np.ndarray, alpha:
         if not some.any():
             break
         out[some, k] = proposals[at, best][some]
-        d = np.where(some[:, None] & (alpha**2 * between[at, best] <= d), np.inf, d)
+        d[some[:, None] & (alpha**2 * between[at, best] <= d)] = np.inf
         d[at, best] = np.inf
     return out
 
 
 def build_graph(x: np.ndarray, seed: int = 0) -> tuple[np.ndarray, int]:
-    """(edges, start) for unit vectors."""
+    """(edges, start) for unit vectors: nodes are inserted into a random graph,
+    a batch after the other."""
     n = len(x)
     rng = np.random.default_rng(seed)
-    centre = x.mean(axis=0)
-    start = int(np.argmax(x @ centre))
-    edges = np.full((n, DEGREE), -1, np.int32)
+    start = int(np.argmax(x @ x.mean(axis=0)))
+    edges = np.full((n, MOST), -1, np.int32)
     if n > 1:
-        edges[:, : DEGREE // 2] = rng.integers(0, n, (n, DEGREE // 2))
+        edges[:, : DEGREE // 4] = rng.integers(0, n, (n, DEGREE // 4))
         edges[edges == np.arange(n)[:, None]] = -1
-    for alpha in (1.0, ALPHA):
-        order = rng.permutation(n)
-        for lo in range(0, n, BATCH):
-            nodes = order[lo : lo + BATCH]
-            found, _ = beam_search(x, edges, start, x[nodes], BUILD_BEAM)
-            edges[nodes] = robust_prune(x, nodes, np.concatenate([found, edges[nodes]], 1), alpha)
-            source, target = np.repeat(nodes, DEGREE), edges[nodes].ravel()
-            source, target = source[target >= 0], target[target >= 0]
-            by = np.argsort(target, kind="stable")
-            source, target = source[by], target[by]
-            hit, first, count = np.unique(target, return_index=True, return_counts=True)
-            more = np.full((len(hit), count.max(initial=0)), -1, np.int32)
-            more[np.repeat(np.arange(len(hit)), count), np.arange(len(target)) - np.repeat(first, count)] = source
-            for a in range(0, len(hit), BATCH):
-                own = np.concatenate([edges[hit[a : a + BATCH]], more[a : a + BATCH]], 1)
-                new = np.sort(own, axis=1)
-                new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
-                new = -np.sort(-new, axis=1)
-                full = (new >= 0).sum(axis=1) > DEGREE
-                kept = new[:, :DEGREE].copy() if new.shape[1] >= DEGREE else np.pad(new, ((0, 0), (0, DEGREE - new.shape[1])), constant_values=-1)
-                if full.any():
-                    kept[full] = robust_prune(x, hit[a : a + BATCH][full], own[full], alpha)
-                edges[hit[a : a + BATCH]] = kept
+    order = rng.permutation(n)
+    for lo in range(0, n, BATCH):
+        nodes = order[lo : lo + BATCH]
+        found, _ = beam_search(x, edges, start, x[nodes], BUILD_BEAM)
+        edges[nodes] = robust_prune(x, nodes, np.concatenate([found, edges[nodes]], 1), ALPHA)
+        # the way back: each target with all new nodes that point to it
+        source, target = np.repeat(nodes, MOST), edges[nodes].ravel()
+        source, target = source[target >= 0], target[target >= 0]
+        by = np.argsort(target, kind="stable")
+        source, target = source[by], target[by]
+        hit, first, count = np.unique(target, return_index=True, return_counts=True)
+        more = np.full((len(hit), count.max(initial=0)), -1, np.int32)
+        more[np.repeat(np.arange(len(hit)), count), np.arange(len(target)) - np.repeat(first, count)] = source
+        for a in range(0, len(hit), BATCH):
+            own = -np.sort(-distinct(np.concatenate([edges[hit[a : a + BATCH]], more[a : a + BATCH]], 1)), axis=1)
+            full = own.shape[1] > MOST and own[:, MOST] >= 0
+            kept = np.pad(own[:, :MOST], ((0, 0), (0, max(0, MOST - own.shape[1]))), constant_values=-1)
+            if np.any(full):
+                kept[full] = robust_prune(x, hit[a : a + BATCH][full], own[full], ALPHA)
+            edges[hit[a : a + BATCH]] = kept
     return edges, start
 
 
@@ -156,30 +162,37 @@ def build_index(classes: DataFrame, shards: int) -> DataFrame:
         edges, start = build_graph((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))
         return pd.DataFrame({"shard": rows["shard"], "node": np.arange(len(rows)), "cls": rows["cls"], "least": rows["least"], "v": rows["v"], "edges": list(edges), "start": np.arange(len(rows)) == start})
 
+    kind = classes.schema["v"].dataType.simpleString()
     dealt = classes.select("cls", "least", "v", F.pmod(F.xxhash64("cls"), F.lit(shards)).cast("int").alias("shard"))
-    return cut(dealt.groupBy("shard").applyInPandas(run, "shard int, node long, cls long, least long, v array<double>, edges array<int>, start boolean"))
+    return cut(dealt.groupBy("shard").applyInPandas(run, f"shard int, node long, cls long, least long, v {kind}, edges array<int>, start boolean"))
 
 
 def beam_best(x: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, scores) of the best k for each query, of all that the beam found
-    or, where its distances are too coarse, of all nodes; -1 and -inf where there
-    is none. x and q are unit vectors in double precision; ties to the lower node."""
-    small, width = x.astype(np.float32), min(k, len(x))
+    or, where its distances are too coarse or there are few nodes, of all nodes;
+    -1 and -inf where there is none. Scores are cosines of the vectors as they
+    are, in double precision; ties to the lower node."""
+    norm, q_norm, width = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1), min(k, len(x))
+    small = (x / norm[:, None]).astype(np.float32)
     slack = 4 * (x.shape[1] + 4) * 2.0**-24  # twice the error of a difference of two distances
     all_nodes, all_scores = np.full((len(q), width), -1), np.full((len(q), width), -np.inf)
     for a in range(0, len(q), BATCH):
-        own = q[a : a + BATCH]
-        nodes = beam_search(small, edges, start, own.astype(np.float32), BEAM)[0]
-        score = np.where(nodes >= 0, np.einsum("ijk,ik->ij", x[nodes], own), -np.inf)
-        best = np.lexsort((nodes, -score), axis=1)
-        nodes, score = np.take_along_axis(nodes, best, 1), np.take_along_axis(score, best, 1)
-        top = np.where(np.isfinite(score), score, -3.0)[:, : k + 1]  # two that were not found tie as well
-        coarse = (-np.diff(top, axis=1) <= slack).any(axis=1) if k < nodes.shape[1] else np.ones(len(own), bool)
-        fine = np.flatnonzero(~coarse)
-        all_nodes[a + fine], all_scores[a + fine] = nodes[fine, :width], score[fine, :width]
+        own, own_norm = q[a : a + BATCH], q_norm[a : a + BATCH]
+        coarse = np.ones(len(own), bool)
+        if len(x) > max(BEAM, k):
+            nodes = beam_search(small, edges, start, (own / own_norm[:, None]).astype(np.float32), BEAM)[0]
+            score = np.where(nodes >= 0, np.einsum("ijk,ik->ij", x[nodes], own) / (norm[nodes] * own_norm[:, None]), -np.inf)
+            best = np.lexsort((nodes, -score), axis=1)
+            nodes, score = np.take_along_axis(nodes, best, 1), np.take_along_axis(score, best, 1)
+            top = np.where(np.isfinite(score), score, -3.0)[:, : k + 1]  # two that were not found tie as well
+            coarse = (-np.diff(top, axis=1) <= slack).any(axis=1)
+            fine = np.flatnonzero(~coarse)
+            all_nodes[a + fine], all_scores[a + fine] = nodes[fine, :width], score[fine, :width]
         for i in np.flatnonzero(coarse):
-            full = np.einsum("ijk,ik->ij", x[None], own[i : i + 1])[0]
-            at = np.argsort(-full, kind="stable")[:width]
+            full = np.einsum("ijk,ik->ij", x[None], own[i : i + 1])[0] / (norm * own_norm[i])
+            few = np.argpartition(-full, width - 1)[:width]
+            few = np.flatnonzero(full >= full[few].min())  # with all that tie with the last
+            at = few[np.argsort(-full[few], kind="stable")[:width]]
             all_nodes[a + i], all_scores[a + i] = at, full[at]
     return all_nodes, all_scores
 
@@ -194,17 +207,9 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, shards: int) -> D
         if not len(graph) or not len(ask):
             return pd.DataFrame({"query": [], "cls": [], "least": [], "score": []}).astype({"query": "int64", "cls": "int64", "least": "int64", "score": "float64"})
         graph = graph.sort_values("node", ignore_index=True)
-        x, q = _stack(graph["v"]), _stack(ask["v"])
-        x, q = x / np.linalg.norm(x, axis=1, keepdims=True), q / np.linalg.norm(q, axis=1, keepdims=True)
-        if len(x) <= BEAM:
-            nodes = np.tile(np.arange(len(x)), (len(q), 1))
-            score = np.einsum("ijk,ik->ij", x[nodes], q)
-        else:
-            edges, start = np.stack(graph["edges"].to_numpy()), int(np.argmax(graph["start"]))
-            nodes, score = beam_best(x, edges, start, q, k)
-        best = np.lexsort((nodes, -score), axis=1)[:, :k]
-        row, node = np.repeat(np.arange(len(q)), best.shape[1]), np.take_along_axis(nodes, best, 1).ravel()
-        out = pd.DataFrame({"query": ask["query"].to_numpy()[row], "cls": graph["cls"].to_numpy()[node], "least": graph["least"].to_numpy()[node], "score": np.take_along_axis(score, best, 1).ravel()})
+        nodes, score = beam_best(_stack(graph["v"]), np.stack(graph["edges"].to_numpy()), int(np.argmax(graph["start"])), _stack(ask["v"]), k)
+        row, node = np.repeat(np.arange(len(ask)), nodes.shape[1]), nodes.ravel()
+        out = pd.DataFrame({"query": ask["query"].to_numpy()[row], "cls": graph["cls"].to_numpy()[node], "least": graph["least"].to_numpy()[node], "score": score.ravel()})
         return out[np.isfinite(out["score"])]
 
     return graphs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(run, "query long, cls long, least long, score double")
@@ -214,16 +219,14 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
     """(query_id, rank, vec_id, score): the k nearest rows found for each row where
     ``is_query``, an expression over ``id``; ties to the smaller id."""
     rows = numbered(df, key, vector)
-    used = rows.where("dim is not null")
-    named = used.groupBy("v").agg(F.min("row").alias("cls"), F.min("id").alias("least"), F.first("dim").alias("dim"))
-    classes = cut(named)
-    owner = cut(used.select("row", "id", "v").join(classes.select("v", "cls"), "v").select("row", "id", "cls"))
+    classes = classes_of(rows)
+    owner = cut(join_split(rows.where("dim is not null").select("row", "id", "h1", "h2"), classes.select("h1", "h2", "cls", "n"), ["h1", "h2"], ["row"]).select("row", "id", "cls"))
     few = Window.partitionBy("cls").orderBy("id", "row")
     members = owner.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1).select("cls", F.col("id").alias("found"), F.col("row").alias("found_row"))
     asking = cut(owner.where(is_query & (F.col("id") != -(2**63))))
     out = None
-    for dim in dimensions(rows):
-        own = classes.where(F.col("dim") == dim)
+    for dim in dimensions(classes):
+        own = classes.where(F.col("dim") == dim).join(rows.select("row", "v"), F.col("cls") == F.col("row")).select("cls", F.col("least_id").alias("least"), "v")
         shards = max(1, -(-own.count() // SHARD))
         queries = own.join(asking.select("cls").distinct(), "cls", "left_semi").select(F.col("cls").alias("query"), "v")
         found = search_index(build_index(own, shards), queries, k + 1, shards)

@@ -167,6 +167,25 @@ def local_roots(linked: np.ndarray) -> np.ndarray:
         root = new
 
 
+def edge_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For n nodes and links (a, b), the least that each can reach."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            return root
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def binary_rows(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    data = np.ascontiguousarray(rows)
+    ends = np.arange(len(data) + 1, dtype=np.int32) * (data.shape[1] * data.itemsize)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 def list_values(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(values of all lists, ends with a leading 0) of a list column without nulls."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -18,10 +18,20 @@ def usable(vector: Column) -> Column:
 
 
 def numbered(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(row, id, dim, v), written: v and dim are null where a vector is not usable."""
-    v = F.col(vector).cast("array<double>")
+    """(row, id, dim, v, h1, h2), written: v and dim are null where a vector is not
+    usable; h1, h2 are 128 bits of a hash of v, by which equal vectors meet. v
+    keeps floats as floats; all other numbers are doubles."""
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    v = F.col(vector).cast(kind)
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("id"), F.when(usable(v), v).alias("v"))
-    return cut(rows.select("row", "id", F.size("v").alias("dim"), "v").withColumn("dim", F.when(F.col("v").isNotNull(), F.col("dim"))))
+    some = F.col("v").isNotNull()
+    return cut(rows.select("row", "id", F.when(some, F.size("v")).alias("dim"), "v", F.when(some, F.xxhash64("v")).alias("h1"), F.when(some, F.xxhash64("v", F.lit("second"))).alias("h2")))
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(h1, h2, cls, least_id, n, dim), written: cls is the first row of equal vectors, n their number."""
+    found = rows.where("dim is not null").groupBy("h1", "h2")
+    return cut(found.agg(F.min("row").alias("cls"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n"), F.first("dim").alias("dim")))
 
 
 def dimensions(rows: DataFrame) -> list[int]:

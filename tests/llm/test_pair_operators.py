@@ -145,12 +145,52 @@ def test_pivot_prefix_keeps_recall_as_tables_grow(classes):
     rng = np.random.default_rng(0)
     p, x, u = (pivots.unit(rng.normal(size=(n, 64))) for n in (pivots.pivot_count(classes), 2000, 2000))
     u = pivots.unit(u - (u * x).sum(axis=1, keepdims=True) * x)
-    length = pivots.prefix_length(len(p))
+    length, listed = pivots.prefix_length(len(p)), pivots.listed_length(len(p))
     a, b = (np.argsort(-(v @ p.T), axis=1)[:, :length] for v in (x, 0.9 * x + 0.19**0.5 * u))
-    assert ((a[:, :, None] == b[:, None, :]).any(axis=2).sum(axis=1) >= 2).mean() >= 0.985
+    shared = a[:, :, None] == b[:, None, :]
+    assert ((shared.any(axis=2).sum(axis=1) >= 2) & shared[:, :listed, :listed].any(axis=(1, 2))).mean() >= 0.985
+
+
+def test_pairs_at_the_very_threshold_are_verified_again(spark):
+    rng = np.random.default_rng(8)
+    base = pivots.unit(rng.normal(size=(60, 64)))
+    off = rng.normal(size=(60, 64))
+    off = pivots.unit(off - (off * base).sum(axis=1, keepdims=True) * base)
+    cosine = 0.9 + np.linspace(-4e-4, 4e-4, 60)  # too near for bytes to tell
+    x = np.concatenate([base, cosine[:, None] * base + np.sqrt(1 - cosine**2)[:, None] * off])
+    got = {r["vec_id"]: r for r in pivots.near_duplicates(spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = pivots.unit(x)
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    assert [got[i]["n_links"] for i in range(120)] == linked.sum(axis=1).tolist() and 20 < linked.sum() / 2 < 40
+    assert all(got[60 + i]["component_id"] == (i if linked[i, 60 + i] else 60 + i) for i in range(60))
+
 
+def test_vectors_with_clashing_columns_and_one_direction(spark):
+    rows = [(i, [1.0 + i, 0.0], i, i, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cls long, row long, score long")
+    assert [(r["n_links"], r["component_id"]) for r in pivots.near_duplicates(df).collect()] == [(4, 0)] * 5
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in graphann.nearest(df, F.col("id") == 3).collect()} == {(3, k + 1): (v, 1.0) for k, v in enumerate([0, 1, 2, 4])}
+    long = spark.createDataFrame([(0, [1.0] * 20_000), (1, [1.0] * 19_999 + [2.0]), (2, [-1.0] * 20_000)], "vec_id long, embedding array<float>")
+    assert sorted((r["vec_id"], r["n_links"]) for r in pivots.near_duplicates(long).collect()) == [(0, 1), (1, 1), (2, 0)]
 
-def test_graph_search(spark):
+
+def test_blocks_of_lists_add_up(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "BLOCK", 1)  # blocks of TILE vectors
+    monkeypatch.setattr(pivots, "TILE", 40)
+    x = vectors()[300:540]
+    got = {r["vec_id"]: r["n_links"] for r in pivots.near_duplicates(table(spark, x)).collect()}
+    u = pivots.unit(x)
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    want = linked.sum(axis=1)
+    want[200:240] += 1
+    assert [got[i] for i in range(len(x))] == want.tolist()
+
+
+@pytest.mark.parametrize("shard", [graphann.SHARD, 300])
+def test_graph_search(spark, monkeypatch, shard):
+    monkeypatch.setattr(graphann, "SHARD", shard)  # one shard, and five
     x = vectors(1500, seed=2)
     found = graphann.nearest(table(spark, x), F.col("id") % 50 == 0).collect()
     u = x.astype(np.float64)
@@ -188,6 +228,12 @@ def test_graph_search_tells_near_copies_apart(spark, noise):
     assert hit >= 0.99 * 150
 
 
+def test_one_hot_vectors_tie_by_id(spark):
+    rows = [(19 - i, [float(i == j) for j in range(20)]) for i in range(20)]
+    found = graphann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") == 0).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"])] == [(i, 0.0) for i in range(1, 6)]
+
+
 def test_graph_search_ties_go_to_smaller_ids(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1000, 16))
