@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut, discard, shared_dir
 
-__all__ = ["components", "cut", "discard", "join_split", "shared_dir", "spread_rank", "unit"]
+__all__ = ["components", "cut", "discard", "join_split", "shared_dir", "spread_rank", "unit", "within_bytes"]
 
 #: Rows that one task ranks at a time in ``spread_rank``.
 RANK_ROWS = 10_000
@@ -81,6 +81,11 @@ def join_split(rows: DataFrame, by_key: DataFrame, keys: list[str], spread: list
     return dealt.join(single, [*keys, "_part"], how).drop("_part")
 
 
+def within_bytes(sample: DataFrame, order: list[str], size: str, limit: int) -> DataFrame:
+    """Of a sample of bounded rows, those up to which the sizes sum to ``limit`` at most."""
+    return sample.withColumn("_sum", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= limit).drop("_sum")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (id, root), written, root
     being the smallest id that links reach. Nodes without an edge are not listed.

@@ -5,7 +5,7 @@ occur as often as the limit of sites can reach it (a count decides, so nothing
 is lost), and only these get a HyperLogLog sketch of their sites; sketches of
 the partitions merge in the aggregation. A line whose estimate is far above the
 limit is boilerplate, one far below is not, and lines near it get an exact
-distinct count. Boilerplate stays in the document with the smallest doc_id and
+distinct count. Joins by line split the lines that a share of all documents hold. Boilerplate stays in the document with the smallest doc_id and
 goes from all others. A document from which everything goes is dropped, since
 each of its lines is still in another; a document without text stays as it is.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_split
 
 #: Bits of a sketch's index: a standard error of 1.6 %.
 LG_K = 12
@@ -46,15 +46,15 @@ def occurrences(docs: DataFrame, site: str, min_chars: int) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, *, site: str = "source", min_sites: int = 10, min_chars: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(lines: h1, h2, first_doc, n_sites; occurrences of lines that are frequent).
+    """(lines: h1, h2, first_doc, n, n_sites; occurrences of lines that are frequent).
     n_sites is exact near the limit, else the sketch's estimate."""
     rows = occurrences(docs, site, min_chars)
-    frequent = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).drop("n")
-    rows = cut(rows.join(frequent, ["h1", "h2"]))
+    frequent = cut(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites))
+    rows = cut(join_split(rows, frequent, ["h1", "h2"], ["doc_id", "site"]))
     sketched = cut(rows.groupBy("h1", "h2").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n_sites"), F.min("doc_id").alias("first_doc")))
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n_sites"), F.min("doc_id").alias("first_doc"), F.first("n").alias("n")))
     near = sketched.where(F.col("n_sites").between(min_sites * (1 - NEAR), min_sites * (1 + NEAR)))
-    exact = rows.join(near.select("h1", "h2"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("exact"))
+    exact = join_split(rows.drop("n"), near.select("h1", "h2", "n"), ["h1", "h2"], ["doc_id", "site"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("exact"))
     lines = sketched.join(exact, ["h1", "h2"], "left").withColumn("n_sites", F.coalesce("exact", "n_sites")).drop("exact")
     return cut(lines.where(F.col("n_sites") >= min_sites)), rows
 
@@ -62,7 +62,7 @@ def boilerplate(docs: DataFrame, *, site: str = "source", min_sites: int = 10, m
 def dedup_lines(docs: DataFrame, *, site: str = "source", min_sites: int = 10, min_chars: int = 10) -> DataFrame:
     """``docs`` with ``text`` rewritten and ``lines_removed`` added."""
     lines, rows = boilerplate(docs, site=site, min_sites=min_sites, min_chars=min_chars)
-    gone = rows.join(lines, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    gone = join_split(rows.drop("n"), lines, ["h1", "h2"], ["doc_id", "site"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     gone = gone.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("h1").alias("_gone"))
     own = docs.drop("lines_removed")
     out = own.join(gone, own["doc_id"].eqNullSafe(gone["_d"]), "left")

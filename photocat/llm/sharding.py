@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spread_rank
+from .common import cut, discard, join_split, spread_rank
 
 #: Rounds without a move after which propagation ends; two rounds give each side of a group a turn.
 IDLE = 6
@@ -44,13 +44,13 @@ def equal_text_links(rows: DataFrame, shards: int) -> DataFrame:
     """Links (a, b, top, side), one for each row of a group but one. top: the
     group's smallest row; side: that of a, 0 or 1, while b is on the other."""
     part_rows = max(1, rows.count() // (4 * shards))
-    groups = rows.where("g1 is not null").groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = cut(rows.where("g1 is not null").groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     parts = F.ceil(F.col("n") / part_rows).cast("int")
-    member = cut(rows.select("row", "g1", "g2").join(groups, ["g1", "g2"]).select("row", "g1", "g2", F.pmod(F.xxhash64("row"), parts).cast("int").alias("part")))
-    heads = cut(member.groupBy("g1", "g2", "part").agg(F.min("row").alias("head")))
+    member = cut(join_split(rows.select("row", "g1", "g2"), groups, ["g1", "g2"], ["row"]).select("row", "g1", "g2", F.pmod(F.xxhash64("row"), parts).cast("int").alias("part")))
+    heads = cut(member.groupBy("g1", "g2", "part").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("n")))
     tops = heads.groupBy("g1", "g2").agg(F.min("head").alias("top"))
     led = cut(heads.join(tops, ["g1", "g2"]))
-    inner = member.join(led, ["g1", "g2", "part"]).where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b"), "top", (F.col("head") == F.col("top")).cast("int").alias("side"))
+    inner = join_split(member, led, ["g1", "g2", "part"], ["row"]).where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b"), "top", (F.col("head") == F.col("top")).cast("int").alias("side"))
     outer = led.where("head <> top").select(F.col("head").alias("a"), F.col("top").alias("b"), "top", F.lit(1).alias("side"))
     return cut(inner.union(outer))
 
@@ -74,6 +74,7 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int, seed: int = 0) ->
     with ``row``; ``links``: (a, b, top, side) of rows, one direction."""
     both = links.select("a", "b", "top", "side").union(links.select("b", "a", "top", 1 - F.col("side")))
     linked = both.select(F.col("a").alias("row")).distinct()
+    degree = cut(both.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
     base = rows.select("row", F.xxhash64(F.lit(seed), "row").alias("h"))
     now = cut(spread_rank(base, [], "h", ["row"]).select("row", (F.col("rank") % shards).cast("int").alias("shard")))
     unlinked = cut(rows.select("row").join(linked, "row", "left_anti"))
@@ -82,10 +83,11 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int, seed: int = 0) ->
     wants = None
     while idle < IDLE:
         if wants is None:
-            at = now.select(F.col("row").alias("b"), F.col("shard").alias("there"))
-            seen = both.join(at, "b").groupBy("a", "there").agg(F.count(F.lit(1)).alias("n"), F.first("top").alias("top"), F.first("side").alias("side")).withColumnRenamed("a", "row").join(now, "row")
+            at = cut(degree.join(now.select(F.col("row").alias("b"), F.col("shard").alias("there")), "b"))
+            seen = join_split(both, at, ["b"], ["a"]).groupBy("a", "there").agg(F.count(F.lit(1)).alias("n"), F.first("top").alias("top"), F.first("side").alias("side")).withColumnRenamed("a", "row").join(now, "row")
             most = seen.groupBy("row", "shard", "top", "side").agg(F.max_by("there", F.struct("n", -F.col("there"))).alias("to"), F.max("n").alias("most"), F.coalesce(F.max(F.when(F.col("there") == F.col("shard"), F.col("n"))), F.lit(0)).alias("own"))
             wants = cut(most.where("most > own and to <> shard").select("row", "shard", "to", "top", "side"))
+            discard(at)
         key = F.xxhash64(F.lit(seed), F.lit(turn), "row").alias("h")
         drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn // 2), "top") + turn, F.lit(2)) if turn else F.lit(1)  # at first the leaves go to their heads
         n_asked, n_all = {}, 0
@@ -112,7 +114,8 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int, seed: int = 0) ->
             spans = spark.createDataFrame(ranges, "shard int, to int, lo long, hi long")
             filler = spread_rank(cut(fill), ["shard"], "h", ["row"]).join(F.broadcast(spans), "shard").where("rank >= lo and rank < hi").select("row", "to")
             moved = moved.union(filler)
-        now = cut(now.join(moved, "row", "left").select("row", F.coalesce("to", "shard").alias("shard")))
+        before, now = now, cut(now.join(moved, "row", "left").select("row", F.coalesce("to", "shard").alias("shard")))
+        discard(before, wants)
         turn, idle, wants = turn + 1, 0, None
     return now
 
