@@ -12,7 +12,8 @@ weights, and within a block the documents of all sources are permuted again.
 
 Edge cases. Null source: a source of its own. Null or blank text: no tokens.
 Rows with equal (doc_id, source), and null ids of a source, are one unit that
-is scheduled whole. A source without tokens has weight 0; its units come once.
+is scheduled whole. A source without tokens has weight 0; its units come once,
+dealt over all blocks. A limit that no exponent meets: an error.
 Ties of the permutation: by id. Empty table: no rows. Other columns pass
 through ``mix``; clashing names ("copy", "block", "slot") are replaced.
 """
@@ -21,10 +22,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spread_rank
+from .common import RANK_ROWS, cut, spread_rank, unit
 
 #: Exponents that one aggregation tries: three halvings at once.
 SECTIONS = 8
@@ -59,6 +60,8 @@ def fit_exponent(shares: DataFrame, budget: float | None, target_entropy: float
     """
     if (target_entropy is None) == (max_repeats is None):
         raise ValueError("give a target entropy or a limit of repetitions")
+    if (max_repeats if target_entropy is None else 1.0) < (budget or 1.0 if target_entropy is None else target_entropy):
+        raise ValueError("no exponent meets the limit")
     low, high = 0.0, 8.0 if max_repeats is None else 1.0
     sources = shares.count()
     for _ in range(16):
@@ -109,11 +112,12 @@ def schedule(unit_table: DataFrame, rate_table: DataFrame, seed: int = 0, block_
     rows = rows.where((F.col("copy") < F.floor("rate")) | (F.col("before") < part))
     quota = rate_table.agg(F.sum(F.col("rate") * F.col("total"))).first()[0] or 0
     blocks = max(1, int(quota // block_tokens))
-    place = F.when(F.col("total") > 0, (F.col("copy") * F.col("total") + F.col("before")) / (F.col("rate") * F.col("total"))).otherwise(0.0)
+    place = F.when(F.col("total") > 0, (F.col("copy") * F.col("total") + F.col("before")) / (F.col("rate") * F.col("total"))).otherwise(unit(F.col("_order")))
     rows = rows.withColumn("block", F.least(F.floor(place * blocks), F.lit(blocks - 1)).cast("int"))
-    again = permutation(F.lit(seed), F.col("block"), F.col("copy"), F.col("doc_id"), F.col("source"))
-    slot = F.row_number().over(Window.partitionBy("block").orderBy(again, "doc_id", "copy", "source")) - 1
-    return rows.withColumn("slot", slot).select("doc_id", "source", "n_tokens", "copy", "block", "slot")
+    rows = cut(rows.select("doc_id", "source", "n_tokens", "copy", "block").withColumn("_again", permutation(F.lit(seed), F.col("block"), F.col("copy"), F.col("doc_id"), F.col("source"))))
+    most = rows.groupBy("block").count().agg(F.max("count")).first()[0] or 0
+    rows = spread_rank(rows, ["block"], "_again", ["doc_id", "copy", "source"], parts=max(1, most // RANK_ROWS))
+    return rows.withColumn("slot", F.col("rank").cast("int")).select("doc_id", "source", "n_tokens", "copy", "block", "slot")
 
 
 def mix(docs: DataFrame, *, seed: int = 0, **target) -> DataFrame:

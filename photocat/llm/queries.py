@@ -92,7 +92,7 @@ ranked AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source, copy ORDE
 taken AS (SELECT * FROM ranked WHERE copy < floor(rate) OR before < (rate - floor(rate)) * total),
 blocks AS (SELECT greatest(1, floor(sum(rate * total) / {mixing.BLOCK_TOKENS})) AS n FROM rate),
 placed AS (
-  SELECT *, least(floor(CASE WHEN total > 0 THEN (copy * total + before)::DOUBLE / (rate * total) ELSE 0 END * n), n - 1)::INT AS block FROM taken, blocks)
+  SELECT *, least(floor(CASE WHEN total > 0 THEN (copy * total + before)::DOUBLE / (rate * total) ELSE o::DOUBLE / 1152921504606846976 END * n), n - 1)::INT AS block FROM taken, blocks)
 SELECT doc_id, source, n_tokens, copy, block,
        (row_number() OVER (PARTITION BY block ORDER BY ('0x' || substr(md5('0:' || block || ':' || copy || ':' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(source, '')), 1, 15))::BIGINT, doc_id, copy, source) - 1)::INT AS slot
 FROM placed
