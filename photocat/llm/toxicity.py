@@ -10,8 +10,9 @@ text is then scored where it lies, without a shuffle.
 
 Edge cases. Null, empty and wordless texts: the score of no evidence, that of
 the intercept alone. No labelled rows, or one class only: that class's share,
-smoothed, scores all. Null label: not learned from. Null ids: held in, as
-their hash is null; a repeated id repeats its row. Ties have no bearing. Very
+smoothed, scores all. Null label: not learned from; clashing labels of an id:
+toxic, if one says so. Null ids: held in, as their hash is null, and not learned
+from; a repeated id repeats its row. Ties have no bearing. Very
 long texts: all windows count. Empty table: no rows. Other columns: ignored.
 """
 
@@ -26,10 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import cut
+from .common import cut, within_bytes
 
-#: Rows that a model is fitted on at most: those with the least hash of the id.
-TRAIN_ROWS = 10_000
+#: Rows that a model is fitted on at most, those with the least hash of the id,
+#: and the bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 10_000, 64 << 20
 #: n-gram lengths in bytes, hash buckets, dimensions and words of a window.
 GRAMS, BUCKETS, DIMENSIONS, WINDOW = (3, 4, 5, 6), 1 << 17, 8, 8
 EPOCHS, BATCH, RATE, SEED = 5, 64, 0.3, 7
@@ -61,11 +63,22 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 
 def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, buckets per distinct word, distinct word of each word, words of each text)."""
-    data, starts, ends, counts = S.word_spans(texts)
-    _, first, which = np.unique(S.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-    buckets, sizes = subwords(data, starts[first], ends[first])
-    return buckets, sizes, which, counts
+    """(buckets, buckets per distinct word, distinct word of each word, words of
+    each text). Texts are read in chunks; what is held is 12 bytes for each word."""
+    known, found, grams, sizes, counts = np.zeros(0, np.uint64), [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in S.chunks(texts):
+        data, starts, ends, n = S.word_spans(texts.slice(a, b - a))
+        hashed = S.hash_spans(data, starts, ends)
+        own, first = np.unique(hashed, return_index=True)
+        new = ~np.isin(own, known)
+        of_new, size = subwords(data, starts[first[new]], ends[first[new]])
+        known = np.concatenate([known, own[new]])
+        for x, y in ((found, hashed), (grams, of_new), (sizes, size), (counts, n)):
+            x.append(y)
+    order = np.argsort(known)
+    words = np.concatenate(found)
+    which = order[np.searchsorted(known, words, sorter=order)].astype(np.int32) if len(words) else np.zeros(0, np.int32)
+    return np.concatenate(grams), np.concatenate(sizes), which, np.concatenate(counts)
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,15 +155,15 @@ def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
-    """A model from (text, label, order): one task, TRAIN_ROWS rows at most. What
+    """A model from (text, label, order, h): one task, TRAIN_ROWS rows at most. What
     returns to the driver is the model, BUCKETS numbers."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("order", kind="stable")
+        rows = rows.sort_values(["order", "h"], kind="stable")
         weight, bias = fit(pa.array(rows["text"].fillna(""), pa.string()), rows["label"].to_numpy().astype(np.float64))
         return pd.DataFrame({"weight": [weight.tobytes()], "bias": [bias]})
 
-    found = labelled.select("text", "label", "order", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "weight binary, bias double").first()
+    found = labelled.select("text", "label", "order", "h", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "weight binary, bias double").first()
     if found is None:
         return np.zeros(BUCKETS, np.float32), 0.0
     return np.frombuffer(found["weight"], np.float32), found["bias"]
@@ -179,8 +192,11 @@ def held_out(doc_id: Column) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each document. Labels of
     held-out rows are not read."""
-    known = labels.where("toxic is not null").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label")).dropDuplicates(["doc_id"])
-    known = known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(TRAIN_ROWS)
-    rows = docs.select("doc_id", "text").join(cut(known), "doc_id")
+    known = labels.where("toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    known = cut(known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(TRAIN_ROWS))
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    sample = own.drop("text").distinct().join(F.broadcast(known), "doc_id").orderBy("order", "doc_id", "h").limit(TRAIN_ROWS)
+    sample = cut(within_bytes(sample, ["order", "doc_id", "h"], "size", TRAIN_BYTES).drop("size"))
+    rows = own.join(F.broadcast(sample), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
     scored = score(docs.select("doc_id", "text"), train(rows)).drop("text")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= TOXIC, 1).otherwise(0).cast("int").alias("predicted"))

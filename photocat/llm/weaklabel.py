@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import cut
+from .common import cut, within_bytes
 
-#: Texts that the scorer is fitted on at most (those with the least hashes),
-#: hash buckets of shapes, and the score below which a text is rejected.
-FIT_ROWS, BUCKETS, KEEP = 10_000, 1024, 0.5
+#: Texts that the scorer is fitted on at most (those with the least hashes) and
+#: their bytes, hash buckets of shapes, the score below which a text is rejected.
+FIT_ROWS, FIT_BYTES, BUCKETS, KEEP = 10_000, 96 << 20, 1024, 0.5
 ROUNDS, STEPS = 200, 400
 LABELLERS = ("signs", "loud", "upper", "table", "stutter", "stops", "plain", "repeats", "words")
 #: How often a bad and a good text get the votes bad, good, none: the start of
@@ -158,7 +158,7 @@ def fit_scorer(texts: pa.Array, good: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def vote_table(docs: DataFrame) -> DataFrame:
-    """(order, pattern) of each text that has tokens; order is a hash of the
+    """(order, size, pattern) of each text that has tokens; order is a hash of the
     text, pattern the votes as a number to the base of 3."""
     powers = 3 ** np.arange(len(LABELLERS))
 
@@ -170,7 +170,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
             out.append(np.where(counts > 0, (votes + 1) @ powers, -1))
         return pa.array(np.concatenate(out), pa.int64())
 
-    return cut(docs.select(F.xxhash64("text").alias("order"), pattern("text").alias("pattern")).where("pattern >= 0"))
+    return cut(docs.select(F.xxhash64("text").alias("order"), F.octet_length("text").alias("size"), pattern("text").alias("pattern")).where("pattern >= 0"))
 
 
 def train(docs: DataFrame) -> tuple[np.ndarray, float] | None:
@@ -182,8 +182,9 @@ def train(docs: DataFrame) -> tuple[np.ndarray, float] | None:
     ids = np.array([r["pattern"] for r in found])
     post, _, _ = fit_votes(ids[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1, np.array([r["count"] for r in found], np.float64))
     table = docs.sparkSession.createDataFrame([(int(p), float(y)) for p, y in zip(ids, post, strict=True)], "pattern long, good double")
-    chosen = votes.groupBy("order").agg(F.min("pattern").alias("pattern")).orderBy("order").limit(FIT_ROWS).join(F.broadcast(table), "pattern")
-    texts = docs.select("text", F.xxhash64("text").alias("order")).join(cut(chosen), "order").groupBy("order").agg(F.min("text").alias("text"), F.min("good").alias("good"))
+    chosen = votes.groupBy("order").agg(F.min("pattern").alias("pattern"), F.max("size").alias("size")).orderBy("order").limit(FIT_ROWS)
+    chosen = within_bytes(chosen, ["order"], "size", FIT_BYTES).drop("size").join(F.broadcast(table), "pattern")
+    texts = docs.select("text", F.xxhash64("text").alias("order")).join(F.broadcast(cut(chosen)), "order").groupBy("order").agg(F.min("text").alias("text"), F.min("good").alias("good"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("order", kind="stable")
