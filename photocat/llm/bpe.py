@@ -31,7 +31,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +43,7 @@ LEAF = 24
 #: Characters of a text whose matches are encoded in one go.
 TEXT_LEAF = 1 << 16
 #: Matches whose encoding a worker remembers, in each of two generations, and pairs.
-REMEMBERED, PAIRS = 50_000, 1 << 15
+REMEMBERED, PAIRS = 100_000, 1 << 15
 #: Rows whose ids or bytes are held at once.
 ROWS = 500
 #: The rank of a pair that is no token.
@@ -132,10 +131,10 @@ class Codec:
         return ids
 
     def leaf(self, text: str) -> list[int]:
-        """Each distinct match is encoded, or looked up, once."""
-        matches = self.find(text)
-        ids = {m: self.known.get(m) or self.match(m) for m in set(matches)}
-        return list(chain.from_iterable(map(ids.__getitem__, matches)))
+        ids: list[int] = []
+        for match in self.find(text):
+            ids.extend(self.known.get(match) or self.match(match))
+        return ids
 
     def encode(self, text: str) -> list[int]:
         """Halves at white space as near the middle as there is any."""
