@@ -139,10 +139,5 @@ def index_run_stats(found: DataFrame, changed: DataFrame, indexed: DataFrame) ->
     return rows.select("found", "changed", (F.col("found") - F.col("changed")).alias("skipped"), "indexed", "errors", "first_errors")
 
 
-def duplicate_ids(images: DataFrame) -> DataFrame:
-    """Ids that stand for several paths: a collision of 64-bit ids."""
-    return images.groupBy("image_id").agg(F.count_distinct("filepath").alias("paths")).where("paths > 1")
-
-
 def existing_ids(images: DataFrame) -> DataFrame:
     return images.select("image_id").distinct()

@@ -34,28 +34,35 @@ def image_info(images: DataFrame, ids: DataFrame, image_tags: DataFrame, tags: D
     return rows.withColumn("found", F.coalesce("found", F.lit(False))).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
-def one_image(images: DataFrame, image_id: str, image_tags: DataFrame, tags: DataFrame) -> DataFrame:
-    ids = images.sparkSession.createDataFrame([(image_id,)], "image_id string")
-    row = image_info(images, ids, image_tags, tags)
-    if not row.first()["found"]:
-        raise KeyError(image_id)
-    return row.drop("found")
-
-
-def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """``df`` with the average rank (from 1) of ``value``. Distinct values are
-    cut into ranges at sampled quantiles, so no task sorts all of them; the
-    ranks are exact wherever the cuts fall."""
+def value_places(df: DataFrame, value: str) -> DataFrame:
+    """(_v, _n, _before): distinct values, how many rows have each, and how many
+    have a smaller one. Values are cut into ranges at sampled quantiles, so no
+    task sorts all of them; the places are exact wherever the cuts fall."""
     cuts = df.agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000)).first()[0] or []
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_part", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>"), lambda c: c <= F.col("_v"))))
     totals = counts.groupBy("_part").agg(F.sum("_n").alias("_t"))  # 64 rows
     base = totals.select("_part", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.join(base, "_part").select("_v", (F.col("_base") + before + (F.col("_n") + 1) / 2).alias(out))
+    return counts.join(base, "_part").select("_v", "_n", (F.col("_base") + before).alias("_before"))
+
+
+def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``df`` with the average rank (from 1) of ``value``."""
+    ranks = value_places(df, value).select("_v", (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, df[value] == ranks["_v"], "left").drop("_v")
 
 
+def quantile(df: DataFrame, value: str, q: float, out: str) -> DataFrame:
+    """One row: the exact quantile, interpolated between its neighbours; null without rows."""
+    places = value_places(df, value)
+    at = (df.agg(F.count(value)).first()[0] - 1) * q
+    low, part = int(max(at, 0)), max(at, 0) % 1
+    holds = lambda k: (F.col("_before") <= k) & (F.col("_before") + F.col("_n") > k)
+    a, b = F.max(F.when(holds(low), F.col("_v"))), F.max(F.when(holds(low + 1), F.col("_v")))
+    return places.agg(a.alias("_a"), b.alias("_b")).select((F.col("_a") + F.coalesce((F.col("_b") - F.col("_a")) * part, F.lit(0.0))).alias(out))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: rho, null where one column is constant; rows with a null do not count."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
 from ..lineage import cut
-from .stats import spearman, zscore
+from .stats import quantile, spearman, zscore
 
 GRID, FOLDS = (1e-3, 3e-3, 1e-2, 3e-2, 1e-1), 5
 CHOICES = ("a", "b", "tie", "both_bad")
@@ -113,7 +113,7 @@ def tier_means(scores: DataFrame, labels: DataFrame, value: str = "taste_score")
 
 def floor_z(scores: DataFrame, bads: DataFrame) -> DataFrame:
     """Our floor: the 95th percentile of the z-scores of pictures that votes called bad."""
-    return bads.join(scores, "image_id").agg(F.percentile("taste_score", F.lit(0.95)).alias("floor_z"))
+    return quantile(cut(bads.join(scores, "image_id").select("taste_score")), "taste_score", 0.95, "floor_z")
 
 
 def taste_report(votes: DataFrame, scores: DataFrame, labels: DataFrame, bads: DataFrame, l2: float, accuracy: float) -> DataFrame:
@@ -123,13 +123,3 @@ def taste_report(votes: DataFrame, scores: DataFrame, labels: DataFrame, bads: D
     row = votes.agg(F.count(F.lit(1)).alias("votes")).crossJoin(spearman(held, "taste_score", "level").withColumnRenamed("rho", "heldout_rho")).crossJoin(floor_z(scores, bads))  # one row each
     value = F.to_json(F.struct("votes", F.lit(l2).alias("l2"), F.lit(accuracy).alias("cv_acc"), "heldout_rho", "floor_z"))
     return row.select(F.lit("taste_model").alias("key"), value.alias("value"))
-
-
-def fold_means(accuracies: DataFrame) -> DataFrame:
-    return accuracies.agg(F.avg("accuracy").alias("accuracy"))
-
-
-def balanced_folds(pairs: DataFrame, seed: int = 0, n: int = FOLDS) -> DataFrame:
-    """Folds of equal size, for few votes: all of them are ordered by one task."""
-    order = Window.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vote_id").cast("string")), 256), "vote_id")
-    return pairs.withColumn("fold", ((F.row_number().over(order) - 1) % n).cast("int"))

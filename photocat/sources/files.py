@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -117,15 +116,3 @@ def put_run_metadata(table: DataFrame, new: DataFrame) -> DataFrame:
 def json_metadata(key: str, row: DataFrame) -> DataFrame:
     """One row's columns as a JSON value of ``key``."""
     return row.select(F.lit(key).alias("key"), F.to_json(F.struct("*")).alias("value"))
-
-
-def batches_of(it: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    for frame in it:
-        for i in range(0, len(frame), size):
-            yield frame.iloc[i : i + size]
-
-
-def latest(df: DataFrame, key: str, by: str) -> DataFrame:
-    """The newest row of each key."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(by)))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")

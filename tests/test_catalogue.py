@@ -251,3 +251,76 @@ def test_plans_have_no_cartesian_product(spark):
     images, vecs, x = catalogue_of(spark, 10)
     plan = ranking.search(images, vecs, ranking.SearchParams(query_vec=tuple(x[0])))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_bands_bring_together_what_is_near(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 32))
+    for i in range(0, 300, 2):
+        u = rng.normal(size=32)
+        x[i + 1] = x[i] / np.linalg.norm(x[i]) + u / np.linalg.norm(u) * rng.uniform(0.15, 0.26)
+    x = x.astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1400] = x[10]
+    vecs = spark.createDataFrame([(f"{i:05}", [float(y) for y in v]) for i, v in enumerate(x)] + [("short", [1.0, 0.0]), ("none", None)], "image_id string, embedding array<float>")
+    got = {(r["a"], r["b"]) for r in duplicates.near_duplicate_pairs(vecs).collect()}
+    u = x.astype(np.float64)
+    firsts = [i for i in range(1500) if i != 1400]
+    want = {(f"{i:05}", f"{j:05}") for i in firsts for j in firsts if i < j and u[i] @ u[j] >= 0.97} | {("00010", "01400")}
+    assert got == want and len(want) > 80
+
+
+def test_bands_keep_candidates_in_proportion():
+    per_vector = []
+    for n in (1_000, 100_000, 10_000_000, 1_000_000_000):
+        bits, bands = duplicates.band_plan(n, 0.97)
+        per_vector.append(bands * n / 2**bits)
+        meet = (1 - np.arccos(0.97) / np.pi) ** bits
+        assert (1 - meet) ** bands <= duplicates.MISSED
+    assert max(per_vector) < 150  # strangers that a vector meets
+
+
+def test_prefiltered_search_goes_on_until_it_is_full(spark, monkeypatch):
+    images, vecs, x = catalogue_of(spark, 40, seed=3)
+    copies = vecs.where("image_id < 'i020'").select("image_id", F.array(*[F.lit(float(y)) for y in x[0].astype(np.float32)]).alias("embedding"))
+    vecs = copies.union(vecs.where("image_id >= 'i020'"))
+    options = ranking.SearchOptions(mode="prefilter", similarity_threshold=-1.0)
+    want = [(r["image_id"], r["duplicate_ids"]) for r in found(images, vecs, query_vec=tuple(x[0]), limit=6, options=options)]
+    monkeypatch.setattr(ranking, "BLOCK", 5)
+    monkeypatch.setattr(ranking, "QUERIES", 1)
+    got = found(images, vecs, query_vec=tuple(x[0]), limit=6, options=options)
+    assert [r["image_id"] for r in got] == [i for i, _ in want] and len(got) == 6
+    assert len(got[0]["duplicate_ids"]) == len(want[0][1]) == 19
+
+
+def test_knn_blocks_agree(spark, monkeypatch):
+    images, vecs, x = catalogue_of(spark, 40)
+    asked = spark.createDataFrame([(i, [float(y) for y in x[i]], 1 + i % 7) for i in range(25)], "query_id long, query_vec array<double>, k int")
+    rows = lambda: sorted((r["query_id"], r["image_id"], round(r["similarity"], 9), r["rank"]) for r in vectors.knn_batch(vecs, asked, F.col("k")).collect())
+    want = rows()
+    for name, value in (("QUERIES", 4), ("ROWS", 3)):
+        monkeypatch.setattr(vectors, name, value)
+    assert rows() == want and len(want) == sum(1 + i % 7 for i in range(25))
+
+
+def test_cells_find_most(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16))
+    x = centres[rng.integers(0, 12, 900)] + 0.25 * rng.normal(size=(900, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vecs = spark.createDataFrame([(f"{i:04}", [float(y) for y in v]) for i, v in enumerate(x)], "image_id string, embedding array<float>")
+    assert vectors.build_index(vecs, str(tmp_path / "none")) is None  # exact search serves
+    index = vectors.build_index(vecs, str(tmp_path / "cells"), cells=12, probes=4, approximate_from=100)
+    asked = spark.createDataFrame([(i, [float(y) for y in x[i]]) for i in range(0, 900, 30)], "query_id long, query_vec array<double>")
+    some = {(r["query_id"], r["image_id"]) for r in index.nearest(asked, 10).collect()}
+    exact = {(r["query_id"], r["image_id"]) for r in vectors.knn_batch(vecs, asked, 10).collect()}
+    assert len(some) == 300 and len(some & exact) >= 0.9 * len(exact)
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(1)
+    for x in (rng.normal(size=501).tolist(), [1.0, 2.0], [5.0], [2.0] * 9 + [3.0]):
+        df = spark.createDataFrame([(v,) for v in [*x, None]], "v double")
+        for q in (0.0, 0.95, 1.0):
+            assert stats.quantile(df, "v", q, "q").first()["q"] == pytest.approx(np.quantile(x, q))
+    assert stats.quantile(df.limit(0), "v", 0.5, "q").first()["q"] is None
