@@ -26,6 +26,7 @@ BLOCK, QUERIES = MAX_LIMIT * 50, 100
 QUERY_SCHEMA = (
     "query_id long, query_text string, query_vec array<float>, limit int, date_from string, date_to string, folder_pattern string, tags array<string>, min_quality double,"
     " min_long_edge int, quality_weight double, dedupe boolean, sources array<string>, archive string, taste_weight double")
+QUERY_COLUMNS = [tuple(x.strip().rsplit(" ", 1)) for x in QUERY_SCHEMA.split(",")]
 RESULT = (
     "image_id", "filepath", "similarity", "filename", "folder", "date_taken", "camera_model", "width", "height", "long_edge_px", "aesthetic_score", "source_class",
     "rotation_fix", "taste_score", "rank_score", "duplicate_ids")
@@ -71,7 +72,7 @@ def queries_frame(spark: SparkSession, searches: list[SearchParams]) -> DataFram
             raise ValueError("sources asks for the archive only and archive excludes it")
     rows = [(i, s.query_text, [float(x) for x in s.query_vec], s.limit, s.date_from, s.date_to, s.folder_pattern, list(s.tags) if s.tags else None, s.min_quality, s.min_long_edge,
              s.quality_weight, s.dedupe, list(s.sources) if s.sources else None, s.archive, s.taste_weight) for i, s in enumerate(searches)]
-    return spark.createDataFrame(rows, QUERY_SCHEMA)
+    return schema.few_rows(spark, rows, QUERY_COLUMNS)
 
 
 def normalized(queries: DataFrame) -> DataFrame:
@@ -220,11 +221,11 @@ def search_batch(images: DataFrame, embeddings: DataFrame, queries: DataFrame, i
         depth = candidate_depth(F.col("limit"), deeper, F.lit(1 << 30), options.max_limit)
         asks = asked.withColumn("k", depth)
         nearest = (knn_batch(vectors, asks, F.col("k")) if cells is None else cells.nearest(asks, F.col("k"))).drop("rank")
-        rows = nearest.join(wide, "image_id").join(params, "query_id")
-        rows = with_tags(rows.where(passes(options)), image_tags, tags)
+        rows = cut(nearest.where(F.col("similarity") >= options.similarity_threshold).join(wide, "image_id").join(params, "query_id").where(passes(options)))  # BLOCK a query at most, read several times
+        rows = with_tags(rows, image_tags, tags)
     else:
-        rows = _matching(wide, vectors, asked, image_tags, tags, options)
-    rows = rows.where(F.col("similarity") >= options.similarity_threshold).withColumn("rank_score", rank_score())
+        rows = _matching(wide, vectors, asked, image_tags, tags, options).where(F.col("similarity") >= options.similarity_threshold)
+    rows = rows.withColumn("rank_score", rank_score())
     if options.mode == "candidates":  # at most BLOCK for each query
         order = Window.partitionBy("query_id").orderBy(F.desc("rank_score"), "image_id")
         placed = collapse_duplicates(rows.withColumn("place", F.row_number().over(order).cast("long")).join(vectors, "image_id"))

@@ -17,7 +17,8 @@ from ..functions.scalars import dot
 
 #: Queries of a block at most, results that a task holds for a block of them,
 #: bytes of a block's vectors, and rows that are multiplied with a block at once.
-QUERIES, HELD, QUERY_BYTES, ROWS = 1024, 1 << 20, 8 << 20, 2048
+#: A few queries make one block without being counted first.
+QUERIES, HELD, QUERY_BYTES, ROWS, FEW = 1024, 1 << 20, 8 << 20, 2048, 256
 #: Vectors from which cells are worth their while, the rows that their centres
 #: are fitted on at most, and the most cells unless their number is given.
 APPROXIMATE_FROM, FIT_ROWS, MAX_CELLS = 200_000, 100_000, 100
@@ -48,12 +49,14 @@ def knn_batch(embeddings: DataFrame, queries: DataFrame, k: Column | int = 10) -
     queries are searched in several blocks.
     """
     asked = queries.select("query_id", F.transform("query_vec", lambda x: x.cast("double")).alias("q"), (F.lit(k) if isinstance(k, int) else k).cast("int").alias("k"))
-    n, size, deepest = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(1)), F.coalesce(F.max("k"), F.lit(1))).first()
-    blocks = max(1, -(-n // max(1, min(QUERIES, HELD // max(deepest, 1), QUERY_BYTES // (8 * size)))))
-    out = None
+    most = lambda size, deepest: max(1, min(QUERIES, HELD // max(deepest, 1), QUERY_BYTES // (8 * max(size, 1))))
+    few = asked.limit(FEW + 1).toPandas()
+    if len(few) <= FEW and len(few) <= most(max(map(len, few["q"]), default=1), few["k"].max() if len(few) else 1):
+        return _ranked(_search_block(embeddings, few))
+    n, size, deepest = asked.agg(F.count(F.lit(1)), F.max(F.size("q")), F.max("k")).first()
+    blocks, out = -(-n // most(size, deepest)), None
     for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        found = _search_block(embeddings, own.toPandas())
+        found = _search_block(embeddings, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas())
         out = found if out is None else out.union(found)
     return _ranked(out)
 

@@ -51,8 +51,8 @@ def _fresh(spark: SparkSession, name: str) -> str:
 
 
 def _asked(spark: SparkSession, sf_dir: str, searches: list) -> DataFrame:
-    types = dict(x.strip().rsplit(" ", 1) for x in ranking.QUERY_SCHEMA.split(","))
-    rows = spark.createDataFrame([(i, *[p.get(c) for c in COLUMNS]) for i, p in searches], "query_id long, " + ", ".join(f"{c} {types[c]}" for c in COLUMNS))
+    types = dict(ranking.QUERY_COLUMNS)
+    rows = schema.few_rows(spark, [(i, *[p.get(c) for c in COLUMNS]) for i, p in searches], [("query_id", "long"), *[(c, types[c]) for c in COLUMNS]])
     vectors_of = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     return rows.join(vectors_of, "query_id")
 
@@ -103,8 +103,8 @@ FROM capped QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) <= n"""
 
 
 def _searched(spark: SparkSession, sf_dir: str, searches: list, options: ranking.SearchOptions = ranking.SearchOptions(), cells: bool = False) -> DataFrame:
-    images, embeddings = fx.catalogue(spark, sf_dir)
-    tags, image_tags, _ = fx.labels(spark, sf_dir)
+    images, embeddings = fx.catalogue(spark, sf_dir, written=True)
+    tags, image_tags, _ = fx.labels(spark, sf_dir, images)
     index = vectors.build_index(embeddings, _fresh(spark, "cells"), cells=8, probes=8, approximate_from=1) if cells else None
     rows = ranking.search_batch(images, embeddings, _asked(spark, sf_dir, searches), image_tags, tags, options, cells=index)
     return rows.select(

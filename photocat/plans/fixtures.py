@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.scalars import SourceRules
+from ..lineage import cut
+from ..schema import few_rows
 
 RULES = SourceRules(archive_prefixes=("src0",), photographers=("SRC1",))
 CAMERAS = ("Canon EOS 5D Mark IV", "NIKON D850", "iPhone 8", "iPhone 14 Pro", "DSC-W800", "COOLPIX S33", "", None)
@@ -35,8 +37,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.union(twins)
 
 
-def catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(images, embeddings)."""
+def catalogue(spark: SparkSession, sf_dir: str, written: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(images, embeddings); ``written``: as tables, as a catalogue is that jobs read several times."""
     d = documents(spark, sf_dir)
     n = F.col("doc_id")
     path = F.concat(F.lit("/lib/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/img_"), n.cast("string"), F.lit(".jpg"))
@@ -55,14 +57,16 @@ def catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.when(n % 7 != 0, F.round((n * 71 % 401 - 200) / F.lit(100.0), 4)).alias("taste_score"),
         F.when(n % 13 == 0, 90).cast("int").alias("rotation_fix"), "doc_id", "embedding")
     rows = rows.withColumn("long_edge_px", scalars.long_edge(F.col("width"), F.col("height"))).withColumn("source_class", scalars.classify_source(F.col("folder"), F.col("camera_model"), RULES))
+    if written:
+        rows = cut(rows)
     return rows.drop("embedding"), rows.select("image_id", "embedding", "doc_id")
 
 
-def labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def labels(spark: SparkSession, sf_dir: str, images: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tags, image_tags, tier_labels with image_id)."""
-    images, _ = catalogue(spark, sf_dir)
+    images = images or catalogue(spark, sf_dir)[0]
     known = table(spark, sf_dir, "labels").join(images.select("doc_id", "image_id"), "doc_id")
-    tags = spark.createDataFrame([(1, "quality"), (2, "toxic")], "tag_id long, tag_name string")
+    tags = few_rows(spark, [(1, "quality"), (2, "toxic")], [("tag_id", "long"), ("tag_name", "string")])
     image_tags = known.select("image_id", F.explode(F.array_compact(F.array(F.when(F.col("quality") == 1, F.lit(1).cast("long")), F.when(F.col("toxic") == 1, F.lit(2).cast("long"))))).alias("tag_id"))
     tier = F.when(F.col("quality") == 1, "hero").when(F.col("toxic") == 1, "reject").otherwise("secondary")
     return tags, image_tags, known.select("image_id", tier.alias("tier"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,3 +29,11 @@ def evolve_schema(images: DataFrame, columns: tuple[str, ...] = ADDED_LATER) ->
     """``images`` with the missing ones of ``columns`` as typed nulls."""
     missing = {f.name: F.lit(None).cast(f.dataType) for f in IMAGES if f.name in columns and f.name not in images.columns}
     return images.withColumns(missing) if missing else images
+
+
+def few_rows(spark: SparkSession, rows: list[tuple], names_and_types: list[tuple[str, str]]) -> DataFrame:
+    """A table of a few given rows as literals of the plan, so that no job ships them."""
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in names_and_types])
+    given = [F.struct(*[F.lit(x).cast(t).alias(n) for (n, t), x in zip(names_and_types, row, strict=True)]) for row in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*given)))
