@@ -234,7 +234,9 @@ def test_groups_of_the_table_are_whole(spark, sf_dir):
 
 def test_stages_take_odd_tables(spark):
     rng = random.Random(1)
-    good = lambda: "\n".join(prose(rng, 12).capitalize() + ", " + prose(rng, 9) + "." for _ in range(6))
+    words = [a + b + c for a in ("ka", "lo", "mi", "ser", "tu") for b in ("ra", "ne", "bo", "vi") for c in ("n", "l", "st", "d", "m")]
+    plain = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    good = lambda: "\n".join(plain(12).capitalize() + ", " + plain(9) + "." for _ in range(6))
     own = [good() for _ in range(40)]
     rows = [(i, t, f"s{i % 3}") for i, t in enumerate(own)] + [(0, own[0], "s0"), (None, own[1], "s1"), (None, good(), None), (50, None, "s1"), (51, "", "s1"), (52, own[2], "s2")]
     rows += [(60 + i, "a line that very many sites have\n" + good(), f"site{i}") for i in range(12)]
