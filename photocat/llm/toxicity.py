@@ -65,19 +65,21 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(buckets, buckets per distinct word, distinct word of each word, words of
     each text). Texts are read in chunks; what is held is 12 bytes for each word."""
-    known, found, grams, sizes, counts = np.zeros(0, np.uint64), [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    known, place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order, and which word each is
+    found, grams, sizes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in S.chunks(texts):
         data, starts, ends, n = S.word_spans(texts.slice(a, b - a))
         hashed = S.hash_spans(data, starts, ends)
         own, first = np.unique(hashed, return_index=True)
-        new = ~np.isin(own, known)
+        at = np.searchsorted(known, own)
+        new = np.append(known, 0)[at] != own if len(known) else np.ones(len(own), bool)
+        new |= at == len(known)
         of_new, size = subwords(data, starts[first[new]], ends[first[new]])
-        known = np.concatenate([known, own[new]])
+        known, place = np.insert(known, at[new], own[new]), np.insert(place, at[new], np.arange(len(known), len(known) + new.sum()))
         for x, y in ((found, hashed), (grams, of_new), (sizes, size), (counts, n)):
             x.append(y)
-    order = np.argsort(known)
     words = np.concatenate(found)
-    which = order[np.searchsorted(known, words, sorter=order)].astype(np.int32) if len(words) else np.zeros(0, np.int32)
+    which = place[np.searchsorted(known, words)] if len(words) else np.zeros(0, np.int32)
     return np.concatenate(grams), np.concatenate(sizes), which, np.concatenate(counts)
 
 
@@ -195,7 +197,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     known = cut(known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(TRAIN_ROWS))
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
-    sample = own.drop("text").distinct().join(F.broadcast(known), "doc_id").orderBy("order", "doc_id", "h").limit(TRAIN_ROWS)
+    sample = own.drop("text").join(F.broadcast(known), "doc_id").distinct().orderBy("order", "doc_id", "h").limit(TRAIN_ROWS)
     sample = cut(within_bytes(sample, ["order", "doc_id", "h"], "size", TRAIN_BYTES).drop("size"))
     rows = own.join(F.broadcast(sample), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
     scored = score(docs.select("doc_id", "text"), train(rows)).drop("text")
