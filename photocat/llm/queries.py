@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chosenpath, graphann, lines, mixing, pivots, sharding, toxicity, weaklabel
+from . import bpe, chat, chosenpath, graphann, lines, mixing, multiindex, pivots, queuebpe, resample, sharding, toxicity, weaklabel
 
-BPE_FILE = "byte_bpe_50k.tiktoken"
+BPE_FILE, QUEUE_FILE = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 #: The sources are mixed so that none is passed over more often than this.
 MOST_REPEATS = 2.0
 
@@ -67,8 +67,24 @@ def op10_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return multiindex.hard_negatives(rows.withColumn("label", noisy), F.col("id") % 50 == 0)
+
+
+def op13_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = queuebpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(QUEUE_FILE))
+    return decoded.select("doc_id", *queuebpe.digests())
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_pivot_neardup, op3_chat_format, op4_line_dedup, op5_weak_quality, op6_chosen_path_join, op7_graph_ann, op8_toxicity, op9_byte_bpe, op10_label_shards)}
+    op1_mix_sources, op2_pivot_neardup, op3_chat_format, op4_line_dedup, op5_weak_quality, op6_chosen_path_join, op7_graph_ann, op8_toxicity, op9_byte_bpe, op10_label_shards, op11_importance_resample,
+    op12_multi_index, op13_queue_bpe)}
 
 ORACLE_SQL = {
     "op1_mix_sources": f"""
@@ -124,5 +140,42 @@ kept AS (
 SELECT d.doc_id, d.source, coalesce(k.text, d.text) AS text, coalesce(lines_removed, 0)::INT AS lines_removed
 FROM documents d LEFT JOIN kept k USING (doc_id)
 WHERE coalesce(lines_removed, 0) = 0 OR trim(coalesce(k.text, ''), chr(32) || chr(9) || chr(13) || chr(10)) <> ''
+""",
+    "op11_importance_resample": r"""
+WITH step AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+word AS (
+  SELECT true AS doc, doc_id AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL
+  SELECT false, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+per AS (SELECT doc, id, w, count(*) AS n FROM word GROUP BY ALL),
+bucket AS (
+  SELECT w, xor(list_reduce([4294967295] || list_transform(range(1, strlen(w) + 1), lambda j: ('0x' || substr(hex(encode(w)), 2 * j - 1, 2))::BIGINT),
+                            lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS b
+  FROM (SELECT DISTINCT w FROM per), step),
+n AS (SELECT b, coalesce(sum(n) FILTER (doc), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT doc), 0)::DOUBLE AS t FROM per JOIN bucket USING (w) GROUP BY b),
+total AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM n),
+gain AS (SELECT b, floor(1000 * ln(((n.t + 1) * (total.s + 10000)) / ((n.s + 1) * (total.t + 10000))))::BIGINT AS g FROM n, total),
+weighed AS (SELECT id AS doc_id, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM per JOIN bucket USING (w) JOIN gain USING (b) WHERE doc GROUP BY id),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN weighed USING (doc_id)),
+place AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM scored LEFT JOIN place USING (doc_id)
+""",
+    "op12_multi_index": """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3
 """,
 }

@@ -7,7 +7,7 @@ fewer words, but one at least, has one shingle of all its words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(texts: pa.Array, lower: Callable[[pa.Array], pa.Array] = pc.utf8_lower) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(lower-cased bytes, starts and ends of words in them, words of each text)."""
     texts = pc.fill_null(texts, "") if texts.null_count else texts
-    texts = pc.utf8_lower(texts)
+    texts = lower(texts)
     big = pa.types.is_large_string(texts.type)
     _, at, data = texts.buffers()
     at = np.frombuffer(at, dtype=np.int64 if big else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
