@@ -19,6 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark resolves it to, so
+    that executors which use it by other means go to the same place."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return str(own.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(own).toString())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start
     from the table, so a lost executor costs no recomputation of what led to it."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,9 +20,9 @@ QUALITY_CENTRE, QUALITY_SCALE, TASTE_SCALE = 5.0, 0.02, 0.005
 SOURCE_PRIOR = {"pro": 0.0, "unknown": -0.01, "archive": -0.01, "amateur": -0.03}
 DUPLICATE_COSINE, ARCHIVE_CAP, MAX_LIMIT = 0.97, 2, 100
 
-#: Matches of a query that are collapsed at once, and queries whose parameters
-#: go to the tasks at once where all images are filtered first.
-BLOCK, QUERIES = MAX_LIMIT * 50, 100
+#: Matches of a query that are collapsed at once, rows of a block of that, and
+#: queries whose parameters go to the tasks at once where all images are filtered first.
+BLOCK, GREEDY, QUERIES = MAX_LIMIT * 50, 256, 100
 
 QUERY_SCHEMA = (
     "query_id long, query_text string, query_vec array<float>, limit int, date_from string, date_to string, folder_pattern string, tags array<string>, min_quality double,"
@@ -84,23 +85,25 @@ def normalized(queries: DataFrame) -> DataFrame:
     return out.withColumn("archive_mode", archive_mode(F.col("archive"), F.col("query_text")))
 
 
-def passes(options: SearchOptions) -> Column:
-    """The predicates of a search over columns of an image and of its query; a
-    predicate that is not asked for passes, a null value fails one that is."""
+def passes(options: SearchOptions, asked_for: Callable[[str], Column] = F.col) -> Column:
+    """The predicates of a search over columns of an image and of its query, which
+    ``asked_for`` names; a predicate that is not asked for passes, a null value
+    fails one that is."""
+    of = asked_for
     taken = F.date_format("date_taken", "yyyy-MM-dd'T'HH:mm:ss")
-    last = F.when(F.length("date_to") == 10, F.concat("date_to", F.lit("T23:59:59"))).otherwise(F.col("date_to")) if options.date_to_whole_day else F.col("date_to")
-    pattern = F.concat(F.lit("%"), F.replace("folder_pattern", F.lit("\\"), F.lit("\\\\")), F.lit("%"))
-    wanted = F.when(F.col("archive_mode") == "only", F.array(F.lit("archive"))).when(
-        F.col("archive_mode") == "exclude", F.filter(F.coalesce("sources", F.array(*[F.lit(c) for c in ("pro", "archive", "amateur", "unknown")])), lambda c: c != "archive")).otherwise(F.col("sources"))
+    last = F.when(F.length(of("date_to")) == 10, F.concat(of("date_to"), F.lit("T23:59:59"))).otherwise(of("date_to")) if options.date_to_whole_day else of("date_to")
+    pattern = F.concat(F.lit("%"), F.replace(of("folder_pattern"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    wanted = F.when(of("archive_mode") == "only", F.array(F.lit("archive"))).when(
+        of("archive_mode") == "exclude", F.filter(F.coalesce(of("sources"), F.array(*[F.lit(c) for c in ("pro", "archive", "amateur", "unknown")])), lambda c: c != "archive")).otherwise(of("sources"))
 
     def asked(given: str, test: Column) -> Column:
-        blank = F.col(given).isNull() if given not in ("date_from", "date_to", "folder_pattern") else F.coalesce(F.col(given), F.lit("")) == ""
+        blank = of(given).isNull() if given not in ("date_from", "date_to", "folder_pattern") else F.coalesce(of(given), F.lit("")) == ""
         return blank | F.coalesce(test, F.lit(False))
 
     return (
-        asked("date_from", taken >= F.col("date_from")) & asked("date_to", taken <= last) & asked("folder_pattern", F.call_function("ilike", F.col("folder"), pattern))
+        asked("date_from", taken >= of("date_from")) & asked("date_to", taken <= last) & asked("folder_pattern", F.call_function("ilike", F.col("folder"), pattern))
         & (wanted.isNull() | F.coalesce(F.array_contains(wanted, F.col("source_class")), F.lit(False)))
-        & asked("min_quality", F.col("aesthetic_score") >= F.col("min_quality")) & asked("min_long_edge", F.col("long_edge_px") >= F.col("min_long_edge")))
+        & asked("min_quality", F.col("aesthetic_score") >= of("min_quality")) & asked("min_long_edge", F.col("long_edge_px") >= of("min_long_edge")))
 
 
 def quality_blend() -> Column:
@@ -135,6 +138,38 @@ def with_tags(rows: DataFrame, image_tags: DataFrame | None, tags: DataFrame | N
     return plain.unionByName(rows.where("tags is not null").join(hit, ["query_id", "image_id"], "left_semi").select(*rows.columns))
 
 
+def greedy_owners(x: np.ndarray, settled: int, threshold: float) -> np.ndarray:
+    """For rows in order of rank: the kept row that each belongs to, itself if it is
+    kept. The first ``settled`` are kept already. A row is kept unless a kept one
+    before it is as similar as ``threshold``; it belongs to the most similar of
+    those, the first among equals.
+
+    Blocks are compared with all that is kept as one product. In a block, rows like
+    none of its others are kept at once, and only those that are like one go in order.
+    """
+    owner = np.arange(len(x))
+    kept = list(range(settled))
+    for lo in range(settled, len(x), GREEDY):
+        own = np.arange(lo, min(lo + GREEDY, len(x)))
+        like = x[own] @ x[kept].T if kept else np.zeros((len(own), 0))
+        free = ~(like >= threshold).any(axis=1)
+        among = x[own] @ x[own].T >= threshold
+        np.fill_diagonal(among, False)
+        among &= free[:, None] & free[None, :]  # a row that is not kept drops none
+        stays = free.copy()
+        for i in np.flatnonzero(among.any(axis=1)):
+            stays[i] = not (among[i, :i] & stays[:i]).any()
+        new = own[stays]
+        before = len(kept)
+        kept.extend(new.tolist())
+        gone = np.flatnonzero(~stays)
+        if len(gone):
+            like = np.concatenate([like[gone], x[own[gone]] @ x[new].T], axis=1)
+            like[:, before:][new[None, :] >= own[gone][:, None]] = -np.inf  # only what stands before it
+            owner[own[gone]] = np.asarray(kept)[like.argmax(axis=1)]
+    return owner
+
+
 def collapse_duplicates(ranked: DataFrame, kept: DataFrame | None = None, threshold: float = DUPLICATE_COSINE) -> DataFrame:
     """(query_id, image_id, place, owner). Within each query, in order of rank
     (query_id, image_id, place, embedding, dedupe): a row as similar as
@@ -146,23 +181,11 @@ def collapse_duplicates(ranked: DataFrame, kept: DataFrame | None = None, thresh
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["new", "place"], ignore_index=True)
         ids, owner = frame["image_id"].to_numpy(), frame["image_id"].to_numpy().copy()
-        if bool(frame["dedupe"].iloc[0]):
-            held: np.ndarray | None = None
-            places: list[int] = []
-            for i, (v, new) in enumerate(zip(frame["embedding"], frame["new"], strict=True)):
-                if v is None:
-                    continue
-                v = np.asarray(v, np.float64)
-                if held is None:
-                    held = np.empty((len(frame), len(v)))
-                if new and places:
-                    like = held[: len(places)] @ v
-                    j = int(like.argmax())
-                    if like[j] >= threshold:
-                        owner[i] = ids[places[j]]
-                        continue
-                held[len(places)] = v
-                places.append(i)
+        some = np.flatnonzero(frame["embedding"].notna().to_numpy())
+        if bool(frame["dedupe"].iloc[0]) and len(some):
+            new = frame["new"].to_numpy(bool)[some]
+            x = np.stack(frame["embedding"].to_numpy()[some]).astype(np.float64)
+            owner[some] = ids[some[greedy_owners(x, int((~new).sum()), threshold)]]
         out = frame[["query_id", "image_id", "place"]].copy()
         out["owner"] = owner
         return out[frame["new"]]
@@ -246,16 +269,20 @@ def search_batch(images: DataFrame, embeddings: DataFrame, queries: DataFrame, i
 
 def _matching(wide: DataFrame, vectors: DataFrame, asked: DataFrame, image_tags: DataFrame | None, tags: DataFrame | None, options: SearchOptions) -> DataFrame:
     """All images that match each query, with their similarity. The queries go
-    over the images in blocks of QUERIES, so what is sent with a block is bounded."""
+    over the images in blocks of QUERIES, so what is sent with a block is bounded.
+    Images are filtered by their other columns, and only what is left meets its
+    vector; the queries' own vectors, one block of them, are sent to the tasks."""
     asked = cut(asked)
     blocks = max(1, -(-asked.count() // QUERIES))
     out = None
     for b in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        params = [F.struct(*[F.lit(x).cast(t).alias(c) for (c, t), x in zip(own.dtypes, row, strict=True)]) for row in own.collect()]  # QUERIES or so
-        rows = wide.join(vectors, "image_id").withColumn("_q", F.explode(F.array(*params))).select(*wide.columns, "embedding", "_q.*")
-        rows = rows.where(passes(options)).withColumn("similarity", dot(F.col("embedding"), F.col("query_vec"))).where(~F.isnan("similarity")).drop("embedding", "query_vec")
-        rows = with_tags(rows, image_tags, tags)
+        plain = own.drop("query_vec")
+        params = [F.struct(*[F.lit(x).cast(t).alias(c) for (c, t), x in zip(plain.dtypes, row, strict=True)]) for row in plain.collect()]  # QUERIES or so
+        fits = F.filter(F.array(*params), lambda p: passes(options, lambda c: p[c]))
+        rows = wide.withColumn("_q", F.explode(fits)).select(*wide.columns, "_q.*")
+        rows = with_tags(rows, image_tags, tags).join(vectors, "image_id").join(F.broadcast(own.select("query_id", "query_vec")), "query_id")
+        rows = rows.withColumn("similarity", dot(F.col("embedding"), F.col("query_vec"))).where(~F.isnan("similarity")).drop("embedding", "query_vec")
         out = rows if out is None else out.union(rows)
     return out
 

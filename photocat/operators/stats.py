@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import in_order, running
+
 
 def archive_stats(images: DataFrame) -> DataFrame:
     """One row: total_images, oldest, newest, total_size_gb (GiB, 2 decimals)."""
@@ -36,15 +38,13 @@ def image_info(images: DataFrame, ids: DataFrame, image_tags: DataFrame, tags: D
 
 def value_places(df: DataFrame, value: str) -> DataFrame:
     """(_v, _n, _before): distinct values, how many rows have each, and how many
-    have a smaller one. Values are cut into ranges at sampled quantiles, so no
-    task sorts all of them; the places are exact wherever the cuts fall."""
-    cuts = df.agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000)).first()[0] or []
+    have a smaller one. Values are counted, then sorted in ranges, and each range
+    starts with the sum of those before it, so no task sees all of them."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_part", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>"), lambda c: c <= F.col("_v"))))
-    totals = counts.groupBy("_part").agg(F.sum("_n").alias("_t"))  # 64 rows
-    base = totals.select("_part", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.join(base, "_part").select("_v", "_n", (F.col("_base") + before).alias("_before"))
+    own = in_order(counts, F.col("_v"))
+    starts = running(own.groupBy("_part").agg(F.sum("_n").alias("_t")), "_part", "_t", "_start")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.withColumn("_own", before).join(F.broadcast(starts), "_part").select("_v", "_n", (F.col("_start") + F.col("_own")).alias("_before"))  # a row for each range
 
 
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:

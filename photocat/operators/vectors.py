@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
+from ..lineage import cut, discard
 
 #: Queries of a block at most, results that a task holds for a block of them,
-#: bytes of a block's vectors, and rows that are multiplied with a block at once.
-#: A few queries make one block without being counted first.
-QUERIES, HELD, QUERY_BYTES, ROWS, FEW = 1024, 1 << 20, 8 << 20, 2048, 256
+#: bytes of a block's vectors, and scores that are computed at once. A few queries
+#: make one block without being counted first.
+QUERIES, HELD, QUERY_BYTES, SCORES, FEW = 4096, 1 << 20, 16 << 20, 1 << 21, 256
 #: Vectors from which cells are worth their while, the rows that their centres
 #: are fitted on at most, and the most cells unless their number is given.
 APPROXIMATE_FROM, FIT_ROWS, MAX_CELLS = 200_000, 100_000, 100
@@ -45,25 +46,33 @@ def knn_batch(embeddings: DataFrame, queries: DataFrame, k: Column | int = 10) -
 
     Every partition multiplies its rows with a block of queries and keeps each
     query's best; only those are shuffled. Blocks are bounded by the number of
-    queries, the bytes of their vectors and the results that a task holds; more
-    queries are searched in several blocks.
+    queries, the bytes of their vectors and the results that a task holds. Of more
+    queries one block after the other is searched and its best are written, so
+    the driver holds one block at a time.
     """
+    return _by_blocks(queries, k, lambda block: _ranked(_search_block(embeddings, block)))
+
+
+def _by_blocks(queries: DataFrame, k: Column | int, search: Callable[[pd.DataFrame], DataFrame]) -> DataFrame:
+    """What ``search`` gives for all queries, block by block (query_id, q, k)."""
     asked = queries.select("query_id", F.transform("query_vec", lambda x: x.cast("double")).alias("q"), (F.lit(k) if isinstance(k, int) else k).cast("int").alias("k"))
     most = lambda size, deepest: max(1, min(QUERIES, HELD // max(deepest, 1), QUERY_BYTES // (8 * max(size, 1))))
     few = asked.limit(FEW + 1).toPandas()
     if len(few) <= FEW and len(few) <= most(max(map(len, few["q"]), default=1), few["k"].max() if len(few) else 1):
-        return _ranked(_search_block(embeddings, few))
+        return search(few)
+    asked = cut(asked)
     n, size, deepest = asked.agg(F.count(F.lit(1)), F.max(F.size("q")), F.max("k")).first()
-    blocks, out = -(-n // most(size, deepest)), None
+    blocks, done = -(-n // most(size, deepest)), []
     for b in range(blocks):
-        found = _search_block(embeddings, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas())
-        out = found if out is None else out.union(found)
-    return _ranked(out)
+        done.append(cut(search(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas())))
+    discard(asked)
+    return queries.sparkSession.read.schema(done[0].schema).parquet(*[d.cut_path for d in done])
 
 
-def _ranked(found: DataFrame) -> DataFrame:
+def _ranked(found: DataFrame, keep_k: bool = False) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "image_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).drop("k")
+    out = found.withColumn("rank", rank).where(F.col("rank") <= F.col("k"))
+    return out if keep_k else out.drop("k")
 
 
 class Best:
@@ -75,37 +84,53 @@ class Best:
         self.scores: list[np.ndarray] = [np.zeros(0)] * len(depth)
         self.ids: list[np.ndarray] = [np.zeros(0, object)] * len(depth)
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """scores: (queries, rows). Only queries that a row gets among the best of are touched."""
-        hit = scores >= self.worst[:, None]  # false for nan
-        for j in np.flatnonzero(hit.any(axis=1)):
-            new = np.flatnonzero(hit[j])
-            s, n = np.concatenate([self.scores[j], scores[j, new]]), np.concatenate([self.ids[j], ids[new]])
+    def add(self, scores: np.ndarray, ids: np.ndarray, which: np.ndarray | None = None) -> None:
+        """scores: (queries, rows), of the queries ``which`` or of all. Only those that
+        a row gets among the best of are touched."""
+        which = np.arange(len(scores)) if which is None else which
+        hit = scores >= self.worst[which][:, None]  # false for nan
+        for i in np.flatnonzero(hit.any(axis=1)):
+            j, new = which[i], np.flatnonzero(hit[i])
+            s, n = np.concatenate([self.scores[j], scores[i, new]]), np.concatenate([self.ids[j], ids[new]])
             at = _top(s, n, int(self.depth[j]))
             self.scores[j], self.ids[j] = s[at], n[at]
             if len(at) and len(at) == self.depth[j]:
                 self.worst[j] = self.scores[j][-1]
 
 
-def _search_block(embeddings: DataFrame, asked: pd.DataFrame) -> DataFrame:
+def _search_block(embeddings: DataFrame, asked: pd.DataFrame, visits: np.ndarray | None = None) -> DataFrame:
+    """(query_id, image_id, similarity, k): the best of each partition for a block of
+    queries. visits: (queries, cells), true where a query is to see a cell's rows;
+    ``embeddings`` has then a column ``cell``, and cells that nobody sees are not read."""
     shape = "query_id long, image_id string, similarity double, k int"
-    if not len(asked):
+    if not len(asked) or (visits is not None and not visits.any()):
         return embeddings.sparkSession.createDataFrame([], shape)
     matrix, ids, depth = np.stack(asked["q"].to_numpy()), asked["query_id"].to_numpy(), asked["k"].to_numpy()
+    step = max(16, SCORES // len(asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(depth)
         for batch in batches:
             names, flat = batch.column("image_id"), batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
             x = flat.reshape(batch.num_rows, -1)
-            for lo in range(0, batch.num_rows, ROWS):
-                best.add(matrix @ x[lo : lo + ROWS].astype(np.float64).T, names.slice(lo, ROWS).to_numpy(zero_copy_only=False))
+            cells = np.zeros(batch.num_rows, int) if visits is None else batch.column("cell").to_numpy()
+            for cell in np.unique(cells):
+                rows = np.flatnonzero(cells == cell)
+                which = None if visits is None else np.flatnonzero(visits[:, cell])
+                own = matrix if which is None else matrix[which]
+                for lo in range(0, len(rows), step):
+                    part = rows[lo : lo + step]
+                    best.add(own @ x[part].astype(np.float64).T, names.take(pa.array(part)).to_numpy(zero_copy_only=False), which)
         for j, (s, n) in enumerate(zip(best.scores, best.ids, strict=True)):
             if len(s):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ids[j])), pa.array(n, pa.string()), pa.array(s), pa.array(np.full(len(s), depth[j]), pa.int32())], names=["query_id", "image_id", "similarity", "k"])
 
-    rows = embeddings.where(F.size("embedding") == matrix.shape[1]).select("image_id", "embedding")
-    return rows.mapInArrow(run, shape)
+    rows = embeddings.where(F.size("embedding") == matrix.shape[1])
+    if visits is None:
+        return rows.select("image_id", "embedding").mapInArrow(run, shape)
+    seen = np.flatnonzero(visits.any(axis=0)).tolist()
+    rows = rows if len(seen) == visits.shape[1] else rows.where(F.col("cell").isin(seen))
+    return rows.select("image_id", "embedding", F.col("cell").cast("int").alias("cell")).mapInArrow(run, shape)
 
 
 def cell_count(n: int) -> int:
@@ -129,14 +154,35 @@ def write_cells(dealt: DataFrame, path: str) -> None:
 
 @dataclass(frozen=True)
 class Cells:
-    """An approximate index: written cells, their centres, and how many of them a query probes."""
+    """An index: written cells, their centres, how many of them a query probes
+    first, and, where they are known, the largest distance of a row from each
+    centre. With these a search can be exact."""
 
     dealt: DataFrame
     centres: list[np.ndarray]
     probes: int
+    radii: np.ndarray | None = None
+
+    def nearest(self, queries: DataFrame, k: Column | int = 10, exact: bool = False) -> DataFrame:
+        return knn_cells_batch(self.dealt, self.centres, queries, k, self.probes, self.radii if exact else None)
+
 
-    def nearest(self, queries: DataFrame, k: Column | int = 10) -> DataFrame:
-        return knn_cells_batch(self.dealt, self.centres, queries, k, self.probes)
+def cell_radii(dealt: DataFrame, centres: list[np.ndarray]) -> np.ndarray:
+    """The largest distance of a row from the centre of its cell; -1 for a cell without rows."""
+    points = np.asarray(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.full(len(points), -1.0)
+        for batch in batches:
+            cell, x = batch.column("cell").to_numpy(), batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            np.maximum.at(most, cell, np.sqrt(((x - points[cell]) ** 2).sum(axis=1)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(points), dtype=np.int32)), pa.array(most)], names=["cell", "radius"])
+
+    found = dealt.select("embedding", F.col("cell").cast("int").alias("cell")).mapInArrow(run, "cell int, radius double").groupBy("cell").agg(F.max("radius").alias("radius"))
+    radii = np.full(len(points), -1.0)
+    for row in found.collect():  # a row for each cell
+        radii[row["cell"]] = row["radius"]
+    return radii
 
 
 def build_index(embeddings: DataFrame, path: str, cells: int | None = None, probes: int | None = None, approximate_from: int = APPROXIMATE_FROM) -> Cells | None:
@@ -147,43 +193,64 @@ def build_index(embeddings: DataFrame, path: str, cells: int | None = None, prob
         return None
     dealt, centres = build_cells(embeddings, cells or cell_count(n))
     write_cells(dealt, path)
-    return Cells(embeddings.sparkSession.read.parquet(path), centres, probes or max(1, len(centres) // 5))
+    written = embeddings.sparkSession.read.parquet(path)
+    return Cells(written, centres, probes or max(1, len(centres) // 5), cell_radii(written, centres))
 
 
-def _probed(centres: list[np.ndarray], query: np.ndarray, probes: int) -> np.ndarray:
-    return np.argsort(((np.asarray(centres) - query) ** 2).sum(axis=1), kind="stable")[:probes]
+def cell_bounds(centres: list[np.ndarray], radii: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """(queries, cells): what no product of a query with a row of the cell exceeds,
+    as a row lies within the radius of the centre; -inf for cells without rows."""
+    points, length = np.asarray(centres), np.linalg.norm(queries, axis=1)[:, None]
+    bound = queries @ points.T + length * np.maximum(radii, 0)
+    slack = 1e-9 * length * (np.linalg.norm(points, axis=1) + np.abs(radii)) + 1e-12
+    return np.where(radii >= 0, bound + slack, -np.inf)
 
 
-def knn_cells(dealt: DataFrame, centres: list[np.ndarray], query: list[float], k: int, probes: int) -> DataFrame:
-    """As ``knn``, within the ``probes`` cells nearest to the query; all cells make it exact."""
-    return knn(dealt.where(F.col("cell").isin([int(c) for c in _probed(centres, np.asarray(query), probes)])), query, k)
+def _probed(centres: list[np.ndarray], queries: np.ndarray, probes: int) -> np.ndarray:
+    """(queries, cells): true for the ``probes`` cells whose centres are nearest."""
+    points = np.asarray(centres)
+    far = (points**2).sum(axis=1) - 2 * queries @ points.T
+    out = np.zeros(far.shape, bool)
+    np.put_along_axis(out, np.argsort(far, axis=1, kind="stable")[:, :probes], True, axis=1)
+    return out
 
 
-def knn_cells_batch(dealt: DataFrame, centres: list[np.ndarray], queries: DataFrame, k: Column | int, probes: int) -> DataFrame:
-    """As ``knn_batch``, each query within its ``probes`` nearest cells. Queries
-    are sent to their cells, in blocks where many meet in one; the rows of a cell
-    are dealt over the tasks that the scan gives it."""
-    near = F.udf(lambda v: [int(c) for c in _probed(centres, np.asarray(v), probes)], "array<int>")
-    asked = queries.select("query_id", F.transform("query_vec", lambda x: x.cast("double")).alias("q"), (F.lit(k) if isinstance(k, int) else k).cast("int").alias("k")).withColumn("cell", F.explode(near("q")))
-    shape = "query_id long, image_id string, similarity double, k int"
+def knn_cells(dealt: DataFrame, centres: list[np.ndarray], query: list[float], k: int, probes: int, radii: np.ndarray | None = None) -> DataFrame:
+    """As ``knn``, within the ``probes`` cells nearest to the query, and with
+    ``radii`` in all that can hold one of the k best, so that it is exact."""
+    asked = dealt.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id long, query_vec array<double>")
+    return knn_cells_batch(dealt, centres, asked, k, probes, radii).orderBy("rank").select("image_id", "similarity")
+
+
+def knn_cells_batch(dealt: DataFrame, centres: list[np.ndarray], queries: DataFrame, k: Column | int, probes: int, radii: np.ndarray | None = None) -> DataFrame:
+    """As ``knn_batch``, each query within its ``probes`` nearest cells, and
+    ``cells_read``, the cells that it saw. Only cells that a query of the block
+    sees are read, and their rows are multiplied where they are read.
+
+    With ``radii`` the search is exact: a cell's centre and radius bound every
+    product with its rows. After the nearest cells, those whose bound reaches the
+    k-th best so far are searched too; in no other can there be a better row, nor
+    one that ties.
+    """
 
-    def run(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"query_id": np.zeros(0, np.int64), "image_id": np.zeros(0, object), "similarity": np.zeros(0), "k": np.zeros(0, np.int32)})
-        if not len(rows) or not len(asks):
-            return out
-        x, names, found = np.stack(rows["embedding"].to_numpy()).astype(np.float64), rows["image_id"].to_numpy(), []
-        for lo in range(0, len(asks), QUERIES):
-            own = asks.iloc[lo : lo + QUERIES]
-            best = Best(own["k"].to_numpy())
-            for a in range(0, len(x), ROWS):
-                best.add(np.stack(own["q"].to_numpy()) @ x[a : a + ROWS].T, names[a : a + ROWS])
-            found += [pd.DataFrame({"query_id": i, "image_id": n, "similarity": s, "k": d}) for i, d, s, n in zip(own["query_id"], own["k"], best.scores, best.ids, strict=True) if len(s)]
-        return pd.concat([out, *found])
-
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(8)).cast("int").alias("part")  # noqa: E731  a large cell is searched by eight tasks
-    rows = dealt.select("cell", part("image_id"), "image_id", "embedding")
-    asks = asked.select("cell", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("part"), "query_id", "q", "k")
-    return _ranked(rows.groupBy("cell", "part").cogroup(asks.groupBy("cell", "part")).applyInPandas(run, shape))
+    def search(block: pd.DataFrame) -> DataFrame:
+        if not len(block):
+            return _ranked(_search_block(dealt, block)).withColumn("cells_read", F.lit(0))
+        matrix = np.stack(block["q"].to_numpy())
+        first = _probed(centres, matrix, probes)
+        if radii is None:
+            return _ranked(_search_block(dealt, block, first)).withColumn("cells_read", F.lit(min(probes, len(centres))))
+        begun = cut(_ranked(_search_block(dealt, block, first), keep_k=True))
+        place = {q: i for i, q in enumerate(block["query_id"])}
+        floor = np.full(len(block), -np.inf)
+        for row in begun.where(F.col("rank") == F.col("k")).select("query_id", "similarity").collect():  # one for each query of the block
+            floor[place[row["query_id"]]] = row["similarity"]
+        rest = (cell_bounds(centres, radii, matrix) >= floor[:, None]) & ~first & (radii >= 0)
+        seen = block["query_id"].to_frame().assign(cells_read=(first | rest).sum(axis=1).astype("int32"))
+        out = _ranked(begun.drop("rank").union(_search_block(dealt, block, rest)))
+        return out.join(F.broadcast(dealt.sparkSession.createDataFrame(seen, "query_id long, cells_read int")), "query_id")
+
+    return _by_blocks(queries, k, search)
 
 
 def candidate_depth(limit: Column, deeper: Column, available: Column | int, max_limit: int = 100) -> Column:

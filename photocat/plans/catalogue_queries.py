@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import scalars
 from ..lineage import cut, shared_dir
-from ..operators import catalog, duplicates, inference, quality, ranking, rotation, stats, taste, vectors
+from ..operators import catalog, cell_upkeep, duplicates, inference, quality, ranking, ranks, rotation, stats, taste, tiles, vectors
 from ..sources import files as sources
+from ..sources import versions, walk
 from ..streaming import ingest
 from . import fixtures as fx
 from .fixtures import with_sql
@@ -173,10 +174,46 @@ def knn_cells_batch(spark, sf_dir):
     return index.nearest(asks, 10).select("query_id", "rank", "image_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query("SELECT image_id, similarity FROM (" + KNN_SQL.format(which="q.vec_id = 3", k=25) + ")")
 def knn_some_cells(spark, sf_dir):
-    dealt, centres = vectors.build_cells(fx.catalogue(spark, sf_dir)[1], 5)
-    return vectors.knn_cells(dealt, centres, _one_vector(spark, sf_dir), 25, 2)
+    """Two cells of many are probed, then those whose bounds do not rule them out."""
+    index = vectors.build_index(fx.catalogue(spark, sf_dir)[1], _fresh(spark, "cells"), cells=20, probes=2, approximate_from=1)
+    return vectors.knn_cells(index.dealt, index.centres, _one_vector(spark, sf_dir), 25, 2, index.radii).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(KNN_SQL.format(which="q.vec_id % 20 = 0", k=10))
+def knn_exact_cells(spark, sf_dir):
+    """Every twentieth vector asks an index, exactly."""
+    _, e = fx.catalogue(spark, sf_dir)
+    asks = fx.table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    index = vectors.build_index(e, _fresh(spark, "cells"), cells=20, probes=2, approximate_from=1)
+    return index.nearest(asks, 10, exact=True).select("query_id", "rank", "image_id", F.round("similarity", 6).alias("similarity"))
+
+
+UPKEPT_SQL = """
+kept AS (SELECT image_id, doc_id, embedding FROM img WHERE embedding IS NOT NULL AND doc_id % 6 <> 0 AND doc_id % 4 <> 0
+  UNION ALL SELECT i.image_id, i.doc_id, e.embedding FROM img i JOIN embeddings e ON e.vec_id = (i.doc_id % 1000000 + 1) % (SELECT count(*) FROM embeddings) WHERE i.embedding IS NOT NULL AND i.doc_id % 6 <> 0 AND i.doc_id % 4 = 0)"""
+
+
+@query(with_sql("""SELECT query_id, rank::INT AS rank, image_id, round(similarity, 6) AS similarity FROM (
+  SELECT q.vec_id AS query_id, i.image_id, list_inner_product(i.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(i.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, i.image_id) AS rank
+  FROM embeddings q, kept i WHERE q.vec_id % 20 = 0) WHERE rank <= 10""", UPKEPT_SQL))
+def index_upkeep(spark, sf_dir):
+    """An index of two thirds of the vectors; then the others come, a quarter of all
+    change and a sixth of all go, and its cells are split. Searched exactly."""
+    _, e = fx.catalogue(spark, sf_dir)
+    e = cut(e.where("embedding is not null"))
+    asked = fx.table(spark, sf_dir, "embeddings")
+    index = cell_upkeep.create_index(e.where("doc_id % 3 <> 1"), _fresh(spark, "index"), cells=4, cell_bytes=48 << 10)
+    n = asked.count()
+    other = asked.select(F.col("vec_id").alias("_v"), F.col("embedding").alias("_e"))
+    new = e.where("doc_id % 4 = 0").join(other, (F.col("doc_id") % 1_000_000 + 1) % n == F.col("_v")).select("image_id", F.col("_e").alias("embedding"))
+    index = cell_upkeep.update_index(index, e.where("doc_id % 3 = 1").select("image_id", "embedding"))
+    index = cell_upkeep.update_index(index, new, e.where("doc_id % 6 = 0 and doc_id % 4 <> 0").select("image_id"))
+    index = cell_upkeep.update_index(index, e.limit(0).select("image_id", "embedding"), e.where("doc_id % 6 = 0").select("image_id"))
+    asks = asked.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return index.nearest(asks, 10, exact=True).select("query_id", "rank", "image_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT l AS \"limit\", d AS deeper, least(least(l, 100) * CASE WHEN d THEN 50 ELSE 10 END, (SELECT count(*) FROM embeddings))::INT AS depth FROM (SELECT DISTINCT (vec_id % 150)::INT AS l, vec_id % 2 = 0 AS d FROM embeddings)")
@@ -237,13 +274,14 @@ def filename_functions(spark, sf_dir):
 
 
 @query("SELECT doc_id, CASE WHEN a IN ('include', 'exclude', 'only') THEN a WHEN regexp_matches(t, '" + scalars.HISTORICAL.replace("'", "''") + """') THEN 'include' ELSE 'capped' END AS mode FROM (
-  SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'include' WHEN 1 THEN 'only' ELSE 'auto' END AS a, CASE doc_id % 7 WHEN 0 THEN 'in 1953' WHEN 1 THEN '1953s' WHEN 2 THEN 'the 1980s' WHEN 3 THEN '1985' WHEN 4 THEN 'prehistory' WHEN 5 THEN text ELSE 'Old Photo' END AS t FROM documents)""")
+  SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'include' WHEN 1 THEN 'only' ELSE 'auto' END AS a,
+         coalesce(text, '') || ' ' || CASE doc_id % 7 WHEN 0 THEN 'in 1953' WHEN 1 THEN '1953s' WHEN 2 THEN 'the 1980s' WHEN 3 THEN '1985' WHEN 4 THEN 'prehistory' WHEN 5 THEN '' ELSE 'Old Photo' END AS t FROM documents)""")
 def archive_modes(spark, sf_dir):
-    n = F.col("doc_id")
-    text = F.col("text")
-    for i, t in enumerate(("in 1953", "1953s", "the 1980s", "1985", "prehistory")):
-        text = F.when(n % 7 == i, t).otherwise(text)
-    text = F.when(n % 7 == 6, "Old Photo").otherwise(text)
+    """Whole texts, behind most of which a phrase stands that tells or does not."""
+    n, phrase = F.col("doc_id"), F.lit("Old Photo")
+    for i, t in enumerate(("in 1953", "1953s", "the 1980s", "1985", "prehistory", "")):
+        phrase = F.when(n % 7 == i, t).otherwise(phrase)
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), phrase)
     asked = F.when(n % 5 == 0, "include").when(n % 5 == 1, "only").otherwise("auto")
     return fx.table(spark, sf_dir, "documents").select("doc_id", scalars.archive_mode(asked, text).alias("mode"))
 
@@ -277,13 +315,27 @@ def camera_tags(spark, sf_dir):
 # Sources -----------------------------------------------------------------------
 
 
-@query("SELECT source || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' ELSE '.webp' END AS path, strlen(coalesce(text, ''))::BIGINT AS file_size FROM documents WHERE doc_id % 4 <> 3 AND source IS NOT NULL")
-def listed_files(spark, sf_dir):
+LISTED_SQL = "SELECT source || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' ELSE '.webp' END AS path, strlen(coalesce(text, ''))::BIGINT AS file_size FROM documents WHERE doc_id % 4 <> 3 AND source IS NOT NULL"
+
+
+def _library(spark, sf_dir) -> str:
     """A file for each document, some with suffixes that are passed over."""
     n, root = F.col("doc_id"), _fresh(spark, "library")
     suffix = F.when(n % 4 == 0, ".jpg").when(n % 4 == 1, ".PNG").when(n % 4 == 2, ".webp").otherwise(F.when(n % 8 == 3, ".Jpg").otherwise(".txt"))
     fx.write_files(fx.table(spark, sf_dir, "documents").where("source is not null").select(F.concat("source", F.lit("/"), n.cast("string"), suffix).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")), root)
-    found = sources.list_files(spark, root)
+    return root
+
+
+@query(LISTED_SQL)
+def listed_files(spark, sf_dir):
+    found = sources.list_files(spark, _library(spark, sf_dir))
+    return found.select(F.substring_index("path", "/", -2).alias("path"), "file_size")
+
+
+@query(LISTED_SQL)
+def walked_files(spark, sf_dir):
+    """The same library, its folders listed by tasks."""
+    found = walk.walk_files(spark, _library(spark, sf_dir))
     return found.select(F.substring_index("path", "/", -2).alias("path"), "file_size")
 
 
@@ -343,6 +395,40 @@ def upsert(spark, sf_dir):
     return catalog.upsert(images, new, "image_id", "file_modified").select("image_id", "filepath", "file_size", "taste_score")
 
 
+UPSERT_SQL = ORACLE_SQL["upsert"]
+
+
+@query(UPSERT_SQL)
+def upsert_versions(spark, sf_dir):
+    """The same in two changes of a versioned table, of which the second is committed
+    while the first is made, so that the first is made again."""
+    images, base = fx.catalogue(spark, sf_dir)[0], _fresh(spark, "versions")
+    new = cut(ingest.catalogue_rows(fx.listing(spark, sf_dir).where("file_size % 2 = 0")))
+    half = F.pmod(F.xxhash64("image_id"), F.lit(2))
+    versions.change(spark, base, lambda _: images.drop("doc_id"))
+    first = []
+
+    def change(rows: DataFrame) -> DataFrame:
+        if not first:
+            first.append(versions.change(spark, base, lambda now: catalog.upsert(now, new.where(half == 1), "image_id", "file_modified")))
+        return catalog.upsert(rows, new.where(half == 0), "image_id", "file_modified")
+
+    versions.change(spark, base, change)
+    return versions.read_version(spark, base).select("image_id", "filepath", "file_size", "taste_score")
+
+
+@query(UPSERT_SQL)
+def upsert_buckets(spark, sf_dir):
+    """The same in a table of 32 buckets, in four changes of a quarter of its keys each."""
+    images, base = fx.catalogue(spark, sf_dir)[0], _fresh(spark, "buckets")
+    new = cut(ingest.catalogue_rows(fx.listing(spark, sf_dir).where("file_size % 2 = 0")))
+    by = F.substring("image_id", 1, 2)
+    versions.create_buckets(images.drop("doc_id"), base, "image_id", 32, by)
+    for part in ("0123", "4567", "89ab", "cdef"):
+        versions.upsert_buckets(spark, base, new.where(F.substring("image_id", 1, 1).isin(list(part))), "image_id", by, lambda old, now, key: catalog.upsert(old, now, key, "file_modified"))
+    return versions.read_version(spark, base).select("image_id", "filepath", "file_size", "taste_score")
+
+
 @query(with_sql("SELECT image_id, CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 1.5::DOUBLE ELSE taste_score END AS taste_score, file_size FROM img"))
 def patch(spark, sf_dir):
     images, _ = fx.catalogue(spark, sf_dir)
@@ -494,6 +580,12 @@ def spearman(spark, sf_dir):
     return stats.spearman(fx.catalogue(spark, sf_dir)[0], "aesthetic_score", "taste_score").withColumn("rho", F.round("rho", 6))
 
 
+@query(with_sql("SELECT image_id, row_number() OVER (ORDER BY taste_score DESC NULLS LAST, image_id) - 1 AS position FROM img"))
+def positions(spark, sf_dir):
+    """The exact place of every image by its score."""
+    return ranks.positions(fx.catalogue(spark, sf_dir)[0].select("image_id", "taste_score"), [F.desc_nulls_last("taste_score"), F.col("image_id")]).select("image_id", "position")
+
+
 @query(with_sql("SELECT image_id, round((aesthetic_score - (SELECT avg(aesthetic_score) FROM img)) / (SELECT stddev_pop(aesthetic_score) FROM img), 6) AS z FROM img"))
 def zscore(spark, sf_dir):
     return stats.zscore(fx.catalogue(spark, sf_dir)[0], "aesthetic_score", "z").select("image_id", F.round("z", 6).alias("z"))
@@ -534,6 +626,11 @@ def pairwise_accuracy(spark, sf_dir):
     return taste.pairwise_accuracy(scored).withColumn("accuracy", F.round("accuracy", 6))
 
 
+@query(with_sql("SELECT vote_id, ((row_number() OVER (ORDER BY sha256('0:' || vote_id), vote_id) - 1) % 5)::INT AS fold FROM vote WHERE choice IN ('a', 'b')", fx.VOTES_SQL))
+def balanced_folds(spark, sf_dir):
+    return taste.balanced_folds(taste.vote_pairs(fx.votes(spark, sf_dir))[0]).select("vote_id", "fold")
+
+
 @query(with_sql("SELECT image_id, round((raw - (SELECT avg(raw) FROM scored)) / (SELECT stddev_pop(raw) FROM scored), 6) AS taste_score FROM scored", SCORED_SQL))
 def score_taste(spark, sf_dir):
     return taste.score_taste(fx.catalogue(spark, sf_dir)[1], np.array(WEIGHTS)).withColumn("taste_score", F.round("taste_score", 6))
@@ -659,9 +756,18 @@ def upright_direction(spark, sf_dir):
 PAIRS_SQL = "pair AS (SELECT least(a.image_id, b.image_id) AS a, greatest(a.image_id, b.image_id) AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM img a JOIN img b ON b.doc_id = a.doc_id + 1000000 WHERE a.embedding IS NOT NULL)"
 
 
-@query(with_sql("""SELECT a.first AS a, b.first AS b, round(list_inner_product(a.v, b.v), 6) AS cosine FROM own_first a JOIN own_first b ON a.first < b.first AND list_inner_product(a.v, b.v) >= 0.97::DOUBLE
+EXACT_PAIRS_SQL = with_sql("""SELECT a.first AS a, b.first AS b, round(list_inner_product(a.v, b.v), 6) AS cosine FROM own_first a JOIN own_first b ON a.first < b.first AND list_inner_product(a.v, b.v) >= 0.97::DOUBLE
   UNION ALL SELECT first, image_id, round(list_inner_product(v, v), 6) FROM own_first JOIN img ON img.embedding = own_first.embedding WHERE image_id <> first""",
-  "own_first AS (SELECT embedding, embedding::DOUBLE[] AS v, min(image_id) AS first FROM img WHERE embedding IS NOT NULL GROUP BY embedding)"))
+  "own_first AS (SELECT embedding, embedding::DOUBLE[] AS v, min(image_id) AS first FROM img WHERE embedding IS NOT NULL GROUP BY embedding)")
+
+
+@query(EXACT_PAIRS_SQL)
+def near_duplicate_tiles(spark, sf_dir):
+    """The same by an exact join of tiles."""
+    return tiles.exact_pairs(fx.catalogue(spark, sf_dir)[1])[0].withColumn("cosine", F.round("cosine", 6))
+
+
+@query(EXACT_PAIRS_SQL)
 def near_duplicate_pairs(spark, sf_dir):
     return duplicates.near_duplicate_pairs(fx.catalogue(spark, sf_dir)[1]).withColumn("cosine", F.round("cosine", 6))
 
@@ -686,10 +792,42 @@ def hashing_encoder():
     return encode
 
 
-@query("SELECT doc_id::VARCHAR AS image_id, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE 16 END::INT AS dimension, CASE WHEN doc_id % 9 = 0 THEN 'ValueError: nothing to encode' END AS error FROM documents")
+EMBED_SQL = """SELECT image_id, len(v)::INT AS dimension, round(list_inner_product(v, range(1, 17)::DOUBLE[]) / sqrt(list_inner_product(v, v)), 4) AS weighted, CASE WHEN v IS NULL THEN 'ValueError: nothing to encode' END AS error FROM (
+  SELECT doc_id::VARCHAR AS image_id, CASE WHEN coalesce(text, '') <> '' THEN list_transform(range(0, 16), lambda i: ('0x' || substr(sha256(text), 2 * i + 1, 2))::INT - 127.5::DOUBLE) END AS v FROM documents)"""
+
+
+def _embedded(rows: DataFrame) -> DataFrame:
+    return rows.select("image_id", F.size("embedding").alias("dimension"), F.round(scalars.dot(F.col("embedding"), F.sequence(F.lit(1), F.lit(16))), 4).alias("weighted"), "error")
+
+
+def _contents(spark, sf_dir) -> DataFrame:
+    return fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("image_id"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+@query(EMBED_SQL)
 def embed_batches(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("image_id"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).otherwise("").alias("content"))
-    return inference.embed_batches(d, hashing_encoder, 16).select("image_id", F.coalesce(F.size("embedding"), F.lit(0)).alias("dimension"), "error")
+    """Whole texts; every component of the vectors counts by its place."""
+    return _embedded(inference.embed_batches(_contents(spark, sf_dir), hashing_encoder, 16))
+
+
+@query(EMBED_SQL)
+def embed_slices(spark, sf_dir):
+    """The same in slices: a first run is stopped after some of them, a second goes on."""
+    folder, rows = _fresh(spark, "slices"), _contents(spark, sf_dir)
+    stop = iter([None, StopIteration])
+
+    class Stopped(Exception):
+        pass
+
+    def watch() -> None:
+        if next(stop) is not None:
+            raise Stopped
+
+    try:
+        inference.embed_slices(rows, hashing_encoder, 16, folder, "hash-1", slices=4, at_once=1, after=watch)
+    except Stopped:
+        pass
+    return _embedded(inference.embed_slices(rows, hashing_encoder, 16, folder, "hash-1", slices=4, at_once=2))
 
 
 @query(with_sql("SELECT substr(sha256(coalesce(path, filepath)), 1, 16) AS image_id, coalesce(path, filepath) AS filepath, coalesce(l.file_size, i.file_size) AS file_size FROM img i FULL JOIN later l ON path = filepath", fx.LISTING_SQL))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.scalars import SourceRules
-from ..lineage import cut
+from ..lineage import cut, qualified
 from ..schema import few_rows
 
 RULES = SourceRules(archive_prefixes=("src0",), photographers=("SRC1",))
@@ -103,10 +103,12 @@ def rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_files(rows: DataFrame, folder: str) -> None:
     """A file for each row (path, content), below ``folder``, which all executors share."""
+    target = qualified(rows.sparkSession, folder)
+    target = target.replace("file:/", "file:///", 1) if not target.startswith("file://") else target
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fs, base = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+            fs, base = pafs.FileSystem.from_uri(target)
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 fs.create_dir(f"{base}/{path}".rsplit("/", 1)[0])
                 with fs.open_output_stream(f"{base}/{path}") as out:
