@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import components, cut, discard, join_split
+from .common import components, cut, discard, join_split, unused
 
 WORDS, SIMILARITY = 5, 0.8
 #: Tokens of a signature, and the share of equal ones from which a pair is a
@@ -329,5 +329,6 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that are not the first of their group. An
     id whose rows differ stays if one of them is to stay; rows without an id stay."""
-    gone = jaccard_join(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).where("not stays").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    own, = unused(docs, "_gone")
+    gone = jaccard_join(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).where("not stays").select(F.col("doc_id").alias(own))
+    return docs.join(gone, docs["doc_id"] == gone[own], "left_anti")

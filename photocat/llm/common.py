@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut, discard, shared_dir
 
-__all__ = ["components", "cut", "discard", "join_split", "shared_dir", "spread_rank", "unit", "within_bytes"]
+__all__ = ["components", "cut", "discard", "join_split", "piece", "shared_dir", "spread_rank", "unit", "unused", "within_bytes"]
 
 #: Rows that one task ranks at a time in ``spread_rank``.
 RANK_ROWS = 10_000
@@ -82,8 +82,31 @@ def join_split(rows: DataFrame, by_key: DataFrame, keys: list[str], spread: list
 
 
 def within_bytes(sample: DataFrame, order: list[str], size: str, limit: int) -> DataFrame:
-    """Of a sample of bounded rows, those up to which the sizes sum to ``limit`` at most."""
-    return sample.withColumn("_sum", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= limit).drop("_sum")
+    """Of a sample of bounded rows, those up to which the sizes sum to ``limit`` at
+    most. A row that is larger by itself is skipped and costs only itself; where
+    every row is, the first stays, of whose text ``piece`` takes what fits."""
+    fits = F.col(size) <= limit
+    sum_to = F.sum(F.when(fits, F.col(size)).otherwise(0)).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    first = F.row_number().over(Window.orderBy((~fits).cast("int"), *order))
+    return sample.withColumns({"_sum": sum_to, "_first": first}).where((fits & (F.col("_sum") <= limit)) | (F.col("_first") == 1)).drop("_sum", "_first")
+
+
+def piece(text: Column, limit: int) -> Column:
+    """The text, or its beginning where it has more bytes than ``limit``."""
+    return F.when(F.octet_length(text) > limit, F.substring(text, 1, max(1, limit // 4))).otherwise(text)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with a number where a column of ``df`` is called so already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        free, n = name, 0
+        while free.lower() in taken:
+            n += 1
+            free = f"{name}{n}"
+        taken.add(free.lower())
+        out.append(free)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

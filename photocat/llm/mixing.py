@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RANK_ROWS, cut, spread_rank, unit
+from .common import RANK_ROWS, cut, spread_rank, unit, unused
 
 #: Exponents that one aggregation tries: three halvings at once.
 SECTIONS = 8
@@ -124,6 +124,7 @@ def mix(docs: DataFrame, *, seed: int = 0, **target) -> DataFrame:
     """``docs`` as scheduled: their columns and copy, block, slot."""
     table = cut(units(docs))
     plan = schedule(table, rates(table, **target), seed)
-    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "copy", "block", "slot")
     own = docs.drop("copy", "block", "slot")
-    return own.join(plan, own["doc_id"].eqNullSafe(plan["_d"]) & own["source"].eqNullSafe(plan["_s"])).drop("_d", "_s")
+    d, s = unused(own, "_d", "_s")
+    plan = plan.select(F.col("doc_id").alias(d), F.col("source").alias(s), "copy", "block", "slot")
+    return own.join(plan, own["doc_id"].eqNullSafe(plan[d]) & own["source"].eqNullSafe(plan[s])).drop(d, s)

@@ -9,8 +9,9 @@ jointly in numpy on a bounded sample of labelled rows, by one task; every whole
 text is then scored where it lies, without a shuffle.
 
 Edge cases. Null, empty and wordless texts: the score of no evidence, that of
-the intercept alone. No labelled rows, or one class only: that class's share,
-smoothed, scores all. Null label: not learned from; clashing labels of an id:
+the intercept alone. One class only among the labelled rows: its share,
+smoothed, scores all; no labelled row: UNKNOWN does. A text with more bytes than
+the sample may have: not learned from, unless all are, then a piece of one is. Null label: not learned from; clashing labels of an id:
 toxic, if one says so. Null ids: held in, as their hash is null, and not learned
 from; a repeated id repeats its row. Ties have no bearing. Very
 long texts: all windows count. Empty table: no rows. Other columns: ignored.
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import cut, within_bytes
+from .common import cut, piece, within_bytes
 
 #: Rows that a model is fitted on at most, those with the least hash of the id,
 #: and the bytes of their texts.
@@ -35,8 +36,8 @@ TRAIN_ROWS, TRAIN_BYTES = 10_000, 64 << 20
 #: n-gram lengths in bytes, hash buckets, dimensions and words of a window.
 GRAMS, BUCKETS, DIMENSIONS, WINDOW = (3, 4, 5, 6), 1 << 17, 8, 8
 EPOCHS, BATCH, RATE, SEED = 5, 64, 0.3, 7
-#: The score from which a text is predicted toxic.
-TOXIC = 0.3
+#: The score from which a text is predicted toxic, and that of all where no label is known.
+TOXIC, UNKNOWN = 0.3, 0.25
 
 
 def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,9 +166,9 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
         weight, bias = fit(pa.array(rows["text"].fillna(""), pa.string()), rows["label"].to_numpy().astype(np.float64))
         return pd.DataFrame({"weight": [weight.tobytes()], "bias": [bias]})
 
-    found = labelled.select("text", "label", "order", "h", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "weight binary, bias double").first()
+    found = labelled.select(piece(F.col("text"), TRAIN_BYTES).alias("text"), "label", "order", "h", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "weight binary, bias double").first()
     if found is None:
-        return np.zeros(BUCKETS, np.float32), 0.0
+        return np.zeros(BUCKETS, np.float32), float(np.log(UNKNOWN / (1 - UNKNOWN)))
     return np.frombuffer(found["weight"], np.float32), found["bias"]
 
 

@@ -4,8 +4,9 @@ Heuristic labellers look at a text's tokens and vote good, bad or abstain.
 Expectation-maximisation over the counts of vote patterns (at most 3 to the
 number of labellers, however many documents there are) estimates how accurate
 each labeller is on good and on bad texts, and gives every pattern a posterior.
-The posteriors train a logistic model on hashed token shapes, by one task on a
-bounded sample; that linear scorer judges every text where it lies, also where
+The posteriors train a logistic model on hashed token shapes: the texts of a sample
+are counted where they lie, whole, and one task fits on the rows of BUCKETS
+shares that this leaves; that linear scorer judges every text where it lies, also where
 the labellers abstain. No hand-made label is read.
 
 A token's shape is the token with runs of lower-case (and non-ASCII) letters as
@@ -20,6 +21,8 @@ clashing "score" and "keep" are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import cut, within_bytes
+from .common import cut
 
-#: Texts that the scorer is fitted on at most (those with the least hashes) and
-#: their bytes, hash buckets of shapes, the score below which a text is rejected.
-FIT_ROWS, FIT_BYTES, BUCKETS, KEEP = 10_000, 96 << 20, 1024, 0.5
+#: Texts that the scorer is fitted on at most (those with the least hashes), hash
+#: buckets of shapes (the fit holds 4 bytes of each for a text), the score below
+#: which a text is rejected.
+FIT_ROWS, BUCKETS, KEEP = 10_000, 1024, 0.5
 ROUNDS, STEPS = 200, 400
 LABELLERS = ("signs", "loud", "upper", "table", "stutter", "stops", "plain", "repeats", "words")
 #: How often a bad and a good text get the votes bad, good, none: the start of
@@ -143,9 +147,8 @@ def _matrix(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (x / np.maximum(counts, 1)[:, None]).astype(np.float32), votes
 
 
-def fit_scorer(texts: pa.Array, good: np.ndarray) -> tuple[np.ndarray, float]:
-    """(weights, bias) of a logistic model of the posteriors, by Adagrad over all rows."""
-    x = np.concatenate([_matrix(texts.slice(a, b - a))[0] for a, b in S.chunks(texts)])
+def fit_scorer(x: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights, bias) of a logistic model of the posteriors from rows of shares, by Adagrad over all rows."""
     w, bias, sums, sum_b = np.zeros(BUCKETS, np.float32), 0.0, np.full(BUCKETS, 1e-8, np.float32), 1e-8
     for _ in range(STEPS):
         error = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30))) - good
@@ -158,8 +161,7 @@ def fit_scorer(texts: pa.Array, good: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def vote_table(docs: DataFrame) -> DataFrame:
-    """(order, size, pattern) of each text that has tokens; order is a hash of the
-    text, pattern the votes as a number to the base of 3."""
+    """(order, pattern) of each text that has tokens; order is a hash of the text, pattern the votes as a number to the base of 3."""
     powers = 3 ** np.arange(len(LABELLERS))
 
     @F.arrow_udf("long")
@@ -170,7 +172,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
             out.append(np.where(counts > 0, (votes + 1) @ powers, -1))
         return pa.array(np.concatenate(out), pa.int64())
 
-    return cut(docs.select(F.xxhash64("text").alias("order"), F.octet_length("text").alias("size"), pattern("text").alias("pattern")).where("pattern >= 0"))
+    return cut(docs.select(F.xxhash64("text").alias("order"), pattern("text").alias("pattern")).where("pattern >= 0"))
 
 
 def train(docs: DataFrame) -> tuple[np.ndarray, float] | None:
@@ -182,16 +184,22 @@ def train(docs: DataFrame) -> tuple[np.ndarray, float] | None:
     ids = np.array([r["pattern"] for r in found])
     post, _, _ = fit_votes(ids[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1, np.array([r["count"] for r in found], np.float64))
     table = docs.sparkSession.createDataFrame([(int(p), float(y)) for p, y in zip(ids, post, strict=True)], "pattern long, good double")
-    chosen = votes.groupBy("order").agg(F.min("pattern").alias("pattern"), F.max("size").alias("size")).orderBy("order").limit(FIT_ROWS)
-    chosen = within_bytes(chosen, ["order"], "size", FIT_BYTES).drop("size").join(F.broadcast(table), "pattern")
-    texts = docs.select("text", F.xxhash64("text").alias("order")).join(F.broadcast(cut(chosen)), "order").groupBy("order").agg(F.min("text").alias("text"), F.min("good").alias("good"))
+    chosen = cut(votes.groupBy("order").agg(F.min("pattern").alias("pattern")).orderBy("order").limit(FIT_ROWS).join(F.broadcast(table), "pattern"))
+    texts = docs.select("text", F.xxhash64("text").alias("order")).join(F.broadcast(chosen), "order").groupBy("order").agg(F.min("text").alias("text"), F.min("good").alias("good"))
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in S.chunks(batch.column("text")):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column("order"), part.column("good"), S.binary_rows(_matrix(part.column("text"))[0])], names=["order", "good", "x"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("order", kind="stable")
-        w, bias = fit_scorer(pa.array(rows["text"], pa.string()), rows["good"].to_numpy())
+        w, bias = fit_scorer(np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), BUCKETS), rows["good"].to_numpy())
         return pd.DataFrame({"w": [w.tobytes()], "bias": [bias]})
 
-    model = texts.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "w binary, bias double").first()
+    counted = texts.mapInArrow(shares, "order long, good double, x binary")
+    model = counted.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "w binary, bias double").first()
     return np.frombuffer(model["w"], np.float32), model["bias"]
 
 

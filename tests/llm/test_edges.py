@@ -165,6 +165,51 @@ def test_samples_are_bounded_in_bytes(spark, monkeypatch):
     assert sorted(r["o"] for r in common.within_bytes(sample, ["o"], "size", 55).collect()) == list(range(5))
 
 
+@pytest.mark.parametrize("large", [0, 4, 9])
+def test_a_large_text_costs_only_itself(spark, large):
+    sample = spark.createDataFrame([(i, 1000 if i == large else 10) for i in range(10)], "o long, size long")
+    assert sorted(r["o"] for r in common.within_bytes(sample, ["o"], "size", 500).collect()) == [i for i in range(10) if i != large]
+    assert [r["o"] for r in common.within_bytes(sample, ["o"], "size", 5).collect()] == [0]  # all are too large: the first, of which a piece is read
+
+
+def test_toxicity_beside_a_text_over_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 60_000)
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 30) + (" grumblous snarkov" if i % 3 == 0 else ""), "s") for i in range(200)] + [(1000 + i, prose(rng, 9000), "s") for i in range(6)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] + [(1000 + i, 0) for i in range(6)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs(spark, rows), labels).where("doc_id < 200").collect()
+    assert sum(r["predicted"] == int(r["doc_id"] % 3 == 0) for r in got) > 170
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 10)
+    assert 0 < toxicity.toxicity(docs(spark, rows), labels).agg(F.max("score")).first()[0] < 1
+    assert {r["predicted"] for r in toxicity.toxicity(docs(spark, rows[:5]), labels.limit(0)).collect()} == {0}
+
+
+INSIDE = ("_gone", "_d", "_t", "_kept", "_s", "_id", "row", "cls", "k", "h1", "h2", "site", "n", "order", "size", "pattern", "x", "good", "root", "id", "copies")
+
+
+def test_names_inside_are_free_outside(spark):
+    rng = random.Random(2)
+    texts = [(i, "a line of every site, always the same\n" + prose(rng, 20), f"s{i}") for i in range(14)] + [(20, prose(random.Random(7), 40), "s1"), (21, prose(random.Random(7), 40), "s2")]
+    plain = docs(spark, texts)
+    table = plain.withColumns({c: F.lit("clash") for c in INSIDE})
+    for operator in (lines.dedup_lines, weaklabel.judge):
+        got = operator(table)
+        assert set(INSIDE) < set(got.columns) and set(map(tuple, got.drop(*INSIDE).collect())) == set(map(tuple, operator(plain).collect()))
+    one = chosenpath.keep_one(table)
+    assert one.columns == table.columns and {r["doc_id"] for r in one.collect()} == {*range(14), 20}
+    assert set(INSIDE) < set(mixing.mix(table, budget=None, max_repeats=1.2).columns)
+
+
+def test_lines_of_documents_without_ids(spark):
+    shared = "a line of every site, always the same"
+    rows = [(None, f"{shared}\nown line number {i}", f"s{i}") for i in range(30)] + [(None, f"{shared}\nown line number 3", "s3")]
+    got = lines.dedup_lines(docs(spark, rows)).collect()
+    # the text that comes first by its hash keeps the line, in all its rows
+    assert len(got) == 31 and sum(shared in r["text"] for r in got) in (1, 2) and len({r["text"] for r in got if shared in r["text"]}) == 1
+    named = lines.dedup_lines(docs(spark, rows + [(5, shared, "t")])).collect()
+    assert [r["doc_id"] for r in named if shared in r["text"]] == [5]
+
+
 def test_quality_of_odd_texts(spark):
     rng = random.Random(8)
     clean = "\n".join(prose(rng, 12).capitalize() + ", " + prose(rng, 9) + "." for _ in range(6))
