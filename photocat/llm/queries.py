@@ -87,6 +87,29 @@ QUERIES = {f.__name__: f for f in (
     op12_multi_index, op13_queue_bpe)}
 
 ORACLE_SQL = {
+    "op2_pivot_neardup": """
+WITH RECURSIVE e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.9),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, coalesce(least(least.b, vec_id), vec_id) AS component_id, vec_id <= coalesce(least.b, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON a = vec_id
+""",
+    "op6_chosen_path_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+class AS (SELECT ws, min(doc_id) AS c, count(*) AS n FROM w WHERE len(ws) > 0 GROUP BY ws),
+shingle AS (SELECT c, n, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END) AS s FROM class),
+size AS (SELECT c, any_value(n) AS n, count(*) AS k FROM shingle GROUP BY c),
+met AS (SELECT a.c AS a, b.c AS b, count(*) AS shared FROM shingle a JOIN shingle b USING (s) WHERE a.c <> b.c GROUP BY ALL),
+link AS (SELECT a, b, y.n FROM met JOIN size x ON x.c = a JOIN size y ON y.c = b WHERE 10 * shared >= 8 * (x.k + y.k - shared)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+other AS (SELECT a, sum(n) AS n FROM link GROUP BY a)
+SELECT doc_id, coalesce(c, doc_id) AS class_id, coalesce(class.n - 1, 0)::BIGINT + coalesce(other.n, 0)::BIGINT AS n_links, coalesce(least(least.b, c), c, doc_id) AS group_id, doc_id = coalesce(least(least.b, c), c, doc_id) AS kept
+FROM w LEFT JOIN class USING (ws) LEFT JOIN least ON least.a = c LEFT JOIN other ON other.a = c
+""",
     "op1_mix_sources": f"""
 WITH RECURSIVE unit AS (
   SELECT doc_id, source, sum(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+')), 0))::BIGINT AS n_tokens FROM documents GROUP BY ALL),

@@ -1,8 +1,9 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its hashed byte n-grams, with marks at its ends, and of
-itself; its vector is the mean of theirs, so an unseen misspelling shares most
-of a known word's vector. A window of words is the mean of its words' vectors
+itself; its vector is the mean of theirs, so an unseen misspelling shares much of
+a known word's vector. The n-grams are short, as a letter that changes spoils
+every n-gram that it is in. A window of words is the mean of its words' vectors
 and goes through a linear softmax; a text is as toxic as its most toxic window,
 so a few words are not diluted by a long text. Vectors and softmax are trained
 jointly in numpy on a bounded sample of labelled rows, by one task; every whole
@@ -34,7 +35,7 @@ from .common import cut, piece, within_bytes
 #: and the bytes of their texts.
 TRAIN_ROWS, TRAIN_BYTES = 10_000, 64 << 20
 #: n-gram lengths in bytes, hash buckets, dimensions and words of a window.
-GRAMS, BUCKETS, DIMENSIONS, WINDOW = (3, 4, 5, 6), 1 << 17, 8, 8
+GRAMS, BUCKETS, DIMENSIONS, WINDOW = (2, 3), 1 << 17, 8, 8
 EPOCHS, BATCH, RATE, SEED = 5, 64, 0.3, 7
 #: The score from which a text is predicted toxic, and that of all where no label is known.
 TOXIC, UNKNOWN = 0.3, 0.25

@@ -142,6 +142,23 @@ def test_toxicity_scores_are_those_of_plain_python():
         assert score == pytest.approx(1 / (1 + np.exp(-(max(windows, default=0.0) + bias))), abs=1e-6)
 
 
+def test_misspellings_that_were_never_seen_share_their_words_vectors():
+    rng = random.Random(11)
+    insults = ["grumblous", "snarkovit", "pestilent", "wretchook"]
+    texts = [prose(rng, 40) for _ in range(600)]
+    labels = np.array([i % 4 == 0 for i in range(600)], float)
+    texts = [t + " " + " ".join(rng.sample(insults, 3)) if y else t for t, y in zip(texts, labels, strict=True)]
+    weight, bias = toxicity.fit(pa.array(texts[:400]), labels[:400])
+
+    def caught(spoil):
+        spoilt = [re.sub("|".join(insults), lambda m: spoil(m[0]), t) for t, y in zip(texts[400:], labels[400:], strict=True) if y]
+        return (toxicity.scores(pa.array(spoilt), weight, bias) >= toxicity.TOXIC).mean()
+
+    assert caught(lambda w: w) == 1 and caught(lambda w: w[:3] + w[2:]) > 0.9 and caught(lambda w: w[:4] + w[5:]) > 0.8 and caught(lambda w: w + "z") > 0.9
+    clean = [t for t, y in zip(texts[400:], labels[400:], strict=True) if not y]
+    assert (toxicity.scores(pa.array(clean), weight, bias) >= toxicity.TOXIC).mean() < 0.02
+
+
 def test_toxicity_labels(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, 30) + (" grumblous snarkov" if i % 3 == 0 else ""), "s") for i in range(300)]
