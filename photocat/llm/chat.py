@@ -1,7 +1,8 @@
 r"""Chat formatting with Spark expressions only.
 
-A conversation's turns are collected as structs, sorted by (turn, role, text),
-adjacent turns of one role are merged, and everything is concatenated:
+A conversation's turns are numbered by (turn, role, text); runs of adjacent turns of
+one role are collected as structs, sorted and merged, and so are the runs of a
+conversation, and everything is concatenated:
 
     ### User: first text<part>second text of the same role</turn>
     ### Assistant: reply</turn>
@@ -22,7 +23,7 @@ One conversation is one row of the result, however long; Spark limits it to 2 GB
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END, PART = "</turn>\n", "<part>"
@@ -61,47 +62,46 @@ def _role(name: Column) -> Column:
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) -> (conv_id, formatted, loss_spans)."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    df = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    # where a run of one role starts, and the runs between those places
-    starts = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: ~F.get(F.col("turns.role"), i - 1).eqNullSafe(F.get(F.col("turns.role"), i - 2)))
-    df = df.withColumn("starts", starts)
-    df = df.withColumn("runs", F.transform("starts", lambda s, i: F.slice("turns", s, F.coalesce(F.get("starts", i + 1), F.size("turns") + 1) - s)))
-    merged = F.transform("runs", lambda run: F.struct(
-        F.get(run, F.lit(0))["role"].alias("role"),
-        F.aggregate(run, F.array().cast("array<string>"), lambda parts, t: F.array_append(parts, escape(t["text"]))).alias("parts")))
-    df = df.select("conv_id", merged.alias("merged"))
-    df = df.withColumn("blocks", F.transform("merged", lambda m: F.struct(
-        _header(m["role"]).alias("header"), (m["role"] == "assistant").alias("loss"), m["parts"].alias("parts"))))
-    span = "array<struct<start:int,length:int>>"
-
-    def part_spans(at: Column, block: Column) -> Column:
-        """(at, spans) once a block is passed."""
-        inner = F.aggregate(block["parts"], F.struct((at["at"] + F.char_length(block["header"])).alias("at"), at["spans"].alias("spans")), lambda acc, p: F.struct(
-            (acc["at"] + F.char_length(p) + len(PART)).alias("at"),
-            F.when(block["loss"], F.array_append(acc["spans"], F.struct(acc["at"].alias("start"), F.char_length(p).alias("length")))).otherwise(acc["spans"]).alias("spans")))
-        return F.struct((inner["at"] - len(PART) + len(END)).alias("at"), inner["spans"].alias("spans"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("spans"))
-    return df.select(
-        "conv_id",
-        F.array_join(F.transform("blocks", lambda b: F.concat(b["header"], F.array_join(b["parts"], PART), F.lit(END))), "").alias("formatted"),
-        F.aggregate("blocks", start, part_spans, lambda acc: acc["spans"]).alias("loss_spans"))
+    """(conv_id, turn, role, text) -> (conv_id, formatted, loss_spans). A span has its
+    start and length, and ``part``, the place of its text among all that END and
+    PART divide. Places and runs of one role are running sums over the turns, so
+    the work grows with a conversation and not with its square."""
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("conv_id", "role", escape(F.col("text")).alias("shown"), ~F.lag("role").over(order).eqNullSafe(F.col("role")) | (F.row_number().over(order) == 1), (F.row_number().over(order) - 1).alias("part"))
+    rows = rows.toDF("conv_id", "role", "shown", "starts", "part")
+    in_order = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    lead = F.when(F.col("starts"), F.char_length(_header(F.col("role"))) + F.when(F.col("part") > 0, len(END)).otherwise(0)).otherwise(len(PART))
+    size = F.char_length("shown")
+    rows = rows.withColumns({"run": F.count_if("starts").over(in_order), "end": F.sum(lead + size).over(in_order)})
+    turn = F.struct("part", "shown", F.struct((F.col("end") - size).cast("int").alias("start"), size.alias("length"), F.col("part").cast("int").alias("part")).alias("span"))
+    runs = rows.groupBy("conv_id", "run").agg(F.first("role").alias("role"), F.array_sort(F.collect_list(turn)).alias("turns"))
+    text = F.concat(_header(F.col("role")), F.array_join(F.transform("turns", lambda t: t["shown"]), PART), F.lit(END))
+    spans = F.when(F.col("role") == "assistant", F.transform("turns", lambda t: t["span"])).otherwise(F.array())
+    blocks = runs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("run", text.alias("text"), spans.alias("spans")))).alias("blocks"))
+    return blocks.select("conv_id", F.array_join(F.transform("blocks", lambda b: b["text"]), "").alias("formatted"), F.flatten(F.transform("blocks", lambda b: b["spans"])).alias("loss_spans"))
 
 
 def parse(formatted: Column) -> Column:
     """The turns that a formatted conversation holds: array of (role, text)."""
-    blocks = F.filter(F.split(formatted, END), lambda b: b != "")
 
-    def turns(block: Column) -> Column:
-        name = F.substring_index(block, ": ", 1)
-        body = F.substr(block, F.char_length(name) + 3)
-        return F.transform(F.split(body, PART), lambda p: F.struct(_role(F.substr(name, F.lit(5))).alias("role"), unescape(p).alias("text")))
+    def block(b: Column) -> Column:
+        name = F.substring_index(b, ": ", 1)
+        return F.struct(_role(F.substr(name, F.lit(5))).alias("role"), F.split(F.substr(b, F.char_length(name) + 3), PART).alias("parts"))
 
-    return F.flatten(F.transform(blocks, turns))
+    blocks = F.transform(F.filter(F.split(formatted, END), lambda b: b != ""), block)
+    return F.flatten(F.transform(blocks, lambda b: F.transform(b["parts"], lambda p: F.struct(b["role"].alias("role"), unescape(p).alias("text")))))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the mask, unescaped, in order, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"]))), "")
+    """All text under the mask, unescaped, in order, nothing between. A span's text
+    is the end of its part, behind the header if the part has one."""
+    parts = F.flatten(F.transform(F.split(formatted, END), lambda b: F.split(b, PART)))
+    # the parts stand in an array of one, so that they are divided once
+    found = F.transform(F.array(parts), lambda all_parts: F.array_join(F.transform(spans, lambda s: unescape(_end(F.get(all_parts, s["part"]), s["length"]))), ""))
+    return F.get(found, F.lit(0))
+
+
+def _end(text: Column, length: Column) -> Column:
+    return F.substr(text, F.char_length(text) - length + 1, length)

@@ -74,6 +74,10 @@ def test_chat_round_trip(spark):
         turns = sorted(((t is not None, t, ro or "", tx or "") for c, t, ro, tx in said if c == key), key=lambda x: (x[0], x[1] or 0, x[2], x[3]))
         assert [(t["role"], t["text"]) for t in r["read"]] == [x[2:] for x in turns]
         assert r["loss"] == "".join(x[3] for x in turns if x[2] == "assistant")
+        spans = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
+        for old, new in reversed(chat.ESCAPES):
+            spans = [s.replace(new, old) for s in spans]
+        assert spans == [x[3] for x in turns if x[2] == "assistant"]
     assert got[1]["formatted"].count("### User: ") == 1  # adjacent turns of a role are one block
     assert chat.format_chat(rows.limit(0)).count() == 0
 
