@@ -139,5 +139,12 @@ def index_run_stats(found: DataFrame, changed: DataFrame, indexed: DataFrame) ->
     return rows.select("found", "changed", (F.col("found") - F.col("changed")).alias("skipped"), "indexed", "errors", "first_errors")
 
 
+def id_collisions(images: DataFrame) -> DataFrame:
+    """(image_id, paths): ids that stand for more than one path. Sixteen hex digits
+    are likely to meet from some four billion pictures on, and an upsert by the id
+    would then keep one of them."""
+    return images.groupBy("image_id").agg(F.count_distinct("filepath").alias("paths")).where(F.col("paths") > 1)
+
+
 def existing_ids(images: DataFrame) -> DataFrame:
     return images.select("image_id").distinct()

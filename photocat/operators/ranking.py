@@ -7,8 +7,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema
 from ..functions.scalars import archive_mode, dot
@@ -197,6 +199,33 @@ def collapse_duplicates(ranked: DataFrame, kept: DataFrame | None = None, thresh
     return rows.groupBy("query_id").applyInPandas(run, "query_id long, image_id string, place long, owner string")
 
 
+def collapsed(rows: DataFrame, threshold: float = DUPLICATE_COSINE) -> DataFrame:
+    """``rows`` of queries (query_id, image_id, place, embedding, dedupe and others) that
+    are kept, without their vectors and with ``duplicate_ids``: the rows that
+    ``collapse_duplicates`` gives to each, in order of rank. A group is the
+    candidates of one query, BLOCK at most."""
+    columns = [f for f in rows.schema.fields if f.name not in ("embedding", "duplicate_ids")]
+    shape = T.StructType([*columns, T.StructField("duplicate_ids", T.ArrayType(T.StringType()))])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("place").to_numpy(), kind="stable")))
+        ids, owner = table.column("image_id").to_pylist(), np.arange(table.num_rows)
+        if table.num_rows and table.column("dedupe")[0].as_py():
+            vectors = table.column("embedding").combine_chunks()
+            some = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+            if len(some):
+                x = np.asarray([vectors[i].values.to_numpy(zero_copy_only=False) for i in some.tolist()], np.float64)
+                owner[some] = some[greedy_owners(x, 0, threshold)]
+        kept = np.flatnonzero(owner == np.arange(len(owner)))
+        twins = {int(i): [] for i in kept}
+        for i in np.flatnonzero(owner != np.arange(len(owner))):
+            twins[int(owner[i])].append(ids[i])
+        out = table.take(pa.array(kept)).select([f.name for f in columns])
+        return out.append_column("duplicate_ids", pa.array([twins[int(i)] for i in kept], pa.list_(pa.string())))
+
+    return rows.groupBy("query_id").applyInArrow(run, shape)
+
+
 def _capped() -> Column:
     """Whether only ARCHIVE_CAP pictures of the archive may stay."""
     return F.coalesce((F.col("archive_mode") == "capped") & F.col("sources").isNull() & (F.col("source_class") == "archive"), F.lit(False))
@@ -244,20 +273,18 @@ def search_batch(images: DataFrame, embeddings: DataFrame, queries: DataFrame, i
         depth = candidate_depth(F.col("limit"), deeper, F.lit(1 << 30), options.max_limit)
         asks = asked.withColumn("k", depth)
         nearest = (knn_batch(vectors, asks, F.col("k")) if cells is None else cells.nearest(asks, F.col("k"))).drop("rank")
-        rows = cut(nearest.where(F.col("similarity") >= options.similarity_threshold).join(wide, "image_id").join(params, "query_id").where(passes(options)))  # BLOCK a query at most, read several times
-        rows = with_tags(rows, image_tags, tags)
-    else:
-        rows = _matching(wide, vectors, asked, image_tags, tags, options).where(F.col("similarity") >= options.similarity_threshold)
-    rows = rows.withColumn("rank_score", rank_score())
-    if options.mode == "candidates":  # at most BLOCK for each query
+        rows = nearest.where(F.col("similarity") >= options.similarity_threshold).join(wide, "image_id").join(params, "query_id").where(passes(options))
+        rows = with_tags(cut(rows), image_tags, tags) if _any_tags(asked) else rows
         order = Window.partitionBy("query_id").orderBy(F.desc("rank_score"), "image_id")
-        placed = collapse_duplicates(rows.withColumn("place", F.row_number().over(order).cast("long")).join(vectors, "image_id"))
+        rows = rows.withColumn("rank_score", rank_score()).withColumn("place", F.row_number().over(order))  # at most BLOCK for each query
+        rows = _under_cap(collapsed(rows.join(vectors, "image_id")))
     else:
-        rows = cut(rows)
+        rows = _matching(wide, vectors, asked, image_tags, tags, options).where(F.col("similarity") >= options.similarity_threshold)
+        rows = cut(rows.withColumn("rank_score", rank_score()))
         placed = _best_blocks(rows, vectors)
-    twins = F.collect_list(F.when(F.col("owner") != F.col("image_id"), F.struct("place", "image_id")))
-    kept = placed.groupBy("query_id", F.col("owner").alias("image_id")).agg(F.min("place").alias("place"), F.transform(F.array_sort(twins), lambda x: x["image_id"]).alias("duplicate_ids"))
-    rows = _under_cap(rows.join(kept, ["query_id", "image_id"]))
+        twins = F.collect_list(F.when(F.col("owner") != F.col("image_id"), F.struct("place", "image_id")))
+        kept = placed.groupBy("query_id", F.col("owner").alias("image_id")).agg(F.min("place").alias("place"), F.transform(F.array_sort(twins), lambda x: x["image_id"]).alias("duplicate_ids"))
+        rows = _under_cap(rows.join(kept, ["query_id", "image_id"]))
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).where(F.col("place") <= F.col("limit"))
     rows = rows.withColumns({"aesthetic_score": F.round("aesthetic_score", 2), "taste_score": F.round("taste_score", 2)})
     columns = ["query_id", "place", *options.columns]
@@ -267,6 +294,11 @@ def search_batch(images: DataFrame, embeddings: DataFrame, queries: DataFrame, i
     return rows.select(*columns)
 
 
+def _any_tags(asked: DataFrame) -> bool:
+    """Whether a query asks for tags; where none does, no tag is read and nothing is written."""
+    return not asked.where("tags is not null").isEmpty()
+
+
 def _matching(wide: DataFrame, vectors: DataFrame, asked: DataFrame, image_tags: DataFrame | None, tags: DataFrame | None, options: SearchOptions) -> DataFrame:
     """All images that match each query, with their similarity. The queries go
     over the images in blocks of QUERIES, so what is sent with a block is bounded.

@@ -104,7 +104,7 @@ FROM capped QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) <= n"""
 
 
 def _searched(spark: SparkSession, sf_dir: str, searches: list, options: ranking.SearchOptions = ranking.SearchOptions(), cells: bool = False) -> DataFrame:
-    images, embeddings = fx.catalogue(spark, sf_dir, written=True)
+    images, embeddings = fx.catalogue(spark, sf_dir, written=options.mode != "candidates" or cells)
     tags, image_tags, _ = fx.labels(spark, sf_dir, images)
     index = vectors.build_index(embeddings, _fresh(spark, "cells"), cells=8, probes=8, approximate_from=1) if cells else None
     rows = ranking.search_batch(images, embeddings, _asked(spark, sf_dir, searches), image_tags, tags, options, cells=index)
@@ -530,6 +530,12 @@ def index_run_stats(spark, sf_dir):
     return catalog.index_run_stats(files, changed, done).withColumn("first_errors", F.array_join("first_errors", ","))
 
 
+@query(with_sql("SELECT id AS image_id, count(DISTINCT filepath) AS paths FROM (SELECT substr(image_id, 1, 2) AS id, filepath FROM img) GROUP BY id HAVING count(DISTINCT filepath) > 1"))
+def id_collisions(spark, sf_dir):
+    """Ids cut to two digits, so that some stand for several pictures."""
+    return catalog.id_collisions(fx.catalogue(spark, sf_dir)[0].withColumn("image_id", F.substring("image_id", 1, 2)))
+
+
 @query(with_sql("SELECT DISTINCT image_id FROM img"))
 def existing_ids(spark, sf_dir):
     return catalog.existing_ids(fx.catalogue(spark, sf_dir)[0])
@@ -683,17 +689,20 @@ def fit_taste(spark, sf_dir):
     return rows.agg(loss.alias("loss")).select(F.lit(l2).alias("l2"), F.round(F.lit(accuracy), 6).alias("accuracy"), F.round("loss", 6).alias("loss"))
 
 
-@query(with_sql(f"""SELECT (SELECT count(*) FROM vote) AS votes, 0.01::DOUBLE AS l2, 0.5::DOUBLE AS cv_acc, round(corr(rx, ry), 6) AS heldout_rho,
+@query(_recursive(with_sql(f"""SELECT (SELECT count(*) FROM vote) AS votes, (SELECT l2 FROM best) AS l2, (SELECT round(accuracy, 6) FROM best) AS cv_acc, round(corr(rx, ry), 6) AS heldout_rho,
   (SELECT round(quantile_cont(z, 0.95), 6) FROM vote JOIN z ON image_id = a OR image_id = b WHERE choice = 'both_bad') AS floor_z
 FROM (SELECT avg(i) OVER (PARTITION BY z) AS rx, avg(j) OVER (PARTITION BY level) AS ry FROM (
   SELECT z, level, row_number() OVER (ORDER BY z) AS i, row_number() OVER (ORDER BY level) AS j FROM (SELECT z, CASE tier WHEN 'reject' THEN 0 WHEN 'secondary' THEN 1 ELSE 2 END AS level FROM tier JOIN z USING (image_id))))""",
-  fx.LABELS_SQL, fx.VOTES_SQL, SCORED_SQL, "z AS (SELECT image_id, (raw - (SELECT avg(raw) FROM scored)) / (SELECT stddev_pop(raw) FROM scored) AS z FROM scored)"))
+  fx.LABELS_SQL, fx.VOTES_SQL, SCORED_SQL, "z AS (SELECT image_id, (raw - (SELECT avg(raw) FROM scored)) / (SELECT stddev_pop(raw) FROM scored) AS z FROM scored)", _fits_sql(300))))
 def taste_report(spark, sf_dir):
-    votes = fx.votes(spark, sf_dir)
-    scores = taste.score_taste(fx.catalogue(spark, sf_dir)[1], np.array(WEIGHTS))
-    report = taste.taste_report(votes, scores, fx.labels(spark, sf_dir)[2], taste.vote_pairs(votes)[1], 0.01, 0.5)
+    """The penalty and its accuracy are those of the fit."""
+    votes, embeddings = fx.votes(spark, sf_dir), fx.catalogue(spark, sf_dir)[1]
+    pairs, bads = taste.vote_pairs(votes)
+    l2, accuracy = taste.choose_l2(cut(taste.difference_vectors(pairs, embeddings)[0]), bads.count())
+    scores = taste.score_taste(embeddings, np.array(WEIGHTS))
+    report = taste.taste_report(votes, scores, fx.labels(spark, sf_dir)[2], bads, l2, accuracy)
     row = F.from_json("value", "votes long, l2 double, cv_acc double, heldout_rho double, floor_z double").alias("v")
-    return report.select(row).select("v.votes", "v.l2", "v.cv_acc", F.round("v.heldout_rho", 6).alias("heldout_rho"), F.round("v.floor_z", 6).alias("floor_z"))
+    return report.select(row).select("v.votes", "v.l2", F.round("v.cv_acc", 6).alias("cv_acc"), F.round("v.heldout_rho", 6).alias("heldout_rho"), F.round("v.floor_z", 6).alias("floor_z"))
 
 
 @query(with_sql(f"SELECT image_id, round(list_inner_product(embedding::DOUBLE[], {WEIGHTS_SQL}) * 2 + 5.5, 6) AS aesthetic_score FROM img WHERE embedding IS NOT NULL"))

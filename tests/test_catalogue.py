@@ -298,7 +298,7 @@ def test_knn_blocks_agree(spark, monkeypatch):
     asked = spark.createDataFrame([(i, [float(y) for y in x[i]], 1 + i % 7) for i in range(25)], "query_id long, query_vec array<double>, k int")
     rows = lambda: sorted((r["query_id"], r["image_id"], round(r["similarity"], 9), r["rank"]) for r in vectors.knn_batch(vecs, asked, F.col("k")).collect())
     want = rows()
-    for name, value in (("QUERIES", 4), ("ROWS", 3), ("FEW", 2)):
+    for name, value in (("QUERIES", 4), ("SCORES", 12), ("FEW", 2)):
         monkeypatch.setattr(vectors, name, value)
     assert rows() == want and len(want) == sum(1 + i % 7 for i in range(25))
 

@@ -123,12 +123,12 @@ def sizes(index):
 
 def test_an_index_follows_its_table(spark):
     rng = np.random.default_rng(6)
-    x = clustered(rng, 500, 8, 9)
-    want = {f"v{i:05d}": v for i, v in enumerate(x[:250])}
-    bound = 30 * (6 + 32)  # thirty rows of a cell
-    index = cell_upkeep.create_index(table(spark, x[:250]), f"{shared_dir(spark)}/upkept", cells=5, cell_bytes=bound)
+    x = clustered(rng, 300, 8, 9)
+    want = {f"v{i:05d}": v for i, v in enumerate(x[:150])}
+    bound = 50 * (6 + 32)  # fifty rows of a cell
+    index = cell_upkeep.create_index(table(spark, x[:150], parts=2), f"{shared_dir(spark)}/upkept", cells=3, cell_bytes=bound)
     steps = [
-        ({f"v{i:05d}": x[499 - i] for i in range(0, 500, 3)}, [f"v{i:05d}" for i in range(1, 400, 5)]), ({"v00001": None, "v00002": x[0]} | {f"w{i:05d}": x[7] for i in range(90)}, ["v00004", "nobody"])]
+        ({f"v{i:05d}": x[299 - i] for i in range(0, 300, 3)}, [f"v{i:05d}" for i in range(1, 200, 5)]), ({"v00001": None, "v00002": x[0]} | {f"w{i:05d}": x[7] for i in range(70)}, ["v00004", "nobody"])]
     before = index
     for changed, deleted in steps:
         rows = spark.createDataFrame([(i, None if v is None else v.tolist()) for i, v in changed.items()], VECTORS)
@@ -136,14 +136,16 @@ def test_an_index_follows_its_table(spark):
         want = {i: v for i, v in (want | changed).items() if v is not None and (i in changed or i not in deleted)}
         want = {i: v for i, v in want.items() if i not in deleted or i in changed}
         got = sizes(index)
-        assert sum(got.values()) == len(want) and max(got.values()) <= 30 and [got.get(i, 0) for i in range(len(index.rows))] == list(index.rows)
+        assert sum(got.values()) == len(want) and max(got.values()) <= 50 and [got.get(i, 0) for i in range(len(index.rows))] == list(index.rows)
     asks = spark.createDataFrame([(i, x[i * 11].tolist()) for i in range(20)], "query_id long, query_vec array<float>")
-    for own in (index, cell_upkeep.compact(index, f"{shared_dir(spark)}/compact")):
+    small = cell_upkeep.compact(index, f"{shared_dir(spark)}/compact", cells=2)
+    assert sum(small.rows) == len(want) and small.generation == 0
+    for own in (index,):
         found = own.nearest(asks, 5, exact=True).collect()
         for q in range(20):
             assert [r["image_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == nearest(want, x[q * 11], 5)
     # the generation that a reader began with is as it was
-    old = {f"v{i:05d}": v for i, v in enumerate(x[:250])}
+    old = {f"v{i:05d}": v for i, v in enumerate(x[:150])}
     found = before.nearest(asks, 5, exact=True).collect()
     assert [r["image_id"] for r in sorted((r for r in found if r["query_id"] == 3), key=lambda r: r["rank"])] == nearest(old, x[33], 5)
     with pytest.raises(ValueError, match="vector"):
