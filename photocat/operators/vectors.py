@@ -76,25 +76,35 @@ def _ranked(found: DataFrame, keep_k: bool = False) -> DataFrame:
 
 
 class Best:
-    """Each query's best so far, of rows that come in blocks; ties to the smaller id."""
-
-    def __init__(self, depth: np.ndarray):
-        self.depth = depth
+    """Each query's best so far, of rows that come in blocks; ties to the smaller id.
+    Products of matrices say which rows can be among them; these rows' scores are
+    then summed in the order of the components, so that equal vectors have equal
+    scores wherever they stand in a block."""
+
+    def __init__(self, queries: np.ndarray, depth: np.ndarray):
+        self.queries, self.depth = queries, depth
+        self.length = np.linalg.norm(queries, axis=1)
         self.worst = np.full(len(depth), -np.inf)  # the k-th score, once there are k
         self.scores: list[np.ndarray] = [np.zeros(0)] * len(depth)
         self.ids: list[np.ndarray] = [np.zeros(0, object)] * len(depth)
 
-    def add(self, scores: np.ndarray, ids: np.ndarray, which: np.ndarray | None = None) -> None:
-        """scores: (queries, rows), of the queries ``which`` or of all. Only those that
-        a row gets among the best of are touched."""
-        which = np.arange(len(scores)) if which is None else which
-        hit = scores >= self.worst[which][:, None]  # false for nan
+    def add(self, x: np.ndarray, ids: np.ndarray, which: np.ndarray | None = None) -> None:
+        """Rows for the queries ``which`` or for all. Only queries that a row may get
+        among the best of are touched."""
+        which = np.arange(len(self.depth)) if which is None else which
+        rough = self.queries[which] @ x.T
+        error = 4 * (x.shape[1] + 4) * 2.0**-53 * self.length[which] * np.nanmax(np.linalg.norm(x, axis=1), initial=0)
+        hit = rough >= (self.worst[which] - error)[:, None]  # false for nan
         for i in np.flatnonzero(hit.any(axis=1)):
             j, new = which[i], np.flatnonzero(hit[i])
-            s, n = np.concatenate([self.scores[j], scores[i, new]]), np.concatenate([self.ids[j], ids[new]])
-            at = _top(s, n, int(self.depth[j]))
+            k = int(self.depth[j])
+            if len(new) > 4 * k > 0:
+                new = new[rough[i, new] >= np.partition(rough[i, new], len(new) - k)[len(new) - k] - 2 * error[i]]
+            score = np.cumsum(x[new] * self.queries[j], axis=1)[:, -1]
+            s, n = np.concatenate([self.scores[j], score]), np.concatenate([self.ids[j], ids[new]])
+            at = _top(s, n, k)
             self.scores[j], self.ids[j] = s[at], n[at]
-            if len(at) and len(at) == self.depth[j]:
+            if len(at) and len(at) == k:
                 self.worst[j] = self.scores[j][-1]
 
 
@@ -109,7 +119,7 @@ def _search_block(embeddings: DataFrame, asked: pd.DataFrame, visits: np.ndarray
     step = max(16, SCORES // len(asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(depth)
+        best = Best(matrix, depth)
         for batch in batches:
             names, flat = batch.column("image_id"), batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
             x = flat.reshape(batch.num_rows, -1)
@@ -117,10 +127,9 @@ def _search_block(embeddings: DataFrame, asked: pd.DataFrame, visits: np.ndarray
             for cell in np.unique(cells):
                 rows = np.flatnonzero(cells == cell)
                 which = None if visits is None else np.flatnonzero(visits[:, cell])
-                own = matrix if which is None else matrix[which]
                 for lo in range(0, len(rows), step):
                     part = rows[lo : lo + step]
-                    best.add(own @ x[part].astype(np.float64).T, names.take(pa.array(part)).to_numpy(zero_copy_only=False), which)
+                    best.add(x[part].astype(np.float64), names.take(pa.array(part)).to_numpy(zero_copy_only=False), which)
         for j, (s, n) in enumerate(zip(best.scores, best.ids, strict=True)):
             if len(s):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ids[j])), pa.array(n, pa.string()), pa.array(s), pa.array(np.full(len(s), depth[j]), pa.int32())], names=["query_id", "image_id", "similarity", "k"])
