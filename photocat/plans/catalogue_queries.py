@@ -104,7 +104,7 @@ FROM capped QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) <= n"""
 
 
 def _searched(spark: SparkSession, sf_dir: str, searches: list, options: ranking.SearchOptions = ranking.SearchOptions(), cells: bool = False) -> DataFrame:
-    images, embeddings = fx.catalogue(spark, sf_dir, written=options.mode != "candidates" or cells)
+    images, embeddings = fx.catalogue(spark, sf_dir, written=options.mode != "candidates" or cells or len(searches) > 1)
     tags, image_tags, _ = fx.labels(spark, sf_dir, images)
     index = vectors.build_index(embeddings, _fresh(spark, "cells"), cells=8, probes=8, approximate_from=1) if cells else None
     rows = ranking.search_batch(images, embeddings, _asked(spark, sf_dir, searches), image_tags, tags, options, cells=index)
