@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
-from ..lineage import cut
+from ..lineage import cut, discard
 from .ranking import DUPLICATE_COSINE
 
-#: The share of pairs at the very threshold that no band may bring together.
-MISSED = 1e-4
+#: The share of pairs at the very threshold that no band may bring together, and
+#: the rows of a key that are compared with each other in one piece.
+MISSED, KEY_ROWS = 1e-4, 512
 
 
 def band_plan(n: int, threshold: float) -> tuple[int, int]:
@@ -29,7 +30,7 @@ def band_plan(n: int, threshold: float) -> tuple[int, int]:
 
 
 def banded(vectors: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
-    """(image_id, band, key): signs of projections on ``bits`` random directions a band."""
+    """(row, band, key): signs of projections on ``bits`` random directions a band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -45,9 +46,22 @@ def banded(vectors: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
                 signs = flat[first[own][:, None] + np.arange(size)] @ planes[size] > 0
                 keys = signs.reshape(len(own), bands, bits) @ powers
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("image_id").take(pa.array(np.repeat(own, bands))), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(own))), pa.array(keys.ravel())], names=["image_id", "band", "key"])
+                    [batch.column("row").take(pa.array(np.repeat(own, bands))), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(own))), pa.array(keys.ravel())], names=["row", "band", "key"])
 
-    return vectors.select("image_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, "image_id string, band int, key long")
+    return vectors.select("row", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, "row long, band int, key long")
+
+
+def met_in_bands(keys: DataFrame) -> DataFrame:
+    """(a, b), a < b: rows of ``keys`` (row, band, key), a written table, that share a
+    key of a band. The rows of a key are dealt over parts of KEY_ROWS or so, and
+    every pair of parts is compared by itself, so a cluster that has one key is
+    spread over tasks; rows that are alone with their key go first."""
+    parts = F.ceil(F.col("n") / KEY_ROWS).cast("int")
+    sizes = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = cut(keys.join(sizes, ["band", "key"]).select("row", "band", "key", parts.alias("parts"), F.pmod(F.xxhash64("row", "band"), parts).cast("int").alias("part")))
+    one = dealt.select(F.col("row").alias("a"), "band", "key", F.col("part").alias("pa"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("pb"))
+    two = dealt.select(F.col("row").alias("b"), "band", "key", F.explode(F.sequence(F.lit(0), "part")).alias("pa"), F.col("part").alias("pb"))
+    return one.join(two, ["band", "key", "pa", "pb"]).where("pa < pb or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicate_pairs(embeddings: DataFrame, threshold: float = DUPLICATE_COSINE, seed: int = 0) -> DataFrame:
@@ -55,14 +69,14 @@ def near_duplicate_pairs(embeddings: DataFrame, threshold: float = DUPLICATE_COS
     first of them; only different ones are hashed to bands, and ids that meet in
     a band are verified in double precision. A copy's pairs are those of its first."""
     rows = embeddings.where("embedding is not null").select("image_id", "embedding")
-    firsts = cut(rows.groupBy("embedding").agg(F.min("image_id").alias("first")))
-    same = rows.join(firsts, "embedding").where("image_id <> first").select(F.col("first").alias("a"), F.col("image_id").alias("b"), dot(F.col("embedding"), F.col("embedding")).alias("cosine"))
-    vectors = firsts.select(F.col("first").alias("image_id"), "embedding")
-    keys = cut(banded(vectors, *band_plan(vectors.count(), threshold), seed))
-    one, two = keys.withColumnRenamed("image_id", "a"), keys.withColumnRenamed("image_id", "b")
-    met = one.join(two, ["band", "key"]).where("a < b").select("a", "b").distinct()
-    pairs = met.join(vectors.toDF("a", "va"), "a").join(vectors.toDF("b", "vb"), "b").where(F.size("va") == F.size("vb"))
-    pairs = pairs.select("a", "b", dot(F.col("va"), F.col("vb")).alias("cosine"))
+    firsts = cut(rows.groupBy("embedding").agg(F.min("image_id").alias("first")).withColumn("row", F.monotonically_increasing_id()))
+    same = rows.join(firsts.select("embedding", "first"), "embedding").where("image_id <> first").select(F.col("first").alias("a"), F.col("image_id").alias("b"), dot(F.col("embedding"), F.col("embedding")).alias("cosine"))
+    keys = cut(banded(firsts, *band_plan(firsts.count(), threshold), seed))
+    met = cut(met_in_bands(keys))
+    discard(keys)
+    one, two = firsts.select(F.col("row").alias("a"), F.col("first").alias("ia"), F.col("embedding").alias("va")), firsts.select(F.col("row").alias("b"), F.col("first").alias("ib"), F.col("embedding").alias("vb"))
+    pairs = met.join(one, "a").join(two, "b").where(F.size("va") == F.size("vb"))
+    pairs = pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), dot(F.col("va"), F.col("vb")).alias("cosine"))
     return pairs.where(F.col("cosine") >= threshold).union(same)
 
 

@@ -20,9 +20,10 @@ from ..lineage import cut, discard
 #: bytes of a block's vectors, and scores that are computed at once. A few queries
 #: make one block without being counted first.
 QUERIES, HELD, QUERY_BYTES, SCORES, FEW = 4096, 1 << 20, 16 << 20, 1 << 21, 256
-#: Vectors from which cells are worth their while, the rows that their centres
-#: are fitted on at most, and the most cells unless their number is given.
-APPROXIMATE_FROM, FIT_ROWS, MAX_CELLS = 200_000, 100_000, 100
+#: Vectors from which cells are worth their while, rows that centres are fitted on
+#: in all and for each cell, and the most cells unless their number is given or
+#: they would have more rows than CELL_ROWS each.
+APPROXIMATE_FROM, FIT_ROWS, FIT_FOR_CELL, MAX_CELLS, CELL_ROWS = 200_000, 100_000, 40, 100, 100_000
 
 
 def knn(embeddings: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -143,22 +144,26 @@ def _search_block(embeddings: DataFrame, asked: pd.DataFrame, visits: np.ndarray
 
 
 def cell_count(n: int) -> int:
-    return max(1, min(MAX_CELLS, n // 100))
+    return max(1, min(n // 100, max(MAX_CELLS, n // CELL_ROWS)))
 
 
 def build_cells(embeddings: DataFrame, cells: int | None = None, seed: int = 0) -> tuple[DataFrame, list[np.ndarray]]:
-    """(image_id, embedding, cell) and the cells' centres, fitted on FIT_ROWS vectors at most."""
+    """(image_id, embedding, cell) and the cells' centres, fitted on a sample of
+    FIT_ROWS vectors or so (of FIT_FOR_CELL for each cell, if that is more), drawn by a hash of their ids."""
     rows = embeddings.where("embedding is not null")
-    cells = cells or cell_count(rows.count())
-    sample = rows.orderBy(F.xxhash64("image_id"), "image_id").limit(FIT_ROWS)
+    n = rows.count()
+    cells = cells or cell_count(n)
+    share = max(FIT_ROWS, FIT_FOR_CELL * cells) / max(n, 1)
+    sample = rows.where(F.pmod(F.xxhash64("image_id"), F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else rows
     model = KMeans(k=cells, seed=seed, featuresCol="features", predictionCol="cell").fit(sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
     dealt = model.transform(rows.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>"))))
     return dealt.select("image_id", "embedding", "cell"), model.clusterCenters()
 
 
 def write_cells(dealt: DataFrame, path: str) -> None:
-    """A folder per cell, so a search reads only the cells that it probes."""
-    dealt.repartition("cell").write.partitionBy("cell").parquet(path, mode="overwrite")
+    """A folder per cell, so a search reads only the cells that it probes. Rows are
+    rebalanced by cell: a cell that holds a share of all rows is written by several tasks."""
+    dealt.hint("rebalance", F.col("cell")).write.partitionBy("cell").parquet(path, mode="overwrite")
 
 
 @dataclass(frozen=True)

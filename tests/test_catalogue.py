@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from photocat import lineage
 from photocat.functions import scalars
 from photocat.operators import catalog, duplicates, inference, quality, ranking, rotation, stats, taste, vectors
 from photocat.plans.catalogue_queries import QUERIES, hashing_encoder
@@ -270,6 +271,39 @@ def test_bands_bring_together_what_is_near(spark):
     assert got == want and len(want) > 80
 
 
+def test_a_dense_cluster_is_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "KEY_ROWS", 16)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=24) + 0.01 * rng.normal(size=(150, 24)), rng.normal(size=(50, 24))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vecs = spark.createDataFrame([(f"{i:03}", [float(y) for y in v]) for i, v in enumerate(x)], "image_id string, embedding array<float>")
+    got = duplicates.near_duplicate_pairs(vecs).collect()
+    u = x.astype(np.float64)
+    want = {(f"{i:03}", f"{j:03}") for i in range(200) for j in range(i + 1, 200) if u[i] @ u[j] >= 0.97}
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) >= 150 * 149 // 2
+    keys = lineage.cut(spark.createDataFrame([(i, i % 2, i // 100) for i in range(150)], "row long, band int, key long"))
+    pairs = duplicates.met_in_bands(keys).collect()
+    by_key = [[i for i in range(150) if (i % 2, i // 100) == k] for k in ((0, 0), (1, 0), (0, 1), (1, 1))]
+    assert sorted(map(tuple, pairs)) == sorted((a, b) for k in by_key for a in k for b in k if a < b)
+    assert duplicates.near_duplicate_pairs(vecs.limit(0)).count() == 0
+
+
+def test_cells_grow_with_the_table(spark, monkeypatch, tmp_path):
+    assert [vectors.cell_count(n) for n in (0, 250, 200_000, 10_000_000, 1_000_000_000)] == [1, 2, 100, 100, 10_000]
+    monkeypatch.setattr(vectors, "FIT_ROWS", 200)
+    monkeypatch.setattr(vectors, "FIT_FOR_CELL", 10)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 8))
+    x[:500] = x[0] + 1e-3 * x[:500]  # one cell holds nearly half of the rows
+    vecs = spark.createDataFrame([(f"{i:04}", [float(y) for y in v]) for i, v in enumerate(x)], "image_id string, embedding array<float>")
+    index = vectors.build_index(vecs, str(tmp_path / "grown"), cells=6, approximate_from=100)
+    ids = [r["image_id"] for r in index.dealt.collect()]
+    assert sorted(ids) == [f"{i:04}" for i in range(1200)]
+    asked = spark.createDataFrame([(i, [float(y) for y in x[i]]) for i in (3, 700)], "query_id long, query_vec array<double>")
+    exact = sorted((r["query_id"], r["rank"], r["image_id"]) for r in vectors.knn_batch(vecs, asked, 5).collect())
+    assert sorted((r["query_id"], r["rank"], r["image_id"]) for r in index.nearest(asked, 5, exact=True).collect()) == exact
+
+
 def test_bands_keep_candidates_in_proportion():
     per_vector = []
     for n in (1_000, 100_000, 10_000_000, 1_000_000_000):
