@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
-from ..lineage import cut, discard
+from ..lineage import cut
 from .ranking import DUPLICATE_COSINE
 
 #: The share of pairs at the very threshold that no band may bring together, and
@@ -58,7 +58,7 @@ def met_in_bands(keys: DataFrame) -> DataFrame:
     spread over tasks; rows that are alone with their key go first."""
     parts = F.ceil(F.col("n") / KEY_ROWS).cast("int")
     sizes = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = cut(keys.join(sizes, ["band", "key"]).select("row", "band", "key", parts.alias("parts"), F.pmod(F.xxhash64("row", "band"), parts).cast("int").alias("part")))
+    dealt = keys.join(sizes, ["band", "key"]).select("row", "band", "key", parts.alias("parts"), F.pmod(F.xxhash64("row", "band"), parts).cast("int").alias("part"))
     one = dealt.select(F.col("row").alias("a"), "band", "key", F.col("part").alias("pa"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("pb"))
     two = dealt.select(F.col("row").alias("b"), "band", "key", F.explode(F.sequence(F.lit(0), "part")).alias("pa"), F.col("part").alias("pb"))
     return one.join(two, ["band", "key", "pa", "pb"]).where("pa < pb or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -72,8 +72,7 @@ def near_duplicate_pairs(embeddings: DataFrame, threshold: float = DUPLICATE_COS
     firsts = cut(rows.groupBy("embedding").agg(F.min("image_id").alias("first")).withColumn("row", F.monotonically_increasing_id()))
     same = rows.join(firsts.select("embedding", "first"), "embedding").where("image_id <> first").select(F.col("first").alias("a"), F.col("image_id").alias("b"), dot(F.col("embedding"), F.col("embedding")).alias("cosine"))
     keys = cut(banded(firsts, *band_plan(firsts.count(), threshold), seed))
-    met = cut(met_in_bands(keys))
-    discard(keys)
+    met = met_in_bands(keys)
     one, two = firsts.select(F.col("row").alias("a"), F.col("first").alias("ia"), F.col("embedding").alias("va")), firsts.select(F.col("row").alias("b"), F.col("first").alias("ib"), F.col("embedding").alias("vb"))
     pairs = met.join(one, "a").join(two, "b").where(F.size("va") == F.size("vb"))
     pairs = pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), dot(F.col("va"), F.col("vb")).alias("cosine"))
