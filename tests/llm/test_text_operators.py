@@ -1,12 +1,14 @@
 """Mixing, chat formatting, lines, tokens and sharding on small tables with edge cases."""
 
 import hashlib
+import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -199,3 +201,70 @@ def test_pairs_meet_without_unlinked_rows(spark):
     for r in got:
         shards.setdefault(r["doc_id"] // 2, set()).add(r["shard"])
     assert max(counts.values()) - min(counts.values()) <= 1 and sum(len(s) == 1 for s in shards.values()) >= 1350
+
+
+def spark_hash(*parts):
+    """xxhash64 of numbers (bytes of an int or a long), as Spark chains it."""
+    out = 42
+    for number, size in parts:
+        out = xxhash.xxh64_intdigest(number.to_bytes(size, "little", signed=True), seed=out)
+    return out - (1 << 64) if out >= 1 << 63 else out
+
+
+def plain_propagation(rows, links, shards):
+    """Shards by going through rows one by one: what the joins and ranks do for all at once."""
+    order = sorted(rows, key=lambda r: (spark_hash((0, 4), (r, 8)), r))
+    now = {r: i % shards for i, r in enumerate(order)}
+    around, top, side = defaultdict(list), {}, {}
+    for a, b, t, s in links:
+        around[a].append(b)
+        around[b].append(a)
+        top[a] = top[b] = t
+        side[a], side[b] = s, 1 - s
+    turn = idle = moves = 0
+    while idle < sharding.IDLE:
+        wants = {}
+        for r, others in around.items():
+            there = Counter(now[o] for o in others)
+            best = min(there, key=lambda s: (-there[s], s))
+            if there[best] > there[now[r]]:
+                wants[r] = best
+        if not wants:
+            break
+        rank = lambda rs: sorted(rs, key=lambda r: (spark_hash((0, 4), (turn, 4), (r, 8)), r))
+        drawn = lambda r: (spark_hash((0, 4), (turn // 2, 4), (top[r], 8)) + turn) % 2 if turn else 1
+        asking, free = defaultdict(list), defaultdict(list)
+        for r in rank(r for r in wants if side[r] == drawn(r)):
+            asking[now[r], wants[r]].append(r)
+        for r in rank(set(rows) - set(around)):
+            free[now[r]].append(r)
+        moved = {}
+        for (a, b), own in sorted(asking.items()):
+            back = len(asking.get((b, a), ()))
+            pairs = min(len(own), back)
+            filled = min(len(own) - pairs, len(free[b]))
+            moved |= dict.fromkeys(own[: pairs + filled], b) | dict.fromkeys(free[b][:filled], a)
+            free[b] = free[b][filled:]
+        turn, idle, moves = turn + 1, 0 if moved else idle + 1, moves + len(moved)
+        now |= moved
+    return now, moves
+
+
+def test_propagation_is_that_of_plain_python(spark):
+    rng = random.Random(5)
+    rows = [(i, f"text {i}", "a") for i in range(120)] + [(1000 + i, f"group {rng.randrange(60)}", "a") for i in range(180)] + [(3000 + i, "hot", "a") for i in range(60)] + [(None, None, "a"), (7, "", "a"), (8, "", "a")]
+    sized = sharding.sized(docs(spark, rows))
+    links = sharding.equal_text_links(sized, 8)
+    where, pairs = {r["row"]: r for r in sized.collect()}, sorted(map(tuple, links.collect()))
+    groups, linked = defaultdict(set), defaultdict(set)
+    for r in where.values():
+        if r["doc_id"] is not None:
+            groups[r["g1"]].add(r["row"])
+    for a, b, top, _ in pairs:
+        assert where[a]["g1"] == where[b]["g1"] and top == min(groups[where[a]["g1"]])
+        linked[top] |= {a, b}
+    assert sorted(map(sorted, linked.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+    assert len(pairs) == sum(len(g) - 1 for g in groups.values())
+    want, moves = plain_propagation(list(where), pairs, 8)
+    got = {r["row"]: r["shard"] for r in sharding.propagate(sized, links, 8).collect()}
+    assert got == want and moves > 50
