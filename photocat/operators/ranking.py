@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from .. import schema
 from ..functions.scalars import archive_mode, dot
 from ..lineage import cut
-from .vectors import Cells, candidate_depth, knn_batch
+from .vectors import FEW, Cells, candidate_depth, knn_batch
 
 # Fixed values of ranking.
 QUALITY_CENTRE, QUALITY_SCALE, TASTE_SCALE = 5.0, 0.02, 0.005
@@ -267,6 +267,7 @@ def search_batch(images: DataFrame, embeddings: DataFrame, queries: DataFrame, i
     asked = normalized(queries).withColumn("limit", F.least("limit", F.lit(options.max_limit)))
     vectors = embeddings.where("embedding is not null").select("image_id", "embedding")
     wide = images.select(*[c for c in images.columns if c in RESULT])
+    asked = _at_hand(asked) if options.mode == "candidates" else asked
     params = asked.drop("query_vec")
     if options.mode == "candidates":
         deeper = (F.col("min_quality").isNotNull() | F.col("min_long_edge").isNotNull() | (F.col("quality_weight") > 0) | F.col("sources").isNotNull() | F.col("archive").isin("only", "exclude"))
@@ -294,6 +295,13 @@ def search_batch(images: DataFrame, embeddings: DataFrame, queries: DataFrame, i
     return rows.select(*columns)
 
 
+def _at_hand(asked: DataFrame) -> DataFrame:
+    """The queries as a local table if they are few, so that what follows does not
+    derive them again; else as they are."""
+    few = asked.limit(FEW + 1).toArrow()
+    return asked.sparkSession.createDataFrame(few, asked.schema) if 0 < few.num_rows <= FEW else asked
+
+
 def _any_tags(asked: DataFrame) -> bool:
     """Whether a query asks for tags; where none does, no tag is read and nothing is written."""
     return not asked.where("tags is not null").isEmpty()
