@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows for a task of ``few``, and the tasks that each core has at least.
+TASK_ROWS, CORE_TASKS = 50_000, 2
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Where it is unset, local mode gets
@@ -37,6 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many tasks as ``rows`` ask for, where its last shuffle makes
+    more; they read that shuffle's partitions whole, so keys stay together. A
+    step on few rows then costs a few tasks and files, however many partitions
+    the session's shuffles have."""
+    least = CORE_TASKS * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(least, -(-int(rows) // TASK_ROWS)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` has written, once nothing reads them any more."""
     for table in tables:

@@ -35,6 +35,7 @@ of them. Empty table: no rows. Other columns, whatever their names: ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import components, cut, discard, join_split, unused
+from .common import components, cut, discard, few, join_split, unused
 
 WORDS, SIMILARITY = 5, 0.8
 #: Tokens of a signature, and the share of equal ones from which a pair is a
@@ -60,6 +61,8 @@ SMALL, HUGE, DEPTH = 2048, 32_768, 12
 RUNS, PROBES, RECALL, SEARCHES = 8, 2, 0.995, 8
 #: Classes and words of a block of exact comparison; a longer text is a block.
 BLOCK, BLOCK_WORDS = 512, 500_000
+#: Pairs of sets, and words of texts, that count as a row where tasks are dealt.
+ROW_PAIRS, ROW_WORDS = 400, 20
 NULL_ID = -(2**63)
 
 _MULTIPLY = S.mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -151,9 +154,10 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b]), pa.array(probe[a])], names=["a", "b", "probe"])
 
 
-def _compared(buckets: DataFrame) -> DataFrame:
-    """Links (a, b, probe) of the sets in each bucket."""
-    return buckets.select("path", "probe", "cls", "sketch").repartition("path").sortWithinPartitions("path").mapInArrow(_brute, "a long, b long, probe boolean")
+def _compared(buckets: DataFrame, rows: int) -> DataFrame:
+    """Links (a, b, probe) of the sets in each bucket; ``rows``: what the work counts as."""
+    dealt = few(buckets.select("path", "probe", "cls", "sketch").repartition("path"), rows)
+    return dealt.sortWithinPartitions("path").mapInArrow(_brute, "a long, b long, probe boolean")
 
 
 def candidate_links(classes: DataFrame, first_run: int = 0) -> DataFrame:
@@ -161,33 +165,38 @@ def candidate_links(classes: DataFrame, first_run: int = 0) -> DataFrame:
     runs = F.explode(F.array(*[F.lit(first_run + i) for i in range(RUNS + PROBES)])).alias("run")
     rows = classes.select(runs, "cls", "signature").select(F.xxhash64("run", F.lit("root")).alias("path"), (F.col("run") >= first_run + RUNS).alias("probe"), "cls", "signature")
     found, used, rows = [], [], _split(rows, "signature", 4)
+    small, work, links, n_classes = [], 0, 0, classes.count()
+    held = n_classes * (RUNS + PROBES)
     sketches = classes.select("cls", "sketch")
     for depth in range(DEPTH + 1):
-        sizes = cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("first")).where("n > 1"))
-        sized = join_split(rows, sizes, ["path"], ["cls"])
-        sized = cut(sized.join(sketches, "cls") if depth == 0 else sized)
+        sizes = cut(few(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("first")).where("n > 1"), held))
+        n, low = F.col("n"), F.col("n") <= SMALL
+        total, most, pairs = (x or 0 for x in sizes.agg(F.sum(n), F.max(n), F.sum(F.when(low, n * n))).first())
+        sized = few(join_split(rows, sizes, ["path"], ["cls"], counted=(total, most)), held)
+        sized = cut(few(sized.join(sketches, "cls"), max(total, n_classes)) if depth == 0 else sized)
         used += [sizes, sized]
-        found.append(_compared(sized.where(F.col("n") <= SMALL)))
-        large = sized.where(F.col("n") > SMALL)
-        if large.isEmpty():
+        small.append(sized.where(low))
+        work, links = work + total + pairs // ROW_PAIRS, links + total
+        if most <= SMALL:
             break
-        firsts = cut(large.where("cls = first").select("path", F.col("sketch").alias("first_sketch"), "n").dropDuplicates(["path"]))
-        large = join_split(large.drop("n"), firsts, ["path"], ["cls"]).mapInArrow(_with_first, "path long, probe boolean, cls long, sketch binary, n long, first long, alike double")
+        large = sized.where(~low)
+        firsts = cut(few(large.where("cls = first").select("path", F.col("sketch").alias("first_sketch"), "n").dropDuplicates(["path"]), total // SMALL))
+        large = few(join_split(large.drop("n"), firsts, ["path"], ["cls"]), total).mapInArrow(_with_first, "path long, probe boolean, cls long, sketch binary, n long, first long, alike double")
         large = cut(large.where("cls <> first"))
         used += [firsts, large]
         found.append(large.where(F.col("alike") >= NEAR).select(F.col("cls").alias("a"), F.col("first").alias("b"), "probe"))
         rest = large.where(F.col("alike") < SAME)
         if depth == DEPTH:
-            n = cut(rest.groupBy("path").agg(F.count(F.lit(1)).alias("n")))
-            used.append(n)
-            blocks = _block_pairs(join_split(rest.drop("n"), n, ["path"], ["cls"]).withColumn("blocks", F.ceil(F.col("n") / (SMALL // 2)).cast("int")), "cls")
-            found.append(_compared(blocks.select(F.xxhash64("path", "lo", "hi").alias("path"), "probe", "cls", "sketch")))
+            left = cut(few(rest.groupBy("path").agg(F.count(F.lit(1)).alias("n")), total // SMALL))
+            used.append(left)
+            pairs = left.agg(F.sum(n * n)).first()[0] or 0
+            blocks = _block_pairs(join_split(rest.drop("n"), left, ["path"], ["cls"]).withColumn("blocks", F.ceil(F.col("n") / (SMALL // 2)).cast("int")), "cls")
+            found.append(_compared(blocks.select(F.xxhash64("path", "lo", "hi").alias("path"), "probe", "cls", "sketch"), total + 4 * pairs // ROW_PAIRS))
         split = lambda x: _split(x, "sketch", 1)
-        rows = split(rest.where(F.col("n") <= HUGE)).union(split(split(rest.where(F.col("n") > HUGE))))
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    out = cut(out.distinct())
+        rows, held = split(rest.where(n <= HUGE)).union(split(split(rest.where(n > HUGE)))), total
+    # the small buckets of all depths are compared together
+    out = _compared(reduce(DataFrame.union, [x.select("path", "probe", "cls", "sketch") for x in small]), work)
+    out = cut(few(reduce(DataFrame.union, [out, *found]).distinct(), links))
     discard(*used)
     return out
 
@@ -202,10 +211,12 @@ def _block_pairs(rows: DataFrame, key: str) -> DataFrame:
 def candidate_groups(classes: DataFrame) -> DataFrame:
     """(id, root), written: classes with a candidate link, by groups of them."""
     links = candidate_links(classes)
-    groups = components(links.where("not probe").select("a", "b"))
+    n = links.count()
+    groups = components(links.where("not probe").select("a", "b"), n)
     for search in range(1, SEARCHES + 1):
         one, two = groups.select(F.col("id").alias("a"), F.col("root").alias("ra")), groups.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-        state = cut(links.where("probe").join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)).alias("known")))
+        met = few(few(links.where("probe").join(one, "a", "left"), n).join(two, "b", "left"), n)
+        state = cut(met.select("a", "b", F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)).alias("known")))
         discard(links)
         known, total = state.agg(F.count_if("known"), F.count(F.lit(1))).first()
         if known == total:
@@ -217,8 +228,9 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
         grown = groups.select(F.col("id").alias("a"), F.col("root").alias("b")).union(state.where("not known").select("a", "b"))
         if not good:
             links = candidate_links(classes, search * (RUNS + PROBES))
+            n += links.count()
             grown = grown.union(links.where("not probe").select("a", "b"))
-        before, groups = groups, components(grown)
+        before, groups = groups, components(grown, 2 * n)
         discard(before, state)
         if good:
             return groups
@@ -293,31 +305,35 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     the document is that one.
     """
     rows = signed(docs)
+    n = rows.count()
     named = rows.where("n_words > 0").groupBy("k1", "k2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("words"))
-    all_classes = cut(named)
-    classes = cut(rows.select(F.col("row").alias("cls"), "signature", "sketch").join(all_classes.select("cls"), "cls"))
+    all_classes = cut(few(named, n))
+    classes = cut(few(rows.select(F.col("row").alias("cls"), "signature", "sketch").join(all_classes.select("cls"), "cls"), n))
     groups = candidate_groups(classes)
     discard(classes)
-    grouped = groups.join(all_classes, F.col("id") == F.col("cls")).select("root", "cls", "class_id", "copies", "words", "k1", "k2")
-    sizes = cut(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words_of_all")))
+    grouped = few(groups.join(all_classes, F.col("id") == F.col("cls")).select("root", "cls", "class_id", "copies", "words", "k1", "k2"), n)
+    sizes = cut(few(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words_of_all")), n))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words_of_all") / BLOCK_WORDS)).cast("int").alias("blocks")
-    members = cut(join_split(grouped, sizes, ["root"], ["cls"]).select("root", blocks, "cls", "class_id", "copies", "k1", "k2"))
+    total, most, words = (x or 0 for x in sizes.agg(F.sum("n"), F.max("n"), F.sum(F.col("words_of_all") * blocks)).first())
+    members = cut(few(join_split(grouped, sizes, ["root"], ["cls"], counted=(total, most)).select("root", blocks, "cls", "class_id", "copies", "k1", "k2"), total))
     wanted = members.select(F.col("class_id").alias("_id")).distinct()
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), "text").join(wanted, "_id", "left_semi")
     sets = own.select("text").mapInArrow(_sets, "k1 long, k2 long, shingles array<long>")
+    work = total + words // ROW_WORDS
     pairs = _block_pairs(sets.join(members, ["k1", "k2"]).select("root", "blocks", "cls", "copies", "shingles"), "cls")
-    pairs = pairs.select("root", "lo", "hi", "block", "cls", "copies", "shingles").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    pairs = few(pairs.select("root", "lo", "hi", "block", "cls", "copies", "shingles").repartition("root", "lo", "hi"), work).sortWithinPartitions("root", "lo", "hi")
     links = cut(pairs.mapInArrow(_exact, "cls long, linked long, least long"))
+    linked = links.count()
     discard(groups, sizes, members)
-    sums = links.groupBy("cls").agg(F.sum("linked").alias("linked"))
-    exact = components(links.select(F.col("cls").alias("a"), F.col("least").alias("b")))
-    reached = cut(exact.join(all_classes.select("cls", "class_id"), F.col("id") == F.col("cls")).select("cls", "root", "class_id"))
-    least = cut(reached.groupBy("root").agg(F.min("class_id").alias("group_id"), F.count(F.lit(1)).alias("n")))
-    placed = join_split(reached.select("cls", "root"), least, ["root"], ["cls"]).select("cls", "group_id")
-    result = all_classes.join(sums, "cls", "left").join(placed, "cls", "left")
-    result = cut(result.select("k1", "k2", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.col("copies").alias("n")))
+    sums = few(links.groupBy("cls").agg(F.sum("linked").alias("linked")), linked)
+    exact = components(links.select(F.col("cls").alias("a"), F.col("least").alias("b")), linked)
+    reached = cut(few(exact.join(all_classes.select("cls", "class_id"), F.col("id") == F.col("cls")).select("cls", "root", "class_id"), n))
+    least = cut(few(reached.groupBy("root").agg(F.min("class_id").alias("group_id"), F.count(F.lit(1)).alias("n")), n))
+    placed = few(join_split(reached.select("cls", "root"), least, ["root"], ["cls"]).select("cls", "group_id"), n)
+    result = few(all_classes.join(sums, "cls", "left"), n).join(placed, "cls", "left")
+    result = cut(few(result, n).select("k1", "k2", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.col("copies").alias("n")))
     discard(all_classes, links, exact, reached, least)
-    out = join_split(rows.select("row", "doc_id", "k1", "k2", "n_words"), result, ["k1", "k2"], ["row"], how="left")
+    out = few(join_split(rows.select("row", "doc_id", "k1", "k2", "n_words"), result, ["k1", "k2"], ["row"], how="left"), n)
     some = F.col("n_words") > 0
     class_id, group_id = F.when(some, F.col("class_id")).otherwise(F.col("doc_id")), F.when(some, F.col("group_id")).otherwise(F.col("doc_id"))
     shown = lambda c: F.nullif(c, F.lit(NULL_ID))

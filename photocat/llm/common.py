@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut, discard, shared_dir
+from ..lineage import cut, discard, few, shared_dir
 
-__all__ = ["components", "cut", "discard", "join_split", "piece", "shared_dir", "spread_rank", "unit", "unused", "within_bytes"]
+__all__ = ["components", "cut", "discard", "few", "join_split", "piece", "shared_dir", "spread_rank", "unit", "unused", "within_bytes"]
 
 #: Rows that one task ranks at a time in ``spread_rank``.
 RANK_ROWS = 10_000
@@ -62,15 +62,16 @@ def spread_rank(df: DataFrame, keys: list[str], order: str, ties: list[str], wei
     return out.drop("_range", "_r", "_n0", "_w0", *own)
 
 
-def join_split(rows: DataFrame, by_key: DataFrame, keys: list[str], spread: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+def join_split(rows: DataFrame, by_key: DataFrame, keys: list[str], spread: list[str], n: str = "n", how: str = "inner", counted: tuple[int, int] | None = None) -> DataFrame:
     """``rows`` joined with ``by_key``, a written table with one row for each key
     and ``n``, the number of its rows in ``rows``, which the result keeps.
 
     The rows of a frequent key are dealt over parts by a hash of ``spread``, and
     the key's row is repeated for each part. Rows learn that their key is
     frequent from a broadcast of these keys, of which there are HOT_KEYS at most.
+    ``counted``: the sum of ``n`` and the largest, if the caller knows them.
     """
-    total, most = by_key.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    total, most = counted or by_key.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
     limit = max(HOT_ROWS, total // HOT_KEYS)
     if most <= limit:
         return rows.join(by_key, keys, how)
@@ -109,7 +110,7 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (id, root), written, root
     being the smallest id that links reach. Nodes without an edge are not listed.
 
@@ -117,24 +118,26 @@ def components(edges: DataFrame) -> DataFrame:
     around its smallest id: every step is an aggregation of each node's smallest
     neighbour and a join back, in which the neighbours of a frequent node are
     split, and the number of edges never grows. Each round is cut, and the
-    tables of the one before are deleted.
+    tables of the one before are deleted. ``rows``: edges at most, if known; steps
+    then take as many tasks as these ask for.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    sized = (lambda df, times=1: few(df, times * rows)) if rows is not None else (lambda df, times=1: df)
+    now = cut(sized(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     while True:
         # done when each node has one link and no end of a link starts another
-        ends = now.groupBy("a").count().agg(F.coalesce(F.sum("count") == F.count(F.lit(1)), F.lit(True))).first()[0]
+        ends = sized(now.groupBy("a").count()).agg(F.coalesce(F.sum("count") == F.count(F.lit(1)), F.lit(True))).first()[0]
         if ends and now.select("b").join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
         both = now.union(now.select("b", "a"))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        least = cut(sized(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"), 2))
         # large star: neighbours above a node move to the least of its neighbourhood
-        large = cut(join_split(both, least, ["a"], ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"))
+        large = cut(sized(join_split(both, least, ["a"], ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), 2))
         # small star: a node and its lower neighbours move to the lowest of them
-        low = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
-        moved = join_split(large, low, ["a"], ["b"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        before, now = now, cut(moved.where("a <> b").distinct())
+        low = cut(sized(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))))
+        moved = sized(join_split(large, low, ["a"], ["b"])).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        before, now = now, cut(sized(moved.where("a <> b").distinct()))
         discard(before, least, large, low)
     nodes = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    out = cut(nodes.union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()))
+    out = cut(nodes.union(sized(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())))
     discard(now)
     return out

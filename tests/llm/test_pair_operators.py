@@ -100,6 +100,34 @@ def test_jaccard_join(spark):
     assert kept == {i for i in range(len(texts)) if want[i] == i}
 
 
+def test_jaccard_join_on_many_partitions_takes_few_tasks(spark, monkeypatch):
+    rng = random.Random(4)
+    base, shared = prose(rng, 120).split(), prose(rng, 60)
+    texts = [prose(rng, 60) for _ in range(40)] + [shared + " " + prose(rng, 60) for _ in range(20)] + [" ".join(base)] * 30
+    for i in range(30):  # near copies
+        w = list(base)
+        w[rng.randrange(120)] = f"edit{i}"
+        texts.append(" ".join(w))
+    monkeypatch.setattr(chosenpath, "SMALL", 16)  # so that buckets are split
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "61")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("few_tasks", "")
+        got = {r["doc_id"]: r for r in chosenpath.jaccard_join(docs(spark, list(enumerate(texts)))).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    links = jaccard(texts)
+    assert [got[i]["n_links"] for i in range(len(texts))] == [sum(i in e for e in links) for i in range(len(texts))]
+    assert [got[i]["group_id"] for i in range(len(texts))] == roots(len(texts), links)
+    track = spark.sparkContext.statusTracker()
+    jobs = [track.getJobInfo(j) for j in track.getJobIdsForGroup("few_tasks")]
+    stages = [x for x in (track.getStageInfo(s) for j in jobs if j for s in j.stageIds) if x]
+    assert len(stages) > 40 and sum(x.numTasks for x in stages) < 1400
+
+
 def test_jaccard_join_edges(spark):
     got = chosenpath.jaccard_join(docs(spark, [(None, "one two three four five six"), (4, "One two three four five six!"), (4, "One two three four five six!"), (5, None)])).collect()
     assert sorted((r["doc_id"] is None, r["n_links"]) for r in got) == [(False, 0), (False, 2), (False, 2), (True, 2)]
