@@ -22,6 +22,7 @@ HISTORICAL = (
     r"founding|founder|195\d|196\d|197\d|1950s|1960s|1970s|1980s|black and white|b&w)\b")
 FILENAME = r"^(.+?)\s*\((\d{2})\.(\d{2})\.(\d{2})\)\s*-(\d+)"
 HASHED_BYTES = 8192
+SIZE_UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 
 
 @dataclass(frozen=True)
@@ -129,21 +130,23 @@ def archive_mode(archive: Column, query: Column) -> Column:
     return F.when(archive.isin("include", "exclude", "only"), archive).when(historical, "include").otherwise("capped")
 
 
-def human_size(n: Column) -> Column:
-    """Steps of 1,024 with one decimal (ties to even), B to PB."""
+def human_size(n: Column, largest: str = "PB") -> Column:
+    """Steps of 1,024 with one decimal (ties to even), B to ``largest``; a null stays null."""
     shown = lambda power, sign: F.format_string(f"%.1f {sign}", F.bround(n / F.lit(1024.0**power), 1))
-    out = shown(5, "PB")
-    for power, sign in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
+    below = SIZE_UNITS.index(largest)
+    out = shown(below, largest)
+    for power, sign in reversed(list(enumerate(SIZE_UNITS[:below]))):
         out = F.when(n / F.lit(1024.0**power) < 1024.0, shown(power, sign)).otherwise(out)
-    return out
+    return F.when(n.isNotNull(), out)
 
 
 def human_duration(seconds: Column) -> Column:
+    """Seconds, minutes or hours; a null stays null."""
     whole = F.floor(seconds).cast("long")
     minutes, rest = F.floor(whole / 60).cast("long"), F.pmod(whole, F.lit(60))
     hours = F.floor(whole / 3600).cast("long")
-    return F.when(seconds < 60, F.format_string("%.1fs", seconds.cast("double"))).when(seconds < 3600, F.format_string("%dm %ds", minutes, rest)).otherwise(
-        F.format_string("%dh %dm", hours, F.pmod(minutes, F.lit(60))))
+    return F.when(seconds < 60, F.format_string("%.1fs", seconds.cast("double"))).when(seconds < 3600, F.format_string("%dm %ds", minutes, rest)).when(
+        seconds.isNotNull(), F.format_string("%dh %dm", hours, F.pmod(minutes, F.lit(60))))
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from photocat import lineage
 from photocat.functions import scalars
 from photocat.operators import catalog, duplicates, inference, quality, ranking, rotation, stats, taste, vectors
-from photocat.plans.catalogue_queries import QUERIES, hashing_encoder
+from photocat.plans.catalogue_queries import ORACLE_SQL, QUERIES, hashing_encoder
 from photocat.schema import IMAGES
 from photocat.sources import files as sources
 from photocat.streaming import ingest
@@ -55,6 +55,18 @@ def test_source_classes(spark):
     assert got == ["archive", "pro", "pro", "pro", "amateur", "amateur", "pro", "pro", "unknown", "unknown", "pro"]
 
 
+def test_sizes_of_long_and_unknown_texts_are_those_of_the_sql(spark, sf_dir, tmp_path):
+    from tools.compare import TABLES, rows_of
+
+    rows = [(4, 65_535), (9, 65_536), (14, 70_000), (19, 1 << 40), (23, 1 << 20), (29, None), (None, 5), (514, 0), (1_000_003, 1023)]
+    spark.createDataFrame(rows, "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    for t in TABLES:
+        if t != "documents":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    mine, theirs = rows_of(spark, QUERIES["human_units"], ORACLE_SQL["human_units"], str(tmp_path))
+    assert mine == theirs and len(mine) == 9
+
+
 def test_units_and_uprightness(spark):
     assert values(spark, "n bigint", [(0,), (1023,), (1024,), (5 << 40,), (3 << 50,)], scalars.human_size(F.col("n"))) == ["0.0 B", "1023.0 B", "1.0 KB", "5.0 TB", "3.0 PB"]
     assert values(spark, "s double", [(1.25,), (59.9,), (61.0,), (7384.0,)], scalars.human_duration(F.col("s"))) == ["1.3s", "59.9s", "1m 1s", "2h 3m"]
