@@ -22,7 +22,14 @@ def image_suffix(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, file_size, file_modified) below ``root``; contents are not read."""
+    """(path, file_size, file_modified) of the pictures below ``root``; contents are not
+    read. A folder that tasks can open is walked by them. What else Spark can read (a
+    pattern, a single file, a file system that Arrow has not) is listed by Spark: the
+    driver holds that listing, and empty and hidden files are passed over."""
+    from . import walk  # uses this module
+
+    if walk.walkable(spark, root):
+        return walk.walk_files(spark, root)
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", "^file:/+", "/")
     return rows.select(path.alias("path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_modified")).where(image_suffix(F.col("path")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..lineage import cut, qualified
+from ..lineage import CORE_TASKS, cut, qualified
 from ..schema import few_rows
 from .files import image_suffix
 
@@ -76,17 +76,35 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table(held)
 
 
-def walk_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, file_size, file_modified) of the pictures below ``root``, as
-    ``list_files`` has them, and also of empty ones and those whose names begin with
-    a dot or an underscore. A root without a scheme is in Spark's default file system. On a
-    cluster a root of the scheme ``file`` must be a folder that all machines
-    share; other schemes are those of Arrow's file systems."""
+def _start(spark: SparkSession, root: str) -> str:
+    """A local path, or a URI of another file system."""
     uri = qualified(spark, root)
-    start = "/" + uri[len("file:") :].lstrip("/") if uri.startswith("file:") else uri
-    frontier, levels, n = few_rows(spark, [(start,)], [("path", "string")]), [], 1
+    return "/" + uri[len("file:") :].lstrip("/") if uri.startswith("file:") else uri
+
+
+def walkable(spark: SparkSession, root: str) -> bool:
+    """True for a folder of a file system that tasks can list."""
+    start = _start(spark, root)
+    if start.startswith("/"):
+        return os.path.isdir(start)
+    try:
+        fs, base = pafs.FileSystem.from_uri(start)
+        return fs.get_file_info(base).type == pafs.FileType.Directory
+    except (OSError, pa.ArrowException):
+        return False
+
+
+def walk_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, file_size, file_modified) of the pictures below ``root``, also of empty
+    ones and those whose names begin with a dot or an underscore. A root without a
+    scheme is in Spark's default file system. On a cluster a root of the scheme
+    ``file`` must be a folder that all machines share; other schemes are those of
+    Arrow's file systems."""
+    frontier, levels, n = few_rows(spark, [(_start(spark, root),)], [("path", "string")]), [], 1
+    cores = CORE_TASKS * spark.sparkContext.defaultParallelism
     while n:
-        found = frontier.repartition(min(TASKS, -(-n // FOLDERS))).mapInArrow(_expand, FOUND)
+        tasks = max(-(-n // FOLDERS), min(n, cores))  # a few large folders go to a task each
+        found = frontier.repartition(min(TASKS, tasks)).mapInArrow(_expand, FOUND)
         level = cut(found.where(F.col("folder") | image_suffix(F.col("path"))))
         levels.append(level.cut_path)
         frontier = level.where("folder").select("path")

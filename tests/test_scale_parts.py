@@ -58,6 +58,28 @@ def test_walk_lists_what_the_listing_does(spark, tmp_path):
     assert walk.walk_files(spark, str(tmp_path / "lib" / "empty")).count() == 0
 
 
+def test_the_driver_holds_no_listing(spark, sf_dir, tmp_path):
+    from photocat.plans.catalogue_queries import ORACLE_SQL, QUERIES
+    from tools.compare import TABLES, rows_of
+
+    rows = [(i, None if i % 5 == 0 else "" if i % 5 == 1 else "ä" * i, f"s{i % 3}" if i else None) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for t in TABLES:
+        if t != "documents":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    mine, theirs = rows_of(spark, QUERIES["listed_files"], ORACLE_SQL["listed_files"], str(tmp_path))
+    assert mine == theirs and any(r[0] == "0" for r in mine)  # empty files too
+    for d in range(70):
+        (tmp_path / "lib" / f"d{d}").mkdir(parents=True)
+        (tmp_path / "lib" / f"d{d}" / "a.jpg").write_bytes(b"xy")
+    whole = files.list_files(spark, str(tmp_path / "lib"))
+    assert whole.count() == 70 and "binaryfile" not in whole._jdf.queryExecution().toString().lower()
+    assert files.list_files(spark, str(tmp_path / "lib" / "d[1-3]")).count() == 3  # a pattern: Spark's listing
+    assert [r["file_size"] for r in files.list_files(spark, str(tmp_path / "lib" / "d7" / "a.jpg")).collect()] == [2]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.list_files(spark, str(tmp_path / "none"))
+
+
 def test_a_wide_folder_comes_in_batches(spark, tmp_path, monkeypatch):
     for i in range(50):
         (tmp_path / f"{i}.jpg").write_bytes(b"")
