@@ -1,13 +1,15 @@
 """Upkeep of an index of cells: vectors come, change and go, and cells that outgrow
 their bound are split.
 
-An index is a folder. Each generation of it adds ``rows/gen=G/cell=C`` (vectors
-routed to the nearest centre, and those of cells that were split), ``gone/gen=G``
-(ids whose rows of earlier generations are dead) and ``cells/gen=G`` (all cells
-then in use: number, centre, radius, rows). Nothing that is written changes, so a
-search goes on over the generation that it began with, and an update that fails
-before its cells are written leaves that in place. ``compact`` writes an index
-anew without its dead rows.
+An index is a folder. Each generation of it adds ``rows/gen=G/part=P`` (vectors
+routed to the nearest centre, and those of cells that were split; a part is as
+many cells by number as CELL_BYTES have room for, so that small cells share files),
+``gone/gen=G`` (ids whose rows of earlier generations are dead) and ``cells/gen=G``
+(all cells then in use: number, centre, radius, rows). Nothing that is written
+changes, so a search goes on over the generation that it began with, and an
+update that fails before its cells are written leaves that in place. ``compact``
+writes an index anew without its dead rows. The driver holds the cells' centres
+and the names of the files; what is chosen by cell is joined to a table of cells.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut, discard
@@ -28,7 +30,7 @@ from .vectors import Cells, build_cells, cell_count, cell_radii
 #: on, rounds of that fit, and how often a cell is divided by means before what is
 #: too alike for that is divided by hash.
 CELL_BYTES, FIT_ROWS, ROUNDS, DIVISIONS = 64 << 20, 4096, 8, 3
-ROWS = "image_id string, embedding array<float>, gen int, cell int"
+ROWS = "image_id string, embedding array<float>, cell int, gen int, part int"
 
 
 @dataclass(frozen=True)
@@ -44,25 +46,36 @@ class Index(Cells):
     rows: tuple[int, ...] = ()
 
 
-def live_rows(spark: SparkSession, path: str, generation: int, numbers: list[int]) -> DataFrame:
-    """(image_id, embedding, cell): rows of these cells that are not dead."""
-    rows = spark.read.schema(ROWS).parquet(f"{path}/rows").where((F.col("gen") <= generation) & F.col("cell").isin(numbers))
+def _part(cell: Column | int, cell_bytes: int) -> Column | int:
+    """The part of the folder that a cell's rows are in."""
+    width = max(1, CELL_BYTES // cell_bytes)
+    return F.floor(cell / width).cast("int") if isinstance(cell, Column) else cell // width
+
+
+def _by_cell(rows: DataFrame, table: list[tuple], columns: str = "", how: str = "inner") -> DataFrame:
+    """``rows`` joined to a table of a row for each cell: its number, and ``columns``."""
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, "cell int" + columns)), "cell", how)
+
+
+def live_rows(spark: SparkSession, path: str, generation: int, numbers: list[int], cell_bytes: int) -> DataFrame:
+    """(image_id, embedding, cell, place): rows of these cells that are not dead; place:
+    where the cell stands among ``numbers``."""
+    cells = spark.createDataFrame([(n, _part(n, cell_bytes), i) for i, n in enumerate(map(int, numbers))], "cell int, part int, place int")
+    rows = spark.read.schema(ROWS).parquet(f"{path}/rows").where(F.col("gen") <= generation).join(F.broadcast(cells), ["part", "cell"])
     if generation:
         gone = spark.read.schema("image_id string, gen int").parquet(f"{path}/gone").where(F.col("gen") <= generation)
         gone = gone.groupBy(F.col("image_id").alias("_id")).agg(F.max("gen").alias("_gen"))
         rows = rows.join(gone, (F.col("image_id") == F.col("_id")) & (F.col("gen") < F.col("_gen")), "left_anti")
-    return rows.select("image_id", "embedding", "cell")
+    return rows.select("image_id", "embedding", "cell", "place")
 
 
 def open_index(spark: SparkSession, path: str, generation: int, probes: int | None = None, cell_bytes: int = CELL_BYTES) -> Index:
     """The index as it is in ``generation``."""
-    cells = spark.read.parquet(f"{path}/cells/gen={generation}").orderBy("cell").collect()  # a row for each cell
-    numbers = [r["cell"] for r in cells]
-    rows = live_rows(spark, path, generation, numbers)
-    if numbers != list(range(len(numbers))):
-        place = F.create_map(*[F.lit(x) for i, n in enumerate(numbers) for x in (n, i)])
-        rows = rows.withColumn("cell", place[F.col("cell")])
-    return Index(rows, [np.asarray(r["centre"]) for r in cells], probes or max(1, len(cells) // 5), np.array([r["radius"] for r in cells]), path, generation, cell_bytes, tuple(numbers), tuple(r["n"] for r in cells))
+    cells = spark.read.parquet(f"{path}/cells/gen={generation}").orderBy("cell").toArrow()  # a row for each cell
+    numbers, n = cells["cell"].to_pylist(), cells["n"].to_pylist()
+    centres = cells["centre"].combine_chunks().flatten().to_numpy().reshape(len(numbers), -1)
+    rows = live_rows(spark, path, generation, numbers, cell_bytes).select("image_id", "embedding", F.col("place").alias("cell"))
+    return Index(rows, list(centres), probes or max(1, len(numbers) // 5), cells["radius"].to_numpy(), path, generation, cell_bytes, tuple(numbers), tuple(n))
 
 
 def create_index(embeddings: DataFrame, path: str, cells: int | None = None, probes: int | None = None, cell_bytes: int = CELL_BYTES) -> Index:
@@ -72,9 +85,9 @@ def create_index(embeddings: DataFrame, path: str, cells: int | None = None, pro
     if not (n := rows.count()):
         raise ValueError("an index needs a vector")
     dealt, centres = build_cells(rows, cells or cell_count(n))
-    _write_rows(dealt, path, 0)
+    _write_rows(dealt, path, 0, cell_bytes)
     numbers = list(range(len(centres)))
-    radii = cell_radii(live_rows(spark, path, 0, numbers), centres)
+    radii = cell_radii(live_rows(spark, path, 0, numbers, cell_bytes), centres)
     return _published(spark, path, 0, _settled(spark, path, 0, cell_bytes, numbers, list(centres), list(radii)), probes, cell_bytes)
 
 
@@ -88,9 +101,10 @@ def update_index(index: Index, changed: DataFrame, deleted: DataFrame | None = N
     gone.write.parquet(f"{path}/gone/gen={generation}")
     numbers, centres, radii = list(index.numbers), list(index.centres), list(index.radii)
     new = cut(_routed(changed.where("embedding is not null"), {None: (np.asarray(centres), np.asarray(numbers))}))
-    _write_rows(new, path, generation)
+    _write_rows(new, path, generation, index.cell_bytes)
+    place = {n: i for i, n in enumerate(numbers)}
     for row in new.groupBy("cell").agg(F.max("far").alias("far")).collect():  # a row for each cell
-        at = numbers.index(row["cell"])
+        at = place[row["cell"]]
         radii[at] = max(radii[at], row["far"])
     discard(changed, new)
     return _published(spark, path, generation, _settled(spark, path, generation, index.cell_bytes, numbers, centres, radii), index.probes, index.cell_bytes)
@@ -135,9 +149,10 @@ def _routed(rows: DataFrame, among: dict[int | None, tuple[np.ndarray, np.ndarra
     return own.mapInArrow(run, "image_id string, embedding array<float>, cell int, far double")
 
 
-def _write_rows(rows: DataFrame, path: str, generation: int) -> None:
-    """A large cell is written by several tasks."""
-    rows.select("image_id", "embedding", "cell").repartition("cell", F.pmod(F.xxhash64("image_id"), F.lit(8))).write.mode("append").partitionBy("cell").parquet(f"{path}/rows/gen={generation}")
+def _write_rows(rows: DataFrame, path: str, generation: int, cell_bytes: int) -> None:
+    """A part is written by several tasks, each of which writes its rows by cell."""
+    rows = rows.select("image_id", "embedding", "cell", _part(F.col("cell"), cell_bytes).alias("part"))
+    rows.repartition("part", F.pmod(F.xxhash64("image_id"), F.lit(8))).sortWithinPartitions("part", "cell").write.mode("append").partitionBy("part").parquet(f"{path}/rows/gen={generation}")
 
 
 Stock = tuple[list[int], list[np.ndarray], list[float], list[int]]
@@ -146,23 +161,25 @@ Stock = tuple[list[int], list[np.ndarray], list[float], list[int]]
 def _published(spark: SparkSession, path: str, generation: int, stock: Stock, probes: int | None, cell_bytes: int) -> Index:
     """Writes the cells of the generation, which is there from then on."""
     numbers, centres, radii, rows = stock
-    table = [(int(m), [float(x) for x in c], float(r), int(n)) for m, c, r, n in zip(numbers, centres, radii, rows, strict=True)]
-    spark.createDataFrame(table, "cell int, centre array<double>, radius double, n long").coalesce(1).write.parquet(f"{path}/cells/gen={generation}")
+    points = np.asarray(centres, np.float64)
+    lists = pa.ListArray.from_arrays(np.arange(0, points.size + 1, points.shape[1], dtype=np.int32), points.ravel())
+    table = pa.table({"cell": pa.array(numbers, pa.int32()), "centre": lists, "radius": pa.array(radii, pa.float64()), "n": pa.array(rows, pa.int64())})
+    spark.createDataFrame(table).coalesce(1).write.parquet(f"{path}/cells/gen={generation}")
     return open_index(spark, path, generation, probes, cell_bytes)
 
 
 def _settled(spark: SparkSession, path: str, generation: int, cell_bytes: int, numbers: list[int], centres: list[np.ndarray], radii: list[float]) -> Stock:
     """The cells with their numbers of rows, after those above the bound are split."""
-    live = live_rows(spark, path, generation, numbers)
-    counts = {r["cell"]: r["count"] for r in live.groupBy("cell").count().collect()}
-    size = live.agg(F.max(F.octet_length("image_id") + 4 * F.size("embedding"))).first()[0] or 1
-    most = max(1, cell_bytes // size)
+    size = F.max(F.octet_length("image_id") + 4 * F.size("embedding")).alias("size")
+    found = live_rows(spark, path, generation, numbers, cell_bytes).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), size).collect()  # a row for each cell
+    counts = {r["cell"]: r["n"] for r in found}
+    most = max(1, cell_bytes // (max((r["size"] for r in found), default=0) or 1))
     stock = {n: (c, r, counts.get(n, 0)) for n, c, r in zip(numbers, centres, radii, strict=True)}
     full = {n: (c, r, k) for n, (c, r, k) in stock.items() if k > most}
     if full:
-        parts, rows = _split(live.where(F.col("cell").isin(list(full))), full, most, max(numbers) + 1)
+        parts, rows = _split(live_rows(spark, path, generation, list(full), cell_bytes).drop("place"), full, most, max(numbers) + 1)
         for table in rows:
-            _write_rows(table, path, generation)
+            _write_rows(table, path, generation, cell_bytes)
         discard(*rows)
         stock = {n: x for n, x in stock.items() if n not in full} | parts
     ordered = sorted(stock)
@@ -193,15 +210,15 @@ def _split(rows: DataFrame, full: dict[int, tuple], most: int, first: int) -> tu
         done |= {n: x for n, x in found.items() if n not in full}
         if not full:
             return done, [*tables, dealt]
-        tables.append(cut(dealt.where(~F.col("cell").isin(list(full)))))
-        pending = cut(dealt.where(F.col("cell").isin(list(full))).select("image_id", "embedding", "cell"))
+        tables.append(cut(_by_cell(dealt, [(n,) for n in full], how="left_anti")))
+        pending = cut(_by_cell(dealt, [(n,) for n in full], how="left_semi").select("image_id", "embedding", "cell"))
         discard(dealt)
     raise RuntimeError(f"a cell of {max(x[2] for x in full.values())} rows could not be split to {most}")
 
 
 def _part_means(rows: DataFrame, wanted: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
     """The centres of each cell's parts; wanted: (rows, parts) by cell."""
-    every = F.create_map(*[F.lit(int(x)) for n, (count, _) in wanted.items() for x in (n, max(1, count // FIT_ROWS))])
+    every = [(n, max(1, count // FIT_ROWS)) for n, (count, _) in wanted.items()]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         cell = int(frame["cell"].iloc[0])
@@ -213,7 +230,7 @@ def _part_means(rows: DataFrame, wanted: dict[int, tuple[int, int]]) -> dict[int
             centres = np.stack([x[near == i].mean(axis=0) if (near == i).any() else centres[i] for i in range(len(centres))])
         return pd.DataFrame({"cell": np.full(len(centres), cell, np.int32), "centre": list(centres)})
 
-    sample = rows.where(F.pmod(F.xxhash64("image_id", F.lit("sample")), every[F.col("cell")]) == 0)
+    sample = _by_cell(rows, every, ", every long").where(F.pmod(F.xxhash64("image_id", F.lit("sample")), F.col("every")) == 0).drop("every")
     found: dict[int, list] = {n: [] for n in wanted}
     for r in sample.groupBy("cell").applyInPandas(run, "cell int, centre array<double>").collect():  # a row for each part
         found[r["cell"]].append(r["centre"])

@@ -18,8 +18,10 @@ from ..lineage import cut, discard
 
 #: Queries of a block at most, results that a task holds for a block of them,
 #: bytes of a block's vectors, and scores that are computed at once. A few queries
-#: make one block without being counted first.
+#: make one block without being counted first. Bits of a block's queries times cells,
+#: and rows of a cell from which a task multiplies it by itself.
 QUERIES, HELD, QUERY_BYTES, SCORES, FEW = 4096, 1 << 20, 16 << 20, 1 << 21, 256
+VISITS, ALONE = 1 << 27, 64
 #: Vectors from which cells are worth their while, rows that centres are fitted on
 #: in all and for each cell, and the most cells unless their number is given or
 #: they would have more rows than CELL_ROWS each.
@@ -54,10 +56,10 @@ def knn_batch(embeddings: DataFrame, queries: DataFrame, k: Column | int = 10) -
     return _by_blocks(queries, k, lambda block: _ranked(_search_block(embeddings, block)))
 
 
-def _by_blocks(queries: DataFrame, k: Column | int, search: Callable[[pd.DataFrame], DataFrame]) -> DataFrame:
+def _by_blocks(queries: DataFrame, k: Column | int, search: Callable[[pd.DataFrame], DataFrame], cells: int = 1) -> DataFrame:
     """What ``search`` gives for all queries, block by block (query_id, q, k)."""
     asked = queries.select("query_id", F.transform("query_vec", lambda x: x.cast("double")).alias("q"), (F.lit(k) if isinstance(k, int) else k).cast("int").alias("k"))
-    most = lambda size, deepest: max(1, min(QUERIES, HELD // max(deepest, 1), QUERY_BYTES // (8 * max(size, 1))))
+    most = lambda size, deepest: max(1, min(QUERIES, HELD // max(deepest, 1), QUERY_BYTES // (8 * max(size, 1)), VISITS // max(cells, 1)))
     few = asked.limit(FEW + 1).toPandas()
     if len(few) <= FEW and len(few) <= most(max(map(len, few["q"]), default=1), few["k"].max() if len(few) else 1):
         return search(few)
@@ -82,20 +84,24 @@ class Best:
     then summed in the order of the components, so that equal vectors have equal
     scores wherever they stand in a block."""
 
-    def __init__(self, queries: np.ndarray, depth: np.ndarray):
+    def __init__(self, queries: np.ndarray, depth: np.ndarray, floor: np.ndarray | None = None):
         self.queries, self.depth = queries, depth
         self.length = np.linalg.norm(queries, axis=1)
-        self.worst = np.full(len(depth), -np.inf)  # the k-th score, once there are k
+        self.worst = np.full(len(depth), -np.inf) if floor is None else floor.copy()  # the k-th score, once there are k, or what is known to reach it
         self.scores: list[np.ndarray] = [np.zeros(0)] * len(depth)
         self.ids: list[np.ndarray] = [np.zeros(0, object)] * len(depth)
 
-    def add(self, x: np.ndarray, ids: np.ndarray, which: np.ndarray | None = None) -> None:
-        """Rows for the queries ``which`` or for all. Only queries that a row may get
-        among the best of are touched."""
+    def add(self, x: np.ndarray, ids: np.ndarray, which: np.ndarray | None = None, sees: np.ndarray | None = None) -> None:
+        """Rows for the queries ``which`` or for all; sees: (queries, rows), false where
+        a row is not for a query. Only queries that a row may get among the best of
+        are touched."""
+        every = which is None or len(which) == len(self.depth)
         which = np.arange(len(self.depth)) if which is None else which
-        rough = self.queries[which] @ x.T
+        rough = (self.queries if every else self.queries[which]) @ x.T
         error = 4 * (x.shape[1] + 4) * 2.0**-53 * self.length[which] * np.nanmax(np.linalg.norm(x, axis=1), initial=0)
         hit = rough >= (self.worst[which] - error)[:, None]  # false for nan
+        if sees is not None:
+            hit &= sees
         for i in np.flatnonzero(hit.any(axis=1)):
             j, new = which[i], np.flatnonzero(hit[i])
             k = int(self.depth[j])
@@ -109,28 +115,46 @@ class Best:
                 self.worst[j] = self.scores[j][-1]
 
 
-def _search_block(embeddings: DataFrame, asked: pd.DataFrame, visits: np.ndarray | None = None) -> DataFrame:
+def _search_block(embeddings: DataFrame, asked: pd.DataFrame, visits: np.ndarray | None = None, floor: np.ndarray | None = None) -> DataFrame:
     """(query_id, image_id, similarity, k): the best of each partition for a block of
-    queries. visits: (queries, cells), true where a query is to see a cell's rows;
-    ``embeddings`` has then a column ``cell``, and cells that nobody sees are not read."""
+    queries. visits: bits (cells, queries), set where a query is to see a cell's rows;
+    ``embeddings`` has then a column ``cell``, and cells that nobody sees are not read.
+    floor: scores of the queries below which no row counts."""
     shape = "query_id long, image_id string, similarity double, k int"
     if not len(asked) or (visits is not None and not visits.any()):
         return embeddings.sparkSession.createDataFrame([], shape)
     matrix, ids, depth = np.stack(asked["q"].to_numpy()), asked["query_id"].to_numpy(), asked["k"].to_numpy()
     step = max(16, SCORES // len(asked))
 
+    def seen_parts(cells: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows that are multiplied together: a cell's or, where a cell has few, those of several."""
+        order = np.argsort(cells, kind="stable")
+        few: list[np.ndarray] = []
+        for rows in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
+            if len(rows) < ALONE:
+                few.append(rows)
+            else:
+                yield from np.split(rows, range(step, len(rows), step))
+        if few:
+            rows = np.concatenate(few)
+            yield from np.split(rows, range(step, len(rows), step))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(matrix, depth)
+        best = Best(matrix, depth, floor)
         for batch in batches:
             names, flat = batch.column("image_id"), batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
             x = flat.reshape(batch.num_rows, -1)
-            cells = np.zeros(batch.num_rows, int) if visits is None else batch.column("cell").to_numpy()
-            for cell in np.unique(cells):
-                rows = np.flatnonzero(cells == cell)
-                which = None if visits is None else np.flatnonzero(visits[:, cell])
-                for lo in range(0, len(rows), step):
-                    part = rows[lo : lo + step]
-                    best.add(x[part].astype(np.float64), names.take(pa.array(part)).to_numpy(zero_copy_only=False), which)
+            cells = None if visits is None else batch.column("cell").to_numpy()
+            for part in np.split(np.arange(len(x)), range(step, len(x), step)) if cells is None else seen_parts(cells):
+                which = sees = None
+                if cells is not None:
+                    own, of = np.unique(cells[part], return_inverse=True)
+                    asks = np.unpackbits(visits[own], axis=1, count=len(ids)).view(bool)
+                    which = np.flatnonzero(asks.any(axis=0))
+                    if not len(which):
+                        continue
+                    sees = asks[:, which][of].T if len(own) > 1 else None
+                best.add(x[part].astype(np.float64), names.take(pa.array(part)).to_numpy(zero_copy_only=False), which, sees)
         for j, (s, n) in enumerate(zip(best.scores, best.ids, strict=True)):
             if len(s):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ids[j])), pa.array(n, pa.string()), pa.array(s), pa.array(np.full(len(s), depth[j]), pa.int32())], names=["query_id", "image_id", "similarity", "k"])
@@ -138,8 +162,8 @@ def _search_block(embeddings: DataFrame, asked: pd.DataFrame, visits: np.ndarray
     rows = embeddings.where(F.size("embedding") == matrix.shape[1])
     if visits is None:
         return rows.select("image_id", "embedding").mapInArrow(run, shape)
-    seen = np.flatnonzero(visits.any(axis=0)).tolist()
-    rows = rows if len(seen) == visits.shape[1] else rows.where(F.col("cell").isin(seen))
+    seen = np.flatnonzero(visits.any(axis=1)).tolist()
+    rows = rows if len(seen) == len(visits) else rows.where(F.col("cell").isin(seen))
     return rows.select("image_id", "embedding", F.col("cell").cast("int").alias("cell")).mapInArrow(run, shape)
 
 
@@ -229,6 +253,18 @@ def _probed(centres: list[np.ndarray], queries: np.ndarray, probes: int) -> np.n
     return out
 
 
+def _visits(queries: np.ndarray, cells: int, chosen: Callable[[slice], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(bits (cells, queries) of what ``chosen`` says, (queries, cells), for a part of the
+    queries; each query's number of cells). The driver holds the bits and one part."""
+    bits, count = np.zeros((cells, -(-len(queries) // 8)), np.uint8), np.zeros(len(queries), int)
+    step = max(8, SCORES // max(cells, 1) // 8 * 8)
+    for lo in range(0, len(queries), step):
+        found = chosen(part := slice(lo, min(lo + step, len(queries))))
+        bits[:, lo // 8 : lo // 8 - (-len(found) // 8)] = np.packbits(found, axis=0).T
+        count[part] = found.sum(axis=1)
+    return bits, count
+
+
 def knn_cells(dealt: DataFrame, centres: list[np.ndarray], query: list[float], k: int, probes: int, radii: np.ndarray | None = None) -> DataFrame:
     """As ``knn``, within the ``probes`` cells nearest to the query, and with
     ``radii`` in all that can hold one of the k best, so that it is exact."""
@@ -251,7 +287,7 @@ def knn_cells_batch(dealt: DataFrame, centres: list[np.ndarray], queries: DataFr
         if not len(block):
             return _ranked(_search_block(dealt, block)).withColumn("cells_read", F.lit(0))
         matrix = np.stack(block["q"].to_numpy())
-        first = _probed(centres, matrix, probes)
+        first, _ = _visits(matrix, len(centres), lambda part: _probed(centres, matrix[part], probes))
         if radii is None:
             return _ranked(_search_block(dealt, block, first)).withColumn("cells_read", F.lit(min(probes, len(centres))))
         begun = cut(_ranked(_search_block(dealt, block, first), keep_k=True))
@@ -259,12 +295,13 @@ def knn_cells_batch(dealt: DataFrame, centres: list[np.ndarray], queries: DataFr
         floor = np.full(len(block), -np.inf)
         for row in begun.where(F.col("rank") == F.col("k")).select("query_id", "similarity").collect():  # one for each query of the block
             floor[place[row["query_id"]]] = row["similarity"]
-        rest = (cell_bounds(centres, radii, matrix) >= floor[:, None]) & ~first & (radii >= 0)
-        seen = block["query_id"].to_frame().assign(cells_read=(first | rest).sum(axis=1).astype("int32"))
-        out = _ranked(begun.drop("rank").union(_search_block(dealt, block, rest)))
-        return out.join(F.broadcast(dealt.sparkSession.createDataFrame(seen, "query_id long, cells_read int")), "query_id")
+        seen = lambda part: np.unpackbits(first[:, part.start // 8 : -(-part.stop // 8)], axis=1, count=part.stop - part.start).T.view(bool)
+        rest, read = _visits(matrix, len(centres), lambda part: (cell_bounds(centres, radii, matrix[part]) >= floor[part, None]) & (radii >= 0) & ~seen(part))
+        counts = block["query_id"].to_frame().assign(cells_read=(min(probes, len(centres)) + read).astype("int32"))
+        out = _ranked(begun.drop("rank").union(_search_block(dealt, block, rest, floor)))
+        return out.join(F.broadcast(dealt.sparkSession.createDataFrame(counts, "query_id long, cells_read int")), "query_id")
 
-    return _by_blocks(queries, k, search)
+    return _by_blocks(queries, k, search, len(centres))
 
 
 def candidate_depth(limit: Column, deeper: Column, available: Column | int, max_limit: int = 100) -> Column:

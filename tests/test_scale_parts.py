@@ -4,6 +4,7 @@ fits of many models, ranks, slices and the blocked collapse, against plain Pytho
 import os
 import random
 import threading
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -174,6 +175,42 @@ def test_an_index_follows_its_table(spark):
         cell_upkeep.create_index(table(spark, x[:3]).where("false"), f"{shared_dir(spark)}/none")
 
 
+def test_many_small_cells_share_files(spark):
+    rng = np.random.default_rng(16)
+    x = unit(rng.normal(size=(900, 8)))
+    path = f"{shared_dir(spark)}/small-cells"
+    index = cell_upkeep.create_index(table(spark, x[:600]), path, cells=3, cell_bytes=12 * (6 + 32))
+    index = cell_upkeep.update_index(index, table(spark, x, parts=3).where("image_id >= 'v00500'"), table(spark, x).where("image_id < 'v00050'").select("image_id"))
+    assert len(index.rows) > 80 and max(index.rows) <= 12 and sum(index.rows) == 850
+    written = [f for _, _, names in os.walk(f"{path}/rows") for f in names if f.endswith(".parquet")]
+    assert len(written) < len(index.rows)  # the driver lists all files
+    plan = index.dealt._jdf.queryExecution().analyzed().toString()
+    assert "map(" not in plan and " IN (" not in plan  # nor does it hold an expression for each cell
+    asks = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 900, 30)], "query_id long, query_vec array<float>")
+    rows = {f"v{i:05d}": v for i, v in enumerate(x) if i >= 50}
+    for r in index.nearest(asks, 4, exact=True).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "image_id"))).alias("r")).collect():
+        assert [v["image_id"] for v in r["r"]] == nearest(rows, x[r["query_id"]], 4)
+
+
+def test_the_driver_holds_bits_for_queries_and_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SCORES", 1 << 14)
+    rng = np.random.default_rng(17)
+    x, centres = unit(rng.normal(size=(500, 4))), unit(rng.normal(size=(4000, 4))).astype(np.float64)
+    cell = (x @ centres.T).argmax(axis=1)
+    far = np.full(4000, -1.0)
+    np.maximum.at(far, cell, np.linalg.norm(x - centres[cell], axis=1))
+    dealt = spark.createDataFrame([(f"v{i:05d}", v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, cell, strict=True))], "image_id string, embedding array<float>, cell int")
+    q = unit(rng.normal(size=(2001, 4)))
+    asks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, query_vec array<float>")
+    tracemalloc.start()
+    got = vectors.knn_cells_batch(dealt, list(centres), asks, 1, 30, far).collect()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = (q.astype(np.float64) @ x.T.astype(np.float64)).argmax(axis=1)
+    assert {r["query_id"]: r["image_id"] for r in got} == {i: f"v{j:05d}" for i, j in enumerate(want)} and len(got) == 2001
+    assert most < 40 << 20  # a number for each query and cell would take 64 MB
+
+
 # Tiles ---------------------------------------------------------------------------
 
 
