@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut, discard
-from .vectors import Cells, build_cells, cell_count, cell_radii
+from .vectors import FEW, Cells, build_cells, cell_count, cell_radii, knn_cells_batch
 
 #: Bytes of the rows of a cell at most; rows that the parts of a cell are fitted
 #: on, rounds of that fit, and how often a cell is divided by means before what is
@@ -45,6 +45,14 @@ class Index(Cells):
     numbers: tuple[int, ...] = ()
     rows: tuple[int, ...] = ()
 
+    def nearest(self, queries: DataFrame, k: Column | int = 10, exact: bool = False) -> DataFrame:
+        """Of queries whose probes are as many as the cells, or more, the live rows are
+        found and written once, cell by cell, and not anew for every block."""
+        if (n := queries.limit(FEW + 1).count()) <= FEW or not exact and n * self.probes < len(self.centres):
+            return super().nearest(queries, k, exact)
+        dealt = cut(self.dealt.repartition("cell").sortWithinPartitions("cell"))
+        return knn_cells_batch(dealt, self.centres, queries, k, self.probes, self.radii if exact else None)
+
 
 def _part(cell: Column | int, cell_bytes: int) -> Column | int:
     """The part of the folder that a cell's rows are in."""

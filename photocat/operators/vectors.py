@@ -257,7 +257,7 @@ def _visits(queries: np.ndarray, cells: int, chosen: Callable[[slice], np.ndarra
     """(bits (cells, queries) of what ``chosen`` says, (queries, cells), for a part of the
     queries; each query's number of cells). The driver holds the bits and one part."""
     bits, count = np.zeros((cells, -(-len(queries) // 8)), np.uint8), np.zeros(len(queries), int)
-    step = max(8, SCORES // max(cells, 1) // 8 * 8)
+    step = max(8, SCORES // 8 // max(cells, 1) // 8 * 8)
     for lo in range(0, len(queries), step):
         found = chosen(part := slice(lo, min(lo + step, len(queries))))
         bits[:, lo // 8 : lo // 8 - (-len(found) // 8)] = np.packbits(found, axis=0).T

@@ -175,10 +175,11 @@ def test_an_index_follows_its_table(spark):
         cell_upkeep.create_index(table(spark, x[:3]).where("false"), f"{shared_dir(spark)}/none")
 
 
-def test_many_small_cells_share_files(spark):
+@pytest.mark.parametrize("few", [4, 256])
+def test_many_small_cells_share_files(spark, monkeypatch, few):
     rng = np.random.default_rng(16)
     x = unit(rng.normal(size=(900, 8)))
-    path = f"{shared_dir(spark)}/small-cells"
+    path = f"{shared_dir(spark)}/small-cells-{few}"
     index = cell_upkeep.create_index(table(spark, x[:600]), path, cells=3, cell_bytes=12 * (6 + 32))
     index = cell_upkeep.update_index(index, table(spark, x, parts=3).where("image_id >= 'v00500'"), table(spark, x).where("image_id < 'v00050'").select("image_id"))
     assert len(index.rows) > 80 and max(index.rows) <= 12 and sum(index.rows) == 850
@@ -188,6 +189,7 @@ def test_many_small_cells_share_files(spark):
     assert "map(" not in plan and " IN (" not in plan  # nor does it hold an expression for each cell
     asks = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 900, 30)], "query_id long, query_vec array<float>")
     rows = {f"v{i:05d}": v for i, v in enumerate(x) if i >= 50}
+    monkeypatch.setattr(cell_upkeep, "FEW", few)
     for r in index.nearest(asks, 4, exact=True).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "image_id"))).alias("r")).collect():
         assert [v["image_id"] for v in r["r"]] == nearest(rows, x[r["query_id"]], 4)
 
